@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, grams, hashed_words, mix
 
-_PROBE = "key long, chk int, doc long, pos int, n int, kind int"
-_MARK = "doc long, pos int, n int, chk int"
+_PROBE = "key long, doc long, at long"
+_MARK = "doc long, at long"
 #: Stands for a null doc_id: it sorts first.
 _NULL_ID = -(1 << 63)
 
@@ -39,15 +39,28 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _check(hashes: np.ndarray) -> np.ndarray:
-    return mix(hashes ^ np.uint64(0x5851F42D4C957F2D)).astype(np.uint32).view(np.int32)
+    """22 more bits of each window, by which a mark is told from one of another row with the same doc_id."""
+    return mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(42)
 
 
-def _batch(schema: list[tuple[str, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v) for _, v in schema], names=[k for k, _ in schema])
+#: A mark or probe is one number: 31 bits of position, 9 of how many windows follow each other, 2 of kind, 22 of check.
+_MOST = (1 << 9) - 1
 
 
-def _probes(key, chk, doc, pos, n, kind) -> pa.RecordBatch:
-    return _batch([("key", key.view(np.int64)), ("chk", chk.astype(np.int32)), ("doc", doc.astype(np.int64)), ("pos", pos.astype(np.int32)), ("n", n.astype(np.int32)), ("kind", kind.astype(np.int32))])
+def _pack(pos, n, kind, chk) -> np.ndarray:
+    u = lambda x: np.asarray(x).astype(np.uint64)
+    return (u(pos) | u(n) << np.uint64(31) | u(kind) << np.uint64(40) | u(chk) << np.uint64(42)).view(np.int64)
+
+
+def _unpack(at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Position, number, kind and check."""
+    u = np.ascontiguousarray(at).view(np.uint64)
+    part = lambda low, bits: ((u >> np.uint64(low)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return part(0, 31), part(31, 9), part(40, 2), part(42, 22)
+
+
+def _probes(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(at)], names=["key", "doc", "at"])
 
 
 def _spread(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -96,55 +109,60 @@ def _base_rows(base: int, window: int):
             kind = np.where(lead, np.where(many, 1, 0), 2)
             doc, pos, n = doc[order], pos[order], n[order]
             key = np.where(kind == 2, _spread(doc, pos), ks)
-            yield _probes(key, np.zeros(len(key), np.int32), doc, pos, n, kind)
+            yield _probes(key, doc, _pack(pos, n, kind, np.zeros(len(key))))
 
     return run
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Batches of rows in order of (key, chk), each with whole groups."""
-    names, held = ["key", "chk", "doc", "pos", "n", "kind"], None
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of rows (key, doc, at) in order of key, each with all rows of its keys."""
+    held = None
     for b in batches:
         if not b.num_rows:
             continue
-        now = {k: b.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
+        now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
         if held is not None:
-            now = {k: np.concatenate([held[k], now[k]]) for k in names}
-        differs = np.flatnonzero((now["key"][1:] != now["key"][:-1]) | (now["chk"][1:] != now["chk"][:-1]))
-        if not len(differs):
-            held = now
-            continue
-        at = differs[-1] + 1
-        held = {k: v[at:] for k, v in now.items()}
-        yield {k: v[:at] for k, v in now.items()}
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        differs = np.flatnonzero(now[0][1:] != now[0][:-1])
+        at = differs[-1] + 1 if len(differs) else 0
+        held = [x[at:] for x in now]
+        if at:
+            yield tuple(x[:at] for x in now)
     if held is not None:
-        yield held
+        yield tuple(held)
+
+
+def _lead(*columns: np.ndarray) -> np.ndarray:
+    """Where a group of equal neighbours begins."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
 
 
-def _marks(doc, pos, n, chk) -> pa.RecordBatch:
-    return _batch([("doc", doc), ("pos", pos), ("n", n), ("chk", chk)])
+def _marks(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at)], names=["doc", "at"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The occurrences of windows that occur more than once."""
-    for r in _sorted_groups(batches):
-        probe = r["kind"] < 2
-        lead = np.ones(len(probe), bool)
-        lead[1:] = (r["key"][1:] != r["key"][:-1]) | (r["chk"][1:] != r["chk"][:-1])
-        group = np.cumsum(lead) - 1
-        count = np.bincount(group, weights=probe.astype(np.int64) + (r["kind"] == 1))
-        keep = ~probe | (count[group] > 1)
-        yield _marks(*(r[k][keep] for k in ("doc", "pos", "n", "chk")))
+    for key, doc, at in _whole_keys(batches):
+        kind = _unpack(at)[2]
+        group = np.cumsum(_lead(key)) - 1
+        count = np.bincount(group, weights=(kind < 2) + (kind == 1).astype(np.int64))
+        keep = (kind == 2) | (count[group] > 1)
+        yield _marks(doc[keep], at[keep])
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The occurrences that have an earlier one. Rows come in order of (key, chk, doc, pos)."""
-    for r in _sorted_groups(batches):
-        lead = np.ones(len(r["key"]), bool)
-        lead[1:] = (r["key"][1:] != r["key"][:-1]) | (r["chk"][1:] != r["chk"][:-1])
+    """The occurrences that have an earlier one."""
+    for key, doc, at in _whole_keys(batches):
+        pos, _, kind, chk = _unpack(at)
+        order = np.lexsort((pos, doc, chk, key))
+        key, doc, at, pos, kind, chk = (x[order] for x in (key, doc, at, pos, kind, chk))
+        lead = _lead(key, chk)
         start = np.flatnonzero(lead)[np.cumsum(lead) - 1]
-        keep = (r["kind"] == 2) | (r["doc"] != r["doc"][start]) | (r["pos"] != r["pos"][start])
-        yield _marks(*(r[k][keep] for k in ("doc", "pos", "n", "chk")))
+        keep = (kind == 2) | (doc != doc[start]) | (pos != pos[start])
+        yield _marks(doc[keep], at[keep])
 
 
 def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -168,11 +186,8 @@ def _marked_windows(b: pa.RecordBatch, size: int):
     ids = _ids(b.column(0))
     words, bounds = hashed_words(as_bytes(b.column(1)))
     marks = b.column(2)
-    flat = marks.flatten()
     lens = np.diff(marks.offsets.to_numpy()) if len(marks) else np.zeros(0, np.int64)
-    if marks.null_count:
-        lens = np.where(marks.is_null().to_numpy(zero_copy_only=False), 0, lens)
-    pos, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+    pos, n, _, _ = _unpack(marks.flatten().to_numpy(zero_copy_only=False))
     d = np.repeat(np.arange(len(ids)), lens)
     begin = bounds[d] + pos
     n = np.minimum(n, bounds[d + 1] - size + 1 - begin)
@@ -193,29 +208,28 @@ def _window_rows(size: int, final: bool):
                 continue
             key = value[place]
             d = np.searchsorted(bounds, place, side="right") - 1
-            doc, pos, chk = ids[d], place - bounds[d], _check(key)
+            doc, pos, chk = ids[d], place - bounds[d], _check(key).astype(np.int64)
             order = np.lexsort((pos, doc, key))
-            ks, ds, ps = key[order], doc[order], pos[order]
-            lead = np.ones(len(ks), bool)
-            lead[1:] = ks[1:] != ks[:-1]
-            start = np.flatnonzero(lead)[np.cumsum(lead) - 1]
-            one = np.ones(len(ks), np.int32)
+            ks, ds, ps, cs = key[order], doc[order], pos[order], chk[order]
+            lead = _lead(ks)
+            one = np.ones(len(ks))
             if not final:
                 group = np.cumsum(lead) - 1
-                many = np.bincount(group)[group] > 1
-                kind = np.where(lead, np.where(many, 1, 0), 2)
-                yield _probes(np.where(kind == 2, _spread(ds, ps), ks), np.where(kind == 2, 0, chk[order]), ds, ps, one, kind)
+                kind = np.where(lead, np.bincount(group)[group] > 1, 2)
+                yield _probes(np.where(kind == 2, _spread(ds, ps), ks), ds, _pack(ps, one, kind, cs))
                 continue
-            yield _probes(ks[lead], chk[order][lead], ds[lead], ps[lead], one[lead], np.zeros(int(lead.sum())))
+            yield _probes(ks[lead], ds[lead], _pack(ps, one, 0 * one, cs)[lead])
+            start = np.flatnonzero(lead)[np.cumsum(lead) - 1]
             later = np.sort(order[~lead & ((ds != ds[start]) | (ps != ps[start]))])
             if len(later):
-                new = np.ones(len(later), bool)
-                new[1:] = (place[later][1:] != place[later][:-1] + 1) | (d[later][1:] != d[later][:-1])
+                new = _lead(place[later] - np.arange(len(later)), d[later])
+                run_of = np.cumsum(new) - 1
+                new |= (np.arange(len(later)) - np.flatnonzero(new)[run_of]) % _MOST == 0
                 first = np.flatnonzero(new)
                 n = np.diff(np.append(first, len(later)))
                 x = np.bitwise_xor.reduceat(chk[later], first)
                 doc, pos = doc[later][first], pos[later][first]
-                yield _probes(_spread(doc, pos), x, doc, pos, n, np.full(len(n), 2))
+                yield _probes(_spread(doc, pos), doc, _pack(pos, n, np.full(len(n), 2), x))
 
     return run
 
@@ -228,9 +242,8 @@ def _cut_words(size: int, keep_text: bool):
             texts = as_bytes(b.column(1))
             marks = b.column(2)
             has = ~marks.is_null().to_numpy(zero_copy_only=False)
-            lens, flat = np.diff(marks.offsets.to_numpy()) if len(marks) else np.zeros(0, int), marks.flatten()
-            lens = np.where(has, lens, 0)
-            pos, n, chk = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            lens = np.where(has, np.diff(marks.offsets.to_numpy()) if len(marks) else 0, 0)
+            pos, n, _, chk = _unpack(marks.flatten().to_numpy(zero_copy_only=False))
             heads = np.concatenate([[0], np.cumsum(lens)])
             n_words, n_removed, kept = [], [], []
             for i in range(b.num_rows):
@@ -260,8 +273,8 @@ def _cut_words(size: int, keep_text: bool):
     return run
 
 
-def _by_doc(marks: DataFrame, *cols: str) -> DataFrame:
-    return marks.groupBy("doc").agg(F.collect_list(F.struct(*cols)).alias("marks"))
+def _by_doc(marks: DataFrame) -> DataFrame:
+    return marks.groupBy("doc").agg(F.collect_list("at").alias("marks"))
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, levels: int = 1, keep_text: bool = True) -> DataFrame:
@@ -278,20 +291,19 @@ def substring_dedup(docs: DataFrame, window: int = 20, levels: int = 1, keep_tex
     if window % (1 << levels) or window <= 0:
         raise ValueError("window must be a multiple of 2 ** levels")
     base = window >> levels
+    if window - base >= _MOST:
+        raise ValueError(f"window minus base window must be below {_MOST}")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = own.withColumn("doc", F.coalesce("doc_id", F.lit(_NULL_ID)))
     probes = own.mapInArrow(_base_rows(base, window), _PROBE)
-    marks = probes.repartition("key").sortWithinPartitions("key", "chk").mapInArrow(_repeated, _MARK)
+    marks = probes.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, _MARK)
     for level in range(1, levels + 1):
         final = level == levels
         size = base << level
-        held = keyed.join(_by_doc(marks, "pos", "n"), "doc", "left").filter("marks is not null").select("doc_id", "text", "marks")
-        probes = held.mapInArrow(_window_rows(size, final), _PROBE).repartition("key")
-        if final:
-            marks = probes.sortWithinPartitions("key", "chk", "doc", "pos").mapInArrow(_later, _MARK)
-        else:
-            marks = probes.sortWithinPartitions("key", "chk").mapInArrow(_repeated, _MARK)
-    found = keyed.join(_by_doc(marks, "pos", "n", "chk"), "doc", "left").select("doc_id", "text", "marks")
+        held = keyed.join(_by_doc(marks), "doc", "left").filter("marks is not null").select("doc_id", "text", "marks")
+        probes = held.mapInArrow(_window_rows(size, final), _PROBE).repartition("key").sortWithinPartitions("key")
+        marks = probes.mapInArrow(_later if final else _repeated, _MARK)
+    found = keyed.join(_by_doc(marks), "doc", "left").select("doc_id", "text", "marks")
     return found.mapInArrow(_cut_words(window, keep_text), "doc_id long, n_words long, n_removed long, kept string")
 
 
