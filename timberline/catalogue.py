@@ -1,15 +1,339 @@
-"""All registered queries over the test tables, with the same in DuckDB's SQL."""
+"""All registered queries over the test tables, with the same in DuckDB's SQL.
+
+The SQL is written on its own; only the impurity formulas are shared, as text for one engine and columns for the other.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.engine import Sql, SparkOps, SqlOps
+from .functions.rng import hash_sql
+from .operators import sample, score, splits, targets, transform
+from .plans.forest import Forest, contrast_test
+from .plans.grow import Growth
+from .sources import formats
+
+Query = Callable[[SparkSession, str], DataFrame]
+EVENT_TYPES = ("click", "purchase", "scroll", "signup", "view")
+STATUS, PRIORITY = ("F", "O", "P"), ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+FLAGS = ("A", "N", "R")
+
+
+def _t(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _events(s: SparkSession, d: str) -> DataFrame:
+    return _t("events")(s, d).select(F.col("event_id").alias("case_id"), F.col("event_type").alias("y"), "value", "user_id")
+
+
+def _holes(s: SparkSession, d: str) -> DataFrame:
+    return _events(s, d).withColumn("value", F.when(F.col("case_id") % 7 != 0, F.col("value")))
+
+
+def _orders(s: SparkSession, d: str) -> DataFrame:
+    return _t("orders")(s, d).select(F.col("o_orderkey").alias("case_id"), "o_totalprice", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double").alias("day"))
+
+
+EVENTS = "(SELECT event_id AS case_id, event_type AS y, value, user_id FROM events)"
+HOLES = "(SELECT event_id AS case_id, event_type AS y, CASE WHEN event_id % 7 <> 0 THEN value END AS value, user_id FROM events)"
+ORDERS = "(SELECT o_orderkey AS case_id, o_totalprice, o_orderstatus AS status, o_orderpriority AS priority, CAST(epoch(o_orderdate) AS DOUBLE) AS day FROM orders)"
+
+
+def _side(prefix: str, t: targets.Target) -> dict[str, Sql]:
+    return {k: Sql(f"{prefix}{k}") for k in t.stats()}
+
+
+def _num_split_sql(source: str, v: str, t: targets.Target, leaf: int = 1, keys: str = "") -> str:
+    names = list(t.stats())
+    part, lead, key = (f"PARTITION BY {keys}", f"{keys}, ", f"{keys}, ") if keys else ("", "", "")
+    stats = ", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in t.stats().items())
+    cum = ", ".join(f"sum({k}) OVER ({part} ORDER BY v ROWS UNBOUNDED PRECEDING) AS l_{k}, sum({k}) OVER ({part}) AS t_{k}" for k in names)
+    miss = ", ".join(f"coalesce(sum({k}), 0) AS m_{k}" for k in names)
+    left, right, lost, whole = _side("l_", t), {k: Sql(f"(t_{k} - l_{k})") for k in names}, _side("m_", t), {k: Sql(f"(t_{k} + m_{k})") for k in names}
+    if t.score:
+        gain = t.split_score(left, right, SqlOps) * left["n"].__add__(right["n"]) / whole["n"]
+    else:
+        gone = Sql(f"(CASE WHEN m_n > 0 THEN m_n * {t.impurity({k: Sql(f'nullif(m_{k}, -1)') if k != 'n' else Sql('nullif(m_n, 0)') for k in names}, SqlOps)} ELSE 0 END)")
+        gain = t.impurity(whole, SqlOps) - (left["n"] * t.impurity(left, SqlOps) + right["n"] * t.impurity(right, SqlOps) + gone) / whole["n"]
+    join = "CROSS JOIN m" if not keys else f"LEFT JOIN m USING ({keys})"
+    zero = "" if not keys else ", ".join(f"coalesce(m_{k}, 0) AS m_{k}" for k in names)
+    base = "SELECT * FROM p CROSS JOIN m" if not keys else f"SELECT p.*, {zero} FROM p {join}"
+    return f"""
+WITH h AS (SELECT {key}{v} AS v, {stats} FROM (SELECT *, 1 AS w FROM {source}) WHERE {t.y} IS NOT NULL GROUP BY {key}{v}),
+p AS (SELECT {lead}v, lead(v) OVER ({part} ORDER BY v) AS nxt, {cum} FROM h WHERE v IS NOT NULL),
+m AS (SELECT {lead}{miss} FROM h WHERE v IS NULL {"GROUP BY " + keys if keys else ""}),
+c AS (SELECT {lead}(v + nxt) / 2 AS threshold, CAST(l_n AS BIGINT) AS n_left, CAST(t_n - l_n AS BIGINT) AS n_right, {gain} AS decrease FROM ({base})
+  WHERE nxt - v > 1e-7 AND l_n >= {leaf} AND t_n - l_n >= {leaf + 1}),
+r AS (SELECT *, row_number() OVER ({part} ORDER BY round(decrease, 9) DESC, threshold) AS k FROM c WHERE decrease > 1e-7)
+SELECT {lead}round(threshold, 6) AS threshold, n_left, n_right, round(decrease, 6) AS decrease FROM r WHERE k = 1"""
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _num(source, v: str, t: targets.Target, leaf: int = 1, keys: tuple[str, ...] = ()) -> Query:
+    return lambda s, d: _rounded(splits.best_num_split(source(s, d), keys, v, t, leaf))
+
+
+def _impurity(source, key: str, t: targets.Target) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        g = source(s, d).withColumn("w", F.lit(1)).groupBy(F.col(key).alias("grp")).agg(*[F.expr(e).cast("double").alias(k) for k, e in t.stats().items()])
+        cols = {k: F.col(k) for k in t.stats()}
+        return g.select("grp", F.col("n").cast("long").alias("n"), F.round(t.impurity(cols, SparkOps), 6).alias("impurity"), F.round(t.prediction(cols, SparkOps).cast("double"), 6).alias("predicted"))
+
+    return run
+
+
+def _impurity_sql(source: str, key: str, t: targets.Target) -> str:
+    cols = {k: Sql(k) for k in t.stats()}
+    stats = ", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in t.stats().items())
+    return f"SELECT grp, CAST(n AS BIGINT) AS n, round({t.impurity(cols, SqlOps)}, 6) AS impurity, round(CAST({t.prediction(cols, SqlOps)} AS DOUBLE), 6) AS predicted FROM (SELECT {key} AS grp, {stats} FROM (SELECT *, 1 AS w FROM {source}) GROUP BY 1)"
+
+
+def _cat_split_sql(source: str, v: str, t: targets.Target, cats: tuple[str, ...], leaf: int = 1) -> str:
+    names = list(t.stats())
+    stats = ", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in t.stats().items())
+    sums = ", ".join(f"sum(CASE WHEN (mask >> i) % 2 = 1 THEN {k} ELSE 0 END) AS l_{k}, sum(CASE WHEN (mask >> i) % 2 = 1 THEN 0 ELSE {k} END) AS r_{k}" for k in names)
+    whole = {k: Sql(f"(l_{k} + r_{k})") for k in names}
+    left, right = _side("l_", t), _side("r_", t)
+    gain = t.impurity(whole, SqlOps) - (left["n"] * t.impurity(left, SqlOps) + right["n"] * t.impurity(right, SqlOps)) / whole["n"]
+    return f"""
+WITH h AS (SELECT {v} AS v, {stats} FROM (SELECT *, 1 AS w FROM {source}) WHERE {v} IS NOT NULL GROUP BY 1),
+i AS (SELECT *, row_number() OVER (ORDER BY v) - 1 AS i FROM h),
+c AS (SELECT mask, list(v ORDER BY v) FILTER ((mask >> i) % 2 = 1) AS "left", {sums} FROM i CROSS JOIN (SELECT unnest(range(1, {1 << (len(cats) - 1)})) AS mask) GROUP BY mask),
+g AS (SELECT "left", l_n, r_n, {gain} AS decrease FROM c WHERE l_n >= {leaf} AND r_n >= {leaf})
+SELECT array_to_string("left", ':') AS left_set, CAST(l_n AS BIGINT) AS n_left, CAST(r_n AS BIGINT) AS n_right, round(decrease, 6) AS decrease FROM g WHERE decrease > 1e-7 ORDER BY round(decrease, 9) DESC, "left" LIMIT 1"""
+
+
+def _cat(source, v: str, t: targets.Target, search=splits.best_cat_split) -> Query:
+    return lambda s, d: _rounded(search(source(s, d), (), v, t).select(F.array_join("left", ":").alias("left_set"), "n_left", "n_right", "decrease"))
+
+
+#: A small fixed model over orders: the root by price, a class split on the left and a missing branch on the right.
+TREES = [
+    {"tree": 0, "path": "*", "feature": "o_totalprice", "threshold": 150000.0, "left": None, "pred": "O", "weight": 1.0},
+    {"tree": 0, "path": "*L", "feature": "priority", "threshold": None, "left": ["1-URGENT", "5-LOW"], "pred": "O", "weight": 1.0},
+    {"tree": 0, "path": "*LL", "feature": None, "threshold": None, "left": None, "pred": "F", "weight": 1.0},
+    {"tree": 0, "path": "*LR", "feature": None, "threshold": None, "left": None, "pred": "O", "weight": 1.0},
+    {"tree": 0, "path": "*R", "feature": None, "threshold": None, "left": None, "pred": "P", "weight": 1.0},
+    {"tree": 1, "path": "*", "feature": "gap", "threshold": 100000.0, "left": None, "pred": "F", "weight": 2.0},
+    {"tree": 1, "path": "*L", "feature": None, "threshold": None, "left": None, "pred": "F", "weight": 2.0},
+    {"tree": 1, "path": "*R", "feature": None, "threshold": None, "left": None, "pred": "O", "weight": 2.0},
+    {"tree": 1, "path": "*M", "feature": "priority", "threshold": None, "left": ["2-HIGH"], "pred": "P", "weight": 2.0},
+    {"tree": 1, "path": "*ML", "feature": None, "threshold": None, "left": None, "pred": "P", "weight": 2.0},
+    {"tree": 1, "path": "*MR", "feature": None, "threshold": None, "left": None, "pred": "O", "weight": 2.0},
+]
+_LEAVES_SQL = """
+(SELECT case_id, status, o_totalprice, 0 AS tree, CASE WHEN o_totalprice <= 150000 THEN CASE WHEN priority IN ('1-URGENT', '5-LOW') THEN '*LL' ELSE '*LR' END ELSE '*R' END AS path, 1.0 AS weight FROM o
+ UNION ALL SELECT case_id, status, o_totalprice, 1, CASE WHEN gap IS NULL THEN CASE WHEN priority = '2-HIGH' THEN '*ML' ELSE '*MR' END WHEN gap <= 100000 THEN '*L' ELSE '*R' END, 2.0 FROM o)"""
+_PRED_SQL = "CASE tree * 10 + CASE path WHEN '*LL' THEN 0 WHEN '*LR' THEN 1 WHEN '*R' THEN 2 WHEN '*L' THEN 3 WHEN '*ML' THEN 4 ELSE 5 END WHEN 0 THEN 'F' WHEN 1 THEN 'O' WHEN 2 THEN 'P' WHEN 12 THEN 'O' WHEN 13 THEN 'F' WHEN 14 THEN 'P' WHEN 15 THEN 'O' END"
+_VOTES = f"WITH o AS (SELECT *, CASE WHEN case_id % 5 <> 0 THEN o_totalprice END AS gap FROM {ORDERS}), l AS (SELECT *, {_PRED_SQL} AS pred FROM {_LEAVES_SQL})"
+_MODE = f"{_VOTES}, v AS (SELECT case_id, status, pred, sum(weight) AS w FROM l GROUP BY ALL), t AS (SELECT case_id, status, pred, row_number() OVER (PARTITION BY case_id ORDER BY w DESC, pred) AS k FROM v), p AS (SELECT case_id, status, pred FROM t WHERE k = 1)"
+_NUMBER = "CASE pred WHEN 'F' THEN 1.0 WHEN 'O' THEN 2.0 ELSE 4.0 END"
+
+
+def _model(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([tuple(n[k] for k in ("tree", "path", "feature", "threshold", "left", "pred", "weight")) for n in TREES], score.NODE)
+
+
+def _gapped(s: SparkSession, d: str) -> DataFrame:
+    return _orders(s, d).withColumn("gap", F.when(F.col("case_id") % 5 != 0, F.col("o_totalprice")))
+
+
+def _leaves(s: SparkSession, d: str) -> DataFrame:
+    o = _gapped(s, d)
+    return score.leaves(transform.to_cells(o, "case_id", ["o_totalprice", "gap"], ["priority"]), o, _model(s))
+
+
+def _numbered(votes: DataFrame) -> DataFrame:
+    return votes.withColumn("pred", F.when(F.col("pred") == "F", "1").when(F.col("pred") == "O", "2").otherwise("4"))
+
+
+def _actual(s: SparkSession, d: str, column: str = "status") -> DataFrame:
+    return _orders(s, d).select("case_id", F.col(column).alias("actual"))
+
+
+def _embedding(s: SparkSession, d: str, dims: int = 8) -> DataFrame:
+    return _t("embeddings")(s, d).select(F.col("vec_id").alias("case_id"), F.col("label").cast("string").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(dims)])
+
+
+def _forest(**more) -> Forest:
+    return Forest("label", "case_id", [f"d{i}" for i in range(8)], n_trees=3, how=Growth(max_depth=3, m_try=3), **more)
+
+
+def _boosted(s: SparkSession, d: str) -> DataFrame:
+    o = _orders(s, d)
+    f = Forest("o_totalprice", "case_id", ["day"], ["status", "priority"], n_trees=2, how=Growth(max_depth=2), boost="gbt", bag="none").fit(o)
+    return score.regression_errors(f.predict(o), _actual(s, d, "o_totalprice"))
+
+
+def _boosted_classes(s: SparkSession, d: str) -> DataFrame:
+    o = _orders(s, d).withColumn("y", F.when(F.col("status") == "F", "1").otherwise("0"))
+    f = Forest("y", "case_id", ["day", "o_totalprice"], ["priority"], n_trees=2, how=Growth(max_depth=2), boost="gbt", bag="none").fit(o)
+    return score.regression_errors(f.predict(o), o.select("case_id", F.col("y").cast("double").alias("actual")))
+
+
+def _ada(cost: tuple[float, ...]) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        o = _orders(s, d).withColumn("month", F.floor(F.col("day") / 2629800))
+        goal = targets.Regret(classes=STATUS, costs=cost)
+        f = Forest("status", "case_id", ["month"], ["priority"], n_trees=2, how=Growth(max_depth=2), boost="ada", bag="none", classes=STATUS, impurity=goal).fit(o)
+        return score.balanced_error(f.predict(o), _actual(s, d))
+
+    return run
+
+
+def _contrast(s: SparkSession, d: str) -> DataFrame:
+    e = _embedding(s, d, 3)
+    f = Forest("label", "case_id", ["d0", "d1", "d2"], n_trees=2, how=Growth(max_depth=2, m_try=3), classes=tuple(str(i) for i in range(10)))
+    return contrast_test(e, f, 3)[0]
+
+
+_GINI = targets.Gini(classes=EVENT_TYPES)
+_STATUS = {
+    "gini": targets.Gini(y="status", classes=STATUS), "entropy": targets.Entropy(y="status", classes=STATUS), "regret": targets.Regret(y="status", classes=STATUS, costs=(1.0, 2.0, 5.0)),
+    "weighted_gini": targets.WeightedGini(y="status", classes=STATUS, costs=(1.0, 2.0, 5.0)), "disutility_entropy": targets.DisutilityEntropy(y="status", classes=STATUS, costs=(1.0, 2.0, 5.0)),
+    "neyman_pearson": targets.NeymanPearson(y="status", classes=STATUS, positive=0, alpha=0.1, kappa=10.0), "sse": targets.Sse(y="o_totalprice / 100000", shift=1.5), "variance": targets.Variance(y="o_totalprice / 100000", shift=1.5),
+}
+_ORDINAL = targets.Ordinal(y="label", classes=tuple(str(i) for i in range(10)))
+_BOOST = targets.Boosted(y="status", classes=STATUS, costs=(1.0, 2.0, 5.0))
+
+
+def _weighted_orders(s: SparkSession, d: str) -> DataFrame:
+    return _orders(s, d).withColumn("bw", 1.0 + F.col("case_id") % 3)
+
+
+_H = lambda j, t, s: hash_sql(j, t, s, "//")
+_CASES = "(SELECT event_id AS case_id, event_type FROM events)"
+
+
+def _cases(s: SparkSession, d: str) -> DataFrame:
+    return _t("events")(s, d).select(F.col("event_id").alias("case_id"), "event_type", "user_id")
+
+
+_BOOT = f"SELECT CAST(t AS INTEGER) AS tree, {_H('i', 't', 17)} % (SELECT count(*) FROM events) AS rank FROM (SELECT unnest(range((SELECT count(*) FROM events))) AS i) CROSS JOIN (SELECT unnest(range(2)) AS t)"
+_RANK = "SELECT event_id AS case_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS rank FROM events"
+_LONG = "SELECT vec_id AS case_id, 'd' || i AS feature, CAST(embedding[i + 1] AS DOUBLE) AS num FROM embeddings CROSS JOIN (SELECT unnest(range(3)) AS i)"
+
+
+def _with_sql() -> dict[str, tuple[Query, str | None]]:
+    out: dict[str, tuple[Query, str | None]] = {
+        "best_num_split_gini": (_num(_events, "value", _GINI), _num_split_sql(EVENTS, "value", _GINI)),
+        "best_num_split_missing": (_num(_holes, "value", _GINI, 5), _num_split_sql(HOLES, "value", _GINI, 5)),
+        "best_num_split_entropy": (_num(_holes, "value", targets.Entropy(classes=EVENT_TYPES)), _num_split_sql(HOLES, "value", targets.Entropy(classes=EVENT_TYPES))),
+        "best_num_split_sse": (_num(_orders, "day", _STATUS["sse"]), _num_split_sql(ORDERS, "day", _STATUS["sse"])),
+        "best_num_split_friedman": (_num(_orders, "day", targets.Friedman(y="o_totalprice / 100000", shift=1.5)), _num_split_sql(ORDERS, "day", targets.Friedman(y="o_totalprice / 100000", shift=1.5))),
+        "best_num_split_rate_distance": (_num(_orders, "day", targets.RateDistance(y="status", classes=("F", "O")), 50), _num_split_sql(ORDERS, "day", targets.RateDistance(y="status", classes=("F", "O")), 50)),
+        "best_num_split_by_group": (_num(_orders, "day", _STATUS["gini"], 3, ("priority",)), _num_split_sql(ORDERS, "day", _STATUS["gini"], 3, "priority")),
+        "best_num_split_lineitem": (_num(_t("lineitem"), "l_extendedprice", targets.Gini(y="l_returnflag", classes=FLAGS)), _num_split_sql("lineitem", "l_extendedprice", targets.Gini(y="l_returnflag", classes=FLAGS))),
+        "best_bin_split": (_cat(_t("lineitem"), "l_linestatus", targets.Gini(y="l_returnflag", classes=FLAGS)), _cat_split_sql("lineitem", "l_linestatus", targets.Gini(y="l_returnflag", classes=FLAGS), ("F", "O"))),
+        "best_cat_split_exhaustive": (_cat(_orders, "priority", _STATUS["gini"]), _cat_split_sql(ORDERS, "priority", _STATUS["gini"], PRIORITY)),
+        "best_cat_split_sse": (_cat(_orders, "priority", _STATUS["sse"]), _cat_split_sql(ORDERS, "priority", _STATUS["sse"], PRIORITY)),
+        "best_cat_split_greedy": (_cat(_t("part"), "p_name", targets.Sse(y="p_retailprice", shift=1000.0), splits.greedy_cat_split), None),
+        "best_cat_split_greedy_30": (_cat(_t("customer"), "c_nationkey", targets.Sse(y="c_acctbal"), splits.greedy_cat_split), None),
+        "best_num_split_l1": (lambda s, d: _rounded(splits.absolute_split(_t("customer")(s, d), (), "c_custkey", "c_acctbal", 20)), None),
+        "random_num_split": (lambda s, d: _rounded(splits.random_num_split(_events(s, d), (), "value", _GINI, 5)), None),
+        "impurity_ordinal": (_impurity(lambda s, d: _embedding(s, d, 1).withColumn("g", F.col("case_id") % 7), "g", _ORDINAL), _impurity_sql("(SELECT CAST(label AS VARCHAR) AS label, vec_id % 7 AS g FROM embeddings)", "g", _ORDINAL)),
+        "impurity_boosted": (_impurity(_weighted_orders, "priority", _BOOST), _impurity_sql(f"(SELECT *, 1.0 + case_id % 3 AS bw FROM {ORDERS})", "priority", _BOOST)),
+        "impurity_l1": (
+            lambda s, d: _rounded(_orders(s, d).join(_orders(s, d).groupBy("priority").agg(F.avg("o_totalprice").alias("m")), "priority").groupBy(F.col("priority").alias("grp")).agg(F.avg(F.abs(F.col("o_totalprice") - F.col("m"))).alias("impurity")), 4),
+            f"SELECT priority AS grp, round(avg(abs(o_totalprice - m)), 4) AS impurity FROM (SELECT *, avg(o_totalprice) OVER (PARTITION BY priority) AS m FROM {ORDERS}) GROUP BY 1",
+        ),
+        "density": (
+            lambda s, d: _events(s, d).withColumn("all", F.lit(1)).groupBy("y").agg(F.count("*").alias("t"), (F.max("value") - F.min("value")).alias("span_value"), F.count_distinct("user_id").alias("span_user")).crossJoin(F.broadcast(_events(s, d).agg(F.count("*").alias("big")))).select("y", F.round(F.pow(F.col("t") / F.col("big"), 2) / (F.col("span_value") * F.col("span_user")), 10).alias("impurity"), F.round(F.col("t") / F.col("big") / (F.col("span_value") * F.col("span_user")), 10).alias("predicted")),
+            f"SELECT y, round(pow(t / big, 2) / (a * u), 10) AS impurity, round(t / big / (a * u), 10) AS predicted FROM (SELECT y, CAST(count(*) AS DOUBLE) AS t, max(value) - min(value) AS a, count(DISTINCT user_id) AS u, (SELECT count(*) FROM events) AS big FROM {EVENTS} GROUP BY y)",
+        ),
+        "transduction": (
+            lambda s, d: _t("documents")(s, d).join(_t("labels")(s, d).groupBy("doc_id").agg(F.max("quality").alias("q")), "doc_id", "left").groupBy("lang").agg(F.count("*").alias("t"), F.count_if(F.col("q") == 0).alias("c0"), F.count_if(F.col("q") == 1).alias("c1"), (F.max("n_chars") - F.min("n_chars")).cast("double").alias("span"), F.count_distinct("source").alias("k")).select("lang", F.round(1 - (F.col("c0") * F.col("c0") + F.col("c1") * F.col("c1")) / F.pow(F.col("c0") + F.col("c1"), 2) + 0.1 * F.col("span") * F.col("k") / (F.col("t") * F.col("t")), 6).alias("impurity"), F.when(F.col("c0") >= F.col("c1"), 0).otherwise(1).alias("predicted")),
+            "SELECT lang, round(1 - (c0 * c0 + c1 * c1) / pow(c0 + c1, 2) + 0.1 * span * k / (t * t), 6) AS impurity, CASE WHEN c0 >= c1 THEN 0 ELSE 1 END AS predicted FROM (SELECT lang, count(*) AS t, count(*) FILTER (q = 0) AS c0, count(*) FILTER (q = 1) AS c1, CAST(max(n_chars) - min(n_chars) AS DOUBLE) AS span, count(DISTINCT source) AS k FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) USING (doc_id) GROUP BY lang)",
+        ),
+        "parse_missing": (
+            lambda s, d: _t("customer")(s, d).select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "NA").when(F.col("c_custkey") % 4 == 1, "?").otherwise(F.col("c_mktsegment")).alias("cell"), F.when(F.col("c_custkey") % 3 == 0, "nan").otherwise(F.col("c_custkey").cast("string")).alias("number")).select("c_custkey", transform.parse_cat("cell").alias("category"), transform.parse_num("number").alias("number")),
+            "SELECT c_custkey, CASE WHEN c_custkey % 4 > 1 THEN c_mktsegment END AS category, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey AS DOUBLE) END AS number FROM customer",
+        ),
+        "cat_codes": (lambda s, d: transform.cat_codes(_cases(s, d), "event_type", "case_id").select("event_type", F.col("code").cast("long").alias("code")), "SELECT event_type, row_number() OVER (ORDER BY min(event_id)) - 1 AS code FROM events GROUP BY 1"),
+        "impute_mean_mode": (
+            lambda s, d: _rounded(transform.impute(_holes(s, d).withColumn("y", F.when(F.col("case_id") % 11 != 0, F.col("y"))), ["value"], ["y"], "case_id").select("case_id", "value", "y")),
+            f"WITH h AS (SELECT case_id, value, CASE WHEN case_id % 11 <> 0 THEN y END AS y FROM {HOLES}) SELECT case_id, round(coalesce(value, (SELECT avg(value) FROM h)), 6) AS value, coalesce(y, (SELECT y FROM h WHERE y IS NOT NULL GROUP BY y ORDER BY count(*) DESC, min(case_id) LIMIT 1)) AS y FROM h",
+        ),
+        "encode_to_num": (lambda s, d: transform.encode_num(_events(s, d).select("case_id", "y"), "y", EVENT_TYPES), "SELECT event_id AS case_id, " + ", ".join(f"CAST(event_type = '{c}' AS DOUBLE) AS \"y=={c}\"" for c in EVENT_TYPES) + " FROM events"),
+        "encode_two_classes": (lambda s, d: transform.encode_num(_t("lineitem")(s, d).select("l_orderkey", "l_linestatus"), "l_linestatus", ("F", "O")), "SELECT l_orderkey, CASE l_linestatus WHEN 'F' THEN 0.0 ELSE 1.0 END::DOUBLE AS l_linestatus FROM lineitem"),
+        "one_hot": (lambda s, d: transform.one_hot(_events(s, d).select("case_id", "y"), "y", EVENT_TYPES), "SELECT event_id AS case_id, " + ", ".join(f"CASE WHEN event_type = '{c}' THEN 'true' ELSE 'false' END AS \"y=={c}\"" for c in EVENT_TYPES) + " FROM events"),
+        "max_categories": (lambda s, d: transform.max_categories(_t("part")(s, d), ["p_name", "p_brand", "p_type", "p_size"], 30), "SELECT * FROM (SELECT 'p_name' AS feature, count(DISTINCT p_name) AS n_cats FROM part UNION ALL SELECT 'p_brand', count(DISTINCT p_brand) FROM part UNION ALL SELECT 'p_type', count(DISTINCT p_type) FROM part UNION ALL SELECT 'p_size', count(DISTINCT p_size) FROM part) WHERE n_cats <= 30"),
+        "strip_names": (lambda s, d: transform.strip_names(_orders(s, d).select("case_id", "o_totalprice", "status"), "status"), f'SELECT status AS "C:0", case_id AS "N:1", o_totalprice AS "N:2" FROM {ORDERS}'),
+        "keep_features": (lambda s, d: _t("part")(s, d).select(*transform.keep_features(_t("part")(s, d).columns, "p_partkey", ["p_name"], block="brand", include="^p_")), "SELECT p_partkey, p_type, p_size, p_retailprice FROM part"),
+        "permute_target": (
+            lambda s, d: transform.permute(_cases(s, d).select("case_id", "event_type"), "case_id", "event_type", 5),
+            f"WITH a AS (SELECT event_id AS case_id, row_number() OVER (ORDER BY event_id) AS k FROM events), b AS (SELECT event_type, row_number() OVER (ORDER BY {_H('event_id', '0', 5)}, event_id) AS k FROM events) SELECT case_id, event_type FROM a JOIN b USING (k)",
+        ),
+        "contrast_features": (
+            lambda s, d: transform.contrasts(transform.to_cells(_embedding(s, d, 3), "case_id", ["d0", "d1", "d2"], []), 3).select("case_id", "feature", "num"),
+            f"WITH c AS ({_LONG}), a AS (SELECT case_id, feature, row_number() OVER (PARTITION BY feature ORDER BY case_id) AS k FROM c), b AS (SELECT feature, num, row_number() OVER (PARTITION BY feature ORDER BY {_H('case_id', '0', 3)}, case_id) AS k FROM c) SELECT * FROM c UNION ALL SELECT case_id, feature || ':SHUFFLED', num FROM a JOIN b USING (feature, k)",
+        ),
+        "bootstrap_bag": (lambda s, d: sample.bootstrap(_cases(s, d), 2, 17), f"WITH b AS ({_BOOT}), r AS ({_RANK}) SELECT tree, case_id, count(*) AS mult FROM b JOIN r USING (rank) GROUP BY 1, 2"),
+        "oob_set": (lambda s, d: sample.out_of_bag(_cases(s, d), sample.bootstrap(_cases(s, d), 2, 17), 2), f"WITH b AS ({_BOOT}), r AS ({_RANK}) SELECT CAST(t AS INTEGER) AS tree, case_id FROM r CROSS JOIN (SELECT unnest(range(2)) AS t) WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.tree = t AND b.rank = r.rank)"),
+        "subsample": (lambda s, d: sample.subsample(_cases(s, d), 2, 23, 100), f"SELECT tree, case_id, CAST(1 AS BIGINT) AS mult FROM (SELECT CAST(t AS INTEGER) AS tree, event_id AS case_id, row_number() OVER (PARTITION BY t ORDER BY {_H('event_id', 't', 23)}, event_id) AS k FROM events CROSS JOIN (SELECT unnest(range(2)) AS t)) WHERE k <= 100"),
+        "balanced_bag": (
+            lambda s, d: sample.balanced_bag(_cases(s, d), "event_type", 2, 31, 500),
+            f"WITH r AS (SELECT event_id AS case_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS rank FROM events), z AS (SELECT event_type, count(*) AS size, row_number() OVER (ORDER BY event_type) - 1 AS code FROM events GROUP BY 1), b AS (SELECT CAST(t AS INTEGER) AS tree, i, t, {_H('i', 't', 31)} % (SELECT count(*) FROM z) AS code FROM (SELECT unnest(range(500)) AS i) CROSS JOIN (SELECT unnest(range(2)) AS t)) SELECT tree, case_id, count(*) AS mult FROM (SELECT tree, event_type, {_H('i', 't', 32)} % size AS rank FROM b JOIN z USING (code)) JOIN r USING (event_type, rank) GROUP BY 1, 2",
+        ),
+        "secondary_balanced_bag": (
+            lambda s, d: sample.secondary_balanced_bag(_orders(s, d), "priority", "status", 2, 41, 400),
+            f"WITH o AS {ORDERS}, r AS (SELECT case_id, priority, status, row_number() OVER (PARTITION BY priority, status ORDER BY case_id) - 1 AS rank FROM o), c AS (SELECT priority, status, count(*) AS size, row_number() OVER (PARTITION BY priority ORDER BY status) - 1 AS code FROM o GROUP BY 1, 2), g AS (SELECT priority, sum(size) AS n, count(*) AS k, coalesce(sum(sum(size)) OVER (ORDER BY priority ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM c GROUP BY 1), b AS (SELECT CAST(t AS INTEGER) AS tree, i, t, {_H('i', 't', 41)} % (SELECT count(*) FROM o) AS u FROM (SELECT unnest(range(400)) AS i) CROSS JOIN (SELECT unnest(range(2)) AS t)), x AS (SELECT *, {_H('i', 't', 42)} % k AS code FROM b JOIN g ON u >= low AND u < low + n), y AS (SELECT tree, priority, status, {_H('i', 't', 43)} % size AS rank FROM x JOIN c USING (priority, code)) SELECT tree, case_id, count(*) AS mult FROM y JOIN r USING (priority, status, rank) GROUP BY 1, 2",
+        ),
+        "kfold": (lambda s, d: sample.kfold(_cases(s, d), 7, 3), f"SELECT case_id, CAST(k // size AS INTEGER) AS fold FROM (SELECT event_id AS case_id, row_number() OVER (ORDER BY {_H('event_id', '0', 3)}, event_id) - 1 AS k, count(*) OVER () // 7 AS size FROM events) WHERE size > 0 AND k < size * 7"),
+        "kfold_stratified": (lambda s, d: sample.kfold(_cases(s, d), 7, 3, "event_type"), f"SELECT case_id, CAST(k // size AS INTEGER) AS fold FROM (SELECT event_id AS case_id, row_number() OVER (PARTITION BY event_type ORDER BY {_H('event_id', '0', 3)}, event_id) - 1 AS k, count(*) OVER (PARTITION BY event_type) // 7 AS size FROM events) WHERE size > 0 AND k < size * 7"),
+        "apply_tree": (lambda s, d: _leaves(s, d).select("tree", "case_id", "path", "pred", "weight"), f"{_VOTES} SELECT CAST(tree AS INTEGER) AS tree, case_id, path, pred, CAST(weight AS DOUBLE) AS weight FROM l"),
+        "apply_tree_projection": (lambda s, d: _gapped(s, d).select("case_id", *[F.expr(score.score_sql(TREES, t)).alias(f"vote{t}") for t in (0, 1)]), f"{_VOTES} SELECT case_id, max(pred) FILTER (tree = 0) AS vote0, max(pred) FILTER (tree = 1) AS vote1 FROM l GROUP BY 1"),
+        "votes_cat": (lambda s, d: score.tally_mode(_leaves(s, d)), f"{_MODE} SELECT case_id, pred FROM p"),
+        "votes_num": (lambda s, d: _rounded(score.tally_mean(_numbered(_leaves(s, d)))), f"{_VOTES} SELECT case_id, round(CAST(sum({_NUMBER} * weight) / sum(weight) AS DOUBLE), 6) AS pred FROM l GROUP BY 1"),
+        "votes_sum_expit": (lambda s, d: _rounded(score.tally_sum(_numbered(_leaves(s, d)), -6.0, True)), f"{_VOTES} SELECT case_id, round(1 / (1 + exp(-(CAST(sum({_NUMBER} * weight) AS DOUBLE) - 6))), 6) AS pred FROM l GROUP BY 1"),
+        "vote_totals": (lambda s, d: score.vote_totals(_leaves(s, d), list(STATUS)), f'{_VOTES} SELECT case_id, ' + ", ".join(f"CAST(coalesce(sum(weight) FILTER (pred = '{c}'), 0) AS DOUBLE) AS \"{c}\"" for c in STATUS) + " FROM l GROUP BY 1"),
+        "balanced_error": (lambda s, d: _rounded(score.balanced_error(score.tally_mode(_leaves(s, d)), _actual(s, d))), f"{_MODE} SELECT round(1 - avg(r), 6) AS balanced_error FROM (SELECT status, avg(CAST(pred = status AS DOUBLE)) AS r FROM p GROUP BY 1)"),
+        "confusion": (lambda s, d: _rounded(score.confusion(score.tally_mode(_leaves(s, d)), _actual(s, d))), f"{_MODE}, a AS (SELECT status AS label, count(*) AS n_actual, count(*) FILTER (pred = status) AS n_right FROM p GROUP BY 1), b AS (SELECT pred AS label, count(*) AS n_predicted FROM p GROUP BY 1) SELECT label, n_actual, n_predicted, n_right, round((n_predicted - n_right) / n_predicted, 6) AS false_discovery_rate, round((n_actual - n_right) / n_actual, 6) AS miss_rate FROM (SELECT label, coalesce(n_actual, 0) AS n_actual, coalesce(n_predicted, 0) AS n_predicted, coalesce(n_right, 0) AS n_right FROM a FULL JOIN b USING (label))"),
+        "regression_errors": (
+            lambda s, d: _rounded(score.regression_errors(score.tally_mean(_numbered(_leaves(s, d))), _orders(s, d).select("case_id", (F.col("o_totalprice") / 100000).alias("actual")))),
+            f"{_VOTES}, v AS (SELECT case_id, any_value(o_totalprice) / 100000 AS a, CAST(sum({_NUMBER} * weight) / sum(weight) AS DOUBLE) AS p FROM l GROUP BY 1), e AS (SELECT avg((p - a) * (p - a)) AS mse, var_pop(a) AS v FROM v) SELECT round(mse, 6) AS mse, round(mse / v, 6) AS scaled_error, round(1 - mse / v, 6) AS r2 FROM e",
+        ),
+        "running_error": (
+            lambda s, d: _rounded(score.running_error(_numbered(_leaves(s, d)), _orders(s, d).select("case_id", (F.col("o_totalprice") / 100000).alias("actual")))),
+            f"{_VOTES}, v AS (SELECT case_id, tree, o_totalprice / 100000 AS a, CAST(sum({_NUMBER} * weight) OVER w / sum(weight) OVER w AS DOUBLE) AS p FROM l WINDOW w AS (PARTITION BY case_id ORDER BY tree)) SELECT CAST(tree AS INTEGER) AS tree, round(avg((p - a) * (p - a)), 6) AS squared_error FROM v GROUP BY 1",
+        ),
+        "proximity": (lambda s, d: score.proximity(_leaves(s, d).filter("case_id <= 100")), f"{_VOTES} SELECT x.case_id AS a, y.case_id AS b, count(*) AS n FROM l x JOIN l y USING (tree, path) WHERE x.case_id <= 100 AND y.case_id <= 100 GROUP BY 1, 2"),
+        "branch_counts": (lambda s, d: score.branch_counts(_leaves(s, d), _model(s)), f"{_VOTES} SELECT case_id, feature, count(*) AS n FROM (SELECT case_id, CASE WHEN tree = 0 THEN 'o_totalprice' ELSE 'gap' END AS feature FROM l UNION ALL SELECT case_id, 'priority' FROM l WHERE length(path) = 3) GROUP BY 1, 2"),
+        "split_dump": (lambda s, d: score.split_dump(_model(s)), """SELECT * FROM (VALUES ('o_totalprice', '["150000.0"]'), ('gap', '["100000.0"]'), ('priority', '["1-URGENT:5-LOW","2-HIGH"]')) t(feature, splits)"""),
+        "welch_t": (
+            lambda s, d: _rounded(score.welch(_events(s, d).withColumn("other", F.when(F.col("case_id") % 3 == 0, F.col("value") * 0.9)), "y", "value", "other").drop("p"), 5),
+            f"SELECT y, round(ma, 5) AS mean, round((ma - mb) / sqrt(va / na + vb / nb), 5) AS t, round(pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)), 5) AS df FROM (SELECT y, avg(value) AS ma, var_samp(value) AS va, count(value) AS na, avg(o) AS mb, var_samp(o) AS vb, count(o) AS nb FROM (SELECT y, value, CASE WHEN case_id % 3 = 0 THEN value * 0.9 END AS o FROM {EVENTS}) GROUP BY y)",
+        ),
+        "welch_p": (lambda s, d: _rounded(score.welch(_events(s, d).withColumn("other", F.when(F.col("case_id") % 3 == 0, F.col("value") * 0.9)), "y", "value", "other")), None),
+        "afm_lines": (lambda s, d: formats.afm_lines(_t("nation")(s, d).select("n_nationkey", F.col("n_name").alias("C:name"), F.col("n_regionkey").alias("N:region")), "n_nationkey"), "SELECT 0 AS at, concat_ws(chr(9), '.', 'C:name', 'N:region') AS line UNION ALL SELECT row_number() OVER (ORDER BY n_nationkey), concat_ws(chr(9), n_nationkey, n_name, n_regionkey) FROM nation"),
+        "afm_lines_by_feature": (lambda s, d: formats.afm_lines(_t("region")(s, d).select("r_regionkey", F.col("r_name").alias("C:name")), "r_regionkey", True), "SELECT CAST(0 AS BIGINT) AS at, '.' || chr(9) || string_agg(CAST(r_regionkey AS VARCHAR), chr(9) ORDER BY r_regionkey) AS line FROM region UNION ALL SELECT 1, 'C:name' || chr(9) || string_agg(r_name, chr(9) ORDER BY r_regionkey) FROM region"),
+        "arff_lines": (lambda s, d: formats.arff_lines(_orders(s, d).select("case_id", "status"), "orders"), f"SELECT 0 AS part, '@relation orders' AS line UNION ALL SELECT 1, '@attribute case_id numeric' UNION ALL SELECT 2, '@attribute status {{' || (SELECT string_agg(DISTINCT status, ',' ORDER BY status) FROM {ORDERS}) || '}}' UNION ALL SELECT 3, '@data' UNION ALL SELECT 4, case_id || ',' || status FROM {ORDERS}"),
+        "libsvm_lines": (lambda s, d: formats.libsvm_lines(_t("part")(s, d).select("p_partkey", F.col("p_size").cast("long").alias("size"), (F.col("p_partkey") % 3).alias("rest")), "p_partkey"), "SELECT p_partkey || ' 1:' || p_size || CASE WHEN p_partkey % 3 <> 0 THEN ' 2:' || (p_partkey % 3) ELSE '' END AS line FROM part"),
+        "sf_lines": (lambda s, d: formats.sf_lines(_model(s), "status"), None),
+        "logit_expit": (lambda s, d: _rounded(_t("lineitem")(s, d).select("l_orderkey", "l_linenumber", transform.expit(transform.logit(F.col("l_discount") + 0.01)).alias("p")).distinct()), "SELECT DISTINCT l_orderkey, l_linenumber, round(l_discount + 0.01, 6) AS p FROM lineitem"),
+        "sparse_counter": (lambda s, d: _t("events")(s, d).groupBy(F.col("user_id").alias("i"), F.col("event_type").alias("j")).agg(F.count("*").alias("n")), "SELECT user_id AS i, event_type AS j, count(*) AS n FROM events GROUP BY 1, 2"),
+        "forest_votes": (lambda s, d: _forest().fit(_embedding(s, d)).predict(_embedding(s, d)), None),
+        "forest_oob_error": (lambda s, d: score.balanced_error(_forest().fit(_embedding(s, d)).oob(_embedding(s, d)), _embedding(s, d).select("case_id", F.col("label").alias("actual"))), None),
+        "forest_importance": (lambda s, d: _forest().fit(_embedding(s, d)).importance(), None),
+        "forest_probabilities": (lambda s, d: _forest().fit(_embedding(s, d)).predict_proba(_embedding(s, d)), None),
+        "gbt_regression": (_boosted, None), "gbt_classes": (_boosted_classes, None), "adaboost": (_ada((1.0, 1.0, 1.0)), None), "adacost": (_ada((1.0, 1.0, 4.0)), None), "contrast_p_values": (_contrast, None),
+    }
+    for name, t in _STATUS.items():
+        out[f"impurity_{name}"] = (_impurity(_orders, "priority", t), _impurity_sql(ORDERS, "priority", t))
+    return out
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: q for k, (q, _) in _with_sql().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _with_sql().items() if sql}

@@ -6,6 +6,9 @@ more for each child; ``feature`` is null for leaves. A case that misses a node's
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,10 +120,6 @@ def importance(splits: DataFrame, n_trees: int) -> DataFrame:
 
 def welch(df: DataFrame, group: str, real: str, contrast: str) -> DataFrame:
     """group, mean, t, df, p that the mean of ``real`` is above that of ``contrast`` (one-sided Welch test)."""
-    import math
-
-    import pandas as pd
-
     s = df.groupBy(group).agg(F.avg(real).alias("ma"), F.var_samp(real).alias("va"), F.count(real).alias("na"), F.avg(contrast).alias("mb"), F.var_samp(contrast).alias("vb"), F.count(contrast).alias("nb"))
     ea, eb = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
     s = s.withColumn("t", (F.col("ma") - F.col("mb")) / F.sqrt(ea + eb)).withColumn("df", F.pow(ea + eb, 2) / (F.pow(ea, 2) / (F.col("na") - 1) + F.pow(eb, 2) / (F.col("nb") - 1)))
