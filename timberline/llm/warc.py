@@ -12,32 +12,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: (pattern, replacement), applied in this order: what isn't shown, block ends, other tags, entities, white space.
-HTML_STEPS = (
-    (r"(?is)<script[^>]*>.*?</script[^>]*>", ""),
-    (r"(?is)<style[^>]*>.*?</style[^>]*>", ""),
-    (r"(?s)<!--.*?-->", ""),
+#: (pattern, replacement), applied in this order: what isn't shown, block ends, other tags; then plain replacements; then white space.
+HTML_PATTERNS = (
+    (r"(?is)<script[^>]*>.*?</script[^>]*>|<style[^>]*>.*?</style[^>]*>|<!--.*?-->", ""),
     (r"(?is)<head[^>]*>.*?</head[^>]*>", ""),
     (r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)(?:[ \t\r\n/][^>]*)?>", "\n"),
     (r"<[^>]*>", ""),
-    (r"&nbsp;|&#160;", " "),
-    (r"&lt;", "<"),
-    (r"&gt;", ">"),
-    (r"&quot;|&#34;", "\""),
-    (r"&apos;|&#39;", "'"),
-    (r"&copy;", "©"),
-    (r"&middot;", "·"),
-    (r"&amp;", "&"),
-    (r"[ \t\r\f]+", " "),
-    (r" ?\n[ \n]*", "\n"),
 )
+ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+WHITE_SPACE = ((r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"))
 RECORD_COLUMNS = ("record_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "refers_to_digest", "headers", "block")
 
 
 def plain_text(html: Column) -> Column:
     """The text of HTML, one line for each block."""
     out = html
-    for pattern, put in HTML_STEPS:
+    for pattern, put in HTML_PATTERNS:
+        out = F.regexp_replace(out, pattern, put)
+    for find, put in ENTITIES:
+        out = F.replace(out, F.lit(find), F.lit(put))
+    for pattern, put in WHITE_SPACE:
         out = F.regexp_replace(out, pattern, put)
     return F.trim(out, F.lit(" \n"))
 
@@ -90,7 +84,11 @@ def _sql_text(x: str) -> str:
 def oracle_sql() -> str:
     """The same rows in DuckDB's SQL."""
     text = "payload"
-    for pattern, put in HTML_STEPS:
+    for pattern, put in HTML_PATTERNS:
+        text = f"regexp_replace({text}, {_sql_text(pattern)}, {_sql_text(put)}, 'g')"
+    for find, put in ENTITIES:
+        text = f"replace({text}, {_sql_text(find)}, {_sql_text(put)})"
+    for pattern, put in WHITE_SPACE:
         text = f"regexp_replace({text}, {_sql_text(pattern)}, {_sql_text(put)}, 'g')"
     uuid = lambda h: f"'<urn:uuid:' || substr({h},1,8) || '-' || substr({h},9,4) || '-' || substr({h},13,4) || '-' || substr({h},17,4) || '-' || substr({h},21,12) || '>'"
     nl, crlf = "chr(10)", "chr(13) || chr(10)"
