@@ -115,6 +115,6 @@ def query(docs: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """Each document of ``docs`` as often as the mix takes it; rows are matched by doc_id, which has to be unique."""
-    mixed = mix_sources(docs).select(F.col("doc_id").alias("_id"), "copies").filter("copies > 0")
-    taken = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_id"]))
-    return taken.withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))).select(*docs.columns)
+    mixed = mix_sources(docs).select(F.col("doc_id").alias("_tl_id"), F.col("copies").alias("_tl_copies")).filter("_tl_copies > 0")
+    taken = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_tl_id"]))
+    return taken.withColumn("_tl_copy", F.explode(F.expr("sequence(1, _tl_copies)"))).select(*docs.columns)

@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut
@@ -110,7 +110,9 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One document of each component of ``docs``: the one with the smallest doc_id (rows without doc_id stay)."""
+    """One document of each component of ``docs``: the one with the smallest doc_id (of rows that repeat it the one with the
+    smallest text; rows without doc_id stay)."""
     keep = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    with_id = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return with_id.join(keep, with_id["doc_id"] == keep["_id"], "left_semi").unionByName(docs.filter("doc_id is null"))
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text"))))
+    first = docs.filter("doc_id is not null").withColumn("_tl_turn", turn).filter("_tl_turn = 1").drop("_tl_turn")
+    return first.join(keep, first["doc_id"] == keep["_id"], "left_semi").unionByName(docs.filter("doc_id is null"))

@@ -317,7 +317,7 @@ def stage(docs: DataFrame) -> DataFrame:
 
     Rows are matched by doc_id, so this needs doc_id to be unique, as it is behind the near-duplicate stage.
     """
-    kept = substring_dedup(docs).select(F.col("doc_id").alias("_id"), "n_words", "n_removed", "kept")
+    kept = substring_dedup(docs).select(F.col("doc_id").alias("_tl_id"), F.col("n_words").alias("_tl_words"), F.col("n_removed").alias("_tl_removed"), F.col("kept").alias("_tl_kept"))
     rest = docs.drop("text", "n_chars")
-    out = rest.join(kept, rest["doc_id"].eqNullSafe(kept["_id"])).filter("n_removed = 0 or n_removed < n_words")
-    return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+    out = rest.join(kept, rest["doc_id"].eqNullSafe(kept["_tl_id"])).filter("_tl_removed = 0 or _tl_removed < _tl_words")
+    return out.withColumn("text", F.col("_tl_kept")).withColumn("n_chars", F.length("_tl_kept").cast("long")).select(*docs.columns)

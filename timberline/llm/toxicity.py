@@ -226,6 +226,8 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_term
                 if not y:
                     clean.update({t for w in set(words) if len(w) > 2 for t in spellings(w)})
                     continue
+                if not words:
+                    continue
                 bits = {}
                 for before, w, after in zip(["", *words[:-1]], words, [*words[1:], ""], strict=True):
                     if len(w) > 2:
