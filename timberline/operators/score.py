@@ -144,7 +144,7 @@ def welch(df: DataFrame, group: str, real: str, contrast: str) -> DataFrame:
                 f *= c * d
                 if abs(1 - c * d) < 1e-14:
                     break
-            half = front * f
+            half = front * (f - 1)
         full = 1 - half if swap else half
         return full / 2 if t > 0 else 1 - full / 2
 
