@@ -112,7 +112,7 @@ class ToxicityModel:
         self._trie, self._seen = None, {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_trie", "_seen")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_trie", "_seen", "_heads", "_tails")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -124,6 +124,8 @@ class ToxicityModel:
             return self._seen[word]
         if self._trie is None:
             self._trie = build_trie(self.terms)
+            whole = [t for t in self.terms if not t.endswith("*")]
+            self._heads, self._tails = ({f(t, k) for t in whole for k in range(1, len(t) + 1)} for f in (lambda t, k: t[:k], lambda t, k: t[-k:]))
         if len(self._seen) > self.most_kept:
             self._seen.clear()
         w, out = fold(word), None
@@ -131,7 +133,10 @@ class ToxicityModel:
             if known := [x for t in spellings(w) if (x := self.terms.get(t)) is not None]:
                 out = (max(known), 0, w)
             elif w not in self.harmless:
-                hits = intersect(self._trie, w, allowed(len(w)))
+                # one error leaves the first half of the word or the last one as it is
+                half = max(1, (len(w) - 1) // 2)
+                errors = allowed(len(w))
+                hits = intersect(self._trie, w, errors) if errors and (errors > 1 or w[:half] in self._heads or w[-half:] in self._tails) else ()
                 if hits:
                     out = (max(h[1] for h in hits), min(h[2] for h in hits), w)
         self._seen[word] = out
