@@ -18,7 +18,7 @@ from ..functions.rng import hash_sql
 from ..operators import splits
 from ..operators.score import side
 from ..operators.targets import Target
-from ..session import cut
+from ..session import cut, plain_planning
 
 
 @dataclass(frozen=True)
@@ -44,6 +44,11 @@ def grow(cells: DataFrame, targets: DataFrame, bag: DataFrame, target: Target, n
 
     ``cells`` is (case_id, feature, num, cat), ``targets`` (case_id, y, ...), ``bag`` (tree, case_id, mult).
     """
+    with plain_planning(cells.sparkSession):
+        return _grow(cells, targets, bag, target, numeric, categorical, how)
+
+
+def _grow(cells: DataFrame, targets: DataFrame, bag: DataFrame, target: Target, numeric: Sequence[str], categorical: Sequence[str], how: Growth) -> DataFrame:
     features = [*numeric, *categorical]
     m_try = min(len(features), how.m_try or len(features))
     if how.bins:
