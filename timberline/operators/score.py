@@ -12,8 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-
 NODE = "tree int, path string, feature string, threshold double, left array<string>, pred string, weight double"
 
 
@@ -27,17 +25,16 @@ def side() -> Column:
 def leaves(cells: DataFrame, cases: DataFrame, nodes: DataFrame) -> DataFrame:
     """tree, case_id, path, pred, weight of the leaf of each case (no row where it meets a missing value without an M child).
 
-    One join of the waiting cases for each level; the nodes are model-sized and Spark decides by their size how to join them.
+    One pair of joins for each level, which cases that have arrived pass unchanged; the nodes are model-sized and Spark
+    decides by their size how to join them.
     """
     model = nodes.select("tree", "path", "feature", "threshold", "left", "pred", "weight")
-    done, depth = None, nodes.agg(F.max(F.length("path"))).first()[0] or 0
-    waiting = cases.select("case_id").join(model.filter("path = '*'"))
-    for _ in range(depth):
-        here = waiting.filter("feature is null").select("tree", "case_id", "path", "pred", "weight")
-        done = here if done is None else done.unionByName(here)
-        step = waiting.filter("feature is not null").join(cells, ["case_id", "feature"], "left").withColumn("path", F.concat("path", side()))
-        waiting = step.select("tree", "case_id", "path").join(model, ["tree", "path"])
-    return done
+    depth = nodes.agg(F.max(F.length("path"))).first()[0] or 0
+    at = cases.select("case_id").join(model.filter("path = '*'"))
+    for _ in range(depth - 1):
+        onward = F.when(F.col("feature").isNull(), F.col("path")).otherwise(F.concat("path", side()))
+        at = at.join(cells, ["case_id", "feature"], "left").select("tree", "case_id", onward.alias("path")).join(model, ["tree", "path"])
+    return at.filter("feature is null").select("tree", "case_id", "path", "pred", "weight")
 
 
 def score_sql(nodes: list[dict], tree: int) -> str:
