@@ -81,6 +81,36 @@ def test_missing_values_vote_only_with_a_branch(spark):
     assert plain.predict(df).count() == 80 and split.predict(df).count() == 100
 
 
+@pytest.mark.parametrize("how", [{"vet": True}, {"unseen": True}, {"random_cuts": True}])
+def test_growth_with_other_measures(spark, how):
+    rng = np.random.default_rng(7)
+    rows = [(i, float(i % 40), float(x), "yes" if i % 40 > 20 else "no") for i, x in enumerate(rng.random(200))]
+    df = spark.createDataFrame(rows, "id long, a double, noise double, label string")
+    f = Forest("label", "id", ["a", "noise"], n_trees=1, how=Growth(max_depth=2, leaf=3, **how)).fit(df)
+    root = f.nodes.filter("path = '*'").first()
+    assert root["feature"] == "a" and root["decrease"] > 0
+    if "random_cuts" not in how:
+        assert 20 <= root["threshold"] <= 21
+    if "unseen" in how:
+        # the same by hand: the decrease of the root's cut on the cases that the bag lacks
+        bag = {r["case_id"] for r in f.bags.collect()}
+        out = [(a, y) for i, a, _, y in rows if i not in bag]
+        gini = lambda p: 1 - sum((sum(y == c for _, y in p) / len(p)) ** 2 for c in ("yes", "no"))
+        l, r = [x for x in out if x[0] <= root["threshold"]], [x for x in out if x[0] > root["threshold"]]
+        assert math.isclose(root["decrease"], gini(out) - (len(l) * gini(l) + len(r) * gini(r)) / len(out), abs_tol=1e-9)
+
+
+def test_targets_dealt_anew_stay_in_their_node(spark, monkeypatch):
+    from timberline.plans import grow
+
+    monkeypatch.setattr(grow, "BLOCK", 16)
+    rows = spark.range(100).selectExpr("0 as tree", "if(id < 60, '*L', '*R') as path", "id as case_id", "1 as w", "id as y")
+    sizes = rows.groupBy("tree", "path").agg(F.count("*").alias("n"))
+    got = grow._dealt_anew(rows, sizes, ["y"], 3).collect()
+    assert sorted(r["case_id"] for r in got) == sorted(r["y"] for r in got) == list(range(100))
+    assert all((r["y"] < 60) == (r["path"] == "*L") for r in got) and sum(r["y"] != r["case_id"] for r in got) > 50
+
+
 def test_folds_and_bags(spark):
     cases = spark.range(100).select(F.col("id").alias("case_id"), (F.col("id") % 10 == 0).cast("string").alias("c"))
     assert sorted(r["count"] for r in sample.kfold(cases, 7, 1).groupBy("fold").count().collect()) == [14] * 7

@@ -28,7 +28,7 @@ def histogram(rows: DataFrame, keys: Sequence[str], value: str, target: Target)
     return known.groupBy(*keys, "v").agg(*[F.expr(e).cast("double").alias(k) for k, e in target.stats().items()])
 
 
-def _gain(target: Target, left: dict, right: dict, missing: dict, whole: dict) -> Column:
+def gain(target: Target, left: dict, right: dict, missing: dict, whole: dict) -> Column:
     """The decrease of a cut: missing cases are a third part of the node."""
     m = SparkOps
     n, seen = whole["n"], left["n"] + right["n"]
@@ -59,7 +59,7 @@ def num_cuts(hist: DataFrame, keys: Sequence[str], target: Target, leaf: int = 1
     right = {k: total[k] - left[k] for k in names}
     whole = {k: total[k] + missing[k] for k in names}
     allowed = wide.filter(here & F.col("_next").isNotNull() & (F.col("_next") - F.col("v") > MIN_GAP) & (left["n"] >= leaf) & (right["n"] >= leaf + int(strict_right)))
-    return allowed.select(*keys, ((F.col("v") + F.col("_next")) / 2).alias("threshold"), left["n"].cast("long").alias("n_left"), right["n"].cast("long").alias("n_right"), _gain(target, left, right, missing, whole).alias("decrease"))
+    return allowed.select(*keys, ((F.col("v") + F.col("_next")) / 2).alias("threshold"), left["n"].cast("long").alias("n_left"), right["n"].cast("long").alias("n_right"), gain(target, left, right, missing, whole).alias("decrease"))
 
 
 def best(cuts: DataFrame, keys: Sequence[str], ties: Sequence[str]) -> DataFrame:
@@ -75,8 +75,12 @@ def best_num_split(rows: DataFrame, keys: Sequence[str], value: str, target: Tar
 
 def random_num_split(rows: DataFrame, keys: Sequence[str], value: str, target: Target, seed: int, leaf: int = 1) -> DataFrame:
     """One cut of each group by a hash instead of the best one."""
+    return random_cut(num_cuts(histogram(rows, keys, value, target), keys, target, leaf), keys, seed)
+
+
+def random_cut(cuts: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
+    """One of the cuts of each group, by a hash."""
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    cuts = num_cuts(histogram(rows, keys, value, target), keys, target, leaf)
     at = F.pmod(F.xxhash64(F.lit(seed), *keys), F.count("*").over(part)) + 1
     return cuts.withColumn("_at", at).withColumn("_r", F.row_number().over(part.orderBy("threshold"))).filter("_r = _at").drop("_r", "_at")
 
@@ -98,7 +102,7 @@ def cat_cuts(hist: DataFrame, keys: Sequence[str], target: Target, leaf: int = 1
     left, right, missing = side("l"), side("r"), side("m")
     whole = {k: left[k] + right[k] + missing[k] for k in names}
     allowed = sides.filter((left["n"] >= leaf) & (right["n"] >= leaf))
-    return allowed.select(*keys, "left", left["n"].cast("long").alias("n_left"), right["n"].cast("long").alias("n_right"), _gain(target, left, right, missing, whole).alias("decrease"))
+    return allowed.select(*keys, "left", left["n"].cast("long").alias("n_left"), right["n"].cast("long").alias("n_right"), gain(target, left, right, missing, whole).alias("decrease"))
 
 
 def best_cat_split(rows: DataFrame, keys: Sequence[str], value: str, target: Target, leaf: int = 1) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +22,20 @@ from ..operators.targets import Target
 from ..session import cut, plain_planning
 
 
+KEYS = ["tree", "path", "feature"]
+#: Rows of a node whose targets are permuted in one task.
+BLOCK = 100_000
+
+
 @dataclass(frozen=True)
 class Growth:
+    """How trees grow.
+
+    ``random_cuts``: one hashed cut of a numeric feature instead of its best one. ``unseen``: a feature's cut is found on
+    the bag and measured on all cases that the tree's bag lacks. ``vet``: the best decrease that a feature reaches on
+    targets permuted inside the node is taken off its own (found on the bag, with ``unseen`` too).
+    """
+
     leaf: int = 1
     max_depth: int = 0
     m_try: int | None = None
@@ -30,6 +43,9 @@ class Growth:
     split_missing: bool = False
     strict_right: bool = True
     bins: int | None = None
+    random_cuts: bool = False
+    unseen: bool = False
+    vet: bool = False
 
 
 def binned(cells: DataFrame, bins: int) -> DataFrame:
@@ -48,6 +64,44 @@ def grow(cells: DataFrame, targets: DataFrame, bag: DataFrame, target: Target, n
         return _grow(cells, targets, bag, target, numeric, categorical, how)
 
 
+def _search(rows: DataFrame, drawn: DataFrame, cells: DataFrame, target: Target, numeric: Sequence[str], few: Sequence[str], many: Sequence[str], how: Growth, depth: int) -> DataFrame:
+    """KEYS, threshold, left, n_left, n_right, decrease: the cuts of ``rows`` in the drawn nodes and features."""
+    seen, cuts = rows.join(drawn, ["tree", "path"]).join(cells, ["case_id", "feature"]), []
+    if numeric:
+        found = splits.num_cuts(splits.histogram(seen.filter(F.col("feature").isin(list(numeric))), KEYS, "num", target), KEYS, target, how.leaf, how.strict_right)
+        if how.random_cuts:
+            found = splits.random_cut(found, KEYS, how.seed + depth)
+        cuts.append(found.withColumn("left", F.lit(None).cast("array<string>")))
+    for names, search in ((few, splits.best_cat_split), (many, splits.greedy_cat_split)):
+        if names:
+            cuts.append(search(seen.filter(F.col("feature").isin(list(names))), KEYS, "cat", target, how.leaf).withColumn("threshold", F.lit(None).cast("double")))
+    columns = [*KEYS, "threshold", "left", "n_left", "n_right", "decrease"]
+    return reduce(DataFrame.unionByName, [c.select(*columns) for c in cuts])
+
+
+def _dealt_anew(rows: DataFrame, sizes: DataFrame, extra: Sequence[str], seed: int) -> DataFrame:
+    """``rows`` with their target columns permuted inside each node; nodes above BLOCK rows in blocks drawn by a hash."""
+    placed = rows.join(sizes.select("tree", "path", F.ceil(F.col("n") / BLOCK).alias("_blocks")), ["tree", "path"])
+    placed = placed.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "case_id"), F.col("_blocks"))).drop("_blocks")
+    part = Window.partitionBy("tree", "path", "_block")
+    at = placed.select("tree", "path", "_block", "case_id", "w", F.row_number().over(part.orderBy("case_id")).alias("_at"))
+    moved = placed.select("tree", "path", "_block", *extra, F.row_number().over(part.orderBy(F.xxhash64(F.lit(-seed - 1), "case_id"), "case_id")).alias("_at"))
+    return at.join(moved, ["tree", "path", "_block", "_at"]).drop("_block", "_at")
+
+
+def _measured(cuts: DataFrame, unseen: DataFrame, cells: DataFrame, target: Target) -> DataFrame:
+    """``cuts``, one for each of KEYS, with the decrease that they bring on the ``unseen`` cases of their tree. A cut that
+    leaves one side without such cases brings nothing and is gone."""
+    names = list(target.stats())
+    parts = unseen.join(cuts.select(*KEYS, "threshold", "left"), "tree").join(cells, ["case_id", "feature"]).withColumn("_side", side())
+    sums = parts.groupBy(*KEYS, "_side").agg(*[F.expr(e).cast("double").alias(k) for k, e in target.stats().items()])
+    wide = sums.groupBy(*KEYS).agg(*[F.sum(F.when(F.col("_side") == p, F.col(k)).otherwise(0.0)).alias(f"_{p}_{k}") for p in "LRM" for k in names])
+    left, right, lost = ({k: F.col(f"_{p}_{k}") for k in names} for p in "LRM")
+    whole = {k: left[k] + right[k] + lost[k] for k in names}
+    both = wide.filter((left["n"] > 0) & (right["n"] > 0))
+    return cuts.drop("decrease").join(both.select(*KEYS, splits.gain(target, left, right, lost, whole).alias("decrease")), KEYS)
+
+
 def _grow(cells: DataFrame, targets: DataFrame, bag: DataFrame, target: Target, numeric: Sequence[str], categorical: Sequence[str], how: Growth) -> DataFrame:
     features = [*numeric, *categorical]
     m_try = min(len(features), how.m_try or len(features))
@@ -56,35 +110,40 @@ def _grow(cells: DataFrame, targets: DataFrame, bag: DataFrame, target: Target,
     m, names = SparkOps, list(target.stats())
     rows = bag.select("tree", "case_id", F.col("mult").alias("w")).join(targets, "case_id").filter(F.expr(target.y).isNotNull())
     extra = [c for c in targets.columns if c != "case_id"]
+    few = many = []
+    if categorical:  # one row for each feature
+        counts = {r["feature"]: r["k"] for r in cells.filter(F.col("feature").isin(list(categorical))).groupBy("feature").agg(F.count_distinct("cat").alias("k")).collect()}
+        few = [f for f in categorical if counts.get(f, 0) <= splits.EXHAUSTIVE]
+        many = [f for f in categorical if f not in few]
+    if how.unseen:
+        trees = bag.select("tree").distinct()
+        unseen = cut(targets.filter(F.expr(target.y).isNotNull()).join(trees).join(bag.select("tree", "case_id"), ["tree", "case_id"], "left_anti").withColumn("w", F.lit(1)))
     assign, out, depth = cut(rows.withColumn("path", F.lit("*"))), None, 0
     while True:
         stats = assign.groupBy("tree", "path").agg(*[F.expr(e).cast("double").alias(k) for k, e in target.stats().items()])
         s = {k: F.col(k) for k in names}
         nodes = cut(stats.select("tree", "path", *names, target.impurity(s, m).alias("impurity"), target.prediction(s, m).cast("string").alias("pred")))
-        deep = how.max_depth > 0 and depth >= how.max_depth
+        if how.max_depth > 0 and depth >= how.max_depth:  # nothing is searched below the last level
+            won = cells.sparkSession.createDataFrame([], "tree int, path string, feature string, threshold double, left array<string>, decrease double")
+            return cut(_level(nodes, won, out))
         pure = F.lit(True) if target.score else F.col("impurity") > splits.MIN_GAIN
-        active = nodes.filter((F.col("n") >= 2 * how.leaf) & pure & F.lit(not deep)).select("tree", "path")
-        drawn = active.withColumn("feature", F.explode(F.array(*map(F.lit, features))))
+        active = nodes.filter((F.col("n") >= 2 * how.leaf) & pure)
+        drawn = active.select("tree", "path", F.explode(F.array(*map(F.lit, features))).alias("feature"))
         if m_try < len(features):
             seat = F.array_position(F.array(*map(F.lit, features)), F.col("feature"))
             order = Window.partitionBy("tree", "path").orderBy(F.expr(hash_sql("seat", "abs(xxhash64(tree, path)) % 1000003", how.seed)), "feature")
             drawn = drawn.withColumn("seat", seat).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= m_try).select("tree", "path", "feature")
-        seen = assign.join(drawn, ["tree", "path"]).join(cells, ["case_id", "feature"])
-        keys, cuts = ["tree", "path", "feature"], []
-        if numeric:
-            hist = splits.histogram(seen.filter(F.col("feature").isin(list(numeric))), keys, "num", target)
-            cuts.append(splits.num_cuts(hist, keys, target, how.leaf, how.strict_right).withColumn("left", F.lit(None).cast("array<string>")))
-        if categorical:
-            for k, many in ((False, splits.best_cat_split), (True, splits.greedy_cat_split)):
-                counts = cells.filter(F.col("feature").isin(list(categorical))).groupBy("feature").agg(F.count_distinct("cat").alias("_k"))
-                own = seen.join(F.broadcast(counts), "feature").filter((F.col("_k") > splits.EXHAUSTIVE) == k).drop("_k")
-                cuts.append(many(own, keys, "cat", target, how.leaf).withColumn("threshold", F.lit(None).cast("double")).select(*keys, "threshold", "n_left", "n_right", "decrease", "left"))
-        found = cuts[0]
-        for c in cuts[1:]:
-            found = found.unionByName(c)
+        found = _search(assign, drawn, cells, target, numeric, few, many, how, depth)
+        if how.unseen or how.vet:
+            found = cut(splits.best(found, KEYS, ["threshold", "left"]))
+        if how.unseen:
+            found = _measured(found, unseen, cells, target)
+        if how.vet:
+            chance = _search(_dealt_anew(assign, active, extra, how.seed + depth), drawn, cells, target, numeric, few, many, how, depth)
+            chance = chance.groupBy(*KEYS).agg(F.max("decrease").alias("_chance"))
+            found = found.join(chance, KEYS, "left").withColumn("decrease", F.col("decrease") - F.greatest(F.coalesce("_chance", F.lit(0.0)), F.lit(0.0))).drop("_chance")
         won = cut(splits.best(found, ["tree", "path"], ["feature", "threshold", "left"]).select("tree", "path", "feature", "threshold", "left", "decrease"))
-        level = nodes.join(won, ["tree", "path"], "left").select("tree", "path", "feature", "threshold", "left", "pred", F.lit(1.0).alias("weight"), F.col("n").cast("long").alias("n"), "impurity", "decrease")
-        out = level if out is None else out.unionByName(level)
+        out = _level(nodes, won, out)
         if won.isEmpty():
             return cut(out)
         moved = assign.join(won, ["tree", "path"]).join(cells, ["case_id", "feature"], "left").withColumn("path", F.concat("path", side()))
@@ -92,3 +151,8 @@ def _grow(cells: DataFrame, targets: DataFrame, bag: DataFrame, target: Target,
             moved = moved.filter("not endswith(path, 'M')")
         assign = cut(moved.select("tree", "case_id", "w", *extra, "path"))
         depth += 1
+
+
+def _level(nodes: DataFrame, won: DataFrame, above: DataFrame | None) -> DataFrame:
+    level = nodes.join(won, ["tree", "path"], "left").select("tree", "path", "feature", "threshold", "left", "pred", F.lit(1.0).alias("weight"), F.col("n").cast("long").alias("n"), "impurity", "decrease")
+    return level if above is None else above.unionByName(level)
