@@ -167,6 +167,16 @@ def _forest(**more) -> Forest:
     return Forest("label", "case_id", [f"d{i}" for i in range(8)], n_trees=3, how=Growth(max_depth=3, m_try=3), **more)
 
 
+def _grown(**how) -> Query:
+    """The nodes of one tree, grown with another measure of its cuts."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        f = Forest("label", "case_id", [f"d{i}" for i in range(4)], n_trees=1, how=Growth(max_depth=2, **how)).fit(_embedding(s, d, 4))
+        return _rounded(f.nodes.select("path", "feature", "threshold", "pred", "n", "impurity", "decrease"))
+
+    return run
+
+
 def _boosted(s: SparkSession, d: str) -> DataFrame:
     o = _orders(s, d)
     f = Forest("o_totalprice", "case_id", ["day"], ["status", "priority"], n_trees=2, how=Growth(max_depth=2), boost="gbt", bag="none").fit(o)
@@ -324,6 +334,7 @@ def _with_sql() -> dict[str, tuple[Query, str | None]]:
         "forest_oob_error": (lambda s, d: score.balanced_error(_forest().fit(_embedding(s, d)).oob(_embedding(s, d)), _embedding(s, d).select("case_id", F.col("label").alias("actual"))), None),
         "forest_importance": (lambda s, d: _forest().fit(_embedding(s, d)).importance(), None),
         "forest_probabilities": (lambda s, d: _forest().fit(_embedding(s, d)).predict_proba(_embedding(s, d)), None),
+        "growth_vetted": (_grown(vet=True), None), "growth_unseen": (_grown(unseen=True), None), "growth_random_cuts": (_grown(random_cuts=True), None),
         "gbt_regression": (_boosted, None), "gbt_classes": (_boosted_classes, None), "adaboost": (_ada((1.0, 1.0, 1.0)), None), "adacost": (_ada((1.0, 1.0, 4.0)), None), "contrast_p_values": (_contrast, None),
     }
     for name, t in _STATUS.items():
