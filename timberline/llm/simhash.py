@@ -110,9 +110,12 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One document of each component of ``docs``: the one with the smallest doc_id (of rows that repeat it the one with the
-    smallest text; rows without doc_id stay)."""
-    keep = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    """One document of each component of near copies in ``docs`` (five-word shingles, similarity 0.8 or more; op8's
+    radius binds op8 only): the one with the smallest doc_id (of rows that repeat it the one with the smallest text; rows
+    without doc_id stay)."""
+    from .nearcopies import near_copies
+
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text"))))
     first = docs.filter("doc_id is not null").withColumn("_tl_turn", turn).filter("_tl_turn = 1").drop("_tl_turn")
+    keep = near_copies(first.select(F.col("doc_id").alias("key"), "text")).filter("key = component").select(F.col("key").alias("_id"))
     return first.join(keep, first["doc_id"] == keep["_id"], "left_semi").unionByName(docs.filter("doc_id is null"))
