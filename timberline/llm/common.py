@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: The column of keyed_rows.
+ROW = "_tl_row"
 #: A word of the contracts: a run of bytes outside this set.
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, dtype=bool)
@@ -37,6 +41,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a long of its own for each row as ROW, in the order of doc_id (nulls last).
+
+    That is doc_id where it is unique and never null. Otherwise the rows are numbered and written once, so that all who
+    read them agree on the numbers.
+    """
+    own = F.col("doc_id").cast("long")
+    rows, different = docs.agg(F.count("*"), F.count_distinct(own)).first()
+    if rows == different:
+        return docs.withColumn(ROW, own)
+    # the random numbers spread rows that share an id and a text
+    order = [own.asc_nulls_last(), F.xxhash64("text"), F.col("_tl_spread")]
+    spread = docs.withColumn("_tl_spread", F.rand(7)).repartitionByRange(*order).sortWithinPartitions(*order)
+    path = f"{checkpoint_folder(docs.sparkSession)}/rows-{uuid.uuid4()}"
+    spread.drop("_tl_spread").withColumn(ROW, F.monotonically_increasing_id()).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The column as one binary array without nulls (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

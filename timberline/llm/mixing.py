@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import ROW, WORD, cut, keyed_rows
 
 #: Documents of a block, on average.
 BLOCK = 192
@@ -114,7 +114,8 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """Each document of ``docs`` as often as the mix takes it; rows are matched by doc_id, which has to be unique."""
-    mixed = mix_sources(docs).select(F.col("doc_id").alias("_tl_id"), F.col("copies").alias("_tl_copies")).filter("_tl_copies > 0")
-    taken = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_tl_id"]))
+    """Each row of ``docs`` as often as the mix takes it."""
+    rows = keyed_rows(docs)
+    mixed = mix_sources(rows.select(F.col(ROW).alias("doc_id"), "text", "source"))
+    taken = rows.join(mixed.select(F.col("doc_id").alias(ROW), F.col("copies").alias("_tl_copies")).filter("_tl_copies > 0"), ROW)
     return taken.withColumn("_tl_copy", F.explode(F.expr("sequence(1, _tl_copies)"))).select(*docs.columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, grams, hashed_words, mix
+from .common import ROW, as_bytes, cut, grams, hashed_words, keyed_rows, mix
 from .labels import held_out, training_labels
 
 STATISTICS = ("upper", "exclaim", "bar", "symbol", "digit", "stop", "other", "wide", "word_length", "words", "lines", "distinct_words", "same_as_before", "distinct_trigrams", "lone")
@@ -85,16 +85,16 @@ def statistics(texts: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, len(STATISTICS)))
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, x (array of STATISTICS) of each row of ``docs`` (doc_id, text)."""
+def document_statistics(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, x (array of STATISTICS) and the longs ``more`` of each row of ``docs`` (doc_id, text, more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = statistics(as_bytes(b.column(1)))
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), flat, *b.columns[2:]], names=["doc_id", "x", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), *more).mapInArrow(run, ", ".join(["doc_id long, x array<double>", *(f"{c} long" for c in more)]))
 
 
 @dataclass
@@ -146,18 +146,19 @@ def fit_discriminant(labelled: DataFrame, shrinkage: float = 0.1, floor: float =
     return Discriminant(prior, means, whiten, logdet)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, shrinkage: float = 0.1) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of ``docs`` (doc_id, text), learned from ``labels`` (doc_id, quality)."""
-    x = cut(document_statistics(docs))
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, shrinkage: float = 0.1, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted and the longs ``more`` of each row of ``docs`` (doc_id, text, more), learned from
+    ``labels`` (doc_id, quality)."""
+    x = cut(document_statistics(docs, *more))
     model = fit_discriminant(x.join(training_labels(labels, "quality"), "doc_id").select("x", "y"), shrinkage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(flat))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(flat)), *b.columns[2:]], names=["doc_id", "score", *more])
 
-    scored = x.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = x.mapInArrow(run, ", ".join(["doc_id long, score double", *(f"{c} long" for c in more)]))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -166,6 +167,7 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject (rows without doc_id stay if one of them is kept)."""
-    good = quality_scores(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_id"]), "left_semi")
+    """The rows of ``docs`` that the classifier doesn't reject, each judged by its own text."""
+    rows = keyed_rows(docs)
+    good = quality_scores(rows, labels, more=(ROW,)).filter("predicted = 1").select(ROW)
+    return rows.join(good, ROW, "left_semi").select(*docs.columns)

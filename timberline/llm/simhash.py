@@ -18,10 +18,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut
+from .common import ROW, as_bytes, cut, keyed_rows
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Hashes whose bits are counted at once.
@@ -110,12 +110,10 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One document of each component of near copies in ``docs`` (five-word shingles, similarity 0.8 or more; op8's
-    radius binds op8 only): the one with the smallest doc_id (of rows that repeat it the one with the smallest text; rows
-    without doc_id stay)."""
+    """One row of each component of near copies in ``docs`` (five-word shingles, similarity 0.8 or more; op8's radius binds
+    op8 only): the one with the smallest doc_id, or without doc_id where none has one."""
     from .nearcopies import near_copies
 
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text"))))
-    first = docs.filter("doc_id is not null").withColumn("_tl_turn", turn).filter("_tl_turn = 1").drop("_tl_turn")
-    keep = near_copies(first.select(F.col("doc_id").alias("key"), "text")).filter("key = component").select(F.col("key").alias("_id"))
-    return first.join(keep, first["doc_id"] == keep["_id"], "left_semi").unionByName(docs.filter("doc_id is null"))
+    rows = keyed_rows(docs)
+    keep = near_copies(rows.select(F.col(ROW).alias("key"), "text")).filter("key = component").select(F.col("key").alias(ROW))
+    return rows.join(keep, ROW, "left_semi").select(*docs.columns)

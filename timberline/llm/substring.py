@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, grams, hashed_words, mix
+from .common import ROW, as_bytes, grams, hashed_words, keyed_rows, mix
 
 _PROBE = "key long, doc long, at long"
 _MARK = "doc long, at long"
@@ -313,11 +313,9 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """``docs`` with the kept words as text and n_chars to match; rows of documents that had words and lose all are dropped.
-
-    Rows are matched by doc_id, so this needs doc_id to be unique, as it is behind the near-duplicate stage.
-    """
-    kept = substring_dedup(docs).select(F.col("doc_id").alias("_tl_id"), F.col("n_words").alias("_tl_words"), F.col("n_removed").alias("_tl_removed"), F.col("kept").alias("_tl_kept"))
-    rest = docs.drop("text", "n_chars")
-    out = rest.join(kept, rest["doc_id"].eqNullSafe(kept["_tl_id"])).filter("_tl_removed = 0 or _tl_removed < _tl_words")
+    """``docs`` with the kept words as text and n_chars to match; rows that had words and lose all are dropped."""
+    rows = keyed_rows(docs)
+    found = substring_dedup(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    kept = found.select(F.col("doc_id").alias(ROW), F.col("n_words").alias("_tl_words"), F.col("n_removed").alias("_tl_removed"), F.col("kept").alias("_tl_kept"))
+    out = rows.drop("text", "n_chars").join(kept, ROW).filter("_tl_removed = 0 or _tl_removed < _tl_words")
     return out.withColumn("text", F.col("_tl_kept")).withColumn("n_chars", F.length("_tl_kept").cast("long")).select(*docs.columns)
