@@ -316,6 +316,8 @@ def _with_sql() -> dict[str, tuple[Query, str | None]]:
             f"{_VOTES}, v AS (SELECT case_id, tree, o_totalprice / 100000 AS a, CAST(sum({_NUMBER} * weight) OVER w / sum(weight) OVER w AS DOUBLE) AS p FROM l WINDOW w AS (PARTITION BY case_id ORDER BY tree)) SELECT CAST(tree AS INTEGER) AS tree, round(avg((p - a) * (p - a)), 6) AS squared_error FROM v GROUP BY 1",
         ),
         "proximity": (lambda s, d: score.proximity(_leaves(s, d).filter("case_id <= 100")), f"{_VOTES} SELECT x.case_id AS a, y.case_id AS b, count(*) AS n FROM l x JOIN l y USING (tree, path) WHERE x.case_id <= 100 AND y.case_id <= 100 GROUP BY 1, 2"),
+        "proximity_members": (lambda s, d: score.leaf_vectors(_leaves(s, d)), None),
+        "proximity_groups": (lambda s, d: score.proximity_groups(_leaves(s, d)), None),
         "branch_counts": (lambda s, d: score.branch_counts(_leaves(s, d), _model(s)), f"{_VOTES} SELECT case_id, feature, count(*) AS n FROM (SELECT case_id, CASE WHEN tree = 0 THEN 'o_totalprice' ELSE 'gap' END AS feature FROM l UNION ALL SELECT case_id, 'priority' FROM l WHERE length(path) = 3) GROUP BY 1, 2"),
         "split_dump": (lambda s, d: score.split_dump(_model(s)), """SELECT * FROM (VALUES ('o_totalprice', '["150000.0"]'), ('gap', '["100000.0"]'), ('priority', '["1-URGENT:5-LOW","2-HIGH"]')) t(feature, splits)"""),
         "welch_t": (

@@ -161,6 +161,22 @@ def proximity(assigned: DataFrame) -> DataFrame:
     return a.join(b, ["tree", "path"]).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+def leaf_vectors(assigned: DataFrame) -> DataFrame:
+    """case_id, leaves: the leaf of a case in each tree, as sorted text. Cases with the same leaves have the same proximities."""
+    leaf = F.concat_ws(":", F.col("tree").cast("string"), F.col("path"))
+    return assigned.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list(leaf)), " ").alias("leaves"))
+
+
+def proximity_groups(assigned: DataFrame) -> DataFrame:
+    """leaves_a, leaves_b, n, cases_a, cases_b: in how many leaves the cases of two leaf vectors meet, where they meet at all,
+    and how many cases each vector has. With leaf_vectors that is the proximity of all cases; pairs are made between
+    different vectors only, however many cases share one."""
+    sized = leaf_vectors(assigned).groupBy("leaves").agg(F.count("*").alias("cases"))
+    leaf = sized.select("leaves", "cases", F.explode(F.split("leaves", " ")).alias("leaf"))
+    met = leaf.toDF("leaves_a", "cases_a", "leaf").join(leaf.toDF("leaves_b", "cases_b", "leaf"), "leaf")
+    return met.groupBy("leaves_a", "leaves_b", "cases_a", "cases_b").agg(F.count("*").alias("n")).select("leaves_a", "leaves_b", "n", "cases_a", "cases_b")
+
+
 def branch_counts(assigned: DataFrame, nodes: DataFrame) -> DataFrame:
     """case_id, feature, n: how many splits on a feature a case meets on its ways."""
     ways = assigned.select("tree", "case_id", F.explode(F.expr("transform(sequence(1, length(path)), i -> left(path, i))")).alias("path"))
