@@ -219,7 +219,7 @@ def _weighted_orders(s: SparkSession, d: str) -> DataFrame:
     return _orders(s, d).withColumn("bw", 1.0 + F.col("case_id") % 3)
 
 
-_H = lambda j, t, s: hash_sql(j, t, s, "//")
+_H = hash_sql
 _CASES = "(SELECT event_id AS case_id, event_type FROM events)"
 
 

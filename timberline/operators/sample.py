@@ -2,86 +2,109 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.rng import P, hashed
+from ..functions.ranks import ranked
+from ..functions.rng import RANGE, hashed
 
 
-def _trees(spark: SparkSession, n_trees: int) -> DataFrame:
-    return spark.range(n_trees).select(F.col("id").cast("int").alias("tree"))
+def _trees(n_trees: int) -> Column:
+    """A column that repeats a row for each tree."""
+    return F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))
 
 
-def ranked(cases: DataFrame, key: str = "case_id", within: str | None = None) -> DataFrame:
-    """``cases`` with rank: 0, 1, ... in order of ``key``, inside each ``within``."""
-    part = Window.partitionBy(within) if within else Window.partitionBy(F.lit(0))
-    return cases.withColumn("rank", F.row_number().over(part.orderBy(key)).cast("long") - 1)
+def _draws(spark: SparkSession, draws: int, n_trees: int) -> DataFrame:
+    return spark.range(draws).withColumn("tree", _trees(n_trees))
+
+
+def _same(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+    """An inner join on ``names`` for which nulls are equal."""
+    other = right.withColumnsRenamed({c: f"_r_{c}" for c in names})
+    test = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in names])
+    return left.join(other, test).drop(*[f"_r_{c}" for c in names])
 
 
 def bootstrap(cases: DataFrame, n_trees: int, seed: int, draws: int | None = None) -> DataFrame:
     """tree, case_id, mult: draws with replacement; ``draws`` defaults to the number of cases."""
     n = cases.count()
-    many = n if draws is None else draws
-    drawn = cases.sparkSession.range(many).withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(n_trees)])))
+    drawn = _draws(cases.sparkSession, n if draws is None else draws, n_trees)
     drawn = drawn.withColumn("rank", hashed("id", "tree", seed) % n).groupBy("tree", "rank").agg(F.count("*").alias("mult"))
-    return drawn.join(ranked(cases.select("case_id")), "rank").select("tree", "case_id", "mult")
+    return drawn.join(ranked(cases.select("case_id"), ["case_id"]), "rank").select("tree", "case_id", "mult")
 
 
 def poisson_bag(cases: DataFrame, n_trees: int, seed: int) -> DataFrame:
     """A bootstrap without ranks or joins, for very large tables: each case is in each bag a Poisson(1) number of times."""
-    u = hashed("case_id", "tree", seed) / P
+    u = hashed("case_id", "tree", seed) / float(RANGE)
     cut, total, term = F.lit(0), 0.0, 0.36787944117144233
     for k in range(1, 9):
         total += term
         cut = cut + (u >= total).cast("int")
         term /= k
-    rows = cases.select("case_id").withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(n_trees)])))
+    rows = cases.select("case_id").withColumn("tree", _trees(n_trees))
     return rows.withColumn("mult", cut.cast("long")).filter("mult > 0").select("tree", "case_id", "mult")
 
 
+def whole(cases: DataFrame, n_trees: int) -> DataFrame:
+    """tree, case_id, mult = 1 of all cases: no bag at all."""
+    return cases.select("case_id").withColumn("tree", _trees(n_trees)).select("tree", "case_id", F.lit(1).cast("long").alias("mult"))
+
+
 def subsample(cases: DataFrame, n_trees: int, seed: int, draws: int) -> DataFrame:
     """tree, case_id, mult = 1: the first ``draws`` cases in hashed order, for each tree."""
-    rows = cases.select("case_id").withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(n_trees)])))
-    order = Window.partitionBy("tree").orderBy(hashed("case_id", "tree", seed), "case_id")
-    return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= draws).select("tree", "case_id", F.lit(1).cast("long").alias("mult"))
+    rows = cases.select("case_id").withColumn("tree", _trees(n_trees))
+    first = ranked(rows, [hashed("case_id", "tree", seed), "case_id"], ["tree"]).filter(F.col("rank") < draws)
+    return first.select("tree", "case_id", F.lit(1).cast("long").alias("mult"))
 
 
 def out_of_bag(cases: DataFrame, bag: DataFrame, n_trees: int) -> DataFrame:
     """tree, case_id of the cases that a tree's bag doesn't have."""
-    rows = cases.select("case_id").withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(n_trees)])))
+    rows = cases.select("case_id").withColumn("tree", _trees(n_trees))
     return rows.join(bag.select("tree", "case_id"), ["tree", "case_id"], "left_anti").select("tree", "case_id")
 
 
+def _class_codes(sizes: DataFrame, cls: str, within: str | None = None) -> DataFrame:
+    """``sizes`` (a row for each class) with code: 0, 1, ... in order of the class."""
+    part = Window.partitionBy(within) if within else Window.partitionBy(F.lit(0))
+    return sizes.withColumn("code", F.row_number().over(part.orderBy(cls)).cast("long") - 1)
+
+
 def balanced_bag(cases: DataFrame, cls: str, n_trees: int, seed: int, draws: int) -> DataFrame:
     """tree, case_id, mult: a class is drawn with equal chances, then one of its cases. Empty classes don't exist."""
-    known = ranked(cases.filter(F.col(cls).isNotNull()), within=cls)
-    sizes = known.groupBy(cls).agg(F.count("*").alias("size"))
-    sizes = sizes.withColumn("code", F.row_number().over(Window.orderBy(cls)).cast("long") - 1)
+    known = ranked(cases.filter(F.col(cls).isNotNull()).select("case_id", cls), ["case_id"], [cls])
+    sizes = _class_codes(known.groupBy(cls).agg(F.count("*").alias("size")), cls)
     k = sizes.count()
-    drawn = cases.sparkSession.range(draws).withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(n_trees)])))
-    drawn = drawn.withColumn("code", hashed("id", "tree", seed) % k).join(sizes, "code").withColumn("rank", hashed("id", "tree", seed + 1) % F.col("size"))
+    drawn = _draws(cases.sparkSession, draws, n_trees).withColumn("code", hashed("id", "tree", seed) % k)
+    drawn = drawn.join(sizes, "code").withColumn("rank", hashed("id", "tree", seed + 1) % F.col("size"))
     return drawn.groupBy("tree", cls, "rank").agg(F.count("*").alias("mult")).join(known, [cls, "rank"]).select("tree", "case_id", "mult")
 
 
 def secondary_balanced_bag(cases: DataFrame, by: str, cls: str, n_trees: int, seed: int, draws: int) -> DataFrame:
     """tree, case_id, mult: a class of ``by`` by its frequency, then a class of ``cls`` in it evenly, then a case."""
-    known = cases.filter(F.col(by).isNotNull() & F.col(cls).isNotNull())
-    in_cell = Window.partitionBy(by, cls)
-    known = known.withColumn("rank", F.row_number().over(in_cell.orderBy("case_id")).cast("long") - 1)
-    cells = known.groupBy(by, cls).agg(F.count("*").alias("size")).withColumn("code", F.row_number().over(Window.partitionBy(by).orderBy(cls)).cast("long") - 1)
-    groups = cells.groupBy(by).agg(F.sum("size").alias("n"), F.count("*").alias("k"))
-    upto = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("low", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(0))))
+    known = ranked(cases.filter(F.col(by).isNotNull() & F.col(cls).isNotNull()).select("case_id", by, cls), ["case_id"], [by, cls])
+    cells = _class_codes(known.groupBy(by, cls).agg(F.count("*").alias("size")), cls, by)
+    groups = cells.groupBy(by).agg(F.count("*").alias("k"))
+    # a drawn place in the order of ``by`` has a class of it by frequency
+    places = ranked(known.select(by), [by], name="u")
     total = known.count()
-    drawn = cases.sparkSession.range(draws).withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(n_trees)])))
-    drawn = drawn.withColumn("u", hashed("id", "tree", seed) % total)
-    drawn = drawn.join(F.broadcast(groups), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("low") + F.col("n")))
+    drawn = _draws(cases.sparkSession, draws, n_trees).withColumn("u", hashed("id", "tree", seed) % total).join(places, "u").join(groups, by)
     drawn = drawn.withColumn("code", hashed("id", "tree", seed + 1) % F.col("k")).join(cells, [by, "code"]).withColumn("rank", hashed("id", "tree", seed + 2) % F.col("size"))
     return drawn.groupBy("tree", by, cls, "rank").agg(F.count("*").alias("mult")).join(known, [by, cls, "rank"]).select("tree", "case_id", "mult")
 
 
 def kfold(cases: DataFrame, folds: int, seed: int, within: str | None = None) -> DataFrame:
     """case_id, fold: equal folds in hashed order, of each class of ``within`` if given; cases that don't fill a fold are left out."""
-    part = Window.partitionBy(within) if within else Window.partitionBy(F.lit(0))
-    rows = cases.withColumn("_r", F.row_number().over(part.orderBy(hashed("case_id", "0", seed), "case_id")) - 1).withColumn("_size", F.floor(F.count("*").over(part) / folds))
-    return rows.filter((F.col("_size") > 0) & (F.col("_r") < F.col("_size") * folds)).select("case_id", F.floor(F.col("_r") / F.col("_size")).cast("int").alias("fold"))
+    names = [within] if within else []
+    placed = ranked(cases.select("case_id", *names), [hashed("case_id", "0", seed), "case_id"], names)
+    size = F.floor(F.count("*") / folds).alias("_size")
+    sized = _same(placed, placed.groupBy(within).agg(size), names) if within else placed.join(placed.agg(size))
+    full = sized.filter((F.col("_size") > 0) & (F.col("rank") < F.col("_size") * folds))
+    return full.select("case_id", F.floor(F.col("rank") / F.col("_size")).cast("int").alias("fold"))
+
+
+def fold_parts(df: DataFrame, case_id: str, folds: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` to train on and to test with for one of ``folds`` (case_id, fold)."""
+    dealt = df.join(folds.withColumnRenamed("case_id", "_fold_of"), F.col(case_id) == F.col("_fold_of")).drop("_fold_of")
+    return dealt.filter(F.col("fold") != fold).drop("fold"), dealt.filter(F.col("fold") == fold).drop("fold")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rng import hashed
+from ..functions.ranks import ranked
+from ..functions.rng import hash_numbers, hashed
 
 #: The tokens that stand for a missing category, in any case.
 MISSING = ("", "?", "nan", "na", "null")
@@ -26,7 +27,7 @@ def parse_cat(cell: str) -> Column:
 def cat_codes(df: DataFrame, value: str, order: str) -> DataFrame:
     """value, code of each category; codes follow the first occurrence by ``order``."""
     first = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("_first"))
-    return first.select(value, (F.row_number().over(Window.orderBy("_first", value)) - 1).alias("code"))
+    return ranked(first, ["_first", value], name="code").select(value, "code")
 
 
 def mode(df: DataFrame, value: str, order: str) -> DataFrame:
@@ -78,19 +79,46 @@ def max_categories(df: DataFrame, features: Sequence[str], most: int) -> DataFra
 
 def permute(df: DataFrame, key: str, value: str, seed: int, within: Sequence[str] = ()) -> DataFrame:
     """``df`` with the values (missing ones too) dealt anew among the rows, inside each group of ``within``."""
-    part = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    at = df.withColumn("_at", F.row_number().over(part.orderBy(key)))
-    moved = df.select(*within, F.col(value).alias("_moved"), F.row_number().over(part.orderBy(hashed(key, "0", seed), key)).alias("_at"))
-    return at.join(moved, [*within, "_at"]).withColumn(value, F.col("_moved")).select(*df.columns)
+    at = ranked(df, [key], within, "_at")
+    moved = ranked(df.select(*within, key, value), [hashed(key, "0", seed), key], within, "_at").select(*[F.col(c).alias(f"_m{i}") for i, c in enumerate(within)], F.col("_at").alias("_to"), F.col(value).alias("_moved"))
+    meets = F.col("_at") == F.col("_to")
+    for i, c in enumerate(within):
+        meets = meets & F.col(c).eqNullSafe(F.col(f"_m{i}"))
+    return at.join(moved, meets).select(*[F.col("_moved").alias(c) if c == value else F.col(c) for c in df.columns])
+
+
+def permute_features(df: DataFrame, key: str, pattern: str, seed: int) -> DataFrame:
+    """``df`` with each feature whose name fits the regular expression dealt anew on its own."""
+    for i, name in enumerate(c for c in df.columns if c != key and re.search(pattern, c)):
+        df = permute(df, key, name, seed + i)
+    return df
 
 
 def contrasts(cells: DataFrame, seed: int) -> DataFrame:
     """``cells`` (case_id, feature, num, cat) and a permuted copy of each feature, named feature:SHUFFLED."""
-    part = Window.partitionBy("feature")
-    at = cells.select("case_id", "feature", F.row_number().over(part.orderBy("case_id")).alias("_at"))
-    moved = cells.select("feature", "num", "cat", F.row_number().over(part.orderBy(hashed("case_id", "0", seed), "case_id")).alias("_at"))
+    own = cells.select("case_id", "feature", "num", "cat")
+    at = ranked(own.select("case_id", "feature"), ["case_id"], ["feature"], "_at")
+    moved = ranked(own, [hashed("case_id", "0", seed), "case_id"], ["feature"], "_at").select("feature", "num", "cat", "_at")
     copy = at.join(moved, ["feature", "_at"]).select("case_id", F.concat("feature", F.lit(":SHUFFLED")).alias("feature"), "num", "cat")
-    return cells.select("case_id", "feature", "num", "cat").unionByName(copy)
+    return own.unionByName(copy)
+
+
+def drawn_contrasts(cells: DataFrame, names: Sequence[str], n: int, seed: int) -> DataFrame:
+    """``cells`` and ``n`` permuted copies of features drawn with replacement; the k-th copy is named feature:SHUFFLED:k."""
+    own = cells.select("case_id", "feature", "num", "cat")
+    out = own
+    for k in range(n):
+        name = names[int(hash_numbers(k, 0, seed)) % len(names)]
+        one = contrasts(own.filter(F.col("feature") == name), seed + k).filter(F.col("feature") != name)
+        out = out.unionByName(one.withColumn("feature", F.lit(f"{name}:SHUFFLED:{k}")))
+    return out
+
+
+def wide_contrasts(df: DataFrame, key: str, names: Sequence[str], seed: int) -> DataFrame:
+    """``df`` (key, names) with a permuted copy of each named column, one permutation of whole rows: two ranks and one join."""
+    at = ranked(df.select(key, *names), [key], name="_at")
+    moved = ranked(df.select(key, *names), [hashed(key, "0", seed), key], name="_at").select("_at", *[F.col(f"`{n}`").alias(f"{n}:SHUFFLED") for n in names])
+    return at.join(moved, "_at").drop("_at")
 
 
 def strip_names(df: DataFrame, target: str) -> DataFrame:

@@ -10,6 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked
 from ..operators.transform import parse_cat, parse_num
 
 
@@ -42,8 +43,8 @@ def afm_lines(df: DataFrame, case: str, by_feature: bool = False) -> DataFrame:
     cell = lambda n: F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("NA"))
     if not by_feature:
         head = df.sparkSession.createDataFrame([(0, "\t".join([".", *names]))], "at long, line string")
-        order = F.row_number().over(Window.orderBy(case)).cast("long")
-        return head.unionByName(df.select(order.alias("at"), F.concat_ws("\t", F.col(case).cast("string"), *map(cell, names)).alias("line")))
+        at = ranked(df, [case], name="_at")
+        return head.unionByName(at.select((F.col("_at") + 1).alias("at"), F.concat_ws("\t", F.col(case).cast("string"), *map(cell, names)).alias("line")))
     pairs = F.array(*[F.struct(F.lit(i + 1).alias("at"), F.lit(n).alias("name"), cell(n).alias("cell")) for i, n in enumerate(names)], F.struct(F.lit(0).alias("at"), F.lit(".").alias("name"), F.col(case).cast("string").alias("cell")))
     rows = df.select(F.col(case).alias("_case"), F.explode(pairs).alias("p")).groupBy("p.at", "p.name").agg(F.array_sort(F.collect_list(F.struct("_case", "p.cell"))).alias("cells"))
     return rows.select(F.col("at").cast("long").alias("at"), F.concat_ws("\t", "name", F.array_join(F.col("cells.cell"), "\t")).alias("line"))
