@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import ranked
-from ..functions.rng import RANGE, hashed
+from ..functions.rng import RANGE, hash_numbers, hashed
 
 
 def _trees(n_trees: int) -> Column:
@@ -35,14 +38,14 @@ def bootstrap(cases: DataFrame, n_trees: int, seed: int, draws: int | None = Non
     return drawn.join(ranked(cases.select("case_id"), ["case_id"]), "rank").select("tree", "case_id", "mult")
 
 
+#: Shares of a Poisson(1) number up to 0, 1, ...: a case whose hash lies above k of them is in the bag k times.
+POISSON = tuple(float(x) for x in np.cumsum([0.36787944117144233 / math.factorial(k) for k in range(8)]))
+
+
 def poisson_bag(cases: DataFrame, n_trees: int, seed: int) -> DataFrame:
     """A bootstrap without ranks or joins, for very large tables: each case is in each bag a Poisson(1) number of times."""
     u = hashed("case_id", "tree", seed) / float(RANGE)
-    cut, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        total += term
-        cut = cut + (u >= total).cast("int")
-        term /= k
+    cut = reduce(Column.__add__, [(u >= x).cast("int") for x in POISSON])
     rows = cases.select("case_id").withColumn("tree", _trees(n_trees))
     return rows.withColumn("mult", cut.cast("long")).filter("mult > 0").select("tree", "case_id", "mult")
 
@@ -108,3 +111,44 @@ def fold_parts(df: DataFrame, case_id: str, folds: DataFrame, fold: int) -> tupl
     """The rows of ``df`` to train on and to test with for one of ``folds`` (case_id, fold)."""
     dealt = df.join(folds.withColumnRenamed("case_id", "_fold_of"), F.col(case_id) == F.col("_fold_of")).drop("_fold_of")
     return dealt.filter(F.col("fold") != fold).drop("fold"), dealt.filter(F.col("fold") == fold).drop("fold")
+
+
+@dataclass(frozen=True)
+class Bag:
+    """How the cases of each tree are drawn; any object with ``frame`` and ``counts`` can take its place.
+
+    kind: bootstrap, poisson, none, subsample, balanced (evenly over the classes of ``by[0]``) or secondary (over those of ``by[0]`` by
+    their frequency, in each evenly over those of ``by[1]``). ``draws`` defaults to the number of cases.
+    """
+
+    kind: str = "bootstrap"
+    seed: int = 1
+    draws: int | None = None
+    by: tuple[str, ...] = ()
+
+    def frame(self, cases: DataFrame, n_trees: int, first: int = 0) -> DataFrame:
+        """tree, case_id, mult of ``n_trees`` trees from number ``first`` on; ``cases`` has case_id and the columns ``by``."""
+        seed, draws = self.seed + first, self.draws
+        if self.kind in ("subsample", "balanced", "secondary") and draws is None:
+            draws = cases.count()
+        bag = {
+            "bootstrap": lambda: bootstrap(cases, n_trees, seed, draws), "poisson": lambda: poisson_bag(cases, n_trees, seed), "none": lambda: whole(cases, n_trees),
+            "subsample": lambda: subsample(cases, n_trees, seed, draws), "balanced": lambda: balanced_bag(cases, self.by[0], n_trees, seed, draws),
+            "secondary": lambda: secondary_balanced_bag(cases, self.by[0], self.by[1], n_trees, seed, draws),
+        }[self.kind]()
+        return bag.withColumn("tree", (F.col("tree") + first).cast("int"))
+
+    def counts(self, ids: np.ndarray, tree: int, first: int = 0) -> np.ndarray | None:
+        """The same for one tree (counted from ``first``) as how often each of the sorted ``ids`` is drawn; None if that takes the classes."""
+        n, seed = len(ids), self.seed + first
+        if self.kind == "none":
+            return np.ones(n)
+        if self.kind == "bootstrap":
+            return np.bincount(hash_numbers(np.arange(n if self.draws is None else self.draws), tree, seed) % n, minlength=n).astype(float)
+        if self.kind == "poisson":
+            return (hash_numbers(ids, tree, seed)[:, None] / float(RANGE) >= np.array(POISSON)).sum(axis=1).astype(float)
+        if self.kind == "subsample":
+            out = np.zeros(n)
+            out[np.lexsort((ids, hash_numbers(ids, tree, seed)))[: n if self.draws is None else self.draws]] = 1
+            return out
+        return None

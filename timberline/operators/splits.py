@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.engine import NumpyOps, SparkOps
+from ..functions.rng import hashed
 from .targets import Target
 
 #: Gains and value gaps up to this size don't count, categories up to this number are searched exhaustively.
@@ -79,10 +80,10 @@ def random_num_split(rows: DataFrame, keys: Sequence[str], value: str, target: T
 
 
 def random_cut(cuts: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
-    """One of the cuts of each group, by a hash."""
+    """One of the cuts of each group, by a hash of its keys."""
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    at = F.pmod(F.xxhash64(F.lit(seed), *keys), F.count("*").over(part)) + 1
-    return cuts.withColumn("_at", at).withColumn("_r", F.row_number().over(part.orderBy("threshold"))).filter("_r = _at").drop("_r", "_at")
+    cuts = cuts.withColumn("_n", F.count("*").over(part)).withColumn("_key", F.crc32(F.concat_ws(":", *[F.col(k).cast("string") for k in keys])) if keys else F.lit(0))
+    return cuts.withColumn("_r", F.row_number().over(part.orderBy("threshold"))).filter(F.col("_r") == hashed("_key", "0", seed) % F.col("_n") + 1).drop("_r", "_n", "_key")
 
 
 def cat_cuts(hist: DataFrame, keys: Sequence[str], target: Target, leaf: int = 1) -> DataFrame:
@@ -148,7 +149,7 @@ def greedy_cat_split(rows: DataFrame, keys: Sequence[str], value: str, target: T
             best_gain, now = gains[k], left[k]
             chosen.append(rest.pop(k))
         if not chosen:
-            return pd.DataFrame({k: [] for k in [*grouped, "left", "n_left", "n_right", "decrease"]})
+            return pd.DataFrame({k: pd.Series([], dtype=object) for k in [*grouped, "left", "n_left", "n_right", "decrease"]})
         return pd.DataFrame(out | {"left": [sorted(seen.v.iloc[chosen])], "n_left": [int(now[0])], "n_right": [int(total[0] - now[0])], "decrease": [float(best_gain)]})
 
     schema = ", ".join(f"{k} {types[k]}" for k in grouped) + ", left array<string>, n_left long, n_right long, decrease double"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 from ..operators import sample, score, targets, transform
 from ..session import cut
 from .grow import Growth, grow
+from .scoring import score_leaves
 
 
 @dataclass
 class Forest:
     """Random forest (``boost=None``), gradient boosting ("gbt") or AdaBoost/AdaCost ("ada") over a wide DataFrame.
 
-    ``target`` may be numeric (regression) or text (classes); ``impurity`` replaces the default by another target.
+    ``target`` may be numeric (regression) or text (classes); ``impurity`` replaces the default by another target. ``bag`` is a
+    kind of sample.Bag or an object like one. Where ``how`` doesn't say otherwise, a node draws the square root of the
+    number of features, and leaves have one case (classes), four (regression) or a third of all (boosting).
     """
 
     target: str
@@ -26,9 +29,9 @@ class Forest:
     numeric: Sequence[str] = ()
     categorical: Sequence[str] = ()
     n_trees: int = 10
-    how: Growth = field(default_factory=Growth)
+    how: Growth | None = None
     impurity: targets.Target | None = None
-    bag: str = "bootstrap"
+    bag: str | sample.Bag = "bootstrap"
     boost: str | None = None
     rate: float = 0.1
     seed: int = 1
@@ -36,46 +39,63 @@ class Forest:
     nodes: DataFrame | None = None
     intercept: float = 0.0
 
+    def _wide(self, df: DataFrame) -> DataFrame:
+        return df.select(F.col(self.case_id).cast("long").alias("case_id"), *[F.col(f"`{c}`") for c in (*self.numeric, *self.categorical)])
+
     def _cells(self, df: DataFrame) -> DataFrame:
         return transform.to_cells(df, self.case_id, self.numeric, self.categorical)
 
     def _targets(self, df: DataFrame) -> DataFrame:
-        return df.select(F.col(self.case_id).cast("long").alias("case_id"), F.col(self.target).alias("y"))
-
-    def _bag(self, cases: DataFrame, first: int = 0, n: int | None = None) -> DataFrame:
-        n = self.n_trees if n is None else n
-        if self.bag == "none":
-            bag = cases.select("case_id").withColumn("tree", F.explode(F.array(*[F.lit(t) for t in range(n)]))).withColumn("mult", F.lit(1).cast("long"))
-        else:
-            bag = {"bootstrap": sample.bootstrap, "poisson": sample.poisson_bag}[self.bag](cases, n, self.seed + first)
-        return bag.withColumn("tree", (F.col("tree") + first).cast("int"))
+        by = [F.col(f"`{c}`") for c in getattr(self.bag, "by", ()) if c != self.target]
+        return df.select(F.col(self.case_id).cast("long").alias("case_id"), F.col(f"`{self.target}`").alias("y"), *by)
+
+    def _bags(self) -> sample.Bag:
+        bag = sample.Bag(self.bag, self.seed) if isinstance(self.bag, str) else self.bag
+        own = tuple("y" if c == self.target else c for c in getattr(bag, "by", ()))
+        if isinstance(bag, sample.Bag):
+            own = own or (("y",) if bag.kind == "balanced" else ())
+            return replace(bag, by=own)
+        return bag
+
+    def _growth(self, number: bool, n: int) -> Growth:
+        if self.how is not None:
+            return self.how
+        leaf = max(1, n // 3) if self.boost else 4 if number else 1
+        return Growth(m_try=math.ceil(math.sqrt(len(self.numeric) + len(self.categorical))), leaf=leaf, seed=self.seed)
 
     def fit(self, df: DataFrame) -> Forest:
-        ys = cut(self._targets(df).filter("y is not null"))
-        cells = cut(self._cells(df))
+        self._cases = ys = cut(self._targets(df).filter("y is not null"))
+        wide = self._wide(df)
         number = dict(ys.dtypes)["y"] != "string"
-        if not number and not self.classes:
+        if not number and not self.classes:  # one row for each class
             self.classes = tuple(r["y"] for r in ys.select("y").distinct().orderBy("y").collect())
+        how = self._growth(number, ys.count() if self.how is None and self.boost else 0)
         if self.boost == "gbt":
-            return self._fit_gradient(cells, ys, number)
+            return self._fit_gradient(wide, ys, number, how)
         if self.boost == "ada":
-            return self._fit_ada(cells, ys)
+            return self._fit_ada(wide, ys, how)
         goal = self.impurity or (targets.Sse(shift=ys.agg(F.avg("y")).first()[0] or 0.0) if number else targets.Gini(classes=self.classes))
-        self.bags = cut(self._bag(ys.select("case_id")))
-        grown = grow(cells, ys, self.bags, goal, self.numeric, self.categorical, self.how)
+        grown = grow(wide, ys, self._bags(), self.n_trees, goal, self.numeric, self.categorical, how)
         self.nodes = self._named(grown, goal)
         return self
 
+    @property
+    def bags(self) -> DataFrame:
+        """tree, case_id, mult of what the trees were grown on."""
+        if getattr(self, "_drawn", None) is None:
+            self._drawn = cut(self._bags().frame(self._cases, self.n_trees))
+        return self._drawn
+
     def _named(self, grown: DataFrame, goal: targets.Target) -> DataFrame:
         if not isinstance(goal, targets.Classes):
             return grown
         labels = F.array(*map(F.lit, self.classes))
         return grown.withColumn("pred", F.element_at(labels, F.col("pred").cast("int") + 1))
 
-    def _fit_gradient(self, cells: DataFrame, ys: DataFrame, number: bool) -> Forest:
+    def _fit_gradient(self, wide: DataFrame, ys: DataFrame, number: bool, how: Growth) -> Forest:
         """Residual trees one after the other; two classes through the log-odds, leaves by a Newton step."""
         if not number:
-            ys = ys.select("case_id", (F.col("y") == self.classes[-1]).cast("double").alias("y"))
+            ys = ys.withColumn("y", (F.col("y") == self.classes[-1]).cast("double"))
             p = min(max(ys.agg(F.avg("y")).first()[0], 1e-9), 1 - 1e-9)
             self.intercept = math.log(p / (1 - p))
         else:
@@ -83,9 +103,9 @@ class Forest:
         state, out = cut(ys.withColumn("f", F.lit(self.intercept))), None
         for t in range(self.n_trees):
             fit = (F.tanh(F.col("f") / 2) + 1) / 2 if not number else F.col("f")
-            resid = state.select("case_id", (F.col("y") - fit).alias("y"), fit.alias("p"))
-            grown = grow(cells, resid, self._bag(ys.select("case_id"), t, 1), targets.Friedman(), self.numeric, self.categorical, self.how)
-            at = score.leaves(cells, ys, grown).select("case_id", "path", "pred")
+            resid = state.withColumn("p", fit).withColumn("y", F.col("y") - F.col("p")).drop("f")
+            grown = grow(wide, resid, self._bags(), 1, targets.Friedman(), self.numeric, self.categorical, how, t)
+            at = score_leaves(wide, grown, self.numeric, self.categorical).join(ys.select("case_id"), "case_id", "left_semi").select("case_id", "path", "pred")
             step = at.join(resid, "case_id")
             if number:
                 value = step.groupBy("path").agg(F.avg("y").alias("value"))
@@ -95,19 +115,19 @@ class Forest:
             grown = grown.join(value, "path", "left").withColumn("pred", F.when(F.col("feature").isNull(), F.coalesce("value", F.lit(0.0)).cast("string")).otherwise(F.col("pred"))).withColumn("weight", F.lit(self.rate)).drop("value")
             out = grown if out is None else out.unionByName(grown)
             moved = at.join(value, "path").select("case_id", "value")
-            state = cut(state.join(moved, "case_id", "left").select("case_id", "y", (F.col("f") + self.rate * F.coalesce("value", F.lit(0.0))).alias("f")))
+            state = cut(state.join(moved, "case_id", "left").withColumn("f", F.col("f") + self.rate * F.coalesce("value", F.lit(0.0))).drop("value"))
         self.nodes = cut(out)
         return self
 
-    def _fit_ada(self, cells: DataFrame, ys: DataFrame) -> Forest:
+    def _fit_ada(self, wide: DataFrame, ys: DataFrame, how: Growth) -> Forest:
         """Case weights grow where a tree is wrong; a tree no better than chance gets no say."""
         costs = getattr(self.impurity, "costs", ()) or (1.0,) * len(self.classes)
         goal, n = targets.Boosted(classes=self.classes, costs=costs), ys.count()
         state, out = cut(ys.withColumn("bw", F.lit(1.0 / max(n, 1)))), None
         cost = F.element_at(F.map_from_arrays(F.array(*map(F.lit, self.classes)), F.array(*map(F.lit, costs))), F.col("y"))
         for t in range(self.n_trees):
-            grown = self._named(grow(cells, state, self._bag(ys.select("case_id"), t, 1), goal, self.numeric, self.categorical, self.how), goal)
-            at = score.leaves(cells, ys, grown).select("case_id", "pred")
+            grown = self._named(grow(wide, state, self._bags(), 1, goal, self.numeric, self.categorical, how, t), goal)
+            at = score_leaves(wide, grown, self.numeric, self.categorical).select("case_id", "pred")
             judged = cut(state.join(at, "case_id", "left").withColumn("wrong", F.coalesce(F.col("pred") != F.col("y"), F.lit(True))))
             err = judged.agg(F.sum(F.when(F.col("wrong"), F.col("bw")).otherwise(0.0)) / F.sum("bw")).first()[0] or 1e-10
             say = 0.0 if err >= 0.5 else 0.5 * math.log((1 - err) / max(err, 1e-10))
@@ -116,13 +136,13 @@ class Forest:
             if say > 0:
                 raw = F.col("bw") * F.exp(F.when(F.col("wrong"), say).otherwise(-say)) * cost
                 total = judged.agg(F.sum(raw)).first()[0]
-                state = cut(judged.select("case_id", "y", (raw / total).alias("bw")))
+                state = cut(judged.withColumn("bw", raw / total).drop("wrong", "pred"))
         self.nodes = cut(out)
         return self
 
     def votes(self, df: DataFrame) -> DataFrame:
-        cells = self._cells(df)
-        return score.leaves(cells, cells.select("case_id").distinct(), self.nodes)
+        """tree, case_id, path, pred, weight of each case's leaf in each tree."""
+        return score_leaves(self._wide(df), self.nodes, self.numeric, self.categorical)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """case_id, pred."""
@@ -150,16 +170,17 @@ def contrast_test(df: DataFrame, forest: Forest, n_forests: int, cutoff: float |
     """(feature, mean, t, df, p) of importance against a permuted copy over several forests; with ``cutoff`` a last forest
     of the features with a smaller p and some importance."""
     rounds = None
+    names = [*forest.numeric, *forest.categorical]
+    double = lambda xs: [*xs, *(f"{n}:SHUFFLED" for n in xs)]
     for k in range(n_forests):
-        cells = transform.contrasts(transform.to_cells(df, forest.case_id, forest.numeric, forest.categorical), forest.seed + k)
-        double = lambda names: [*names, *(f"{n}:SHUFFLED" for n in names)]
-        goal = forest.impurity or (targets.Gini(classes=forest.classes) if forest.classes else targets.Sse())
+        wide = transform.wide_contrasts(forest._wide(df), "case_id", names, forest.seed + k)
         ys = forest._targets(df).filter("y is not null")
-        bag = sample.bootstrap(ys.select("case_id"), forest.n_trees, forest.seed + 100 * k)
-        nodes = grow(cut(cells), cut(ys), cut(bag), goal, double(forest.numeric), double(forest.categorical), forest.how)
+        number = dict(ys.dtypes)["y"] != "string"
+        goal = forest.impurity or (targets.Sse() if number else targets.Gini(classes=forest.classes))
+        how = forest.how or Growth(m_try=math.ceil(math.sqrt(2 * len(names))), leaf=4 if number else 1, seed=forest.seed)
+        nodes = grow(wide, cut(ys), replace(forest._bags(), seed=forest.seed + 100 * k), forest.n_trees, goal, double(forest.numeric), double(forest.categorical), how)
         own = score.importance(nodes.filter("feature is not null"), forest.n_trees).select("feature", "per_tree", F.lit(k).alias("forest"))
         rounds = own if rounds is None else rounds.unionByName(own)
-    names = [*forest.numeric, *forest.categorical]
     grid = df.sparkSession.range(n_forests).select(F.col("id").cast("int").alias("forest"), F.explode(F.array(*map(F.lit, names))).alias("feature"))
     rounds = cut(rounds)
     real = grid.join(rounds, ["feature", "forest"], "left").withColumn("real", F.coalesce("per_tree", F.lit(0.0))).drop("per_tree")
@@ -168,5 +189,5 @@ def contrast_test(df: DataFrame, forest: Forest, n_forests: int, cutoff: float |
     if cutoff is None:
         return tested, None
     kept = {r["feature"] for r in tested.filter((F.col("p") < cutoff) & (F.col("mean") > 0)).collect()}
-    last = Forest(forest.target, forest.case_id, [f for f in forest.numeric if f in kept], [f for f in forest.categorical if f in kept], forest.n_trees, forest.how, forest.impurity, forest.bag, seed=forest.seed, classes=forest.classes)
+    last = replace(forest, numeric=[f for f in forest.numeric if f in kept], categorical=[f for f in forest.categorical if f in kept], nodes=None)
     return tested, last.fit(df) if kept else None

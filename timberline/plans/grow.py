@@ -1,5 +1,8 @@
 """Level-wise growth: one set of aggregations for all trees and nodes of a level.
 
+A table below ``local_bytes`` is grown in memory, a task for each tree. Of a larger one the nodes above ``local_rows`` cases
+are grown level by level, and the smaller ones below them each in one task; all three grow the same trees.
+
 State is ``assign`` (tree, case_id, path, w), cut by a checkpoint on every level. Only nodes that can still split take
 part, features are drawn by a hash for each node, and the histograms of the drawn features are the only shuffle that
 grows with the data; ``bins`` bounds the different values of a numeric feature for very large tables.
@@ -7,10 +10,12 @@ grows with the data; ``bins`` bounds the different values of a numeric feature f
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +23,11 @@ from ..functions.engine import SparkOps
 from ..functions.rng import hash_sql
 from ..operators import splits
 from ..operators.score import side
-from ..operators.targets import Target
+from ..operators.sample import Bag
+from ..operators.targets import Classes, Target
+from ..operators.transform import to_cells
 from ..session import cut, plain_planning
-
+from . import local
 
 KEYS = ["tree", "path", "feature"]
 #: Rows of a node whose targets are permuted in one task.
@@ -33,7 +40,8 @@ class Growth:
 
     ``random_cuts``: one hashed cut of a numeric feature instead of its best one. ``unseen``: a feature's cut is found on
     the bag and measured on all cases that the tree's bag lacks. ``vet``: the best decrease that a feature reaches on
-    targets permuted inside the node is taken off its own (found on the bag, with ``unseen`` too).
+    targets permuted inside the node is taken off its own (found on the bag, with ``unseen`` too). ``force``: features without
+    any cut don't count among the ``m_try`` that a node draws.
     """
 
     leaf: int = 1
@@ -46,6 +54,9 @@ class Growth:
     random_cuts: bool = False
     unseen: bool = False
     vet: bool = False
+    force: bool = False
+    local_rows: int = 200_000
+    local_bytes: int = 512_000_000
 
 
 def binned(cells: DataFrame, bins: int) -> DataFrame:
@@ -55,13 +66,100 @@ def binned(cells: DataFrame, bins: int) -> DataFrame:
     return cells.join(F.broadcast(edges), "feature", "left").withColumn("num", F.when(F.col("num").isNull(), None).otherwise(near)).drop("edges")
 
 
-def grow(cells: DataFrame, targets: DataFrame, bag: DataFrame, target: Target, numeric: Sequence[str], categorical: Sequence[str], how: Growth) -> DataFrame:
-    """tree, path, feature, threshold, left, pred, weight, n, impurity, decrease of all nodes.
+RESULT = "tree int, path string, feature string, threshold double, left array<string>, pred string, weight double, n long, impurity double, decrease double"
+_GROWN = "tree int, path string, feature string, threshold double, left array<string>, pred double, n double, impurity double, decrease double"
+
+
+def row_stats(target: Target) -> dict[str, str]:
+    """SQL of what one row (w: its multiplicity) adds to each statistic."""
+    return {k: e.removeprefix("sum(").removesuffix(")") for k, e in target.stats().items()}
 
-    ``cells`` is (case_id, feature, num, cat), ``targets`` (case_id, y, ...), ``bag`` (tree, case_id, mult).
+
+def grow(wide: DataFrame, targets: DataFrame, bag: Bag, n_trees: int, target: Target, numeric: Sequence[str], categorical: Sequence[str], how: Growth, first: int = 0) -> DataFrame:
+    """The columns of RESULT of all nodes of trees number ``first`` on.
+
+    ``wide`` is (case_id, features), ``targets`` (case_id, y, ... and what the bag draws by).
     """
-    with plain_planning(cells.sparkSession):
-        return _grow(cells, targets, bag, target, numeric, categorical, how)
+    known = targets.filter(F.expr(target.y).isNotNull())
+    if not (how.unseen or how.vet or how.bins) and known.count() * (len(numeric) + len(categorical)) * 8 <= how.local_bytes:
+        return _grow_here(wide, known, bag, n_trees, target, numeric, categorical, how, first)
+    with plain_planning(wide.sparkSession):
+        return _grow(wide, targets, bag.frame(known, n_trees, first), target, numeric, categorical, how)
+
+
+def _features(wide: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> list:
+    return [F.expr(f"nullif(cast(`{c}` as double), double('NaN'))").alias(f"_x{i}") for i, c in enumerate(numeric)] + [F.col(f"`{c}`").cast("string").alias(f"_c{i}") for i, c in enumerate(categorical)]
+
+
+def _columns(table: pa.Table, numeric: Sequence[str], categorical: Sequence[str]) -> list[local.Column]:
+    out = [local.column(c, table.column(f"_x{i}").to_numpy(zero_copy_only=False).astype(float), True) for i, c in enumerate(numeric)]
+    return out + [local.column(c, np.array(table.column(f"_c{i}").to_pylist(), dtype=object), False) for i, c in enumerate(categorical)]
+
+
+def _records(tree: int, nodes: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*nodes, strict=True)) if nodes else [()] * 8
+    kinds = (pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.float64(), pa.float64(), pa.float64(), pa.float64())
+    names = ["tree", "path", "feature", "threshold", "left", "pred", "n", "impurity", "decrease"]
+    return pa.RecordBatch.from_arrays([pa.array([tree] * len(nodes), pa.int32()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
+
+
+def _result(grown: DataFrame, target: Target) -> DataFrame:
+    pred = F.col("pred").cast("int") if isinstance(target, Classes) else F.col("pred")
+    return grown.select("tree", "path", "feature", "threshold", "left", pred.cast("string").alias("pred"), F.lit(1.0).alias("weight"), F.col("n").cast("long").alias("n"), "impurity", "decrease")
+
+
+def _grow_here(wide: DataFrame, known: DataFrame, bag: Bag, n_trees: int, target: Target, numeric: Sequence[str], categorical: Sequence[str], how: Growth, first: int) -> DataFrame:
+    """All trees from one table that is small enough for each worker; its size is checked by the caller."""
+    spark, stats = wide.sparkSession, row_stats(target)
+    extra = [c for c in known.columns if c != "case_id"]
+    rows = known.join(wide.select("case_id", *_features(wide, numeric, categorical)), "case_id").withColumn("w", F.lit(1))
+    features = [c for c in rows.columns if c[:2] in ("_x", "_c")]
+    table = rows.select("case_id", *features, *[F.expr(e).cast("double").alias(f"_s{i}") for i, e in enumerate(stats.values())]).toArrow().combine_chunks()
+    ids = table.column("case_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    ids, base = ids[order], np.column_stack([table.column(f"_s{i}").to_numpy()[order] for i in range(len(stats))])
+    columns = _columns(table.take(pa.array(order)), numeric, categorical)
+    few = local.few_categories(columns)
+    shared = spark.sparkContext.broadcast((ids, base, columns))
+
+    def nodes(tree: int, mult: np.ndarray) -> pa.RecordBatch:
+        _, own, cols = shared.value
+        grown = local.Grower(cols, own * mult[:, None], target, how, few).grow(tree, "*", np.flatnonzero(mult))
+        return _records(tree, grown)
+
+    if not len(ids):
+        return _result(spark.createDataFrame([], _GROWN), target)
+    if bag.counts(ids[:1], 0, first) is not None:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for t in b.column(0).to_pylist():
+                    yield nodes(first + t, bag.counts(shared.value[0], t, first))
+
+        return cut(_result(spark.range(0, n_trees, 1, n_trees).mapInArrow(run, _GROWN), target))
+
+    def drawn(t: pa.Table) -> pa.Table:
+        mult = np.zeros(len(shared.value[0]))
+        mult[np.searchsorted(shared.value[0], t.column("case_id").to_numpy())] = t.column("mult").to_numpy()
+        return pa.Table.from_batches([nodes(t.column("tree")[0].as_py(), mult)])
+
+    return cut(_result(bag.frame(known.select("case_id", *extra), n_trees, first).groupBy("tree").applyInArrow(drawn, _GROWN), target))
+
+
+def _finish(assign: DataFrame, wide: DataFrame, target: Target, numeric: Sequence[str], categorical: Sequence[str], few: Sequence[str], how: Growth) -> DataFrame:
+    """The nodes from those of ``assign`` (tree, case_id, path, w, ...) on, each with ``local_rows`` cases at most in one task."""
+    stats = row_stats(target)
+    rows = assign.join(wide.select("case_id", *_features(wide, numeric, categorical)), "case_id")
+    features = [c for c in rows.columns if c[:2] in ("_x", "_c")]
+    rows = rows.select("tree", "path", *features, *[F.expr(e).cast("double").alias(f"_s{i}") for i, e in enumerate(stats.values())])
+
+    def subtree(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        tree, path = t.column("tree")[0].as_py(), t.column("path")[0].as_py()
+        base = np.column_stack([t.column(f"_s{i}").to_numpy() for i in range(len(stats))])
+        return pa.Table.from_batches([_records(tree, local.Grower(_columns(t, numeric, categorical), base, target, how, set(few)).grow(tree, path, np.arange(len(base))))])
+
+    return _result(rows.groupBy("tree", "path").applyInArrow(subtree, _GROWN), target)
 
 
 def _search(rows: DataFrame, drawn: DataFrame, cells: DataFrame, target: Target, numeric: Sequence[str], few: Sequence[str], many: Sequence[str], how: Growth, depth: int) -> DataFrame:
@@ -102,8 +200,12 @@ def _measured(cuts: DataFrame, unseen: DataFrame, cells: DataFrame, target: Targ
     return cuts.drop("decrease").join(both.select(*KEYS, splits.gain(target, left, right, lost, whole).alias("decrease")), KEYS)
 
 
-def _grow(cells: DataFrame, targets: DataFrame, bag: DataFrame, target: Target, numeric: Sequence[str], categorical: Sequence[str], how: Growth) -> DataFrame:
-    features = [*numeric, *categorical]
+def _grow(wide: DataFrame, targets: DataFrame, bag: DataFrame, target: Target, numeric: Sequence[str], categorical: Sequence[str], how: Growth) -> DataFrame:
+    features = sorted([*numeric, *categorical])
+    places = [*numeric, *categorical]
+    wide = cut(wide.select("case_id", *[F.col(f"`{c}`") for c in places]))
+    cells = to_cells(wide, "case_id", numeric, categorical)
+    here = not (how.unseen or how.vet or how.bins)
     m_try = min(len(features), how.m_try or len(features))
     if how.bins:
         cells = cut(binned(cells, how.bins))
@@ -116,24 +218,35 @@ def _grow(cells: DataFrame, targets: DataFrame, bag: DataFrame, target: Target,
         few = [f for f in categorical if counts.get(f, 0) <= splits.EXHAUSTIVE]
         many = [f for f in categorical if f not in few]
     if how.unseen:
-        trees = bag.select("tree").distinct()
+        trees = bag.select("tree").distinct()  # one row for each tree
         unseen = cut(targets.filter(F.expr(target.y).isNotNull()).join(trees).join(bag.select("tree", "case_id"), ["tree", "case_id"], "left_anti").withColumn("w", F.lit(1)))
-    assign, out, depth = cut(rows.withColumn("path", F.lit("*"))), None, 0
+    assign, out, depth, ends = cut(rows.withColumn("path", F.lit("*"))), None, 0, None
     while True:
         stats = assign.groupBy("tree", "path").agg(*[F.expr(e).cast("double").alias(k) for k, e in target.stats().items()])
         s = {k: F.col(k) for k in names}
         nodes = cut(stats.select("tree", "path", *names, target.impurity(s, m).alias("impurity"), target.prediction(s, m).cast("string").alias("pred")))
         if how.max_depth > 0 and depth >= how.max_depth:  # nothing is searched below the last level
             won = cells.sparkSession.createDataFrame([], "tree int, path string, feature string, threshold double, left array<string>, decrease double")
-            return cut(_level(nodes, won, out))
+            return cut(_whole(_level(nodes, won, out), ends, wide, target, numeric, categorical, few, how))
+        if here:  # smaller nodes are finished below, all together
+            small = nodes.filter(F.col("n") <= how.local_rows).select("tree", "path")
+            ended = assign.join(small, ["tree", "path"], "left_semi")
+            ends = ended if ends is None else ends.unionByName(ended)
+            nodes = nodes.filter(F.col("n") > how.local_rows)
+            assign = assign.join(small, ["tree", "path"], "left_anti")
         pure = F.lit(True) if target.score else F.col("impurity") > splits.MIN_GAIN
         active = nodes.filter((F.col("n") >= 2 * how.leaf) & pure)
         drawn = active.select("tree", "path", F.explode(F.array(*map(F.lit, features))).alias("feature"))
         if m_try < len(features):
-            seat = F.array_position(F.array(*map(F.lit, features)), F.col("feature"))
-            order = Window.partitionBy("tree", "path").orderBy(F.expr(hash_sql("seat", "abs(xxhash64(tree, path)) % 1000003", how.seed)), "feature")
-            drawn = drawn.withColumn("seat", seat).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= m_try).select("tree", "path", "feature")
-        found = _search(assign, drawn, cells, target, numeric, few, many, how, depth)
+            seat = F.array_position(F.array(*map(F.lit, places)), F.col("feature"))
+            drawn = drawn.withColumn("seat", seat).withColumn("_key", F.crc32(F.concat_ws(":", F.col("tree").cast("string"), "path"))).withColumn("_draw", F.expr(hash_sql("seat", "_key", how.seed)))
+            order = Window.partitionBy("tree", "path").orderBy("_draw", "feature")
+            if not how.force:
+                drawn = drawn.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= m_try)
+        found = _search(assign, drawn.select("tree", "path", "feature"), cells, target, numeric, few, many, how, depth)
+        if how.force and m_try < len(features):
+            open_ = found.select(*KEYS).distinct().join(drawn, KEYS).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= m_try)
+            found = found.join(open_.select(*KEYS), KEYS, "left_semi")
         if how.unseen or how.vet:
             found = cut(splits.best(found, KEYS, ["threshold", "left"]))
         if how.unseen:
@@ -145,7 +258,7 @@ def _grow(cells: DataFrame, targets: DataFrame, bag: DataFrame, target: Target,
         won = cut(splits.best(found, ["tree", "path"], ["feature", "threshold", "left"]).select("tree", "path", "feature", "threshold", "left", "decrease"))
         out = _level(nodes, won, out)
         if won.isEmpty():
-            return cut(out)
+            return cut(_whole(out, ends, wide, target, numeric, categorical, few, how))
         moved = assign.join(won, ["tree", "path"]).join(cells, ["case_id", "feature"], "left").withColumn("path", F.concat("path", side()))
         if not how.split_missing:
             moved = moved.filter("not endswith(path, 'M')")
@@ -153,6 +266,10 @@ def _grow(cells: DataFrame, targets: DataFrame, bag: DataFrame, target: Target,
         depth += 1
 
 
+def _whole(out: DataFrame, ends: DataFrame | None, wide: DataFrame, target: Target, numeric: Sequence[str], categorical: Sequence[str], few: Sequence[str], how: Growth) -> DataFrame:
+    return out if ends is None else out.unionByName(_finish(ends, wide, target, numeric, categorical, few, how))
+
+
 def _level(nodes: DataFrame, won: DataFrame, above: DataFrame | None) -> DataFrame:
     level = nodes.join(won, ["tree", "path"], "left").select("tree", "path", "feature", "threshold", "left", "pred", F.lit(1.0).alias("weight"), F.col("n").cast("long").alias("n"), "impurity", "decrease")
     return level if above is None else above.unionByName(level)
