@@ -4,11 +4,17 @@ Terms are the words of toxic documents that the labels single out. A word of a d
 letter disguises, inner signs dropped) and runs as an automaton of its spelling and an allowed number of errors down the
 trie; so it meets all terms within that distance in one walk, without a list of variants. A hit whose window of words
 opens a quotation before it and closes one behind it counts as quoted. The score is logistic in the hits: strongest and
-number of exact, of misspelled and of quoted ones. Terms are learned from one part of the training labels and the
-weights from the other; words near a term that clean documents of that part use are learned as harmless.
+number of exact, of misspelled and of quoted ones.
+
+Terms are learned from one part of the training labels and the weights from the other. Labels show few misspelled and
+quoted terms, so the weights are fitted on two variants of each toxic document besides itself: one whose terms are misspelled
+by an error each counts as toxic, one that only quotes its terms as not toxic. Words near a term that clean documents
+use are learned as harmless, and a term that ``most_near`` of them are near to is matched without errors only.
 
 What is learned from is bounded: ``most_rows`` labelled documents of each label, taken by a hash of their ids, and
-``most_terms`` terms. Both are broadcast, under these bounds. Scoring covers every whole document.
+``most_terms`` terms. Both are broadcast, under these bounds; harmless words are words of those documents. Equal texts of a label
+are learned from once, so the model doesn't depend on partitions. Scoring covers every whole document. Words of four letters
+or fewer match exactly only; up to eight letters may have one error, longer ones two.
 
 Defined results: null and blank texts have no hits and get the score of a document without hits. Without labels of both
 kinds every score is the share of toxic labels (0.5 without labels). Repeated rows are scored each. Extra columns are ignored.
@@ -27,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .labels import held_out, training_labels
 
 _DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e"})
@@ -43,7 +50,25 @@ def fold(word: str) -> str:
 
 def allowed(length: int) -> int:
     """Errors that a word of so many letters may have."""
-    return 0 if length < 5 else 1
+    return 0 if length < 5 else 1 if length < 9 else 2
+
+
+def misspelled(word: str) -> str:
+    """``word`` with one error inside, chosen by its hash: a letter left out, doubled or replaced."""
+    n, h = len(word), zlib.crc32(word.encode())
+    if n < 3:
+        return word
+    i = 1 + h % (n - 2)
+    put = ("", word[i] * 2, "x" if word[i] != "x" else "y")[h // 64 % 3]
+    return word[:i] + put + word[i + 1 :]
+
+
+def _letters(word: str) -> int:
+    """The set of letters as bits."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) % 64)
+    return out
 
 
 _END = ""
@@ -104,6 +129,7 @@ def intersect(trie: dict, word: str, errors: int) -> list[tuple[str, float, int]
 class ToxicityModel:
     terms: dict[str, float] = field(default_factory=dict)
     harmless: frozenset[str] = frozenset()
+    crowded: frozenset[str] = frozenset()
     weights: np.ndarray | None = None
     prior: float = 0.5
     most_kept: int = 300_000
@@ -112,20 +138,31 @@ class ToxicityModel:
         self._trie, self._seen = None, {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_trie", "_seen", "_heads", "_tails")}
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
         self._trie, self._seen = None, {}
 
+    def _prepare(self) -> None:
+        whole = [t for t in self.terms if not t.endswith("*") and t not in self.crowded]
+        self._trie = build_trie({t: self.terms[t] for t in whole})
+        self._heads, self._tails = ({f(t, k) for t in whole for k in range(1, len(t) + 1)} for f in (lambda t, k: t[:k], lambda t, k: t[-k:]))
+        self._masks, self._lengths = np.array([_letters(t) for t in whole], np.uint64), np.array([len(t) for t in whole], np.int64)
+
+    def _may_match(self, w: str, errors: int) -> bool:
+        """Whether the automaton can meet a term at all: one error leaves a half of the word as it is, an error changes two of the letters used at most."""
+        if errors == 1:
+            half = max(1, (len(w) - 1) // 2)
+            return w[:half] in self._heads or w[-half:] in self._tails
+        return bool(((np.bitwise_count(self._masks ^ np.uint64(_letters(w))) <= 2 * errors) & (np.abs(self._lengths - len(w)) <= errors)).any())
+
     def match(self, word: str) -> tuple[float, int, str] | None:
         """(weight, distance, folded word) of the nearest, then strongest term."""
         if word in self._seen:
             return self._seen[word]
         if self._trie is None:
-            self._trie = build_trie(self.terms)
-            whole = [t for t in self.terms if not t.endswith("*")]
-            self._heads, self._tails = ({f(t, k) for t in whole for k in range(1, len(t) + 1)} for f in (lambda t, k: t[:k], lambda t, k: t[-k:]))
+            self._prepare()
         if len(self._seen) > self.most_kept:
             self._seen.clear()
         w, out = fold(word), None
@@ -133,20 +170,28 @@ class ToxicityModel:
             if known := [x for t in spellings(w) if (x := self.terms.get(t)) is not None]:
                 out = (max(known), 0, w)
             elif w not in self.harmless:
-                # one error leaves the first half of the word or the last one as it is
-                half = max(1, (len(w) - 1) // 2)
                 errors = allowed(len(w))
-                hits = intersect(self._trie, w, errors) if errors and (errors > 1 or w[:half] in self._heads or w[-half:] in self._tails) else ()
+                hits = intersect(self._trie, w, errors) if errors and self._may_match(w, errors) else ()
                 if hits:
                     out = (max(h[1] for h in hits), min(h[2] for h in hits), w)
         self._seen[word] = out
         return out
 
-    def features(self, text: str, near: Counter | None = None) -> list[float]:
-        words = text.split()
+    def near(self, w: str) -> list[str]:
+        """The terms that the folded word ``w`` is near to, but isn't."""
+        if self._trie is None:
+            self._prepare()
+        errors = allowed(len(w))
+        if not errors or any(t in self.terms for t in spellings(w)) or not self._may_match(w, errors):
+            return []
+        return [t for t, _, _ in intersect(self._trie, w, errors)]
+
+    def features(self, text: str) -> list[float]:
+        return self.word_features(text.split())
+
+    def word_features(self, words: list[str]) -> list[float]:
         exact, fuzzy, quoted = {}, {}, 0
-        match = self.match
-        for i, h in enumerate(map(match, words)):
+        for i, h in enumerate(map(self.match, words)):
             if h is None:
                 continue
             if in_quotation(words, i):
@@ -155,11 +200,18 @@ class ToxicityModel:
                 exact[h[2]] = h[0]
             else:
                 fuzzy[h[2]] = h[0]
-            if near is not None and h[1]:
-                near[h[2]] += 1
         top = lambda hits: max(hits.values(), default=0.0) ** 2 / 10
         return [1.0, top(exact), math.log1p(len(exact)), top(fuzzy), math.log1p(len(fuzzy)), math.log1p(quoted)]
 
+    def variants(self, text: str) -> list[list[str]]:
+        """The words of ``text`` with its terms misspelled, and with its terms quoted; none if it has no term that may be misspelled."""
+        words = text.split()
+        hits = [h is not None and h[1] == 0 for h in map(self.match, words)]
+        if not any(h and allowed(len(fold(w))) for w, h in zip(words, hits, strict=True)):
+            return []
+        wrong = [misspelled(fold(w)) if h and allowed(len(fold(w))) else w for w, h in zip(words, hits, strict=True) if not h or allowed(len(fold(w)))]
+        return [wrong, [f'"{fold(w)}"' if h else w for w, h in zip(words, hits, strict=True)]]
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(x), self.prior)
@@ -184,9 +236,8 @@ def in_quotation(words: list[str], i: int, window: int = WINDOW) -> bool:
     return False
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic weights with a ridge penalty, a toxic row counting thrice; unquoted hits never count for less than nothing."""
-    share = np.where(y == 1, 3.0, 1.0)
+def _fit(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic weights of rows that count ``share`` each, with a ridge penalty; unquoted hits never count for less than nothing."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-3
@@ -206,7 +257,7 @@ def _texts(column: pa.Array) -> Iterator[str]:
     return (t.as_py() or "" for t in column)
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_terms: int = 5_000, least_documents: int = 4, least_odds: float = 3.0) -> ToxicityModel:
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_terms: int = 5_000, least_documents: int = 4, least_odds: float = 3.0, most_near: int = 4) -> ToxicityModel:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     known = training_labels(labels, "toxic").withColumn("h", F.xxhash64("doc_id"))
     part = F.pmod(F.col("h"), F.lit(4)) == 0
@@ -217,15 +268,13 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_term
     if len(counts) < 2:
         return ToxicityModel(prior=prior)
     # at most 2 * most_rows rows of three small columns
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "y", "weigh")
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = cut(met.filter("text is not null").groupBy("text", "y").agg(F.min("weigh").alias("weigh")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toxic, clean, around, n, seen = Counter(), Counter(), Counter(), [0, 0], set()
+            toxic, clean, around, n = Counter(), Counter(), Counter(), [0, 0]
             for text, y in zip(_texts(b.column(0)), b.column(1).to_pylist(), strict=True):
-                if (k := hash(text)) in seen:  # copies count once
-                    continue
-                seen.add(k)
                 n[y] += 1
                 words = [fold(w) for w in text.split()]
                 if not y:
@@ -246,35 +295,61 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_term
             yield pa.RecordBatch.from_arrays([pa.array([*terms, ""], pa.string()), pa.array([*(toxic[t] for t in terms), n[1]], pa.int64()), pa.array([*(clean[t] for t in terms), n[0]], pa.int64()), pa.array([*(around[t] for t in terms), 0], pa.int64())], names=["term", "t", "c", "around"])
 
     counted = rows.filter("not weigh").select("text", "y").mapInArrow(count, "term string, t long, c long, around long")
-    sums = counted.groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.expr("bit_count(bit_or(around))").alias("contexts"))
+    sums = cut(counted.groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.expr("bit_count(bit_or(around))").alias("contexts")))
     n = sums.filter("term = ''").first()
     if n is None or not n["t"]:
         return ToxicityModel(prior=prior)
-    odds = F.log((F.col("t") + 0.5) / (n["t"] + 1.0)) - F.log((F.col("c") + 0.5) / (n["c"] + 1.0))
-    # the words of near copies have the same neighbours in all of them; a term's neighbours differ
-    varied = "contexts >= 3 and contexts >= 0.5 * 63 * (1 - exp(-t / 63))"
-    chosen = sums.filter(f"term <> '' and t >= {least_documents} and {varied}").withColumn("w", odds).filter(F.col("w") >= least_odds)
+    # the words of near copies have the same neighbours in all of them; so a term counts by its different neighbours
+    seen = F.least(F.col("t").cast("double"), -63 * F.log(1 - F.least("contexts", F.lit(62)) / 63.0))
+    odds = F.log((F.col("seen") + 0.5) / (n["t"] + 1.0)) - F.log((F.col("c") + 0.5) / (n["c"] + 1.0))
+    varied = "seen >= 0.75 * t or contexts >= 48"
+    chosen = sums.withColumn("seen", seen).filter(f"term <> '' and seen >= {least_documents} and ({varied})").withColumn("w", odds).filter(F.col("w") >= least_odds)
     terms = {r["term"]: r["w"] for r in chosen.orderBy(F.desc(F.col("w") * F.sqrt("t")), "term").limit(most_terms).collect()}
+    def credit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: Counter = Counter()
+            for text in _texts(b.column(0)):
+                words = {tuple(t for t in spellings(w) if t in terms) for w in set(map(fold, text.split())) if len(w) > 2} - {()}
+                for t in {t for ts in words for t in ts}:
+                    found[t] += 1 / len(words)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.string()), pa.array(list(found.values()), pa.float64())], names=["term", "n"])
+
+    # the words of a copied document go along with dozens of others in each of its copies, a term with a few; at most most_terms rows
+    alone = rows.filter("y = 1 and not weigh").select("text").mapInArrow(credit, "term string, n double").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_documents / 8)
+    kept = {r["term"] for r in alone.collect()}
+    terms = {t: w for t, w in terms.items() if t in kept}
     draft = ToxicityModel(terms, prior=prior)
 
+    def nearby(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {(w, t, weigh) for text, weigh in zip(_texts(b.column(0)), b.column(1).to_pylist(), strict=True) for w in set(map(fold, text.split())) for t in draft.near(w)}
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.bool_()))], names=["word", "term", "weigh"])
+
+    # words of the bounded sample that are near a term
+    near = [tuple(r) for r in rows.filter("y = 0").select("text", "weigh").mapInArrow(nearby, "word string, term string, weigh boolean").distinct().collect()]
+
+    def guarded_by(found: list[tuple[str, str]], weights: np.ndarray | None = None) -> ToxicityModel:
+        crowd = Counter(t for _, t in set(found))
+        return ToxicityModel(terms, frozenset(w for w, _ in found), frozenset(t for t, k in crowd.items() if k >= most_near), weights, prior)
+
+    guarded, final = guarded_by([(w, t) for w, t, weigh in near if not weigh]), [(w, t) for w, t, _ in near]
+
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            xs, ys, words = [], [], []
+            xs, ys, ws = [], [], []
             for text, y in zip(_texts(b.column(0)), b.column(1).to_pylist(), strict=True):
-                near = Counter()
-                xs.append(draft.features(text, near))
-                ys.append(y)
-                words.append([] if y else sorted(near)[:100])
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.int32()), pa.array(words, pa.list_(pa.string()))], names=["x", "y", "near"])
-
-    # a few numbers for each of the bounded sample's rows
-    got = rows.filter("weigh").select("text", "y").mapInArrow(weigh, "x array<double>, y int, near array<string>").collect()
-    y = np.array([r["y"] for r in got], float)
-    if not len(y) or not 0 < y.sum() < len(y):
-        return ToxicityModel(terms, prior=prior, weights=np.array([-3.0, 1.0, 1.0, 0.5, 0.5, 0.0]))
-    harmless = frozenset(w for r in got for w in r["near"])
-    x = np.array([r["x"] for r in got])
-    return ToxicityModel(terms, harmless, _fit(x, y), prior)
+                rows = [(guarded.features(text), y, 3.0 if y else 1.0)]
+                rows += [(guarded.word_features(words), as_if, 0.5) for words, as_if in zip(guarded.variants(text) if y else (), (1, 0), strict=False)]
+                for out, values in zip((xs, ys, ws), zip(*rows, strict=True), strict=True):
+                    out += values
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.int32()), pa.array(ws, pa.float64())], names=["x", "y", "w"])
+
+    # a few numbers for each of the bounded sample's texts; equal ones are added up
+    got = rows.filter("weigh").select("text", "y").mapInArrow(weigh, "x array<double>, y int, w double").groupBy("x", "y").agg(F.sum("w").alias("w")).collect()
+    table = np.array(sorted((*r["x"], r["y"], r["w"]) for r in got))
+    if len(table) == 0 or len(set(table[:, -2])) < 2:
+        return guarded_by(final, np.array([-3.0, 1.0, 1.0, 0.5, 0.5, 0.0]))
+    return guarded_by(final, _fit(table[:, :-2], table[:, -2], table[:, -1]))
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
