@@ -1,15 +1,19 @@
 """Derivatives of WARC responses: for each a metadata and a plain-text conversion record that refer to it.
 
 Record ids are UUIDs made of digests, so reruns agree and a lost task makes the same records again. Everything is one
-projection and one explode in SQL functions; there is no shuffle.
+projection and one explode in SQL functions; there is no shuffle. Source records come from a table of pages or from WARC files.
 
-Defined results: a null or empty payload gives an empty conversion block, a null URI or null headers are empty. Repeated rows give
+Defined results: a null or empty payload gives an empty conversion block, a null URI or null headers are empty. Line ends inside a URI are
+percent-encoded, so they cannot end a header. A derivative has the date of its source record, or ``date`` where that has none.
+Entities are those of HTML 4 and numeric ones; a number that is no character becomes U+FFFD, an unknown name stays. Repeated rows give
 records with the same ids. An empty table gives none. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from html.entities import name2codepoint
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: (pattern, replacement), applied in this order: what isn't shown, block ends, other tags; then plain replacements; then white space.
@@ -19,9 +23,34 @@ HTML_PATTERNS = (
     (r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)(?:[ \t\r\n/][^>]*)?>", "\n"),
     (r"<[^>]*>", ""),
 )
-ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
-WHITE_SPACE = ((r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"))
-RECORD_COLUMNS = ("record_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "refers_to_digest", "headers", "block")
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8}[0-9]{0,2});"
+WHITE_SPACE = ((r"[ \t\r\f\x{00A0}]+", " "), (r" ?\n[ \n]*", "\n"))
+#: The date of derivatives whose source has none.
+DATE = "1970-01-01T00:00:00Z"
+RECORD_COLUMNS = ("record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "refers_to_digest", "headers", "block")
+
+
+def _character(code: Column) -> Column:
+    """The character of a number."""
+    real = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(real, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+
+
+def _decoded(entity: Column) -> Column:
+    """What an entity stands for; an unknown one for itself."""
+    named = F.create_map(*[F.lit(x) for name in sorted(name2codepoint) for x in (name, chr(name2codepoint[name]))])
+    inner = F.substring(entity, 2, 9)
+    name = F.element_at(named, F.regexp_replace(inner, ";$", ""))
+    number = F.when(inner.rlike("^#[xX]"), F.conv(F.regexp_extract(inner, "([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(inner, "([0-9]+);", 1))
+    return F.when(inner.startswith("#"), _character(F.when(inner.startswith("#"), number).otherwise("0").cast("long"))).otherwise(F.coalesce(name, entity))
+
+
+def unescape(text: Column) -> Column:
+    """``text`` with its entities decoded once: each different one is replaced everywhere, those of the ampersand last."""
+    found = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), 0)), lambda e: F.struct(e.alias("e"), _decoded(e).alias("c")))
+    put = lambda t, pairs: F.aggregate(pairs, t, lambda acc, p: F.replace(acc, p["e"], p["c"]))
+    ordered = F.concat(F.filter(found, lambda p: p["c"] != "&"), F.filter(found, lambda p: p["c"] == "&"))
+    return F.when(F.contains(text, F.lit("&")), put(text, ordered)).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
@@ -29,8 +58,8 @@ def plain_text(html: Column) -> Column:
     out = html
     for pattern, put in HTML_PATTERNS:
         out = F.regexp_replace(out, pattern, put)
-    for find, put in ENTITIES:
-        out = F.replace(out, F.lit(find), F.lit(put))
+    # the stripped text is looked at several times
+    out = F.get(F.transform(F.array(out), unescape), F.lit(0))
     for pattern, put in WHITE_SPACE:
         out = F.regexp_replace(out, pattern, put)
     return F.trim(out, F.lit(" \n"))
@@ -46,23 +75,48 @@ def _uuid(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
+def _one_line(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
 def responses(pages: DataFrame) -> DataFrame:
-    """page_id, record_id, target_uri, http_headers, payload, payload_digest: a response for each row of ``pages`` (page_id, url, html)."""
+    """page_id, record_id, target_uri, date, http_headers, payload, payload_digest: a response for each row of ``pages`` (page_id, url, html)."""
     url, html = F.coalesce(F.col("url").cast("string"), F.lit("")), F.coalesce(F.col("html").cast("string"), F.lit(""))
     digest = F.concat(F.lit("sha256:"), F.sha2(html, 256))
     record_id = _uuid(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), url, digest)
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), record_id.alias("record_id"), url.alias("target_uri"), F.lit("Content-Type: text/html; charset=utf-8").alias("http_headers"), html.alias("payload"), digest.alias("payload_digest"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), record_id.alias("record_id"), url.alias("target_uri"), F.lit(None).cast("string").alias("date"), F.lit("Content-Type: text/html; charset=utf-8").alias("http_headers"), html.alias("payload"), digest.alias("payload_digest"))
+
+
+def _field(headers: Column, name: str) -> Column:
+    return F.nullif(F.regexp_extract(headers, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
+
 
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """The response records of WARC files (plain or gzipped), as ``responses`` gives them, without page_id.
 
-def derivatives(source: DataFrame) -> DataFrame:
-    """``source`` (page_id, record_id, target_uri, http_headers, payload, payload_digest) as page_id and RECORD_COLUMNS."""
-    text = source.withColumns({"text": plain_text(F.coalesce("payload", F.lit(""))), "title": title(F.coalesce("payload", F.lit(""))), "uri": F.coalesce("target_uri", F.lit("")), "http": F.coalesce("http_headers", F.lit(""))})
+    A record begins at a version line behind an empty one; its block is cut to its Content-Length. Status line and
+    headers of the HTTP message are the source headers, what follows them is the payload. A record without a payload digest gets the
+    SHA-256 of its payload.
+    """
+    at = F.expr("instr(value, '\r\n\r\n')")
+    parts = spark.read.text(path, lineSep="\r\n\r\nWARC/1.").filter(at > 0).select(F.expr("substring(value, 1, instr(value, '\r\n\r\n') - 1)").alias("head"), F.expr("substring(cast(value as binary), octet_length(substring(value, 1, instr(value, '\r\n\r\n') + 3)) + 1)").alias("rest"))
+    block = parts.withColumn("length", F.coalesce(_field(F.col("head"), "Content-Length").cast("int"), F.octet_length("rest"))).withColumn("block", F.expr("substring(rest, 1, length)").cast("string"))
+    found = block.filter(F.lower(_field(F.col("head"), "WARC-Type")) == "response")
+    split = F.expr("instr(block, '\r\n\r\n')")
+    message = found.withColumn("http", F.when(split > 0, F.expr("substring(block, 1, instr(block, '\r\n\r\n') - 1)")).otherwise("")).withColumn("payload", F.when(split > 0, F.expr("substring(block, instr(block, '\r\n\r\n') + 4)")).otherwise(F.col("block")))
+    digest = F.coalesce(_field(F.col("head"), "WARC-Payload-Digest"), F.concat(F.lit("sha256:"), F.sha2("payload", 256)))
+    return message.select(F.lit(None).cast("long").alias("page_id"), _field(F.col("head"), "WARC-Record-ID").alias("record_id"), _field(F.col("head"), "WARC-Target-URI").alias("target_uri"), _field(F.col("head"), "WARC-Date").alias("date"), F.col("http").alias("http_headers"), "payload", digest.alias("payload_digest"))
+
+
+def derivatives(source: DataFrame, date: str = DATE) -> DataFrame:
+    """``source`` (page_id, record_id, target_uri, date, http_headers, payload, payload_digest) as page_id and RECORD_COLUMNS."""
+    text = source.withColumns({"text": plain_text(F.coalesce("payload", F.lit(""))), "title": title(F.coalesce("payload", F.lit(""))), "uri": _one_line(F.coalesce("target_uri", F.lit(""))), "http": F.coalesce("http_headers", F.lit(""))})
     fields = F.concat(F.lit("title: "), F.col("title"), F.lit("\r\npayload-length: "), F.octet_length(F.coalesce("payload", F.lit(""))).cast("string"), F.lit("\r\ntext-length: "), F.octet_length("text").cast("string"), F.lit("\r\n"), F.when(F.col("http") == "", "").otherwise(F.concat(F.regexp_replace("http", r"(?m)^", "source-"), F.lit("\r\n"))))
     kinds = F.array(F.struct(F.lit("metadata").alias("t"), F.lit("application/warc-fields").alias("c"), fields.alias("b")), F.struct(F.lit("conversion").alias("t"), F.lit("text/plain; charset=utf-8").alias("c"), F.col("text").alias("b")))
-    rows = text.select("page_id", F.col("record_id").alias("refers_to"), F.col("uri").alias("target_uri"), F.col("payload_digest").alias("refers_to_digest"), F.explode(kinds).alias("k"))
-    rows = rows.select("page_id", F.col("k.t").alias("record_type"), "refers_to", "target_uri", F.col("k.c").alias("content_type"), F.col("k.b").alias("block"), "refers_to_digest")
+    rows = text.select("page_id", F.col("record_id").alias("refers_to"), F.col("uri").alias("target_uri"), F.coalesce("date", F.lit(date)).alias("warc_date"), F.col("payload_digest").alias("refers_to_digest"), F.explode(kinds).alias("k"))
+    rows = rows.select("page_id", F.col("k.t").alias("record_type"), "refers_to", "target_uri", "warc_date", F.col("k.c").alias("content_type"), F.col("k.b").alias("block"), "refers_to_digest")
     rows = rows.withColumns({"record_id": _uuid(F.col("record_type"), F.col("refers_to")), "content_length": F.octet_length("block").cast("long"), "block_digest": F.concat(F.lit("sha256:"), F.sha2("block", 256))})
-    lines = [("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Block-Digest", "block_digest"), ("WARC-Refers-To-Payload-Digest", "refers_to_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
+    lines = [("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "warc_date"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Block-Digest", "block_digest"), ("WARC-Refers-To-Payload-Digest", "refers_to_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
     headers = F.concat(F.lit("WARC/1.1\r\n"), *[F.concat(F.lit(f"{k}: "), F.col(c).cast("string"), F.lit("\r\n")) for k, c in lines])
     return rows.withColumn("headers", headers).select("page_id", *RECORD_COLUMNS)
 
@@ -86,24 +140,31 @@ def oracle_sql() -> str:
     text = "payload"
     for pattern, put in HTML_PATTERNS:
         text = f"regexp_replace({text}, {_sql_text(pattern)}, {_sql_text(put)}, 'g')"
-    for find, put in ENTITIES:
-        text = f"replace({text}, {_sql_text(find)}, {_sql_text(put)})"
+    tidy = "u"
     for pattern, put in WHITE_SPACE:
-        text = f"regexp_replace({text}, {_sql_text(pattern)}, {_sql_text(put)}, 'g')"
+        tidy = f"regexp_replace({tidy}, {_sql_text(pattern)}, {_sql_text(put)}, 'g')"
+    names = ", ".join(f"({_sql_text('&' + n + ';')}, {c})" for n, c in sorted(name2codepoint.items()))
+    code = f"""CASE WHEN e LIKE '&#x%' OR e LIKE '&#X%' THEN CAST('0x' || e[4:-2] AS BIGINT) WHEN e LIKE '&#%' THEN CAST(e[3:-2] AS BIGINT) ELSE (SELECT c FROM names WHERE n = e) END"""
     uuid = lambda h: f"'<urn:uuid:' || substr({h},1,8) || '-' || substr({h},9,4) || '-' || substr({h},13,4) || '-' || substr({h},17,4) || '-' || substr({h},21,12) || '>'"
     nl, crlf = "chr(10)", "chr(13) || chr(10)"
     return f"""
-WITH s AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
-d AS (SELECT *, 'sha256:' || sha256(payload) AS refers_to_digest FROM s),
-r AS (SELECT *, md5('response' || {nl} || coalesce(CAST(page_id AS VARCHAR), '') || {nl} || target_uri || {nl} || refers_to_digest) AS h,
-  trim({text}, ' ' || {nl}) AS txt, trim(regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>([^<]*)', 1), '[ \\t\\r\\n\\f]+', ' ', 'g'), ' ') AS title FROM d),
+WITH names(n, c) AS (VALUES {names}),
+s AS (SELECT row_number() OVER () AS i, page_id, coalesce(url, '') AS url, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT *, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS target_uri, 'sha256:' || sha256(payload) AS refers_to_digest, {text} AS bare FROM s),
+e AS (SELECT DISTINCT unnest(regexp_extract_all(bare, {_sql_text(ENTITY)})) AS e FROM d),
+f AS (SELECT e, {code} AS c FROM e),
+g AS (SELECT e, CASE WHEN c IS NULL THEN e WHEN c > 0 AND c < 1114112 AND NOT c BETWEEN 55296 AND 57343 THEN chr(CAST(c AS INTEGER)) ELSE chr(65533) END AS c FROM f),
+l AS (SELECT coalesce(list({{'e': e, 'c': c}} ORDER BY c = '&'), []) AS pairs FROM g),
+t AS (SELECT d.*, list_reduce([{{'e': bare, 'c': ''}}] || pairs, lambda a, p: {{'e': replace(a.e, p.e, p.c), 'c': ''}}).e AS u FROM d CROSS JOIN l),
+r AS (SELECT *, md5('response' || {nl} || coalesce(CAST(page_id AS VARCHAR), '') || {nl} || url || {nl} || refers_to_digest) AS h,
+  trim({tidy}, ' ' || {nl}) AS txt, trim(regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>([^<]*)', 1), '[ \\t\\r\\n\\f]+', ' ', 'g'), ' ') AS title FROM t),
 i AS (SELECT *, {uuid("h")} AS refers_to FROM r),
 k AS (SELECT page_id, refers_to, target_uri, refers_to_digest, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
   'title: ' || title || {crlf} || 'payload-length: ' || strlen(payload) || {crlf} || 'text-length: ' || strlen(txt) || {crlf} || 'source-Content-Type: text/html; charset=utf-8' || {crlf} AS block FROM i
   UNION ALL SELECT page_id, refers_to, target_uri, refers_to_digest, 'conversion', 'text/plain; charset=utf-8', txt FROM i),
 m AS (SELECT *, md5(record_type || {nl} || refers_to) AS h, CAST(strlen(block) AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest FROM k),
 n AS (SELECT *, {uuid("h")} AS record_id FROM m)
-SELECT page_id, record_type, record_id, refers_to, target_uri, content_type, content_length, block_digest, refers_to_digest,
-  'WARC/1.1' || {crlf} || 'WARC-Type: ' || record_type || {crlf} || 'WARC-Record-ID: ' || record_id || {crlf} || 'WARC-Refers-To: ' || refers_to || {crlf} || 'WARC-Target-URI: ' || target_uri || {crlf}
+SELECT page_id, record_type, record_id, refers_to, target_uri, '{DATE}' AS warc_date, content_type, content_length, block_digest, refers_to_digest,
+  'WARC/1.1' || {crlf} || 'WARC-Type: ' || record_type || {crlf} || 'WARC-Record-ID: ' || record_id || {crlf} || 'WARC-Date: {DATE}' || {crlf} || 'WARC-Refers-To: ' || refers_to || {crlf} || 'WARC-Target-URI: ' || target_uri || {crlf}
   || 'WARC-Block-Digest: ' || block_digest || {crlf} || 'WARC-Refers-To-Payload-Digest: ' || refers_to_digest || {crlf} || 'Content-Type: ' || content_type || {crlf} || 'Content-Length: ' || content_length || {crlf} AS headers, block
 FROM n"""
