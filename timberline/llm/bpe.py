@@ -63,6 +63,7 @@ class BpeCodec:
             self.ranks.setdefault(vocab[a] << 20 | vocab[b], rank)
             self.merged.append((vocab[a], vocab[b], vocab[a + b]))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.marks = sorted({t[:2] for t in self.special})
         self.ids: dict[str, bytes] = {}
         self.texts: dict[str, str] = {}
         self._fixed()
@@ -73,7 +74,7 @@ class BpeCodec:
 
     def words(self, text: str) -> list[str]:
         """The pre-tokens of a text; a special token has a space before it, which no other word has."""
-        if self.cut is None or "<|" not in text:
+        if self.cut is None or not any(m in text for m in self.marks):
             return self._plain(text)
         out: list[str] = []
         for part in self.cut.split(text):

@@ -92,20 +92,33 @@ def pivotal_round(items: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFr
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies of each row of ``docs`` (doc_id, text, source)."""
+    """doc_id, size, source_size, target, taken, copies of each row of ``docs`` (doc_id, text, source).
+
+    Rows are told apart by a key of their own, so equal ids don't meet in one block.
+    """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
+    counted = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
+    rows = keyed_rows(counted.withColumn("text", F.concat_ws(" ", "source", "size")))
+    sizes = rows.select("source", "size", F.col(ROW).alias("key"), "doc_id")
     targets = cut(source_targets(sizes, weights, share, most))
     named = targets.withColumnRenamed("source", "own")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     full = F.floor(rate + 1e-12)
     p = F.greatest(rate - full, F.lit(0.0))
-    rated = sizes.join(named, F.col("source").eqNullSafe(F.col("own"))).select("source", "doc_id", "size", full.alias("full"), p.alias("p"))
+    rated = sizes.join(named, F.col("source").eqNullSafe(F.col("own"))).select("source", "key", "size", full.alias("full"), p.alias("p"))
     split = (F.col("size") > 0) & (F.col("p") > 1e-12)
-    rounded = pivotal_round(rated.filter(split).select(F.col("source").alias("grp"), "doc_id", "size", "p"), seed)
-    ups = rated.filter(~split).select("source", "doc_id", "size", F.lit(0).cast("long").alias("up")).unionByName(rounded.withColumnRenamed("grp", "source"))
+    rounded = pivotal_round(rated.filter(split).select(F.col("source").alias("grp"), F.col("key").alias("doc_id"), "size", "p"), seed)
+    ups = rated.filter(~split).select("source", "key", "size", F.lit(0).cast("long").alias("up")).unionByName(rounded.withColumnsRenamed({"grp": "source", "doc_id": "key"}))
     back = named.withColumn("full", full)
-    return ups.join(back, F.col("source").eqNullSafe(F.col("own"))).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("full") + F.col("up"))).cast("long").alias("taken"), (F.col("full") + F.col("up")).cast("int").alias("copies"))
+    taken = ups.join(back, F.col("source").eqNullSafe(F.col("own"))).select("key", "size", "source_size", "target", (F.col("size") * (F.col("full") + F.col("up"))).cast("long").alias("taken"), (F.col("full") + F.col("up")).cast("int").alias("copies"))
+    if _keys_are_ids(rows):
+        return taken.withColumnRenamed("key", "doc_id")
+    return taken.join(sizes.select("key", "doc_id"), "key").select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def _keys_are_ids(rows: DataFrame) -> bool:
+    """Whether no row's key differs from its doc_id."""
+    return rows.filter(~F.col(ROW).eqNullSafe(F.col("doc_id"))).isEmpty()
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ determinants, by Cholesky factors that are computed once.
 
 Defined results: null and blank texts are scored like any other, by their zero statistics. Labels of documents that
 don't exist are ignored, repeated documents count as often as they occur. Where the labels have fewer than two classes,
-or a class has fewer rows than statistics, every score is the share of label 1 (0.5 without labels). Extra columns are ignored.
+every score is the share of label 1 (0.5 without labels); a class of few rows has mostly the pooled variances. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,7 +125,7 @@ def fit_discriminant(labelled: DataFrame, shrinkage: float = 0.1, floor: float =
     rows = {r["y"]: r for r in labelled.groupBy("y").agg(F.count("*").alias("n"), *sums).collect()}
     n = [rows[k]["n"] if k in rows else 0 for k in (0, 1)]
     prior = n[1] / sum(n) if sum(n) else 0.5
-    if min(n) <= d:
+    if not min(n):
         return Discriminant(prior)
     means, covs = [], []
     for k in (0, 1):

@@ -11,7 +11,7 @@ documents makes one row for each batch and not one for each occurrence.
 
 Defined results: null or blank texts have no words, nothing removed, and the SHA-256 of the empty string. Rows that share
 a doc_id count as texts that start at the same place: an equal window at the same position is not an earlier one, so
-repeated rows keep what one of them keeps. A null doc_id comes before all others; such rows are taken together. Extra
+repeated rows keep what one of them keeps. Rows without doc_id come behind all others, each as a document of its own. Extra
 columns are ignored. An empty table gives an empty result.
 """
 
@@ -26,16 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, as_bytes, grams, hashed_words, keyed_rows, mix
+from .common import ROW, as_bytes, cut, grams, hashed_words, keyed_rows, mix
 
 _PROBE = "key long, doc long, at long"
 _MARK = "doc long, at long"
-#: Stands for a null doc_id: it sorts first.
-_NULL_ID = -(1 << 63)
+#: Added to a row's key where it stands for a null doc_id.
+_NO_ID = 1 << 62
 
 
 def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(_NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _check(hashes: np.ndarray) -> np.ndarray:
@@ -294,15 +294,22 @@ def substring_dedup(docs: DataFrame, window: int = 20, levels: int = 1, keep_tex
     if window - base >= _MOST:
         raise ValueError(f"window minus base window must be below {_MOST}")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = own.withColumn("doc", F.coalesce("doc_id", F.lit(_NULL_ID)))
-    probes = own.mapInArrow(_base_rows(base, window), _PROBE)
+    if own.filter("doc_id is null").isEmpty():
+        keyed = own.withColumn("doc", F.col("doc_id"))
+    else:
+        keyed = keyed_rows(own).select("doc_id", "text", F.coalesce("doc_id", F.col(ROW) + _NO_ID).alias("doc"))
+    probes = keyed.select("doc", "text").mapInArrow(_base_rows(base, window), _PROBE)
     marks = probes.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, _MARK)
     for level in range(1, levels + 1):
         final = level == levels
         size = base << level
-        held = keyed.join(_by_doc(marks), "doc", "left").filter("marks is not null").select("doc_id", "text", "marks")
+        held = keyed.join(_by_doc(marks), "doc", "left").filter("marks is not null").select("doc", "text", "marks")
         probes = held.mapInArrow(_window_rows(size, final), _PROBE).repartition("key").sortWithinPartitions("key")
         marks = probes.mapInArrow(_later if final else _repeated, _MARK)
+        if not final:  # the search ends where no candidate is left
+            marks = cut(marks)
+            if marks.isEmpty():
+                break
     found = keyed.join(_by_doc(marks), "doc", "left").select("doc_id", "text", "marks")
     return found.mapInArrow(_cut_words(window, keep_text), "doc_id long, n_words long, n_removed long, kept string")
 
