@@ -85,3 +85,32 @@ def test_stages_with_messy_documents(spark):
         assert stage(d).columns == d.columns
         assert stage(d.limit(0)).count() == 0
         stage(d).collect()
+
+
+def test_rows_without_id_are_documents_of_their_own(spark):
+    words = " ".join(f"p{i}" for i in range(30))
+    rows = [(None, f"{words} own{i}", "s", 1) for i in range(6)] + [(1, words, "s", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    assert sorted(r["n_removed"] for r in substring.query(d).collect()) == [0] + [30] * 6
+    mixed = mixing.query(d).collect()
+    assert len(mixed) == 7 and sum(r["doc_id"] is None for r in mixed) == 6
+    assert sorted(r["n_chars"] for r in fingerprints.query(d).collect()) == sorted(len(r[1]) for r in rows)
+
+
+def test_warc_records(spark, tmp_path):
+    rows = [(1, "http://a/\r\nX: y", "a &eacute; &#8217;&#x27; &amp;lt; &lt;b&gt; &bogus; &#0; &nbsp;x&amp;#65;"), (2, "http://b/", "<p>" + "long &amp; " * 50_000 + "</p>")]
+    made = warc.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    text = {r["page_id"]: r["block"] for r in made if r["record_type"] == "conversion"}
+    assert text[1] == "a é ’' &lt; <b> &bogus; � x&#65;" and text[2].count("&") == 50_000
+    for r in made:
+        lines = r["headers"].rstrip("\r\n").split("\r\n")
+        assert lines[0] == "WARC/1.1" and all(": " in x for x in lines[1:]) and "X: y" not in lines
+        assert any(x.startswith("WARC-Date: ") for x in lines)
+    message = "HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>hé</p>\r\n\r\nmore"
+    record = lambda kind, i, m: f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nWARC-Date: 2020-02-0{i}T00:00:00Z\r\nWARC-Target-URI: http://h/{i}\r\nContent-Length: {len(m.encode())}\r\n\r\n{m}\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes((record("warcinfo", 1, "x: y") + record("response", 2, message) + record("request", 3, "GET /") + record("response", 4, message)).encode())
+    read = warc.read_responses(spark, str(tmp_path / "a.warc"))
+    got = sorted((r["record_id"], r["date"], r["http_headers"], r["payload"]) for r in read.collect())
+    assert got == [(f"<urn:uuid:{i}>", f"2020-02-0{i}T00:00:00Z", "HTTP/1.1 200 OK\r\nServer: x", "<p>hé</p>\r\n\r\nmore") for i in (2, 4)]
+    meta = [r for r in warc.derivatives(read).collect() if r["record_type"] == "metadata"]
+    assert {r["refers_to"] for r in meta} == {"<urn:uuid:2>", "<urn:uuid:4>"} and all("source-Server: x" in r["block"] for r in meta)

@@ -6,7 +6,9 @@ import struct
 from collections import Counter
 
 import numpy as np
+import regex
 import xxhash
+from pyspark.sql import functions as F
 
 from timberline.llm import bpe, fingerprints, mixing, simhash, substring, vptree
 from timberline.llm.toxicity import build_trie, in_quotation, intersect
@@ -93,23 +95,46 @@ def test_bpe_equals_the_library(spark):
     assert back == {r["doc_id"]: r["decoded"] for r in whole.collect()}
 
 
+def paragraphs(text):
+    """The paragraphs as the module's docstring has them, in plain Python."""
+    out = set()
+    for p in re.split(r"\n+|(?<=[.!?…؟۔।])[ \t]+|(?<=[。！？])", text):
+        if len(p) > 200:
+            words = regex.split(r"[ \t]+|(?<=[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])", p, flags=regex.V1)
+            marked = " ".join(w + "\n" if xxhash.xxh64_intdigest(w.encode(), 42) % 8 == 0 else w for w in words)
+            out |= set(re.split("\n ?", marked))
+        else:
+            out.add(p)
+    return out - {""}
+
+
 def test_fingerprints(spark):
     d, rows = documents(spark)
-    parts = lambda x: {p for p in re.split(r"\n+|(?<=[.!?])[ \t]+(?=[A-DÀ-Å])", x) if p}
     alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     got = {r["doc_id"]: r for r in fingerprints.query(d).collect()}
     for k, (i, text) in enumerate(rows):
         following = rows[(k + 1) % len(rows)][1]
         edited = text[: len(text) - len(text) // 4] + following[: len(text) // 4]
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert abs(got[i]["near_edited"] - alike(parts(text), parts(edited))) < 1e-9
-        assert abs(got[i]["near_next"] - alike(parts(text), parts(following))) < 1e-9
+        assert int(got[i]["fingerprint"][:8], 16) == len(paragraphs(text))
+        assert abs(got[i]["near_edited"] - alike(paragraphs(text), paragraphs(edited))) < 1e-9
+        assert abs(got[i]["near_next"] - alike(paragraphs(text), paragraphs(following))) < 1e-9
 
 
 def test_fingerprint_differences_are_recovered(spark):
-    a, b = list(range(1, 90)), list(range(30, 150))
-    row = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(fingerprints.difference("a", "b").alias("d")).first()["d"]
-    assert {(r["s"], r["x"]) for r in row} == {(1, x) for x in range(1, 30)} | {(-1, x) for x in range(90, 150)}
+    line = lambda xs: "\n".join(f"paragraph {x}" for x in xs)
+    cases = [(range(1, 90), range(30, 150)), (range(200), [*range(150), *range(300, 420)]), (range(5), range(5)), ([], range(3)), (range(400), range(1, 400))]
+    df = spark.createDataFrame([(i, line(a), line(b)) for i, (a, b) in enumerate(cases)], "i int, a string, b string")
+    df = df.withColumns({"x": fingerprints.digests(F.col("a")), "y": fingerprints.digests(F.col("b"))})
+    df = df.withColumns({"f": fingerprints.fingerprint("x"), "g": fingerprints.fingerprint("y")})
+    tries = []
+    for r in df.select("i", "x", "y", fingerprints.difference("f", "g").alias("d"), fingerprints.likeness("f", "g").alias("near")).collect():
+        a, b = set(r["x"]), set(r["y"])
+        assert abs(r["near"] - (len(a & b) / len(a | b))) < 1e-12
+        tries.append(r["d"]["tries"])
+        if r["d"]["plus"] is not None:
+            assert (set(r["d"]["plus"]), set(r["d"]["minus"])) == (a - b, b - a)
+    assert max(tries) > 1
 
 
 def test_mixing(spark):
@@ -156,6 +181,30 @@ def test_vantage_point_trees():
     assert recall[1.0][0] == 1 and recall[1.5][0] >= 0.9 and recall[1.5][1] < recall[1.0][1] < len(q) * len(v)
 
 
+def test_clustered_vectors_visit_few_regions(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 8)) * 20
+    v = np.concatenate([centres[i % 40] + rng.normal(size=(1, 8)) for i in range(4000)])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    q = np.arange(0, 4000, 100)
+    for factor, least in ((1.0, 1.0), (1.5, 0.9)):
+        got = Counter()
+        for r in vptree.nearest(df, F.col("vec_id") % 100 == 0, factor=factor, shard=100).collect():
+            d = ((v - v[r["query_id"]]) ** 2).sum(axis=1)
+            d[r["query_id"]] = np.inf
+            got[factor] += r["vec_id"] in np.argsort(d, kind="stable")[:10]
+        assert got[factor] >= least * 10 * len(q)
+    top = vptree.Regions(v[::2], np.arange(0, 4000, 2), 4000, 100)
+    which, _ = top.visits(v[q], top.kth(v[q], q, 10), 1.0)
+    assert len(top.shards) >= 30 and len(which) <= len(q) * len(top.shards) / 4
+
+
+def test_one_vector_for_each_id(spark):
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0, 1.0])]
+    got = vptree.query(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [tuple(r) for r in got] == [(100, 1, 1, 1.0)]
+
+
 def test_levenshtein_automaton():
     trie = build_trie({"idiot": 1.0, "moron": 2.0})
     found = lambda w, e: {(t, d) for t, _, d in intersect(trie, w, e)}
