@@ -105,3 +105,46 @@ def test_defaults(spark):
 def test_share_of_different_cases_in_large_bags():
     for n in (1_000_000, 5_000_000):
         assert math.isclose(np.count_nonzero(sample.Bag("bootstrap", 3).counts(np.arange(n), 0)) / n, 1 - math.exp(-1), abs_tol=0.002)
+
+
+def test_deviations_against_brute_force():
+    rng = np.random.default_rng(1)
+    for n in (7, 1500):
+        y, m, v = rng.integers(0, 40, n).astype(float), rng.integers(1, 4, n).astype(float), rng.random(n)
+        got = targets.deviations(y, m, v)
+        for i in (0, n // 2, n - 1):
+            mean = (m[: i + 1] * y[: i + 1]).sum() / m[: i + 1].sum()
+            assert math.isclose(got[i], (v[: i + 1] * np.abs(y[: i + 1] - mean)).sum(), abs_tol=1e-8)
+
+
+def test_targets_of_cases(spark):
+    from timberline.operators import splits
+
+    df = table(spark, 120).na.drop()
+    wide = df.select("case_id", "a", "b")
+    grown = lambda y, goal, **how: {r["path"]: r for r in grow(wide, df.select("case_id", F.expr(y).alias("y")), sample.Bag("none"), 1, goal, ["a", "b"], [], Growth(max_depth=1, leaf=5, **how)).collect()}
+    root = grown("z", targets.Absolute())["*"]
+    best = max((splits.absolute_split(df, (), c, "z", 5).withColumn("f", F.lit(c)).first() for c in "ab"), key=lambda r: r["decrease"])
+    assert (root["feature"], root["threshold"]) == (best["f"], best["threshold"]) and math.isclose(root["decrease"], best["decrease"], abs_tol=1e-9)
+    rows = [(r["a"], r["b"]) for r in df.collect()]
+    n = len(rows)
+    spans = lambda part: math.prod(s for s in (max(x) - min(x) for x in zip(*part, strict=True)) if s > 0)
+    density = lambda part: (len(part) / n) ** 2 / spans(part)
+    root = grown("1", targets.Density())
+    if (f := root["*"]["feature"]) is not None:
+        k = "ab".index(f)
+        l, r = [x for x in rows if x[k] <= root["*"]["threshold"]], [x for x in rows if x[k] > root["*"]["threshold"]]
+        assert math.isclose(root["*"]["decrease"], density(rows) - (len(l) * density(l) + len(r) * density(r)) / n, abs_tol=1e-9)
+    assert math.isclose(root["*"]["impurity"], density(rows), rel_tol=1e-9)
+    goal = targets.Transduction(classes=("?", "no", "yes"), alpha=0.5)
+    root = grown("if(case_id % 3 = 0, '?', if(y = 'may', 'no', y))", goal)["*"]
+    own = [("?" if r["case_id"] % 3 == 0 else "no" if r["y"] == "may" else r["y"], r["a"], r["b"]) for r in df.collect()]
+    trans = lambda part: 1 - sum((sum(x[0] == c for x in part) / len(part)) ** 2 for c in ("?", "no", "yes")) + 0.5 * spans([x[1:] for x in part]) / len(part) ** 2
+    assert math.isclose(root["impurity"], trans(own), rel_tol=1e-9) and root["pred"] in ("1", "2")
+
+
+def test_boosted_numbers(spark):
+    df = spark.createDataFrame([(i, float(i), float((i // 20) ** 2)) for i in range(100)], "id long, a double, y double")
+    f = Forest("y", "id", ["a"], n_trees=3, how=Growth(max_depth=2), boost="ada", bag="none").fit(df)
+    assert {r["weight"] > 0 for r in f.nodes.collect()} == {True}
+    assert score.regression_errors(f.predict(df), df.select(F.col("id").alias("case_id"), F.col("y").alias("actual"))).first()["r2"] > 0.8

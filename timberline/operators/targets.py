@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+
 
 @dataclass(frozen=True)
 class Target:
@@ -197,3 +199,134 @@ class Boosted(Classes):
         for k in reversed(range(len(counts) - 1)):
             own = m.where(counts[k] == top, weights[k], own)
         return sum(weights[1:], weights[0]) - own
+
+
+@dataclass(frozen=True)
+class OfCases(Target):
+    """Targets whose impurity needs the cases themselves and not only sums; they are grown in memory.
+
+    ``x`` are the statistics of single cases (weight 1), ``m`` their multiplicities, ``values`` the columns: numbers (NaN: missing)
+    or integer codes (negative: missing), all in the same order.
+    """
+
+    def stats(self) -> dict[str, str]:
+        return {"n": "sum(w)"}
+
+    def prefix(self, x: np.ndarray, m: np.ndarray, values: list[np.ndarray], total: float) -> np.ndarray:
+        """The impurity of the first case, the first two, and so on; ``total``: number of all cases."""
+        raise NotImplementedError
+
+    def value(self, x: np.ndarray, m: np.ndarray, values: list[np.ndarray], total: float) -> float:
+        """What a leaf with these cases predicts."""
+        raise NotImplementedError
+
+    def surrogate(self) -> Target | None:
+        """An additive target for nodes above what one task holds."""
+        return None
+
+
+def deviations(y: np.ndarray, m: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Of each prefix the sum of v * |y - mean|, the mean weighted by ``m``."""
+    mean = np.cumsum(m * y) / np.cumsum(m)
+    n = len(y)
+    if n <= 1024:
+        return np.tril(v[None, :] * np.abs(y[None, :] - mean[:, None])).sum(axis=1)
+    # two Fenwick trees over the places of the sorted values: weights, and weights times values, of the cases so far
+    places, order = np.unique(y, return_inverse=True)
+    below = np.searchsorted(places, mean, side="right").tolist()
+    counts, sums, out = [0.0] * (len(places) + 1), [0.0] * (len(places) + 1), np.empty(n)
+    all_v, all_y = np.cumsum(v).tolist(), np.cumsum(v * y).tolist()
+    for i, (k, w, t, mu) in enumerate(zip((order + 1).tolist(), v.tolist(), y.tolist(), mean.tolist(), strict=True)):
+        while k <= len(places):
+            counts[k] += w
+            sums[k] += w * t
+            k += k & -k
+        k, c, s = below[i], 0.0, 0.0
+        while k:
+            c += counts[k]
+            s += sums[k]
+            k &= k - 1
+        out[i] = mu * c - s + (all_y[i] - s) - mu * (all_v[i] - c)
+    return out
+
+
+@dataclass(frozen=True)
+class Absolute(OfCases):
+    """Mean absolute distance from the mean."""
+
+    def stats(self):
+        return {"n": "sum(w)", "y": f"sum(w * ({self.y}))"}
+
+    def prefix(self, x, m, values, total):
+        return deviations(x[:, 1], m, m) / np.cumsum(m)
+
+    def value(self, x, m, values, total):
+        return float((m * x[:, 1]).sum() / m.sum())
+
+    def surrogate(self):
+        return Sse(self.y)
+
+
+@dataclass(frozen=True)
+class BoostedNumbers(Absolute):
+    """AdaBoost of numbers: distances from the mean, weighted by ``bw``."""
+
+    def stats(self):
+        return super().stats() | {"b": "sum(w * bw)"}
+
+    def prefix(self, x, m, values, total):
+        return deviations(x[:, 1], m, m * x[:, 2])
+
+
+def log_spans(values: list[np.ndarray]) -> np.ndarray:
+    """Of each prefix the sum of the logarithms of the columns' spans: largest less smallest number, different
+    categories. A span of zero is left out."""
+    out = np.zeros(len(values[0]) if values else 0)
+    for v in values:
+        if v.dtype.kind == "f":
+            with np.errstate(invalid="ignore"):
+                span = np.fmax.accumulate(v) - np.fmin.accumulate(v)
+        else:
+            first = np.zeros(len(v))
+            first[np.unique(v, return_index=True)[1]] = 1
+            first[v < 0] = 0
+            span = np.cumsum(first)
+        out += np.log(np.where(np.nan_to_num(span) > 0, np.nan_to_num(span), 1.0))
+    return out
+
+
+@dataclass(frozen=True)
+class Density(OfCases):
+    """Squared share of the cases over the volume that they span."""
+
+    def prefix(self, x, m, values, total):
+        return np.exp(2 * np.log(np.cumsum(m) / total) - log_spans(values))
+
+    def value(self, x, m, values, total):
+        return float(np.exp(np.log(m.sum() / total) - log_spans(values)[-1]))
+
+
+@dataclass(frozen=True)
+class Transduction(OfCases):
+    """Gini impurity and ``alpha`` times the volume over the squared number of cases. Leaves never predict the
+    ``unlabelled`` class unless ``beta`` times its cases outnumber every other."""
+
+    classes: tuple[str, ...] = ()
+    unlabelled: int = 0
+    alpha: float = 1.0
+    beta: float = 0.0
+
+    def stats(self):
+        return {"n": "sum(w)"} | {f"c{k}": f"sum(case when {self.y} = '{c}' then w else 0 end)" for k, c in enumerate(self.classes)}
+
+    def prefix(self, x, m, values, total):
+        counts, n = np.cumsum(x[:, 1:] * m[:, None], axis=0), np.cumsum(m)
+        return 1 - (counts * counts).sum(axis=1) / (n * n) + self.alpha * np.exp(log_spans(values) - 2 * np.log(n))
+
+    def value(self, x, m, values, total):
+        counts = (x[:, 1:] * m[:, None]).sum(axis=0)
+        counts[self.unlabelled] *= self.beta
+        return float(np.argmax(counts)) if counts.max() > 0 else float(self.unlabelled)
+
+    def surrogate(self):
+        return Gini(self.y, classes=self.classes)

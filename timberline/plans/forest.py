@@ -73,7 +73,7 @@ class Forest:
         if self.boost == "gbt":
             return self._fit_gradient(wide, ys, number, how)
         if self.boost == "ada":
-            return self._fit_ada(wide, ys, how)
+            return self._fit_ada_numbers(wide, ys, how) if number else self._fit_ada(wide, ys, how)
         goal = self.impurity or (targets.Sse(shift=ys.agg(F.avg("y")).first()[0] or 0.0) if number else targets.Gini(classes=self.classes))
         grown = grow(wide, ys, self._bags(), self.n_trees, goal, self.numeric, self.categorical, how)
         self.nodes = self._named(grown, goal)
@@ -87,7 +87,7 @@ class Forest:
         return self._drawn
 
     def _named(self, grown: DataFrame, goal: targets.Target) -> DataFrame:
-        if not isinstance(goal, targets.Classes):
+        if not hasattr(goal, "classes"):
             return grown
         labels = F.array(*map(F.lit, self.classes))
         return grown.withColumn("pred", F.element_at(labels, F.col("pred").cast("int") + 1))
@@ -119,6 +119,32 @@ class Forest:
         self.nodes = cut(out)
         return self
 
+    def _fit_ada_numbers(self, wide: DataFrame, ys: DataFrame, how: Growth) -> Forest:
+        """Case weights grow with the distance from a leaf's mean; a tree no better than one leaf gets no say."""
+        n = ys.count()
+        state, out, goal = cut(ys.withColumn("bw", F.lit(1.0 / max(n, 1)))), None, targets.BoostedNumbers()
+        mean = ys.agg(F.avg("y")).first()[0] or 0.0
+        norm = (ys.agg(F.avg(F.abs(F.col("y") - mean))).first()[0] or 0.0) * n
+        for t in range(self.n_trees):
+            grown = grow(wide, state, self._bags(), 1, goal, self.numeric, self.categorical, how, t)
+            at = score_leaves(wide, grown, self.numeric, self.categorical).select("case_id", "path")
+            judged = cut(state.join(at, "case_id", "left"))
+            means = judged.groupBy("path").agg(F.avg("y").alias("_mean"))
+            judged = cut(judged.join(means, judged["path"].eqNullSafe(means["path"])).drop("path").withColumn("far", F.abs(F.col("y") - F.col("_mean"))))
+            off = judged.agg(F.sum(F.col("bw") * F.col("far"))).first()[0] or 1e-10
+            say = 0.0 if off > norm else math.log(norm / max(off, 1e-10))
+            grown = grown.withColumn("weight", F.lit(say))
+            out = grown if out is None else out.unionByName(grown)
+            if say > 0:
+                # exponents are taken off their largest, which the sum divides out again
+                power = say * (F.col("far") - off)
+                most = judged.agg(F.max(power)).first()[0] or 0.0
+                raw = F.col("bw") * F.exp(power - most)
+                total = judged.agg(F.sum(raw)).first()[0]
+                state = cut(judged.withColumn("bw", raw / total).drop("_mean", "far"))
+        self.nodes = cut(out)
+        return self
+
     def _fit_ada(self, wide: DataFrame, ys: DataFrame, how: Growth) -> Forest:
         """Case weights grow where a tree is wrong; a tree no better than chance gets no say."""
         costs = getattr(self.impurity, "costs", ()) or (1.0,) * len(self.classes)

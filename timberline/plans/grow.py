@@ -24,7 +24,7 @@ from ..functions.rng import hash_sql
 from ..operators import splits
 from ..operators.score import side
 from ..operators.sample import Bag
-from ..operators.targets import Classes, Target
+from ..operators.targets import OfCases, Target
 from ..operators.transform import to_cells
 from ..session import cut, plain_planning
 from . import local
@@ -78,13 +78,17 @@ def row_stats(target: Target) -> dict[str, str]:
 def grow(wide: DataFrame, targets: DataFrame, bag: Bag, n_trees: int, target: Target, numeric: Sequence[str], categorical: Sequence[str], how: Growth, first: int = 0) -> DataFrame:
     """The columns of RESULT of all nodes of trees number ``first`` on.
 
-    ``wide`` is (case_id, features), ``targets`` (case_id, y, ... and what the bag draws by).
+    ``wide`` is (case_id, features), ``targets`` (case_id, y, ... and what the bag draws by). Targets that look at the cases
+    themselves split nodes above ``local_rows`` of a large table by their additive surrogate.
     """
     known = targets.filter(F.expr(target.y).isNotNull())
     if not (how.unseen or how.vet or how.bins) and known.count() * (len(numeric) + len(categorical)) * 8 <= how.local_bytes:
         return _grow_here(wide, known, bag, n_trees, target, numeric, categorical, how, first)
+    whole, above = target, target
+    if isinstance(target, OfCases) and (above := target.surrogate()) is None:
+        raise ValueError(f"{type(target).__name__} needs the cases of a whole tree: raise local_bytes")
     with plain_planning(wide.sparkSession):
-        return _grow(wide, targets, bag.frame(known, n_trees, first), target, numeric, categorical, how)
+        return _grow(wide, targets, bag.frame(known, n_trees, first), above, numeric, categorical, how, whole)
 
 
 def _features(wide: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> list:
@@ -104,7 +108,7 @@ def _records(tree: int, nodes: list[tuple]) -> pa.RecordBatch:
 
 
 def _result(grown: DataFrame, target: Target) -> DataFrame:
-    pred = F.col("pred").cast("int") if isinstance(target, Classes) else F.col("pred")
+    pred = F.col("pred").cast("int") if hasattr(target, "classes") else F.col("pred")
     return grown.select("tree", "path", "feature", "threshold", "left", pred.cast("string").alias("pred"), F.lit(1.0).alias("weight"), F.col("n").cast("long").alias("n"), "impurity", "decrease")
 
 
@@ -124,8 +128,7 @@ def _grow_here(wide: DataFrame, known: DataFrame, bag: Bag, n_trees: int, target
 
     def nodes(tree: int, mult: np.ndarray) -> pa.RecordBatch:
         _, own, cols = shared.value
-        grown = local.Grower(cols, own * mult[:, None], target, how, few).grow(tree, "*", np.flatnonzero(mult))
-        return _records(tree, grown)
+        return _records(tree, local.grown(cols, own, mult, target, how, few, tree, "*"))
 
     if not len(ids):
         return _result(spark.createDataFrame([], _GROWN), target)
@@ -151,13 +154,14 @@ def _finish(assign: DataFrame, wide: DataFrame, target: Target, numeric: Sequenc
     stats = row_stats(target)
     rows = assign.join(wide.select("case_id", *_features(wide, numeric, categorical)), "case_id")
     features = [c for c in rows.columns if c[:2] in ("_x", "_c")]
-    rows = rows.select("tree", "path", *features, *[F.expr(e).cast("double").alias(f"_s{i}") for i, e in enumerate(stats.values())])
+    rows = rows.withColumn("_m", F.col("w").cast("double")).withColumn("w", F.lit(1)).select("tree", "path", "_m", *features, *[F.expr(e).cast("double").alias(f"_s{i}") for i, e in enumerate(stats.values())])
 
     def subtree(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         tree, path = t.column("tree")[0].as_py(), t.column("path")[0].as_py()
         base = np.column_stack([t.column(f"_s{i}").to_numpy() for i in range(len(stats))])
-        return pa.Table.from_batches([_records(tree, local.Grower(_columns(t, numeric, categorical), base, target, how, set(few)).grow(tree, path, np.arange(len(base))))])
+        mult = t.column("_m").to_numpy()
+        return pa.Table.from_batches([_records(tree, local.grown(_columns(t, numeric, categorical), base, mult, target, how, set(few), tree, path))])
 
     return _result(rows.groupBy("tree", "path").applyInArrow(subtree, _GROWN), target)
 
@@ -200,7 +204,7 @@ def _measured(cuts: DataFrame, unseen: DataFrame, cells: DataFrame, target: Targ
     return cuts.drop("decrease").join(both.select(*KEYS, splits.gain(target, left, right, lost, whole).alias("decrease")), KEYS)
 
 
-def _grow(wide: DataFrame, targets: DataFrame, bag: DataFrame, target: Target, numeric: Sequence[str], categorical: Sequence[str], how: Growth) -> DataFrame:
+def _grow(wide: DataFrame, targets: DataFrame, bag: DataFrame, target: Target, numeric: Sequence[str], categorical: Sequence[str], how: Growth, whole: Target) -> DataFrame:
     features = sorted([*numeric, *categorical])
     places = [*numeric, *categorical]
     wide = cut(wide.select("case_id", *[F.col(f"`{c}`") for c in places]))
@@ -227,7 +231,7 @@ def _grow(wide: DataFrame, targets: DataFrame, bag: DataFrame, target: Target, n
         nodes = cut(stats.select("tree", "path", *names, target.impurity(s, m).alias("impurity"), target.prediction(s, m).cast("string").alias("pred")))
         if how.max_depth > 0 and depth >= how.max_depth:  # nothing is searched below the last level
             won = cells.sparkSession.createDataFrame([], "tree int, path string, feature string, threshold double, left array<string>, decrease double")
-            return cut(_whole(_level(nodes, won, out), ends, wide, target, numeric, categorical, few, how))
+            return cut(_whole(_level(nodes, won, out), ends, wide, whole, numeric, categorical, few, how))
         if here:  # smaller nodes are finished below, all together
             small = nodes.filter(F.col("n") <= how.local_rows).select("tree", "path")
             ended = assign.join(small, ["tree", "path"], "left_semi")
@@ -258,7 +262,7 @@ def _grow(wide: DataFrame, targets: DataFrame, bag: DataFrame, target: Target, n
         won = cut(splits.best(found, ["tree", "path"], ["feature", "threshold", "left"]).select("tree", "path", "feature", "threshold", "left", "decrease"))
         out = _level(nodes, won, out)
         if won.isEmpty():
-            return cut(_whole(out, ends, wide, target, numeric, categorical, few, how))
+            return cut(_whole(out, ends, wide, whole, numeric, categorical, few, how))
         moved = assign.join(won, ["tree", "path"]).join(cells, ["case_id", "feature"], "left").withColumn("path", F.concat("path", side()))
         if not how.split_missing:
             moved = moved.filter("not endswith(path, 'M')")

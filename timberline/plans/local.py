@@ -16,7 +16,7 @@ import numpy as np
 from ..functions.engine import NumpyOps
 from ..functions.rng import hash_numbers
 from ..operators.splits import EXHAUSTIVE, MIN_GAIN, MIN_GAP
-from ..operators.targets import Target
+from ..operators.targets import OfCases, Target
 
 
 @dataclass
@@ -286,6 +286,110 @@ class Grower:
         return rows, nd.astype(np.int64), [paths[x // 3] + "LRM"[x % 3] for x in there.tolist()]
 
 
+class CaseGrower(Grower):
+    """The same for targets that look at the cases themselves: node by node, each feature's cuts from prefix impurities
+    in both directions."""
+
+    def __init__(self, columns: list[Column], base: np.ndarray, mult: np.ndarray, target: OfCases, how, few: set[str]):
+        self.columns, self.base, self.mult, self.target, self.how, self.few = columns, base, mult, target, how, few
+        self.by_name = sorted(range(len(columns)), key=lambda f: columns[f].name)
+        self.raw = [np.where(c.codes >= 0, np.asarray(c.values, float)[c.codes] if len(c.values) else np.nan, np.nan) if c.numeric else c.codes for c in columns]
+
+    def _of(self, rows: np.ndarray) -> tuple:
+        return self.base[rows], self.mult[rows], [v[rows] for v in self.raw], float(len(self.base))
+
+    def impurity(self, rows: np.ndarray) -> float:
+        return float(self.target.prefix(*self._of(rows))[-1]) if len(rows) else 0.0
+
+    def cuts(self, f: int, rows: np.ndarray, whole: float):
+        """Decrease and (threshold, largest code on the left) or (None, codes on the left) of the best cut of a node."""
+        c, how = self.columns[f], self.how
+        code = c.codes[rows]
+        lost, rows, code = rows[code < 0], rows[code >= 0], code[code >= 0]
+        n_lost, n = self.mult[lost].sum(), self.mult[rows].sum() + self.mult[lost].sum()
+        gone = n_lost * self.impurity(lost) if len(lost) else 0.0
+        best = (-np.inf, None)
+        if c.numeric:
+            order = np.argsort(code, kind="stable")
+            rows, code = rows[order], code[order]
+            if len(rows) < 2:
+                return best
+            left = np.cumsum(self.mult[rows])
+            right = left[-1] - left
+            at = np.flatnonzero(code[1:] != code[:-1])
+            at = at[(c.values[code[at + 1]] - c.values[code[at]] > MIN_GAP) & (left[at] >= how.leaf) & (right[at] >= how.leaf + int(how.strict_right))]
+            if not len(at):
+                return best
+            low, high = self.target.prefix(*self._of(rows)), self.target.prefix(*self._of(rows[::-1]))[::-1]
+            gain = whole - (left[at] * low[at] + right[at] * high[at + 1] + gone) / n
+            k = int(np.argmax(np.round(gain, 9)))
+            a, b = code[at[k]], code[at[k] + 1]
+            return float(gain[k]), (float((c.values[a] + c.values[b]) / 2), int(a))
+
+        def of(left: list[int]) -> float:
+            inside = np.isin(code, left)
+            l, r = rows[inside], rows[~inside]
+            if self.mult[l].sum() < how.leaf or self.mult[r].sum() < how.leaf or not len(r):
+                return -np.inf
+            return whole - (self.mult[l].sum() * self.impurity(l) + self.mult[r].sum() * self.impurity(r) + gone) / n
+
+        here = sorted(set(code.tolist()))
+        if c.name in self.few:
+            for left in sorted([x for i, x in enumerate(here) if mask >> i & 1] for mask in range(1, 1 << max(0, len(here) - 1))):
+                if (gain := of(left)) > best[0] and round(gain, 9) > round(max(best[0], -1e300), 9):
+                    best = (gain, (None, left))
+            return best
+        chosen: list[int] = []
+        while rest := [x for x in here if x not in chosen]:
+            gain, x = max((of([*chosen, x]), -x) for x in rest)
+            if not gain > max(best[0], MIN_GAIN) + 1e-12:
+                break
+            chosen.append(-x)
+            best = (gain, (None, sorted(chosen)))
+        return best
+
+    def grow(self, tree: int, path: str, rows: np.ndarray) -> list[tuple]:
+        how, n_features, out, stack = self.how, len(self.columns), [], [(path, rows)]
+        m_try = min(n_features, how.m_try or n_features)
+        while stack:
+            path, rows = stack.pop()
+            n, whole = self.mult[rows].sum(), self.impurity(rows)
+            best, feature = (MIN_GAIN, None), -1
+            if n >= 2 * how.leaf and whole > 0 and not (how.max_depth > 0 and len(path) - 1 >= how.max_depth):
+                order = np.argsort(hash_numbers(np.arange(1, n_features + 1), node_keys(tree, [path]), how.seed))
+                found = {}
+                for f in order.tolist():
+                    if len(found) == m_try:
+                        break
+                    got = self.cuts(f, rows, whole)
+                    if got[1] is not None or not how.force:
+                        found[f] = got
+                for f in (f for f in self.by_name if f in found):
+                    if found[f][1] is not None and found[f][0] > MIN_GAIN and round(found[f][0], 9) > round(best[0], 9):
+                        best, feature = found[f], f
+            pred = self.target.value(*self._of(rows))
+            if feature < 0:
+                out.append((path, None, None, None, pred, n, whole, None))
+                continue
+            c, (threshold, left) = self.columns[feature], best[1]
+            names = None if c.numeric else [c.values[k] for k in left]
+            out.append((path, c.name, threshold, names, pred, n, whole, best[0]))
+            code = c.codes[rows]
+            goes = code <= left if c.numeric else np.isin(code, left)
+            for side, test in (("L", (code >= 0) & goes), ("R", (code >= 0) & ~goes), ("M", code < 0)):
+                if test.any() and (side != "M" or how.split_missing):
+                    stack.append((path + side, rows[test]))
+        return out
+
+
+def grown(columns: list[Column], base: np.ndarray, mult: np.ndarray, target: Target, how, few: set[str], tree: int, path: str) -> list[tuple]:
+    """The nodes from ``path`` on, of the cases that ``mult`` draws."""
+    rows = np.flatnonzero(mult)
+    if isinstance(target, OfCases):
+        return CaseGrower(columns, base, mult, target, how, few).grow(tree, path, rows)
+    return Grower(columns, base * mult[:, None], target, how, few).grow(tree, path, rows)
+
+
 def forward_selection(x: np.ndarray, lost: np.ndarray, gain: Callable, leaf: int) -> tuple[float, list[int]]:
     """The gain and the rows of ``x`` (a category's statistics each) that go left, the one that helps most after the other."""
     total, now = x.sum(axis=0), np.zeros(x.shape[1])
