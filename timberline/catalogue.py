@@ -1,6 +1,6 @@
 """All registered queries over the test tables, with the same in DuckDB's SQL.
 
-The SQL is written on its own; only the impurity formulas are shared, as text for one engine and columns for the other.
+The SQL is written on its own, the impurity formulas too (_FORMULAS): no text of the operators goes into it.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.engine import Sql, SparkOps, SqlOps
-from .functions.rng import hash_sql
+from .functions.engine import SparkOps
+from .functions.rng import RANGE, hash_numbers, hash_sql
 from .operators import sample, score, splits, targets, transform
 from .plans.forest import Forest, contrast_test
 from .plans.grow import Growth
@@ -44,31 +44,40 @@ HOLES = "(SELECT event_id AS case_id, event_type AS y, CASE WHEN event_id % 7 <>
 ORDERS = "(SELECT o_orderkey AS case_id, o_totalprice, o_orderstatus AS status, o_orderpriority AS priority, CAST(epoch(o_orderdate) AS DOUBLE) AS day FROM orders)"
 
 
-def _side(prefix: str, t: targets.Target) -> dict[str, Sql]:
-    return {k: Sql(f"{prefix}{k}") for k in t.stats()}
+#: Impurities in SQL, written by hand. {x} is the prefix of a side's sums: {x}n cases, {x}c0.. of the classes, {x}s and {x}q of values and squares.
+_FORMULAS: dict[str, Callable[[int], str]] = {
+    "gini": lambda k: "(1 - " + " - ".join(f"pow({{x}}c{i} / {{x}}n, 2)" for i in range(k)) + ")",
+    "entropy": lambda k: "(0 - " + " - ".join(f"(CASE WHEN {{x}}c{i} > 0 THEN {{x}}c{i} / {{x}}n * ln({{x}}c{i} / {{x}}n) ELSE 0 END)" for i in range(k)) + ")",
+    "sse": lambda k: "({x}q - pow({x}s, 2) / {x}n)",
+    "variance": lambda k: "({x}q / {x}n - pow({x}s / {x}n, 2))",
+}
 
 
-def _num_split_sql(source: str, v: str, t: targets.Target, leaf: int = 1, keys: str = "") -> str:
-    names = list(t.stats())
+def _num_split_sql(source: str, v: str, y: str, formula: str = "gini", classes: tuple[str, ...] = (), leaf: int = 1, keys: str = "", shift: float = 0.0) -> str:
+    """SQL of the best numeric cut, by a formula of _FORMULAS or a score: friedman, rate_distance."""
+    value = f"(({y}) - {shift})"
+    sums = {"n": "count(*)"} | ({f"c{k}": f"count(*) FILTER ({y} = '{c}')" for k, c in enumerate(classes)} if classes else {"s": f"sum({value})", "q": f"sum({value} * {value})"})
     part, lead, key = (f"PARTITION BY {keys}", f"{keys}, ", f"{keys}, ") if keys else ("", "", "")
-    stats = ", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in t.stats().items())
-    cum = ", ".join(f"sum({k}) OVER ({part} ORDER BY v ROWS UNBOUNDED PRECEDING) AS l_{k}, sum({k}) OVER ({part}) AS t_{k}" for k in names)
-    miss = ", ".join(f"coalesce(sum({k}), 0) AS m_{k}" for k in names)
-    left, right, lost, whole = _side("l_", t), {k: Sql(f"(t_{k} - l_{k})") for k in names}, _side("m_", t), {k: Sql(f"(t_{k} + m_{k})") for k in names}
-    if t.score:
-        gain = t.split_score(left, right, SqlOps) * left["n"].__add__(right["n"]) / whole["n"]
+    stats = ", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in sums.items())
+    cum = ", ".join(f"sum({k}) OVER ({part} ORDER BY v ROWS UNBOUNDED PRECEDING) AS l_{k}, sum({k}) OVER ({part}) AS t_{k}" for k in sums)
+    right = ", ".join(f"t_{k} - l_{k} AS r_{k}, t_{k} + m_{k} AS w_{k}" for k in sums)
+    miss = ", ".join(f"coalesce(sum({k}), 0) AS m_{k}" for k in sums)
+    if formula == "friedman":
+        gain = "pow(l_s / l_n - r_s / r_n, 2) * l_n * r_n / (l_n + r_n) * (l_n + r_n) / w_n"
+    elif formula == "rate_distance":
+        gain = "(pow(l_c0 / t_c0 - l_c1 / t_c1, 2) + pow(r_c0 / t_c0 - r_c1 / t_c1, 2)) * t_n / w_n"
     else:
-        gone = Sql(f"(CASE WHEN m_n > 0 THEN m_n * {t.impurity({k: Sql(f'nullif(m_{k}, -1)') if k != 'n' else Sql('nullif(m_n, 0)') for k in names}, SqlOps)} ELSE 0 END)")
-        gain = t.impurity(whole, SqlOps) - (left["n"] * t.impurity(left, SqlOps) + right["n"] * t.impurity(right, SqlOps) + gone) / whole["n"]
-    join = "CROSS JOIN m" if not keys else f"LEFT JOIN m USING ({keys})"
-    zero = "" if not keys else ", ".join(f"coalesce(m_{k}, 0) AS m_{k}" for k in names)
-    base = "SELECT * FROM p CROSS JOIN m" if not keys else f"SELECT p.*, {zero} FROM p {join}"
+        i = lambda x: _FORMULAS[formula](len(classes)).format(x=x)
+        gain = f"{i('w_')} - (l_n * {i('l_')} + r_n * {i('r_')} + CASE WHEN m_n > 0 THEN m_n * {i('m_')} ELSE 0 END) / w_n"
+    zero = ", ".join(f"coalesce(m_{k}, 0) AS m_{k}" for k in sums)
+    base = "SELECT * FROM p CROSS JOIN m" if not keys else f"SELECT p.*, {zero} FROM p LEFT JOIN m USING ({keys})"
     return f"""
-WITH h AS (SELECT {key}{v} AS v, {stats} FROM (SELECT *, 1 AS w FROM {source}) WHERE {t.y} IS NOT NULL GROUP BY {key}{v}),
+WITH h AS (SELECT {key}{v} AS v, {stats} FROM {source} WHERE {y} IS NOT NULL GROUP BY {key}{v}),
 p AS (SELECT {lead}v, lead(v) OVER ({part} ORDER BY v) AS nxt, {cum} FROM h WHERE v IS NOT NULL),
 m AS (SELECT {lead}{miss} FROM h WHERE v IS NULL {"GROUP BY " + keys if keys else ""}),
-c AS (SELECT {lead}(v + nxt) / 2 AS threshold, CAST(l_n AS BIGINT) AS n_left, CAST(t_n - l_n AS BIGINT) AS n_right, {gain} AS decrease FROM ({base})
-  WHERE nxt - v > 1e-7 AND l_n >= {leaf} AND t_n - l_n >= {leaf + 1}),
+b AS (SELECT *, {right} FROM ({base})),
+c AS (SELECT {lead}(v + nxt) / 2 AS threshold, CAST(l_n AS BIGINT) AS n_left, CAST(r_n AS BIGINT) AS n_right, {gain} AS decrease FROM b
+  WHERE nxt - v > 1e-7 AND l_n >= {leaf} AND r_n >= {leaf + 1}),
 r AS (SELECT *, row_number() OVER ({part} ORDER BY round(decrease, 9) DESC, threshold) AS k FROM c WHERE decrease > 1e-7)
 SELECT {lead}round(threshold, 6) AS threshold, n_left, n_right, round(decrease, 6) AS decrease FROM r WHERE k = 1"""
 
@@ -90,24 +99,52 @@ def _impurity(source, key: str, t: targets.Target) -> Query:
     return run
 
 
-def _impurity_sql(source: str, key: str, t: targets.Target) -> str:
-    cols = {k: Sql(k) for k in t.stats()}
-    stats = ", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in t.stats().items())
-    return f"SELECT grp, CAST(n AS BIGINT) AS n, round({t.impurity(cols, SqlOps)}, 6) AS impurity, round(CAST({t.prediction(cols, SqlOps)} AS DOUBLE), 6) AS predicted FROM (SELECT {key} AS grp, {stats} FROM (SELECT *, 1 AS w FROM {source}) GROUP BY 1)"
+def _group_sql(source: str, key: str, sums: dict[str, str], impurity: str, predicted: str) -> str:
+    stats = ", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in sums.items())
+    return f"SELECT grp, CAST(n AS BIGINT) AS n, round({impurity}, 6) AS impurity, round(CAST({predicted} AS DOUBLE), 6) AS predicted FROM (SELECT {key} AS grp, {stats} FROM {source} GROUP BY 1)"
 
 
-def _cat_split_sql(source: str, v: str, t: targets.Target, cats: tuple[str, ...], leaf: int = 1) -> str:
-    names = list(t.stats())
-    stats = ", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in t.stats().items())
-    sums = ", ".join(f"sum(CASE WHEN (mask >> i) % 2 = 1 THEN {k} ELSE 0 END) AS l_{k}, sum(CASE WHEN (mask >> i) % 2 = 1 THEN 0 ELSE {k} END) AS r_{k}" for k in names)
-    whole = {k: Sql(f"(l_{k} + r_{k})") for k in names}
-    left, right = _side("l_", t), _side("r_", t)
-    gain = t.impurity(whole, SqlOps) - (left["n"] * t.impurity(left, SqlOps) + right["n"] * t.impurity(right, SqlOps)) / whole["n"]
+def _class_sums(y: str, classes: tuple[str, ...]) -> dict[str, str]:
+    return {"n": "count(*)"} | {f"c{k}": f"count(*) FILTER ({y} = '{c}')" for k, c in enumerate(classes)}
+
+
+def _first_largest(values: list[str]) -> str:
+    """SQL of the place of the largest value, the first of equals."""
+    return "CASE greatest(" + ", ".join(values) + ") " + " ".join(f"WHEN {v} THEN {k}" for k, v in enumerate(values)) + " END"
+
+
+def _status_impurities() -> dict[str, str]:
+    """SQL of each impurity of order status (costs 1, 2, 5; the Neyman-Pearson class is F) by priority, by hand."""
+    counts, sums = ["c0", "c1", "c2"], _class_sums("status", STATUS)
+    costed = ["c0", "(2 * c1)", "(5 * c2)"]
+    share = lambda c: f"(CASE WHEN {c} > 0 THEN {c} / n * ln({c} / n) ELSE 0 END)"
+    np_pos = "c0 / 0.1 >= greatest(c0 / 0.1, c1, c2)"
+    price = "(o_totalprice / 100000 - 1.5)"
+    number = {"n": "count(*)", "s": f"sum({price})", "q": f"sum({price} * {price})"}
+    by = lambda impurity, predicted, own=sums: _group_sql(ORDERS, "priority", own, impurity, predicted)
+    return {
+        "gini": by("1 - (c0 * c0 + c1 * c1 + c2 * c2) / (n * n)", _first_largest(counts)),
+        "entropy": by(f"-({share('c0')} + {share('c1')} + {share('c2')})", _first_largest(counts)),
+        "regret": by("(c0 + 2 * c1 + 5 * c2 - greatest(c0, 2 * c1, 5 * c2)) / (2 * n)", _first_largest(costed)),
+        "weighted_gini": by("1 - (c0 * c0 + 4 * c1 * c1 + 25 * c2 * c2) / pow(c0 + 2 * c1 + 5 * c2, 2)", _first_largest(costed)),
+        "disutility_entropy": by(f"-({share('c0')} + 2 * {share('c1')} + 5 * {share('c2')})", _first_largest(costed)),
+        "neyman_pearson": by(f"CASE WHEN {np_pos} THEN 10 * greatest((n - c0) / n - 0.1, 0) ELSE c0 / n END", _first_largest(["(c0 / 0.1)", "c1", "c2"])),
+        "sse": by("q - s * s / n", "s / n + 1.5", number),
+        "variance": by("q / n - pow(s / n, 2)", "s / n + 1.5", number),
+    }
+
+
+def _cat_split_sql(source: str, v: str, y: str, cats: int, classes: tuple[str, ...] = (), formula: str = "gini", shift: float = 0.0, leaf: int = 1) -> str:
+    value = f"(({y}) - {shift})"
+    own = _class_sums(y, classes) if classes else {"n": "count(*)", "s": f"sum({value})", "q": f"sum({value} * {value})"}
+    stats = ", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in own.items())
+    sums = ", ".join(f"sum(CASE WHEN (mask >> i) % 2 = 1 THEN {k} ELSE 0 END) AS l_{k}, sum(CASE WHEN (mask >> i) % 2 = 1 THEN 0 ELSE {k} END) AS r_{k}, sum({k}) AS w_{k}" for k in own)
+    i = lambda x: _FORMULAS[formula](len(classes)).format(x=x)
     return f"""
-WITH h AS (SELECT {v} AS v, {stats} FROM (SELECT *, 1 AS w FROM {source}) WHERE {v} IS NOT NULL GROUP BY 1),
+WITH h AS (SELECT {v} AS v, {stats} FROM {source} WHERE {v} IS NOT NULL GROUP BY 1),
 i AS (SELECT *, row_number() OVER (ORDER BY v) - 1 AS i FROM h),
-c AS (SELECT mask, list(v ORDER BY v) FILTER ((mask >> i) % 2 = 1) AS "left", {sums} FROM i CROSS JOIN (SELECT unnest(range(1, {1 << (len(cats) - 1)})) AS mask) GROUP BY mask),
-g AS (SELECT "left", l_n, r_n, {gain} AS decrease FROM c WHERE l_n >= {leaf} AND r_n >= {leaf})
+c AS (SELECT mask, list(v ORDER BY v) FILTER ((mask >> i) % 2 = 1) AS "left", {sums} FROM i CROSS JOIN (SELECT unnest(range(1, {1 << (cats - 1)})) AS mask) GROUP BY mask),
+g AS (SELECT "left", l_n, r_n, {i('w_')} - (l_n * {i('l_')} + r_n * {i('r_')}) / w_n AS decrease FROM c WHERE l_n >= {leaf} AND r_n >= {leaf})
 SELECT array_to_string("left", ':') AS left_set, CAST(l_n AS BIGINT) AS n_left, CAST(r_n AS BIGINT) AS n_right, round(decrease, 6) AS decrease FROM g WHERE decrease > 1e-7 ORDER BY round(decrease, 9) DESC, "left" LIMIT 1"""
 
 
@@ -159,19 +196,19 @@ def _actual(s: SparkSession, d: str, column: str = "status") -> DataFrame:
     return _orders(s, d).select("case_id", F.col(column).alias("actual"))
 
 
-def _embedding(s: SparkSession, d: str, dims: int = 8) -> DataFrame:
+def _embedding(s: SparkSession, d: str, dims: int = 64) -> DataFrame:
     return _t("embeddings")(s, d).select(F.col("vec_id").alias("case_id"), F.col("label").cast("string").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(dims)])
 
 
 def _forest(**more) -> Forest:
-    return Forest("label", "case_id", [f"d{i}" for i in range(8)], n_trees=3, how=Growth(max_depth=3, m_try=3), **more)
+    return Forest("label", "case_id", [f"d{i}" for i in range(64)], n_trees=3, how=Growth(max_depth=3, m_try=8), **more)
 
 
 def _grown(**how) -> Query:
     """The nodes of one tree, grown with another measure of its cuts."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        f = Forest("label", "case_id", [f"d{i}" for i in range(4)], n_trees=1, how=Growth(max_depth=2, **how)).fit(_embedding(s, d, 4))
+        f = Forest("label", "case_id", [f"d{i}" for i in range(64)], n_trees=1, how=Growth(max_depth=2, m_try=8, **how)).fit(_embedding(s, d))
         return _rounded(f.nodes.select("path", "feature", "threshold", "pred", "n", "impurity", "decrease"))
 
     return run
@@ -200,8 +237,8 @@ def _ada(cost: tuple[float, ...]) -> Query:
 
 
 def _contrast(s: SparkSession, d: str) -> DataFrame:
-    e = _embedding(s, d, 3)
-    f = Forest("label", "case_id", ["d0", "d1", "d2"], n_trees=2, how=Growth(max_depth=2, m_try=3), classes=tuple(str(i) for i in range(10)))
+    f = Forest("label", "case_id", [f"d{i}" for i in range(64)], n_trees=2, how=Growth(max_depth=2, m_try=16), classes=tuple(str(i) for i in range(10)))
+    e = _embedding(s, d)
     return contrast_test(e, f, 3)[0]
 
 
@@ -215,6 +252,16 @@ _ORDINAL = targets.Ordinal(y="label", classes=tuple(str(i) for i in range(10)))
 _BOOST = targets.Boosted(y="status", classes=STATUS, costs=(1.0, 2.0, 5.0))
 
 
+_ORDINAL_SQL = """
+WITH l AS (SELECT vec_id % 7 AS grp, label FROM embeddings), c AS (SELECT grp, label, count(*) AS k FROM l GROUP BY 1, 2),
+m AS (SELECT grp, label AS mode FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY k DESC, label) AS r FROM c) WHERE r = 1)
+SELECT grp, count(*) AS n, round(avg(pow(label - mode, 2)), 6) AS impurity, CAST(any_value(mode) AS DOUBLE) AS predicted FROM l JOIN m USING (grp) GROUP BY 1"""
+_BOOST_SQL = f"""
+WITH o AS (SELECT priority AS grp, status, (1.0 + case_id % 3) * CASE status WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 5 END AS bw FROM {ORDERS}),
+c AS (SELECT grp, status, count(*) AS k FROM o GROUP BY 1, 2), m AS (SELECT grp, status AS top FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY k DESC, status) AS r FROM c) WHERE r = 1)
+SELECT grp, count(*) AS n, round(CAST(coalesce(sum(bw) FILTER (status <> top), 0) AS DOUBLE), 6) AS impurity, CAST(CASE any_value(top) WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS DOUBLE) AS predicted FROM o JOIN m USING (grp) GROUP BY 1"""
+
+
 def _weighted_orders(s: SparkSession, d: str) -> DataFrame:
     return _orders(s, d).withColumn("bw", 1.0 + F.col("case_id") % 3)
 
@@ -232,29 +279,88 @@ _RANK = "SELECT event_id AS case_id, event_type, row_number() OVER (ORDER BY eve
 _LONG = "SELECT vec_id AS case_id, 'd' || i AS feature, CAST(embedding[i + 1] AS DOUBLE) AS num FROM embeddings CROSS JOIN (SELECT unnest(range(3)) AS i)"
 
 
+_SF_SQL = "SELECT unnest([" + ", ".join("'" + x + "'" for x in (
+    'FOREST=RF,TARGET="status",NTREES=2,INTERCEPT=0.0', 'TREE=0,TARGET="status",WEIGHT=1.0', 'TREE=1,TARGET="status",WEIGHT=2.0',
+    'NODE=*,PRED="O",SPLITTER="o_totalprice",SPLITTERTYPE=NUMERICAL,LVALUES=150000.0', 'NODE=*L,PRED="O",SPLITTER="priority",SPLITTERTYPE=CATEGORICAL,LVALUES="1-URGENT:5-LOW"', 'NODE=*LL,PRED="F"', 'NODE=*LR,PRED="O"', 'NODE=*R,PRED="P"',
+    'NODE=*,PRED="F",SPLITTER="gap",SPLITTERTYPE=NUMERICAL,LVALUES=100000.0', 'NODE=*L,PRED="F"', 'NODE=*R,PRED="O"', 'NODE=*M,PRED="P",SPLITTER="priority",SPLITTERTYPE=CATEGORICAL,LVALUES="2-HIGH"', 'NODE=*ML,PRED="P"', 'NODE=*MR,PRED="O"',
+)) + "]) AS line"
+_RANDOM_SQL = f"""
+WITH h AS (SELECT value AS v, CAST(count(*) AS DOUBLE) AS n, {", ".join(f"CAST(count(*) FILTER (event_type = '{c}') AS DOUBLE) AS c{k}" for k, c in enumerate(EVENT_TYPES))} FROM events GROUP BY 1),
+p AS (SELECT *, lead(v) OVER (ORDER BY v) AS nxt, {", ".join(f"sum({k}) OVER (ORDER BY v) AS l_{k}, sum({k}) OVER () - sum({k}) OVER (ORDER BY v) AS r_{k}, sum({k}) OVER () AS w_{k}" for k in ("n", "c0", "c1", "c2", "c3", "c4"))} FROM h),
+c AS (SELECT *, row_number() OVER (ORDER BY v) AS place, count(*) OVER () AS cuts FROM p WHERE nxt - v > 1e-7 AND r_n >= 2)
+SELECT round((v + nxt) / 2, 6) AS threshold, CAST(l_n AS BIGINT) AS n_left, CAST(r_n AS BIGINT) AS n_right,
+  round({_FORMULAS["gini"](5).format(x="w_")} - (l_n * {_FORMULAS["gini"](5).format(x="l_")} + r_n * {_FORMULAS["gini"](5).format(x="r_")}) / w_n, 6) AS decrease FROM c WHERE place = {_H("0", "0", 5)} % cuts + 1"""
+_L1_SQL = """
+WITH k AS (SELECT DISTINCT c_nationkey AS v FROM customer), t AS (SELECT v, lead(v) OVER (ORDER BY v) AS nxt FROM k),
+m AS (SELECT t.v, t.nxt, c_acctbal AS y, c_nationkey <= t.v AS l, avg(c_acctbal) OVER (PARTITION BY t.v, c_nationkey <= t.v) AS mu, avg(c_acctbal) OVER (PARTITION BY t.v) AS mw FROM t JOIN customer ON t.nxt IS NOT NULL),
+g AS (SELECT (v + nxt) / 2 AS threshold, count(*) FILTER (l) AS n_left, count(*) FILTER (NOT l) AS n_right, avg(abs(y - mw)) - avg(abs(y - mu)) AS decrease FROM m GROUP BY v, nxt)
+SELECT round(threshold, 6) AS threshold, n_left, n_right, round(decrease, 6) AS decrease FROM g WHERE n_left >= 20 AND n_right >= 21 AND decrease > 1e-7 ORDER BY decrease DESC, threshold LIMIT 1"""
+_TEN = tuple(str(i) for i in range(10))
+_ROOT_SQL = f"""
+WITH c AS (SELECT 'd' || i AS feature, CAST(embedding[i + 1] AS DOUBLE) AS v, label FROM embeddings CROSS JOIN (SELECT unnest(range(64)) AS i)),
+h AS (SELECT feature, v, CAST(count(*) AS DOUBLE) AS n, {", ".join(f"CAST(count(*) FILTER (label = {k}) AS DOUBLE) AS c{k}" for k in range(10))} FROM c GROUP BY 1, 2),
+p AS (SELECT feature, v, lead(v) OVER o AS nxt, {", ".join(f"sum({k}) OVER o AS l_{k}, sum({k}) OVER (PARTITION BY feature) AS w_{k}" for k in ("n", *(f"c{i}" for i in range(10))))} FROM h WINDOW o AS (PARTITION BY feature ORDER BY v)),
+b AS (SELECT *, {", ".join(f"w_{k} - l_{k} AS r_{k}" for k in ("n", *(f"c{i}" for i in range(10))))} FROM p),
+g AS (SELECT feature, (v + nxt) / 2 AS threshold, w_n, {_FORMULAS["gini"](10).format(x="w_")} AS impurity, {_FORMULAS["gini"](10).format(x="w_")} - (l_n * {_FORMULAS["gini"](10).format(x="l_")} + r_n * {_FORMULAS["gini"](10).format(x="r_")}) / w_n AS decrease FROM b WHERE nxt - v > 1e-7 AND r_n >= 2)
+SELECT feature, round(threshold, 6) AS threshold, CAST(w_n AS BIGINT) AS n, round(impurity, 6) AS impurity, round(decrease, 6) AS decrease FROM g ORDER BY round(decrease, 9) DESC, feature, threshold LIMIT 1"""
+_ROUND1_SQL = f"""
+WITH o AS (SELECT case_id, day, o_totalprice AS y, o_totalprice - (SELECT avg(o_totalprice) FROM orders) AS r, (SELECT avg(o_totalprice) FROM orders) AS base FROM {ORDERS}),
+h AS (SELECT day AS v, CAST(count(*) AS DOUBLE) AS n, sum(r) AS s FROM o GROUP BY 1),
+p AS (SELECT v, lead(v) OVER (ORDER BY v) AS nxt, sum(n) OVER (ORDER BY v) AS ln, sum(s) OVER (ORDER BY v) AS ls, sum(n) OVER () AS tn, sum(s) OVER () AS ts FROM h),
+b AS (SELECT (v + nxt) / 2 AS cut FROM p WHERE nxt IS NOT NULL AND ln >= 50 AND tn - ln >= 51 ORDER BY pow(ls / ln - (ts - ls) / (tn - ln), 2) * ln * (tn - ln) / tn DESC, v LIMIT 1),
+f AS (SELECT y, base + 0.1 * avg(r) OVER (PARTITION BY day <= cut) AS f FROM o CROSS JOIN b), e AS (SELECT avg(pow(f - y, 2)) AS mse, var_pop(y) AS v FROM f)
+SELECT round(mse / 1e9, 6) AS mse, round(mse / v, 6) AS scaled_error FROM e"""
+_DRAWN = [int(hash_numbers(k, 0, 9)) % 3 for k in range(2)]
+_DRAWN_SQL = f"WITH c AS ({_LONG}) SELECT feature, count(*) AS n, round(sum(num), 4) AS total FROM (SELECT feature, num FROM c" + "".join(f" UNION ALL SELECT 'd{i}:SHUFFLED:{k}', num FROM c WHERE feature = 'd{i}'" for k, i in enumerate(_DRAWN)) + ") GROUP BY 1"
+
+
+def _root(s: SparkSession, d: str) -> DataFrame:
+    """The root that a tree over all dimensions grows."""
+    f = Forest("label", "case_id", [f"d{i}" for i in range(64)], n_trees=1, how=Growth(max_depth=1), bag="none").fit(_embedding(s, d))
+    return _rounded(f.nodes.filter("path = '*'").select("feature", "threshold", "n", "impurity", "decrease"))
+
+
+def _round1(s: SparkSession, d: str) -> DataFrame:
+    """Errors after one round of gradient boosting."""
+    o = _orders(s, d)
+    f = Forest("o_totalprice", "case_id", ["day"], n_trees=1, how=Growth(max_depth=1, leaf=50), boost="gbt", bag="none").fit(o)
+    return score.regression_errors(f.predict(o), _actual(s, d, "o_totalprice")).select(F.round(F.col("mse") / 1e9, 6).alias("mse"), F.round("scaled_error", 6).alias("scaled_error"))
+
+
 def _with_sql() -> dict[str, tuple[Query, str | None]]:
     out: dict[str, tuple[Query, str | None]] = {
-        "best_num_split_gini": (_num(_events, "value", _GINI), _num_split_sql(EVENTS, "value", _GINI)),
-        "best_num_split_missing": (_num(_holes, "value", _GINI, 5), _num_split_sql(HOLES, "value", _GINI, 5)),
-        "best_num_split_entropy": (_num(_holes, "value", targets.Entropy(classes=EVENT_TYPES)), _num_split_sql(HOLES, "value", targets.Entropy(classes=EVENT_TYPES))),
-        "best_num_split_sse": (_num(_orders, "day", _STATUS["sse"]), _num_split_sql(ORDERS, "day", _STATUS["sse"])),
-        "best_num_split_friedman": (_num(_orders, "day", targets.Friedman(y="o_totalprice / 100000", shift=1.5)), _num_split_sql(ORDERS, "day", targets.Friedman(y="o_totalprice / 100000", shift=1.5))),
-        "best_num_split_rate_distance": (_num(_orders, "day", targets.RateDistance(y="status", classes=("F", "O")), 50), _num_split_sql(ORDERS, "day", targets.RateDistance(y="status", classes=("F", "O")), 50)),
-        "best_num_split_by_group": (_num(_orders, "day", _STATUS["gini"], 3, ("priority",)), _num_split_sql(ORDERS, "day", _STATUS["gini"], 3, "priority")),
-        "best_num_split_lineitem": (_num(_t("lineitem"), "l_extendedprice", targets.Gini(y="l_returnflag", classes=FLAGS)), _num_split_sql("lineitem", "l_extendedprice", targets.Gini(y="l_returnflag", classes=FLAGS))),
-        "best_bin_split": (_cat(_t("lineitem"), "l_linestatus", targets.Gini(y="l_returnflag", classes=FLAGS)), _cat_split_sql("lineitem", "l_linestatus", targets.Gini(y="l_returnflag", classes=FLAGS), ("F", "O"))),
-        "best_cat_split_exhaustive": (_cat(_orders, "priority", _STATUS["gini"]), _cat_split_sql(ORDERS, "priority", _STATUS["gini"], PRIORITY)),
-        "best_cat_split_sse": (_cat(_orders, "priority", _STATUS["sse"]), _cat_split_sql(ORDERS, "priority", _STATUS["sse"], PRIORITY)),
+        "best_num_split_gini": (_num(_events, "value", _GINI), _num_split_sql(EVENTS, "value", "y", "gini", EVENT_TYPES)),
+        "best_num_split_missing": (_num(_holes, "value", _GINI, 5), _num_split_sql(HOLES, "value", "y", "gini", EVENT_TYPES, 5)),
+        "best_num_split_entropy": (_num(_holes, "value", targets.Entropy(classes=EVENT_TYPES)), _num_split_sql(HOLES, "value", "y", "entropy", EVENT_TYPES)),
+        "best_num_split_sse": (_num(_orders, "day", _STATUS["sse"]), _num_split_sql(ORDERS, "day", "o_totalprice / 100000", "sse", shift=1.5)),
+        "best_num_split_friedman": (_num(_orders, "day", targets.Friedman(y="o_totalprice / 100000", shift=1.5)), _num_split_sql(ORDERS, "day", "o_totalprice / 100000", "friedman", shift=1.5)),
+        "best_num_split_rate_distance": (_num(_orders, "day", targets.RateDistance(y="status", classes=("F", "O")), 50), _num_split_sql(ORDERS, "day", "status", "rate_distance", ("F", "O"), 50)),
+        "best_num_split_by_group": (_num(_orders, "day", _STATUS["gini"], 3, ("priority",)), _num_split_sql(ORDERS, "day", "status", "gini", STATUS, 3, "priority")),
+        "best_num_split_lineitem": (_num(_t("lineitem"), "l_extendedprice", targets.Gini(y="l_returnflag", classes=FLAGS)), _num_split_sql("lineitem", "l_extendedprice", "l_returnflag", "gini", FLAGS)),
+        "best_bin_split": (_cat(_t("lineitem"), "l_linestatus", targets.Gini(y="l_returnflag", classes=FLAGS)), _cat_split_sql("lineitem", "l_linestatus", "l_returnflag", 2, FLAGS)),
+        "best_cat_split_exhaustive": (_cat(_orders, "priority", _STATUS["gini"]), _cat_split_sql(ORDERS, "priority", "status", 5, STATUS)),
+        "best_cat_split_sse": (_cat(_orders, "priority", _STATUS["sse"]), _cat_split_sql(ORDERS, "priority", "o_totalprice / 100000", 5, formula="sse", shift=1.5)),
         "best_cat_split_greedy": (_cat(_t("part"), "p_name", targets.Sse(y="p_retailprice", shift=1000.0), splits.greedy_cat_split), None),
         "best_cat_split_greedy_30": (_cat(_t("customer"), "c_nationkey", targets.Sse(y="c_acctbal"), splits.greedy_cat_split), None),
-        "best_num_split_l1": (lambda s, d: _rounded(splits.absolute_split(_t("customer")(s, d), (), "c_custkey", "c_acctbal", 20)), None),
-        "random_num_split": (lambda s, d: _rounded(splits.random_num_split(_events(s, d), (), "value", _GINI, 5)), None),
-        "impurity_ordinal": (_impurity(lambda s, d: _embedding(s, d, 1).withColumn("g", F.col("case_id") % 7), "g", _ORDINAL), _impurity_sql("(SELECT CAST(label AS VARCHAR) AS label, vec_id % 7 AS g FROM embeddings)", "g", _ORDINAL)),
-        "impurity_boosted": (_impurity(_weighted_orders, "priority", _BOOST), _impurity_sql(f"(SELECT *, 1.0 + case_id % 3 AS bw FROM {ORDERS})", "priority", _BOOST)),
+        "best_num_split_l1": (lambda s, d: _rounded(splits.absolute_split(_t("customer")(s, d), (), "c_nationkey", "c_acctbal", 20)), _L1_SQL),
+        "impurity_ordinal": (_impurity(lambda s, d: _embedding(s, d, 1).withColumn("g", F.col("case_id") % 7), "g", _ORDINAL), _ORDINAL_SQL),
+        "impurity_boosted": (_impurity(_weighted_orders, "priority", _BOOST), _BOOST_SQL),
         "impurity_l1": (
             lambda s, d: _rounded(_orders(s, d).join(_orders(s, d).groupBy("priority").agg(F.avg("o_totalprice").alias("m")), "priority").groupBy(F.col("priority").alias("grp")).agg(F.avg(F.abs(F.col("o_totalprice") - F.col("m"))).alias("impurity")), 4),
             f"SELECT priority AS grp, round(avg(abs(o_totalprice - m)), 4) AS impurity FROM (SELECT *, avg(o_totalprice) OVER (PARTITION BY priority) AS m FROM {ORDERS}) GROUP BY 1",
         ),
+        "best_num_split_random": (lambda s, d: _rounded(splits.random_num_split(_events(s, d), (), "value", _GINI, 5)), _RANDOM_SQL),
+        "best_cat_split_random": (_cat(_t("customer"), "c_nationkey", targets.Sse(y="c_acctbal"), lambda rows, keys, v, t: splits.random_cat_split(rows, keys, v, t, 3)), None),
+        "grow_root": (_root, _ROOT_SQL),
+        "gbt_round1": (_round1, _ROUND1_SQL),
+        "class_costs": (lambda s, d: _orders(s, d).groupBy("priority").agg(F.round(sum(F.count_if(F.col("status") == c) * w for c, w in zip(STATUS, targets.class_costs('{"O": 2.5, "P": 4}', STATUS), strict=True)), 6).alias("cost")), f"SELECT priority, CAST(round(sum(CASE status WHEN 'O' THEN 2.5 WHEN 'P' THEN 4 ELSE 0 END), 6) AS DOUBLE) AS cost FROM {ORDERS} GROUP BY 1"),
+        "accuracy": (lambda s, d: _rounded(score.accuracy(score.tally_mode(_leaves(s, d)), _actual(s, d))), f"{_MODE} SELECT count(*) AS n, count(*) FILTER (pred = status) AS n_right, count(*) FILTER (pred IS NULL) AS n_unvoted, round(avg(CAST(pred = status AS DOUBLE)), 6) AS accuracy FROM p"),
+        "predictions_tsv": (lambda s, d: formats.tsv_lines(score.predictions(score.tally_mode(_leaves(s, d)), _actual(s, d))), f"{_MODE} SELECT concat_ws(chr(9), case_id, pred, status) AS line FROM p"),
+        "counter_tsv": (lambda s, d: formats.tsv_lines(_t("events")(s, d).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))), "SELECT concat_ws(chr(9), user_id, event_type, count(*)) AS line FROM events GROUP BY user_id, event_type"),
+        "fold_test_part": (lambda s, d: sample.fold_parts(_cases(s, d), "case_id", sample.kfold(_cases(s, d), 7, 3), 2)[1], f"SELECT case_id, event_type, user_id FROM (SELECT event_id AS case_id, event_type, user_id, row_number() OVER (ORDER BY {_H('event_id', '0', 3)}, event_id) - 1 AS k, count(*) OVER () // 7 AS size FROM events) WHERE k // size = 2"),
+        "poisson_bag": (lambda s, d: sample.poisson_bag(_cases(s, d), 2, 19), f"WITH u AS (SELECT CAST(t AS INTEGER) AS tree, event_id AS case_id, {_H('event_id', 't', 19)} / {float(RANGE)!r} AS u FROM events CROSS JOIN (SELECT unnest(range(2)) AS t)) SELECT tree, case_id, CAST(" + " + ".join(f"CAST(u >= {x!r} AS INTEGER)" for x in sample.POISSON) + f" AS BIGINT) AS mult FROM u WHERE u >= {sample.POISSON[0]!r}"),
+        "drawn_contrasts": (lambda s, d: transform.drawn_contrasts(transform.to_cells(_embedding(s, d, 3), "case_id", ["d0", "d1", "d2"], []), ["d0", "d1", "d2"], 2, 9).groupBy("feature").agg(F.count("*").alias("n"), F.round(F.sum("num"), 4).alias("total")), _DRAWN_SQL),
+        "libsvm_table": (lambda s, d: formats.libsvm_table(_orders(s, d).select("case_id", "status", F.when(F.col("case_id") % 5 != 0, F.col("day")).alias("day"), "priority"), "status", ["day"], ["priority"], "case_id").agg(F.count("*").alias("n"), F.sum(F.length("line") - F.length(F.translate("line", ":", ""))).alias("cells")), "SELECT count(*) AS n, CAST(2 * count(*) AS BIGINT) AS cells FROM orders"),
         "density": (
             lambda s, d: _events(s, d).withColumn("all", F.lit(1)).groupBy("y").agg(F.count("*").alias("t"), (F.max("value") - F.min("value")).alias("span_value"), F.count_distinct("user_id").alias("span_user")).crossJoin(F.broadcast(_events(s, d).agg(F.count("*").alias("big")))).select("y", F.round(F.pow(F.col("t") / F.col("big"), 2) / (F.col("span_value") * F.col("span_user")), 10).alias("impurity"), F.round(F.col("t") / F.col("big") / (F.col("span_value") * F.col("span_user")), 10).alias("predicted")),
             f"SELECT y, round(pow(t / big, 2) / (a * u), 10) AS impurity, round(t / big / (a * u), 10) AS predicted FROM (SELECT y, CAST(count(*) AS DOUBLE) AS t, max(value) - min(value) AS a, count(DISTINCT user_id) AS u, (SELECT count(*) FROM events) AS big FROM {EVENTS} GROUP BY y)",
@@ -329,7 +435,7 @@ def _with_sql() -> dict[str, tuple[Query, str | None]]:
         "afm_lines_by_feature": (lambda s, d: formats.afm_lines(_t("region")(s, d).select("r_regionkey", F.col("r_name").alias("C:name")), "r_regionkey", True), "SELECT CAST(0 AS BIGINT) AS at, '.' || chr(9) || string_agg(CAST(r_regionkey AS VARCHAR), chr(9) ORDER BY r_regionkey) AS line FROM region UNION ALL SELECT 1, 'C:name' || chr(9) || string_agg(r_name, chr(9) ORDER BY r_regionkey) FROM region"),
         "arff_lines": (lambda s, d: formats.arff_lines(_orders(s, d).select("case_id", "status"), "orders"), f"SELECT 0 AS part, '@relation orders' AS line UNION ALL SELECT 1, '@attribute case_id numeric' UNION ALL SELECT 2, '@attribute status {{' || (SELECT string_agg(DISTINCT status, ',' ORDER BY status) FROM {ORDERS}) || '}}' UNION ALL SELECT 3, '@data' UNION ALL SELECT 4, case_id || ',' || status FROM {ORDERS}"),
         "libsvm_lines": (lambda s, d: formats.libsvm_lines(_t("part")(s, d).select("p_partkey", F.col("p_size").cast("long").alias("size"), (F.col("p_partkey") % 3).alias("rest")), "p_partkey"), "SELECT p_partkey || ' 1:' || p_size || CASE WHEN p_partkey % 3 <> 0 THEN ' 2:' || (p_partkey % 3) ELSE '' END AS line FROM part"),
-        "sf_lines": (lambda s, d: formats.sf_lines(_model(s), "status"), None),
+        "sf_lines": (lambda s, d: formats.sf_lines(_model(s), "status").select("line"), _SF_SQL),
         "logit_expit": (lambda s, d: _rounded(_t("lineitem")(s, d).select("l_orderkey", "l_linenumber", transform.expit(transform.logit(F.col("l_discount") + 0.01)).alias("p")).distinct()), "SELECT DISTINCT l_orderkey, l_linenumber, round(l_discount + 0.01, 6) AS p FROM lineitem"),
         "sparse_counter": (lambda s, d: _t("events")(s, d).groupBy(F.col("user_id").alias("i"), F.col("event_type").alias("j")).agg(F.count("*").alias("n")), "SELECT user_id AS i, event_type AS j, count(*) AS n FROM events GROUP BY 1, 2"),
         "forest_votes": (lambda s, d: _forest().fit(_embedding(s, d)).predict(_embedding(s, d)), None),
@@ -340,7 +446,7 @@ def _with_sql() -> dict[str, tuple[Query, str | None]]:
         "gbt_regression": (_boosted, None), "gbt_classes": (_boosted_classes, None), "adaboost": (_ada((1.0, 1.0, 1.0)), None), "adacost": (_ada((1.0, 1.0, 4.0)), None), "contrast_p_values": (_contrast, None),
     }
     for name, t in _STATUS.items():
-        out[f"impurity_{name}"] = (_impurity(_orders, "priority", t), _impurity_sql(ORDERS, "priority", t))
+        out[f"impurity_{name}"] = (_impurity(_orders, "priority", t), _status_impurities()[name])
     return out
 
 

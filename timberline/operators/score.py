@@ -101,6 +101,18 @@ def confusion(predictions: DataFrame, actual: DataFrame) -> DataFrame:
     return sums.select("*", ((F.col("n_predicted") - F.col("n_right")) / F.col("n_predicted")).alias("false_discovery_rate"), ((F.col("n_actual") - F.col("n_right")) / F.col("n_actual")).alias("miss_rate"))
 
 
+def predictions(pred: DataFrame, actual: DataFrame) -> DataFrame:
+    """case_id, pred, actual of every case of either; a case without a vote has no pred."""
+    return actual.join(pred, "case_id", "full").select("case_id", "pred", "actual")
+
+
+def accuracy(pred: DataFrame, actual: DataFrame) -> DataFrame:
+    """One row: n, n_right, n_unvoted, accuracy of the cases whose actual class is known."""
+    both = actual.filter("actual is not null").join(pred, "case_id", "left")
+    right = F.count_if(F.col("pred") == F.col("actual"))
+    return both.agg(F.count("*").alias("n"), right.alias("n_right"), F.count_if(F.col("pred").isNull()).alias("n_unvoted"), (right / F.count("*")).alias("accuracy"))
+
+
 def running_error(votes: DataFrame, actual: DataFrame) -> DataFrame:
     """tree, squared_error of the mean vote of all trees up to each one."""
     order = Window.partitionBy("case_id").orderBy("tree").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -110,6 +110,23 @@ def best_cat_split(rows: DataFrame, keys: Sequence[str], value: str, target: Tar
     return best(cat_cuts(histogram(rows, keys, value, target), keys, target, leaf), keys, ["left"])
 
 
+def random_cat_split(rows: DataFrame, keys: Sequence[str], value: str, target: Target, seed: int, masks: int = 511, leaf: int = 1) -> DataFrame:
+    """The best of ``masks`` divisions drawn by a hash of division and category, for any number of categories."""
+    hist = histogram(rows, keys, value, target).withColumn("v", F.col("v").cast("string"))
+    names = list(target.stats())
+    drawn = hist.filter("v is not null").withColumn("mask", F.explode(F.sequence(F.lit(1), F.lit(masks))))
+    goes = hashed("_cat", "mask", seed) % 2 == 0
+    drawn = drawn.withColumn("_cat", F.crc32("v")).withColumn("_goes", goes)
+    both = drawn.groupBy(*keys, "mask").agg(F.array_sort(F.collect_list(F.when(F.col("_goes"), F.col("v")))).alias("left"), *[F.sum(F.when(F.col("_goes") == side, F.col(k)).otherwise(0.0)).alias(f"_{p}_{k}") for p, side in (("l", True), ("r", False)) for k in names])
+    lost = hist.groupBy(*keys).agg(*[F.sum(F.when(F.col("v").isNull(), F.col(k)).otherwise(0.0)).alias(f"_m_{k}") for k in names])
+    sides = both.join(lost, list(keys)) if keys else both.join(lost)
+    side = lambda p: {k: F.col(f"_{p}_{k}") for k in names}
+    left, right, missing = side("l"), side("r"), side("m")
+    whole = {k: left[k] + right[k] + missing[k] for k in names}
+    cuts = sides.filter((left["n"] >= leaf) & (right["n"] >= leaf)).select(*keys, "left", left["n"].cast("long").alias("n_left"), right["n"].cast("long").alias("n_right"), gain(target, left, right, missing, whole).alias("decrease"))
+    return best(cuts, keys, ["left"])
+
+
 def greedy_cat_split(rows: DataFrame, keys: Sequence[str], value: str, target: Target, leaf: int = 1) -> DataFrame:
     """keys, left, n_left, n_right, decrease by forward selection, for many categories: the category that helps most
     goes left as long as one helps. A group is one histogram, with a row for each category."""

@@ -7,6 +7,7 @@ Targets with ``score`` have no impurity: the cut with the highest score wins.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -67,6 +68,12 @@ class Entropy(Classes):
         return sum(map(part, cs[1:]), part(cs[0]))
 
 
+def class_costs(text: str, classes: tuple[str, ...]) -> tuple[float, ...]:
+    """Costs in order of ``classes`` from a JSON object of class and cost; a class that it lacks costs 0."""
+    costs = json.loads(text)
+    return tuple(float(costs.get(c, 0.0)) for c in classes)
+
+
 @dataclass(frozen=True)
 class Costed(Classes):
     costs: tuple[float, ...] = ()

@@ -5,33 +5,44 @@ Headers are small and parsed by the driver; bodies stay distributed. Lines keep
 
 from __future__ import annotations
 
+import io
+import itertools
 import re
+import zipfile
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import ranked
-from ..operators.transform import parse_cat, parse_num
+from ..operators.transform import cat_codes, encode_num, impute, parse_cat, parse_num
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, line of a text file."""
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_i"))
-    return rows
+    """value, _i of a text file or a folder of them; _i is in the order of files and lines."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select("value", at.alias("_i"))
 
 
 def read_afm(spark: SparkSession, path: str) -> DataFrame:
     """case label and typed feature columns, from either orientation: a second header cell with a type prefix means cases in rows."""
-    head = spark.read.text(path).first()[0].split("\t")
+    lines = _lines(spark, path)
+    return parse_afm(lines, lines.orderBy("_i").first()[0])
+
+
+def parse_afm(lines: DataFrame, header: str) -> DataFrame:
+    """The same of ``lines`` (value), of which one is the ``header``."""
+    head = header.split("\t")
+    cells = lines.filter((F.col("value") != header) & (F.col("value") != "")).select(F.split("value", "\t").alias("c"))
     if re.match("[NCB]:", head[1] if len(head) > 1 else ""):
-        raw = spark.read.csv(path, sep="\t", header=True, quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="\x00", emptyValue="")
-        label, *names = raw.columns
+        names, label = head[1:], "case"
+        raw = cells.select(F.get("c", F.lit(0)).alias("case"), *[F.get("c", F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
     else:
-        cells = spark.read.text(path).filter(F.col("value") != "\t".join(head)).select(F.split("value", "\t").alias("c"))
-        cells = cells.select(F.col("c")[0].alias("name"), F.posexplode(F.slice("c", 2, len(head) - 1)).alias("at", "cell"))
-        names = [r["name"] for r in cells.filter("at = 0").select("name").collect()]
+        pairs = cells.select(F.col("c")[0].alias("name"), F.posexplode(F.slice("c", 2, len(head) - 1)).alias("at", "cell"))
+        names = [r["name"] for r in pairs.filter("at = 0").select("name").collect()]  # one row for each feature
         labels = F.array(*map(F.lit, head[1:]))
-        raw = cells.groupBy("at").pivot("name", names).agg(F.first("cell")).orderBy("at").withColumn("case", F.get(labels, F.col("at"))).drop("at")
+        raw = pairs.groupBy("at").pivot("name", names).agg(F.first("cell")).orderBy("at").withColumn("case", F.get(labels, F.col("at"))).drop("at")
         label = "case"
     kind = lambda n: parse_num(f"`{n}`") if n.startswith("N:") else parse_cat(f"`{n}`")
     return raw.select(F.col(f"`{label}`").alias("case"), *[kind(n).alias(n) for n in names])
@@ -51,14 +62,13 @@ def afm_lines(df: DataFrame, case: str, by_feature: bool = False) -> DataFrame:
 
 
 def read_arff(spark: SparkSession, path: str) -> DataFrame:
-    head, found = [], False
-    for (line,) in spark.read.text(path).limit(100_000).toLocalIterator():
-        if re.match(r"\s*@data", line, re.I):
-            found = True
-            break
+    head = []
+    # a line for each attribute
+    marked = [r["value"] for r in _lines(spark, path).filter(F.col("value").rlike(r"^\s*@")).orderBy("_i").collect()]
+    for line in marked:
         if m := re.match(r"\s*@attribute\s+('[^']*'|\"[^\"]*\"|\S+)\s+(.*)", line, re.I):
             head.append((m[1].strip("'\""), m[2].strip().lower()))
-    if not found:
+    if not any(re.match(r"\s*@data", line, re.I) for line in marked):
         raise ValueError("no @data line")
     body = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(@|%|$)"))
     cells = body.select(F.from_csv("value", ", ".join(f"`{n}` string" for n, _ in head), {"ignoreLeadingWhiteSpace": "true", "quote": "'"}).alias("r")).select("r.*")
@@ -68,22 +78,24 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
 
 def arff_lines(df: DataFrame, relation: str) -> DataFrame:
     """part, line: the header as part 0 to k, data lines as part k + 1; missing is ?."""
-    head = [f"@relation {relation}"]
-    for name, kind in df.dtypes:
-        if kind == "string":
-            values = [r[0] for r in df.select(name).filter(F.col(f"`{name}`").isNotNull()).distinct().orderBy(name).collect()]
-            head.append(f"@attribute {name} {{{','.join(values)}}}")
+    fixed, top = [(0, f"@relation {relation}")], None
+    for i, (name, kind) in enumerate(df.dtypes, 1):
+        if kind == "string":  # the list of values is one line of the file
+            values = df.select(F.col(f"`{name}`").alias("v")).filter("v is not null").distinct().agg(F.array_join(F.array_sort(F.collect_list("v")), ",").alias("all"))
+            line = values.select(F.lit(i).alias("part"), F.concat(F.lit(f"@attribute {name} {{"), "all", F.lit("}")).alias("line"))
+            top = line if top is None else top.unionByName(line)
         else:
-            head.append(f"@attribute {name} numeric")
-    head.append("@data")
-    top = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(head)], "part int, line string")
-    return top.unionByName(df.select(F.lit(len(head)).alias("part"), F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("?")) for c in df.columns]).alias("line")))
+            fixed.append((i, f"@attribute {name} numeric"))
+    rest = df.sparkSession.createDataFrame([*fixed, (len(df.dtypes) + 1, "@data")], "part int, line string")
+    top = rest if top is None else rest.unionByName(top)
+    return top.unionByName(df.select(F.lit(len(df.dtypes) + 2).alias("part"), F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("?")) for c in df.columns]).alias("line")))
 
 
 def read_libsvm(spark: SparkSession, path: str) -> DataFrame:
     """line, target, feature, num: long format; absent features are 0 and have no row."""
-    rows = _lines(spark, path).filter("trim(value) <> ''").select(F.col("_i").alias("case_id"), F.split(F.trim("value"), r"\s+").alias("t"))
-    pairs = rows.select("case_id", F.col("t")[0].alias("target"), F.explode_outer(F.slice("t", 2, 1_000_000)).alias("p"))
+    numbered = ranked(_lines(spark, path).filter("trim(value) <> ''"), ["_i"], name="case_id")
+    rows = numbered.select("case_id", F.split(F.trim("value"), r"\s+").alias("t"))
+    pairs = rows.select("case_id", F.col("t")[0].alias("target"), F.explode_outer(F.expr("slice(t, 2, size(t))")).alias("p"))
     return pairs.select("case_id", "target", F.split("p", ":")[0].alias("feature"), F.expr("try_cast(split(p, ':')[1] as double)").alias("num"))
 
 
@@ -94,24 +106,53 @@ def libsvm_lines(df: DataFrame, target: str) -> DataFrame:
     return df.select(F.concat_ws(" ", F.col(target).cast("string"), *parts).alias("line"))
 
 
+def libsvm_table(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], order: str) -> DataFrame:
+    """line: as libsvm_lines, of a table with missing values and categories: means and modes for what is missing, categories as
+    codes or 0/1 columns, a text target as its code by first occurrence. The lists of categories come to the driver."""
+    full = impute(df, numeric, categorical, order)
+    kinds = dict(df.dtypes)
+    if kinds[target] == "string":
+        codes = cat_codes(df, target, order).withColumnRenamed(target, "_of")
+        full = full.join(codes, F.col(target) == F.col("_of")).withColumn(target, F.col("code")).drop("_of", "code")
+    for c in categorical:
+        full = encode_num(full, c, [r[0] for r in df.filter(F.col(c).isNotNull()).select(c).distinct().orderBy(c).collect()])
+    return libsvm_lines(full.drop(order) if order != target else full, target)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each archive's first member, some thousands at a time."""
+    for b in batches:
+        for content in b.column(0).to_pylist():
+            with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(z.namelist()[0]) as member:
+                lines = io.TextIOWrapper(member, encoding="utf-8")
+                while part := list(itertools.islice(lines, 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.rstrip("\r\n") for x in part], pa.string())], names=["value"])
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """By suffix: .arff, .libsvm, else annotated TSV; a zip's first member is annotated TSV."""
+    """By suffix: .arff, .libsvm, else annotated TSV; a zip's first member is annotated TSV, unpacked where it is read."""
     if path.endswith(".zip"):
-        import io
-        import zipfile
-
-        content = spark.read.format("binaryFile").load(path).first()["content"]
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            text = z.read(z.namelist()[0]).decode()
-        from tempfile import mkdtemp
-
-        folder = mkdtemp()
-        with open(f"{folder}/first.afm", "w") as f:
-            f.write(text)
-        return read_afm(spark, f"{folder}/first.afm")
+        lines = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_members, "value string")
+        return parse_afm(lines, lines.first()[0])
     return read_arff(spark, path) if path.endswith(".arff") else read_libsvm(spark, path) if path.endswith(".libsvm") else read_afm(spark, path)
 
 
+def save(df: DataFrame, path: str, case: str = "case", target: str | None = None) -> None:
+    """``df`` (case and features) in the format of the suffix: .arff, .libsvm (then of numbers, with ``target``) or annotated TSV."""
+    if path.endswith(".arff"):
+        lines = arff_lines(df.drop(case), "data").orderBy("part")
+    elif path.endswith(".libsvm"):
+        lines = libsvm_lines(df.drop(case), target)
+    else:
+        lines = afm_lines(df, case).orderBy("at")
+    lines.select("line").write.mode("overwrite").text(path)
+
+
+def tsv_lines(df: DataFrame) -> DataFrame:
+    """line: the columns as text, missing is NA; how predictions, votes, importances and counters are written."""
+    return df.select(F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NA")) for c in df.columns]).alias("line"))
+
+
 def read_sf(spark: SparkSession, path: str) -> DataFrame:
     """forest, tree, path, feature, threshold, left, pred, weight, target, intercept of a stochastic-forest file."""
     rows = _lines(spark, path).filter("trim(value) <> ''")
