@@ -158,7 +158,7 @@ def convert(spark: SparkSession, args: argparse.Namespace) -> None:
     df, numeric, categorical = table(spark, args.data, args.target, args.blacklist, args.block, args.include)
     own = df.select("case", *[F.col(f"`{c}`") for c in ([args.target] if args.target else [])], *[F.col(f"`{c}`") for c in (*numeric, *categorical)])
     if args.anonymous:
-        own = transform.strip_names(own.drop("case"), args.target).withColumn("case", F.monotonically_increasing_id().cast("string"))
+        own = transform.anonymise(df.select("_case", *[F.col(f"`{c}`") for c in (args.target, *numeric, *categorical)]), "_case", args.target)
     formats.save(own, args.out, target=args.target)
 
 

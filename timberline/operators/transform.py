@@ -26,7 +26,7 @@ def parse_cat(cell: str) -> Column:
 
 def cat_codes(df: DataFrame, value: str, order: str) -> DataFrame:
     """value, code of each category; codes follow the first occurrence by ``order``."""
-    first = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("_first"))
+    first = df.filter(F.col(f"`{value}`").isNotNull()).groupBy(F.col(f"`{value}`")).agg(F.min(order).alias("_first"))
     return ranked(first, ["_first", value], name="code").select(value, "code")
 
 
@@ -125,7 +125,19 @@ def strip_names(df: DataFrame, target: str) -> DataFrame:
     """The target first, features as N:i or C:i by type."""
     kind = dict(df.dtypes)
     names = [target, *(c for c in df.columns if c != target)]
-    return df.select(*[F.col(c).alias(f"{'C' if kind[c] in ('string', 'boolean') else 'N'}:{i}") for i, c in enumerate(names)])
+    return df.select(*[F.col(f"`{c}`").alias(f"{'C' if kind[c] in ('string', 'boolean') else 'N'}:{i}") for i, c in enumerate(names)])
+
+
+def anonymise(df: DataFrame, order: str, target: str) -> DataFrame:
+    """``case`` (0, 1, ... in ``order``) and the features as strip_names names them, categories replaced by their codes."""
+    out = ranked(df, [order], name="_n").drop(order)
+    for name, kind in out.dtypes:
+        if kind == "string":
+            codes = cat_codes(out, name, "_n").withColumnRenamed(name, "_of")
+            out = out.join(codes, F.col(f"`{name}`") == F.col("_of"), "left").withColumn(name, F.col("code").cast("string")).drop("_of", "code")
+    names = [target, *(c for c in out.columns if c not in (target, "_n"))]
+    named = strip_names(out.drop("_n"), target).columns
+    return out.select(F.col("_n").cast("string").alias("case"), *[F.col(f"`{c}`").alias(n) for c, n in zip(names, named, strict=True)])
 
 
 def to_cells(df: DataFrame, case_id: str, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
