@@ -69,30 +69,49 @@ class Gain:
             return self.impurity(whole) - (left[..., 0] * self.impurity(left) + right[..., 0] * self.impurity(right) + gone) / n
 
 
-def _histogram(node: np.ndarray, code: np.ndarray, stats: np.ndarray, n_nodes: int, n_codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class Rows:
+    """Statistics of cases: ``stats`` as they are, or for counts of classes each case's class and weight."""
+
+    stats: np.ndarray | None
+    klass: np.ndarray | None = None
+    weight: np.ndarray | None = None
+    classes: int = 0
+
+    def take(self, at: np.ndarray) -> Rows:
+        if self.stats is not None:
+            return Rows(self.stats[at])
+        return Rows(None, self.klass[at], self.weight[at], self.classes)
+
+    def sums(self, key: np.ndarray, n: int) -> np.ndarray:
+        """The statistics of the cases of each key below ``n``."""
+        if self.stats is not None:
+            return np.column_stack([np.bincount(key, weights=self.stats[:, i], minlength=n) for i in range(self.stats.shape[1])])
+        counts = np.bincount(key * self.classes + self.klass, weights=self.weight, minlength=n * self.classes).reshape(n, self.classes)
+        return np.column_stack([counts.sum(axis=1), counts])
+
+
+def _histogram(node: np.ndarray, code: np.ndarray, cases: Rows, n_nodes: int, n_codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(node, code, sums) of the cells that occur, in order; without the missing ones."""
-    known = code >= 0
-    node, code, stats = node[known], code[known], stats[known]
-    key = node.astype(np.int64) * n_codes + code
+    if len(code) and code.min() < 0:
+        known = np.flatnonzero(code >= 0)
+        node, code, cases = node[known], code[known], cases.take(known)
+    key = node * n_codes + code
     if n_nodes * n_codes <= 4 * len(key) + 1024:
-        n = n_nodes * n_codes
-        sums = np.column_stack([np.bincount(key, weights=stats[:, i], minlength=n) for i in range(stats.shape[1])])
-        at = np.flatnonzero(np.bincount(key, minlength=n))
-        sums = sums[at]
-    else:
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        at = key[first]
-        sums = np.add.reduceat(stats[order], first, axis=0) if len(first) else np.zeros((0, stats.shape[1]))
+        sums = cases.sums(key, n_nodes * n_codes)
+        at = np.flatnonzero(sums[:, 0])
+        return at // n_codes, at % n_codes, sums[at]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    lead = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    at = key[lead]
+    sums = cases.take(order).sums(np.cumsum(lead) - 1, len(at))
     return at // n_codes, at % n_codes, sums
 
 
-def _missing(node: np.ndarray, code: np.ndarray, stats: np.ndarray, n_nodes: int) -> np.ndarray:
-    gone = code < 0
-    if not gone.any():
-        return np.zeros((n_nodes, stats.shape[1]))
-    return np.column_stack([np.bincount(node[gone], weights=stats[gone, i], minlength=n_nodes) for i in range(stats.shape[1])])
+def _missing(node: np.ndarray, code: np.ndarray, cases: Rows, n_nodes: int) -> np.ndarray | float:
+    gone = np.flatnonzero(code < 0)
+    return cases.take(gone).sums(node[gone], n_nodes)
 
 
 def _best_of(node: np.ndarray, gain: np.ndarray, n_nodes: int) -> np.ndarray:
@@ -100,9 +119,11 @@ def _best_of(node: np.ndarray, gain: np.ndarray, n_nodes: int) -> np.ndarray:
     out = np.full(n_nodes, -1, np.int64)
     if len(node):
         rounded = np.round(gain, 9)
-        order = np.lexsort((np.arange(len(node)), -rounded, node))
-        lead = np.concatenate([[True], node[order][1:] != node[order][:-1]])
-        out[node[order][lead]] = order[lead]
+        lead = np.concatenate([[True], node[1:] != node[:-1]])
+        top = np.maximum.reduceat(rounded, np.flatnonzero(lead))[np.cumsum(lead) - 1]
+        best = np.flatnonzero(rounded == top)
+        # the first of each node is written last
+        out[node[best[::-1]]] = best[::-1]
     return out
 
 
@@ -110,12 +131,14 @@ class Grower:
     """One tree's search over ``columns``; ``stats`` are each case's statistics, weights included."""
 
     def __init__(self, columns: list[Column], stats: np.ndarray, target: Target, how, few: set[str]):
-        self.columns, self.stats, self.target, self.how, self.few = columns, stats, target, how, few
+        self.columns, self.target, self.how, self.few = columns, target, how, few
         self.gain = Gain(target)
+        counted = self.gain.names == ["n", *(f"c{k}" for k in range(stats.shape[1] - 1))] and stats.shape[1] > 1 and bool((stats[:, 0] == stats[:, 1:].sum(axis=1)).all())
+        self.cases = Rows(None, np.argmax(stats[:, 1:], axis=1), stats[:, 0], stats.shape[1] - 1) if counted else Rows(stats)
         self.by_name = sorted(range(len(columns)), key=lambda f: columns[f].name)
         self.total = stats.shape[1]
 
-    def numeric(self, f: int, node: np.ndarray, code: np.ndarray, stats: np.ndarray, n_nodes: int, keys: np.ndarray, names: list[str], depth: int):
+    def numeric(self, f: int, node: np.ndarray, code: np.ndarray, stats: Rows, n_nodes: int, keys: np.ndarray, names: list[str], depth: int):
         """gain, threshold, largest code on the left of each node's cut; whether the node has any cut at all."""
         how, values = self.how, self.columns[f].values
         at, cell, sums = _histogram(node, code, stats, n_nodes, max(1, len(values)))
@@ -154,7 +177,7 @@ class Grower:
         threshold[has], upto[has] = (values[cell[p]] + values[following[p]]) / 2, cell[p]
         return out, threshold, upto
 
-    def categorical(self, f: int, node: np.ndarray, code: np.ndarray, stats: np.ndarray, n_nodes: int):
+    def categorical(self, f: int, node: np.ndarray, code: np.ndarray, stats: Rows, n_nodes: int):
         """gain of each node's best set, and the sets (codes on the left)."""
         how, values = self.how, self.columns[f].values
         at, cell, sums = _histogram(node, code, stats, n_nodes, max(1, len(values)))
@@ -198,8 +221,8 @@ class Grower:
         out, paths, nd, depth = [], [path], np.zeros(len(rows), np.int64), len(path) - 1
         while len(paths):
             k = len(paths)
-            stats = self.stats[rows]
-            totals = np.column_stack([np.bincount(nd, weights=stats[:, i], minlength=k) for i in range(self.total)])
+            cases = self.cases.take(rows)
+            totals = cases.sums(nd, k)
             with np.errstate(divide="ignore", invalid="ignore"):
                 impurity = np.broadcast_to(self.gain.impurity(totals), (k,))
                 predicted = np.broadcast_to(self.target.prediction(self.gain.split(totals), NumpyOps), (k,))
@@ -225,12 +248,13 @@ class Grower:
                     nodes = drawn[:, f]
                     if not nodes.any():
                         continue
-                    sel = np.arange(len(rows)) if nodes.all() else np.flatnonzero(nodes[nd])
+                    sel = slice(None) if nodes.all() else np.flatnonzero(nodes[nd])
                     code = self.columns[f].codes[rows[sel]]
+                    own = cases if nodes.all() else cases.take(sel)
                     if self.columns[f].numeric:
-                        got = self.numeric(f, nd[sel], code, stats[sel], k, keys, names, depth)
+                        got = self.numeric(f, nd[sel], code, own, k, keys, names, depth)
                     else:
-                        got = self.categorical(f, nd[sel], code, stats[sel], k)
+                        got = self.categorical(f, nd[sel], code, own, k)
                     if got is not None:
                         found[f] = got
                 if how.force and order is not None:
