@@ -41,8 +41,15 @@ def test_query_runs(spark, name):
 
 
 def test_entry_without_the_corpus_package(tmp_path):
-    for name in ("timberline", "__spark_entry__.py"):
-        subprocess.run(["cp", "-r", name, str(tmp_path)], check=True, cwd=os.path.dirname(os.path.dirname(__file__)))
+    root = os.path.dirname(os.path.dirname(__file__))
+    for name in ("timberline", "__spark_entry__.py", *(["corpus_pipeline.py"] if os.path.exists(f"{root}/corpus_pipeline.py") else [])):
+        subprocess.run(["cp", "-r", name, str(tmp_path)], check=True, cwd=root)
     subprocess.run(["rm", "-rf", str(tmp_path / "timberline/llm")], check=True)
+    for _ in range(2):  # with the pipeline's file and without
+        _lacks_corpus(tmp_path)
+        subprocess.run(["rm", "-f", str(tmp_path / "corpus_pipeline.py")], check=True)
+
+
+def _lacks_corpus(tmp_path):
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) > 40, any(k.startswith('op') for k in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert said.stdout.split() == ["True", "False"], said.stderr

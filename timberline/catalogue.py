@@ -172,6 +172,7 @@ _LEAVES_SQL = """
 _PRED_SQL = "CASE tree * 10 + CASE path WHEN '*LL' THEN 0 WHEN '*LR' THEN 1 WHEN '*R' THEN 2 WHEN '*L' THEN 3 WHEN '*ML' THEN 4 ELSE 5 END WHEN 0 THEN 'F' WHEN 1 THEN 'O' WHEN 2 THEN 'P' WHEN 12 THEN 'O' WHEN 13 THEN 'F' WHEN 14 THEN 'P' WHEN 15 THEN 'O' END"
 _VOTES = f"WITH o AS (SELECT *, CASE WHEN case_id % 5 <> 0 THEN o_totalprice END AS gap FROM {ORDERS}), l AS (SELECT *, {_PRED_SQL} AS pred FROM {_LEAVES_SQL})"
 _MODE = f"{_VOTES}, v AS (SELECT case_id, status, pred, sum(weight) AS w FROM l GROUP BY ALL), t AS (SELECT case_id, status, pred, row_number() OVER (PARTITION BY case_id ORDER BY w DESC, pred) AS k FROM v), p AS (SELECT case_id, status, pred FROM t WHERE k = 1)"
+_VECTORS = f"{_VOTES}, m AS (SELECT case_id, string_agg(tree || ':' || path, ' ' ORDER BY tree || ':' || path) AS leaves FROM l GROUP BY 1)"
 _NUMBER = "CASE pred WHEN 'F' THEN 1.0 WHEN 'O' THEN 2.0 ELSE 4.0 END"
 
 
@@ -421,9 +422,8 @@ def _with_sql() -> dict[str, tuple[Query, str | None]]:
             lambda s, d: _rounded(score.running_error(_numbered(_leaves(s, d)), _orders(s, d).select("case_id", (F.col("o_totalprice") / 100000).alias("actual")))),
             f"{_VOTES}, v AS (SELECT case_id, tree, o_totalprice / 100000 AS a, CAST(sum({_NUMBER} * weight) OVER w / sum(weight) OVER w AS DOUBLE) AS p FROM l WINDOW w AS (PARTITION BY case_id ORDER BY tree)) SELECT CAST(tree AS INTEGER) AS tree, round(avg((p - a) * (p - a)), 6) AS squared_error FROM v GROUP BY 1",
         ),
-        "proximity": (lambda s, d: score.proximity(_leaves(s, d).filter("case_id <= 100")), f"{_VOTES} SELECT x.case_id AS a, y.case_id AS b, count(*) AS n FROM l x JOIN l y USING (tree, path) WHERE x.case_id <= 100 AND y.case_id <= 100 GROUP BY 1, 2"),
-        "proximity_members": (lambda s, d: score.leaf_vectors(_leaves(s, d)), None),
-        "proximity_groups": (lambda s, d: score.proximity_groups(_leaves(s, d)), None),
+        "proximity_members": (lambda s, d: score.leaf_vectors(_leaves(s, d)), f"{_VECTORS} SELECT * FROM m"),
+        "proximity_groups": (lambda s, d: score.proximity_groups(_leaves(s, d)), f"{_VECTORS}, g AS (SELECT leaves, count(*) AS cases FROM m GROUP BY 1), x AS (SELECT leaves, cases, unnest(string_split(leaves, ' ')) AS leaf FROM g) SELECT a.leaves AS leaves_a, b.leaves AS leaves_b, count(*) AS n, a.cases AS cases_a, b.cases AS cases_b FROM x a JOIN x b USING (leaf) GROUP BY ALL"),
         "branch_counts": (lambda s, d: score.branch_counts(_leaves(s, d), _model(s)), f"{_VOTES} SELECT case_id, feature, count(*) AS n FROM (SELECT case_id, CASE WHEN tree = 0 THEN 'o_totalprice' ELSE 'gap' END AS feature FROM l UNION ALL SELECT case_id, 'priority' FROM l WHERE length(path) = 3) GROUP BY 1, 2"),
         "split_dump": (lambda s, d: score.split_dump(_model(s)), """SELECT * FROM (VALUES ('o_totalprice', '["150000.0"]'), ('gap', '["100000.0"]'), ('priority', '["1-URGENT:5-LOW","2-HIGH"]')) t(feature, splits)"""),
         "welch_t": (
