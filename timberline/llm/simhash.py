@@ -68,9 +68,12 @@ def ball_links(fps: DataFrame, radius: int) -> DataFrame:
     if radius % 2 or not 0 < radius <= 6:
         raise ValueError("radius must be 2, 4 or 6")
     masks = F.array(*[F.lit(m) for m in _masks(radius // 2)])
-    met = fps.select("fp", F.explode(masks).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("variant"))
-    groups = met.groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("z"), F.collect_set("fp").alias("members"))
-    stars = groups.filter("a < z").select("a", F.explode("members").alias("b")).filter("a < b").distinct()
+    # by number, so that the few small rows aren't gathered before they are spread out
+    spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    met = spread.select("fp", F.explode(masks).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("variant"))
+    # nearly all variants have one fingerprint; the few others are met once more
+    ends = met.groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z")
+    stars = met.join(cut(ends.select("variant", "a")), "variant").filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
     return stars.filter(F.expr("bit_count(a ^ b)") <= radius)
 
 
