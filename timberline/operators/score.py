@@ -128,10 +128,12 @@ def importance(splits: DataFrame, n_trees: int) -> DataFrame:
 
 
 def welch(df: DataFrame, group: str, real: str, contrast: str) -> DataFrame:
-    """group, mean, t, df, p that the mean of ``real`` is above that of ``contrast`` (one-sided Welch test)."""
+    """group, mean, t, df, p that the mean of ``real`` is above that of ``contrast`` (one-sided Welch test); without any variance t, df
+    and p are null."""
     s = df.groupBy(group).agg(F.avg(real).alias("ma"), F.var_samp(real).alias("va"), F.count(real).alias("na"), F.avg(contrast).alias("mb"), F.var_samp(contrast).alias("vb"), F.count(contrast).alias("nb"))
-    ea, eb = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
-    s = s.withColumn("t", (F.col("ma") - F.col("mb")) / F.sqrt(ea + eb)).withColumn("df", F.pow(ea + eb, 2) / (F.pow(ea, 2) / (F.col("na") - 1) + F.pow(eb, 2) / (F.col("nb") - 1)))
+    ea, eb = F.try_divide("va", "na"), F.try_divide("vb", "nb")
+    part = lambda e, n: F.try_divide(F.pow(e, 2), F.col(n) - 1)
+    s = s.withColumn("t", F.try_divide(F.col("ma") - F.col("mb"), F.sqrt(ea + eb))).withColumn("df", F.try_divide(F.pow(ea + eb, 2), part(ea, "na") + part(eb, "nb")))
 
     def tail(t: float, n: float) -> float:
         """P(T > t) by the continued fraction of the incomplete beta function (Lentz)."""
@@ -161,7 +163,7 @@ def welch(df: DataFrame, group: str, real: str, contrast: str) -> DataFrame:
     def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([tail(a, b) for a, b in zip(t, n, strict=True)])
 
-    return s.select(group, F.col("ma").alias("mean"), "t", "df", p_value("t", "df").alias("p"))
+    return s.select(group, F.col("ma").alias("mean"), "t", "df", F.when(F.col("t").isNotNull(), p_value("t", "df")).alias("p"))
 
 
 def proximity(assigned: DataFrame) -> DataFrame:
