@@ -294,11 +294,13 @@ def substring_dedup(docs: DataFrame, window: int = 20, levels: int = 1, keep_tex
     if window - base >= _MOST:
         raise ValueError(f"window minus base window must be below {_MOST}")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if own.filter("doc_id is null").isEmpty():
-        keyed = own.withColumn("doc", F.col("doc_id"))
+    # both joins below read the same two columns, never null to the planner, so the texts are shuffled once
+    all_named = own.filter("doc_id is null").isEmpty()
+    if all_named:
+        keyed = own.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "text")
     else:
-        keyed = keyed_rows(own).select("doc_id", "text", F.coalesce("doc_id", F.col(ROW) + _NO_ID).alias("doc"))
-    probes = keyed.select("doc", "text").mapInArrow(_base_rows(base, window), _PROBE)
+        keyed = keyed_rows(own).select(F.coalesce("doc_id", F.col(ROW) + _NO_ID, F.lit(_NO_ID)).alias("doc"), "text")
+    probes = keyed.mapInArrow(_base_rows(base, window), _PROBE)
     marks = probes.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, _MARK)
     for level in range(1, levels + 1):
         final = level == levels
@@ -310,8 +312,9 @@ def substring_dedup(docs: DataFrame, window: int = 20, levels: int = 1, keep_tex
             marks = cut(marks)
             if marks.isEmpty():
                 break
-    found = keyed.join(_by_doc(marks), "doc", "left").select("doc_id", "text", "marks")
-    return found.mapInArrow(_cut_words(window, keep_text), "doc_id long, n_words long, n_removed long, kept string")
+    found = keyed.join(_by_doc(marks), "doc", "left").select("doc", "text", "marks")
+    out = found.mapInArrow(_cut_words(window, keep_text), "doc_id long, n_words long, n_removed long, kept string")
+    return out if all_named else out.withColumn("doc_id", F.when(F.col("doc_id") < _NO_ID, F.col("doc_id")))
 
 
 def query(docs: DataFrame) -> DataFrame:
