@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, codes, fingerprints, mixing, quality, simhash, substring, toxicity, urls, vptree, warc
+from . import bpe, codes, fingerprints, mixing, quality, ranking, simhash, substring, toxicity, urls, vptree, warc
 from .common import table
 
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": _over(simhash.query, "documents"),
         "op9_url_filter": _over(urls.query, "pages"),
         "op10_warc": _over(warc.query, "pages"),
+        "op11_ranked_search": _over(ranking.query, "documents", "benchmark"),
         "op12_vector_codes": _over(codes.query, "embeddings"),
     }
 
@@ -50,4 +51,4 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_nearest": _OP2, "op3_substring_dedup": _OP3, "op10_warc": warc.oracle_sql(), "op12_vector_codes": codes.oracle_sql()}
+    return {"op2_nearest": _OP2, "op3_substring_dedup": _OP3, "op10_warc": warc.oracle_sql(), "op11_ranked_search": ranking.oracle_sql(), "op12_vector_codes": codes.oracle_sql()}
