@@ -32,7 +32,7 @@ from .common import as_bytes, cut
 #: What the terms of a block of queries are together at most (a single query may be longer), so their broadcast is bounded.
 BLOCK_TERMS = 200_000
 #: States of the traversal that are handled at once, times terms of a query.
-_CELLS = 1 << 20
+_CELLS = 1 << 18
 #: Texts are split into words in pieces of about so many bytes.
 _PIECE = 1 << 22
 #: Fixed values of the contract: letters and digits of ASCII and all bytes of other characters are parts of terms; A-Z are lower-cased.
@@ -177,12 +177,11 @@ def search(treaps: Treaps, ids: np.ndarray, null: np.ndarray, places: np.ndarray
     ``ids`` are the shard's documents in order (``null`` where they have none), ``queries`` the terms of the queries at ``places`` (-1: none),
     ``weights`` those of the terms.
     """
-    doc, impact = np.append(treaps.doc, -1), np.append(treaps.impact, 0)
-    left, right = np.append(treaps.left, -1), np.append(treaps.right, -1)
-    roots = np.append(treaps.root, -1)[queries]
+    doc, left, right, root = (np.append(x, -1).astype(np.int32) for x in (treaps.doc, treaps.left, treaps.right, treaps.root))
+    impact, roots = np.append(treaps.impact, 0), root[queries]
     w = np.append(weights, 0)[queries]
     scored = 0
-    stack = [(np.arange(len(queries)), np.zeros(len(queries), np.int64), np.full(len(queries), len(ids), np.int64), roots)]
+    stack = [(np.arange(len(queries)), np.zeros(len(queries), np.int32), np.full(len(queries), len(ids), np.int32), roots)]
     most = max(1, _CELLS // max(1, queries.shape[1]))
     while stack:
         query, lo, hi, node = stack.pop()
@@ -202,46 +201,52 @@ def search(treaps: Treaps, ids: np.ndarray, null: np.ndarray, places: np.ndarray
         d = doc[node[np.arange(len(node)), heavy]]
         # each treap is searched for d; what is met on the way down first on either side is the root of that side's part
         score = np.zeros(len(node), np.int64)
-        lefts, rights = np.full_like(node, -1), np.full_like(node, -1)
-        s, t = np.nonzero(node >= 0)
-        at = node[s, t]
-        while len(s):
+        lefts, rights = np.full(node.size, -1, np.int32), np.full(node.size, -1, np.int32)
+        cell = np.flatnonzero(node.ravel() >= 0)
+        s = cell // node.shape[1]
+        at, goal, low, high = node.ravel()[cell], d[s], lo[s], hi[s]
+        heavy_of = w[query].ravel()
+        while len(cell):
             x = doc[at]
-            here = x == d[s]
-            if here.any():
-                np.add.at(score, s[here], w[query[s[here]], t[here]] * impact[at[here]])
-            under = (x < d[s]) & (x >= lo[s]) & (lefts[s, t] < 0)
-            lefts[s[under], t[under]] = at[under]
-            over = (x > d[s]) & (x < hi[s]) & (rights[s, t] < 0)
-            rights[s[over], t[over]] = at[over]
-            # below d both sides may still lack their root
-            a, b = at[here], (s[here], t[here])
-            _side(left[a], b, lefts, doc, left, right, lo[b[0]], d[b[0]])
-            _side(right[a], b, rights, doc, left, right, d[b[0]] + 1, hi[b[0]])
-            at = np.where(x < d[s], right[at], left[at])
-            on = ~here & (at >= 0)
-            s, t, at = s[on], t[on], at[on]
+            less, more = x < goal, x > goal
+            here = np.flatnonzero(~(less | more))
+            if len(here):
+                at_d, cell_d = at[here], cell[here]
+                score += np.bincount(cell_d // node.shape[1], weights=heavy_of[cell_d] * impact[at_d], minlength=len(score)).astype(np.int64)
+                # below d both sides may still lack their root
+                _side(left[at_d], cell_d, lefts, doc, left, right, low[here], goal[here])
+                _side(right[at_d], cell_d, rights, doc, left, right, goal[here] + 1, high[here])
+            under = np.flatnonzero(less & (x >= low))
+            under = under[lefts[cell[under]] < 0]
+            lefts[cell[under]] = at[under]
+            over = np.flatnonzero(more & (x < high))
+            over = over[rights[cell[over]] < 0]
+            rights[cell[over]] = at[over]
+            at = np.where(less, right[at], left[at])
+            on = np.flatnonzero((less | more) & (at >= 0))
+            cell, at, goal, low, high = cell[on], at[on], goal[on], low[on], high[on]
+        lefts, rights = lefts.reshape(node.shape), rights.reshape(node.shape)
         scored += len(d)
         best.offer(places[query], score, ids[d], null[d])
-        for low, high, nodes in ((lo, d, lefts), (d + 1, hi, rights)):
-            some = (nodes >= 0).any(axis=1)
-            if some.any():
-                stack.append((query[some], low[some], high[some], nodes[some]))
+        # both sides of all states go on together, so arrays stay long
+        nodes = np.concatenate([lefts, rights])
+        some = np.flatnonzero((nodes >= 0).any(axis=1))
+        stack.append((np.concatenate([query, query])[some], np.concatenate([lo, d + 1])[some], np.concatenate([d, hi])[some], nodes[some]))
     return scored
 
 
-def _side(at: np.ndarray, where: tuple[np.ndarray, np.ndarray], roots: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+def _side(at: np.ndarray, cell: np.ndarray, roots: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
     """Where ``roots`` has none yet, the first node from ``at`` on whose document lies in [lo, hi)."""
-    s, t = where
-    on = (roots[s, t] < 0) & (at >= 0)
-    s, t, at, lo, hi = s[on], t[on], at[on], lo[on], hi[on]
-    while len(s):
+    on = np.flatnonzero((roots[cell] < 0) & (at >= 0))
+    while len(on):
+        cell, at, lo, hi = cell[on], at[on], lo[on], hi[on]
         x = doc[at]
-        inside = (x >= lo) & (x < hi)
-        roots[s[inside], t[inside]] = at[inside]
-        at = np.where(x < lo, right[at], left[at])
-        on = ~inside & (at >= 0)
-        s, t, at, lo, hi = s[on], t[on], at[on], lo[on], hi[on]
+        before = x < lo
+        outside = before | (x >= hi)
+        inside = np.flatnonzero(~outside)
+        roots[cell[inside]] = at[inside]
+        at = np.where(before, right[at], left[at])
+        on = np.flatnonzero(outside & (at >= 0))
 
 
 def _shards(shared, k: int):
