@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranks import ranked
+
 #: The column of keyed_rows.
 ROW = "_tl_row"
 #: A word of the contracts: a run of bytes outside this set.
@@ -44,19 +47,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keyed_rows(docs: DataFrame) -> DataFrame:
     """``docs`` with a long of its own for each row as ROW, in the order of doc_id (nulls last).
 
-    That is doc_id where it is unique and never null. Otherwise the rows are numbered and written once, so that all who
-    read them agree on the numbers.
+    That is doc_id where it is unique and never null. Otherwise it is the row's exact rank by doc_id and two hashes of all its
+    columns (but maps), so it doesn't depend on how the rows are laid out: only rows that are alike in everything may change places.
     """
     own = F.col("doc_id").cast("long")
     rows, different = docs.agg(F.count("*"), F.count_distinct(own)).first()
     if rows == different:
         return docs.withColumn(ROW, own)
-    # the random numbers spread rows that share an id and a text
-    order = [own.asc_nulls_last(), F.xxhash64("text"), F.col("_tl_spread")]
-    spread = docs.withColumn("_tl_spread", F.rand(7)).repartitionByRange(*order).sortWithinPartitions(*order)
-    path = f"{checkpoint_folder(docs.sparkSession)}/rows-{uuid.uuid4()}"
-    spread.drop("_tl_spread").withColumn(ROW, F.monotonically_increasing_id()).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    # the random numbers spread rows that are alike over the ranges
+    return ranked(docs, [own.isNull(), own, F.xxhash64(*hashed), F.xxhash64(F.lit(1), *hashed), F.rand(7)], name=ROW)
+
+
+#: What documents have; a stage takes other columns along without a look at them.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def carrying(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``stage`` of documents and more, for documents whose other columns may have any name: they travel in one struct."""
+
+    @wraps(stage)
+    def run(docs: DataFrame, *more) -> DataFrame:
+        names = docs.columns
+        extra = [c for c in names if c not in DOCUMENT]
+        if not extra:
+            return stage(docs, *more)
+        packed = docs.select(*[c for c in names if c in DOCUMENT], F.struct(*[F.col(f"`{c}`").alias(f"e{i}") for i, c in enumerate(extra)]).alias("_tl_extra"))
+        out = stage(packed, *more)
+        return out.select(*[F.col(c) if c in DOCUMENT else F.col(f"_tl_extra.e{extra.index(c)}").alias(c) for c in names])
+
+    return run
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> pa.Array:

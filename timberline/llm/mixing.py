@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, WORD, cut, keyed_rows
+from .common import ROW, WORD, carrying, cut, keyed_rows
 
 #: Documents of a block, on average.
 BLOCK = 192
@@ -126,6 +126,7 @@ def query(docs: DataFrame) -> DataFrame:
     return mix_sources(docs)
 
 
+@carrying
 def stage(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` as often as the mix takes it."""
     rows = keyed_rows(docs)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, as_bytes, cut, grams, hashed_words, keyed_rows, mix
+from .common import ROW, as_bytes, carrying, cut, grams, hashed_words, keyed_rows, mix
 from .labels import held_out, training_labels
 
 STATISTICS = ("upper", "exclaim", "bar", "symbol", "digit", "stop", "other", "wide", "word_length", "words", "lines", "distinct_words", "same_as_before", "distinct_trigrams", "lone")
@@ -166,6 +166,7 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return quality_scores(docs, labels)
 
 
+@carrying
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, each judged by its own text."""
     rows = keyed_rows(docs)

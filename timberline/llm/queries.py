@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, codes, fingerprints, mixing, quality, ranking, simhash, substring, toxicity, urls, vptree, warc
+from . import bpe, codes, fingerprints, mixing, quality, ranking, simhash, substring, suffixes, toxicity, urls, vptree, warc
 from .common import table
 
 
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_warc": _over(warc.query, "pages"),
         "op11_ranked_search": _over(ranking.query, "documents", "benchmark"),
         "op12_vector_codes": _over(codes.query, "embeddings"),
+        "op13_suffix_dedup": _over(suffixes.query, "documents"),
     }
 
 
@@ -50,5 +51,17 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY pos) AS t FROM
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
+_OP13 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS k FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 49)) AS p FROM d)),
+f AS (SELECT k, min(doc_id) AS first FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
+cov AS (SELECT DISTINCT doc_id, p + i AS p FROM (SELECT doc_id, p, unnest(range(50)) AS i FROM win JOIN f USING (k) WHERE doc_id > first)),
+runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before <> p - 1) AS n_spans FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM cov) GROUP BY doc_id),
+b AS (SELECT doc_id, h, unnest(range(len(h) // 2)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * p + 1, 2), '' ORDER BY p) AS t FROM b ANTI JOIN cov USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
+FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_nearest": _OP2, "op3_substring_dedup": _OP3, "op10_warc": warc.oracle_sql(), "op11_ranked_search": ranking.oracle_sql(), "op12_vector_codes": codes.oracle_sql()}
+    return {"op2_nearest": _OP2, "op3_substring_dedup": _OP3, "op10_warc": warc.oracle_sql(), "op11_ranked_search": ranking.oracle_sql(), "op12_vector_codes": codes.oracle_sql(), "op13_suffix_dedup": _OP13}

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, as_bytes, cut, keyed_rows
+from .common import ROW, as_bytes, carrying, cut, keyed_rows
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Hashes whose bits are counted at once.
@@ -112,6 +112,7 @@ def query(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@carrying
 def stage(docs: DataFrame) -> DataFrame:
     """One row of each component of near copies in ``docs`` (five-word shingles, similarity 0.8 or more; op8's radius binds
     op8 only): the one with the smallest doc_id, or without doc_id where none has one."""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, as_bytes, cut, grams, hashed_words, keyed_rows, mix
+from .common import ROW, as_bytes, carrying, cut, grams, hashed_words, keyed_rows, mix
 
 _PROBE = "key long, doc long, at long"
 _MARK = "doc long, at long"
@@ -322,6 +322,7 @@ def query(docs: DataFrame) -> DataFrame:
     return substring_dedup(docs, keep_text=False).withColumnRenamed("kept", "kept_sha256")
 
 
+@carrying
 def stage(docs: DataFrame) -> DataFrame:
     """``docs`` with the kept words as text and n_chars to match; rows that had words and lose all are dropped."""
     rows = keyed_rows(docs)
