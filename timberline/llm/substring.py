@@ -30,8 +30,6 @@ from .common import ROW, as_bytes, carrying, cut, grams, hashed_words, keyed_row
 
 _PROBE = "key long, doc long, at long"
 _MARK = "doc long, at long"
-#: Added to a row's key where it stands for a null doc_id.
-_NO_ID = 1 << 62
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -116,20 +114,23 @@ def _base_rows(base: int, window: int):
 
 def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Batches of rows (key, doc, at) in order of key, each with all rows of its keys."""
-    held = None
+    held: list[list[np.ndarray]] = []  # pieces of one key, joined once when it ends
+    whole = lambda pieces: tuple(np.concatenate(x) for x in zip(*pieces, strict=True))
     for b in batches:
         if not b.num_rows:
             continue
         now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        if held and now[0][0] != held[-1][0][-1]:
+            yield whole(held)
+            held = []
         differs = np.flatnonzero(now[0][1:] != now[0][:-1])
-        at = differs[-1] + 1 if len(differs) else 0
-        held = [x[at:] for x in now]
-        if at:
-            yield tuple(x[:at] for x in now)
-    if held is not None:
-        yield tuple(held)
+        if len(differs):
+            at = differs[-1] + 1
+            yield whole([*held, [x[:at] for x in now]])
+            held, now = [], [x[at:] for x in now]
+        held.append(now)
+    if held:
+        yield whole(held)
 
 
 def _lead(*columns: np.ndarray) -> np.ndarray:
@@ -268,7 +269,8 @@ def _cut_words(size: int, keep_text: bool):
                 n_removed.append(gone)
                 text = b" ".join(words)
                 kept.append(text.decode() if keep_text else hashlib.sha256(text).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            ids = b.column(b.num_columns - 1 if b.num_columns > 3 else 0)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
@@ -294,12 +296,15 @@ def substring_dedup(docs: DataFrame, window: int = 20, levels: int = 1, keep_tex
     if window - base >= _MOST:
         raise ValueError(f"window minus base window must be below {_MOST}")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # both joins below read the same two columns, never null to the planner, so the texts are shuffled once
+    # both joins below read the same columns, never null to the planner, so the texts are shuffled once
     all_named = own.filter("doc_id is null").isEmpty()
     if all_named:
-        keyed = own.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "text")
-    else:
-        keyed = keyed_rows(own).select(F.coalesce("doc_id", F.col(ROW) + _NO_ID, F.lit(_NO_ID)).alias("doc"), "text")
+        keyed = own.select(F.coalesce("doc_id", F.lit(0)).alias("doc"), "text")
+    else:  # ranks stand for the ids, one for all rows with an id and one for each row without
+        rows = keyed_rows(own)
+        first = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min(ROW).alias("first"))
+        keyed = rows.join(first, "doc_id", "left").select(F.coalesce("first", ROW).alias("doc"), "text", "doc_id")
+    columns = keyed.columns
     probes = keyed.mapInArrow(_base_rows(base, window), _PROBE)
     marks = probes.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, _MARK)
     for level in range(1, levels + 1):
@@ -312,9 +317,8 @@ def substring_dedup(docs: DataFrame, window: int = 20, levels: int = 1, keep_tex
             marks = cut(marks)
             if marks.isEmpty():
                 break
-    found = keyed.join(_by_doc(marks), "doc", "left").select("doc", "text", "marks")
-    out = found.mapInArrow(_cut_words(window, keep_text), "doc_id long, n_words long, n_removed long, kept string")
-    return out if all_named else out.withColumn("doc_id", F.when(F.col("doc_id") < _NO_ID, F.col("doc_id")))
+    found = keyed.join(_by_doc(marks), "doc", "left").select("doc", "text", "marks", *columns[2:])
+    return found.mapInArrow(_cut_words(window, keep_text), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def query(docs: DataFrame) -> DataFrame:
