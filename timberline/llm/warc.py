@@ -11,8 +11,13 @@ records with the same ids. An empty table gives none. Extra columns are ignored.
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import re
+from collections.abc import Iterator
 from html.entities import name2codepoint
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,11 +51,11 @@ def _decoded(entity: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """``text`` with its entities decoded once: each different one is replaced everywhere, those of the ampersand last."""
-    found = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), 0)), lambda e: F.struct(e.alias("e"), _decoded(e).alias("c")))
-    put = lambda t, pairs: F.aggregate(pairs, t, lambda acc, p: F.replace(acc, p["e"], p["c"]))
-    ordered = F.concat(F.filter(found, lambda p: p["c"] != "&"), F.filter(found, lambda p: p["c"] == "&"))
-    return F.when(F.contains(text, F.lit("&")), put(text, ordered)).otherwise(text)
+    """``text`` with its entities decoded once, from left to right: what lies between them and each one's character in turn."""
+    found = F.regexp_extract_all(text, F.lit(ENTITY), 0)
+    between = F.split(text, ENTITY, -1)
+    whole = F.transform(F.arrays_zip(between.alias("b"), found.alias("e")), lambda p: F.concat(p["b"], F.coalesce(_decoded(p["e"]), F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(whole, "")).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
@@ -87,25 +92,53 @@ def responses(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), record_id.alias("record_id"), url.alias("target_uri"), F.lit(None).cast("string").alias("date"), F.lit("Content-Type: text/html; charset=utf-8").alias("http_headers"), html.alias("payload"), digest.alias("payload_digest"))
 
 
-def _field(headers: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(headers, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The response records of whole files, one after the other by their Content-Length."""
+    for b in batches:
+        for content in b.column(0):
+            for head, block in records(content.as_py()):
+                field = lambda name, text=head: (m := re.search(rb"(?im)^" + name + rb":[ \t]*([^\r\n]*)", text)) and (m[1].decode("utf-8", "replace").strip() or None)
+                if (field(b"WARC-Type") or "").lower() != "response":
+                    continue
+                http, gap, payload = block.partition(b"\r\n\r\n")
+                http, payload = (http, payload) if gap else (b"", block)
+                digest = field(b"WARC-Payload-Digest") or "sha256:" + hashlib.sha256(payload).hexdigest()
+                row = (field(b"WARC-Record-ID"), field(b"WARC-Target-URI"), field(b"WARC-Date"), http.decode("utf-8", "replace"), payload.decode("utf-8", "replace"), digest)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in row], names=["record_id", "target_uri", "date", "http_headers", "payload", "payload_digest"])
+
+
+def records(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(headers, block) of each record of a WARC file, gzipped (as a whole or record by record) or not.
+
+    A record without Content-Length, or with one that the file is too short for, ends where the next version line follows an empty line.
+    """
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    at = 0
+    while (at := data.find(b"WARC/1.", at)) >= 0:
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
+        head, begin = data[at:end], end + 4
+        size = re.search(rb"(?im)^Content-Length:[ \t]*(\d+)", head)
+        stop = begin + int(size[1]) if size else len(data) + 1
+        if stop > len(data):
+            stop = data.find(b"\r\n\r\nWARC/1.", begin)
+            stop = len(data) if stop < 0 else stop
+        yield head, data[begin:stop]
+        at = stop
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """The response records of WARC files (plain or gzipped), as ``responses`` gives them, without page_id.
 
-    A record begins at a version line behind an empty one; its block is cut to its Content-Length. Status line and
+    A file is one task's, its records are cut by their Content-Length; a file is 2 GB at most, as a cell is. Status line and
     headers of the HTTP message are the source headers, what follows them is the payload. A record without a payload digest gets the
-    SHA-256 of its payload.
+    SHA-256 of its payload; bytes that aren't UTF-8 become U+FFFD in the payload.
     """
-    at = F.expr("instr(value, '\r\n\r\n')")
-    parts = spark.read.text(path, lineSep="\r\n\r\nWARC/1.").filter(at > 0).select(F.expr("substring(value, 1, instr(value, '\r\n\r\n') - 1)").alias("head"), F.expr("substring(cast(value as binary), octet_length(substring(value, 1, instr(value, '\r\n\r\n') + 3)) + 1)").alias("rest"))
-    block = parts.withColumn("length", F.coalesce(_field(F.col("head"), "Content-Length").cast("int"), F.octet_length("rest"))).withColumn("block", F.expr("substring(rest, 1, length)").cast("string"))
-    found = block.filter(F.lower(_field(F.col("head"), "WARC-Type")) == "response")
-    split = F.expr("instr(block, '\r\n\r\n')")
-    message = found.withColumn("http", F.when(split > 0, F.expr("substring(block, 1, instr(block, '\r\n\r\n') - 1)")).otherwise("")).withColumn("payload", F.when(split > 0, F.expr("substring(block, instr(block, '\r\n\r\n') + 4)")).otherwise(F.col("block")))
-    digest = F.coalesce(_field(F.col("head"), "WARC-Payload-Digest"), F.concat(F.lit("sha256:"), F.sha2("payload", 256)))
-    return message.select(F.lit(None).cast("long").alias("page_id"), _field(F.col("head"), "WARC-Record-ID").alias("record_id"), _field(F.col("head"), "WARC-Target-URI").alias("target_uri"), _field(F.col("head"), "WARC-Date").alias("date"), F.col("http").alias("http_headers"), "payload", digest.alias("payload_digest"))
+    files = spark.read.format("binaryFile").load(path).select("content")
+    found = files.mapInArrow(_records, "record_id string, target_uri string, date string, http_headers string, payload string, payload_digest string")
+    return found.select(F.lit(None).cast("long").alias("page_id"), "record_id", "target_uri", "date", "http_headers", "payload", "payload_digest")
 
 
 def derivatives(source: DataFrame, date: str = DATE) -> DataFrame:
@@ -154,8 +187,9 @@ d AS (SELECT *, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS target_
 e AS (SELECT DISTINCT unnest(regexp_extract_all(bare, {_sql_text(ENTITY)})) AS e FROM d),
 f AS (SELECT e, {code} AS c FROM e),
 g AS (SELECT e, CASE WHEN c IS NULL THEN e WHEN c > 0 AND c < 1114112 AND NOT c BETWEEN 55296 AND 57343 THEN chr(CAST(c AS INTEGER)) ELSE chr(65533) END AS c FROM f),
-l AS (SELECT coalesce(list({{'e': e, 'c': c}} ORDER BY c = '&'), []) AS pairs FROM g),
-t AS (SELECT d.*, list_reduce([{{'e': bare, 'c': ''}}] || pairs, lambda a, p: {{'e': replace(a.e, p.e, p.c), 'c': ''}}).e AS u FROM d CROSS JOIN l),
+o AS (SELECT i, generate_subscripts(b, 1) AS k, unnest(b) AS b, es FROM (SELECT i, regexp_split_to_array(bare, {_sql_text(ENTITY)}) AS b, regexp_extract_all(bare, {_sql_text(ENTITY)}) AS es FROM d)),
+j AS (SELECT i, string_agg(o.b || coalesce(g.c, ''), '' ORDER BY k) AS u FROM o LEFT JOIN g ON g.e = o.es[k] GROUP BY i),
+t AS (SELECT d.*, u FROM d JOIN j USING (i)),
 r AS (SELECT *, md5('response' || {nl} || coalesce(CAST(page_id AS VARCHAR), '') || {nl} || url || {nl} || refers_to_digest) AS h,
   trim({tidy}, ' ' || {nl}) AS txt, trim(regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>([^<]*)', 1), '[ \\t\\r\\n\\f]+', ' ', 'g'), ' ') AS title FROM t),
 i AS (SELECT *, {uuid("h")} AS refers_to FROM r),
