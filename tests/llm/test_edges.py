@@ -1,5 +1,6 @@
 """Null, empty, long, tied and repeated rows, clashing extra columns and empty tables have defined results."""
 
+import gzip
 import hashlib
 
 import pytest
@@ -114,3 +115,53 @@ def test_warc_records(spark, tmp_path):
     assert got == [(f"<urn:uuid:{i}>", f"2020-02-0{i}T00:00:00Z", "HTTP/1.1 200 OK\r\nServer: x", "<p>hé</p>\r\n\r\nmore") for i in (2, 4)]
     meta = [r for r in warc.derivatives(read).collect() if r["record_type"] == "metadata"]
     assert {r["refers_to"] for r in meta} == {"<urn:uuid:2>", "<urn:uuid:4>"} and all("source-Server: x" in r["block"] for r in meta)
+
+
+def test_entities_are_decoded_once_from_left_to_right(spark):
+    rows = [(1, "u", "&amp;#38; &#38; &amp;amp;#38;"), (2, "u", "&amp;#38;"), (3, "u", "&lt;&amp;lt;&"), (4, "u", "&" * 7), (5, "u", "")]
+    made = warc.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    text = {r["page_id"]: r["block"] for r in made if r["record_type"] == "conversion"}
+    assert text == {1: "&#38; & &amp;#38;", 2: "&#38;", 3: "<&lt;&", 4: "&" * 7, 5: ""}
+
+
+def test_payloads_that_show_records_are_whole(spark, tmp_path):
+    page = "<pre>about\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0 is a format</pre>"
+    message = f"HTTP/1.1 200 OK\r\n\r\n{page}".encode()
+    record = lambda i, b, size: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{i}>\r\n".encode() + (f"Content-Length: {len(b)}\r\n".encode() if size else b"") + b"\r\n" + b + b"\r\n\r\n"
+    plain = record(1, message, True) + record(2, b"HTTP/1.1 200 OK\r\n\r\nlast", False) + record(3, b"no headers", True)
+    (tmp_path / "a.warc").write_bytes(plain)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in (record(4, message, True), record(5, b"\r\n\r\n\xff", True))))
+    got = {r["record_id"]: r["payload"] for r in warc.read_responses(spark, str(tmp_path)).collect()}
+    assert got == {"<1>": page, "<2>": "last", "<3>": "no headers", "<4>": page, "<5>": "�"}
+
+
+def test_large_ids_beside_missing_ones(spark):
+    words = " ".join(f"p{i}" for i in range(30))
+    rows = [((1 << 62) + 5, words, "s", 1), (None, words, "s", 1), (-(1 << 62), f"{words} x", "s", 1), ((1 << 63) - 1, "q", "s", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    assert {r["doc_id"]: r["n_removed"] for r in substring.query(d).collect()} == {(1 << 62) + 5: 30, None: 30, -(1 << 62): 0, (1 << 63) - 1: 0}
+
+
+def test_mixing_agrees_for_repeated_ids_whatever_the_layout(spark):
+    rows = [(i % 1500, "w " * (1 + i * i % 17), f"s{i % 3}", i % 7) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        results = []
+        for shuffle, parts in ((3, 2), (7, 5), (7, 5)):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+            results.append(sorted(map(tuple, mixing.query(d.repartition(parts)).collect())))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert results[0] == results[1] == results[2]
+
+
+def test_stages_give_back_columns_of_any_name(spark):
+    names = ["_tl_row", "_tl_copies", "_tl_extra", "_at", "e0", "a b", "Rank"]
+    d = frame(spark).withColumns({c: F.lit(f"mine{i}") for i, c in enumerate(names)})
+    for stage in (lambda x: quality.stage(x, labels(spark)), simhash.stage, substring.stage, mixing.stage):
+        got = stage(d)
+        assert got.columns == d.columns
+        assert {tuple(r[c] for c in names) for r in got.collect()} <= {tuple(f"mine{i}" for i in range(len(names)))}
