@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import ranked
-from ..functions.rng import RANGE, hash_numbers, hashed
+from ..functions.rng import RANGE, hash_sql, hashed
 
 
 def _trees(n_trees: int) -> Column:
@@ -30,12 +30,20 @@ def _same(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
     return left.join(other, test).drop(*[f"_r_{c}" for c in names])
 
 
+def placed(cases: DataFrame) -> DataFrame:
+    """case_id, rank in the order of ids; ids that are 0, 1, ... are their own ranks."""
+    low, high, n, different = cases.agg(F.min("case_id"), F.max("case_id"), F.count("*"), F.count_distinct("case_id")).first()
+    if low == 0 and high == n - 1 and n == different:
+        return cases.select("case_id", F.col("case_id").cast("long").alias("rank"))
+    return ranked(cases.select("case_id"), ["case_id"])
+
+
 def bootstrap(cases: DataFrame, n_trees: int, seed: int, draws: int | None = None) -> DataFrame:
     """tree, case_id, mult: draws with replacement; ``draws`` defaults to the number of cases."""
     n = cases.count()
     drawn = _draws(cases.sparkSession, n if draws is None else draws, n_trees)
     drawn = drawn.withColumn("rank", hashed("id", "tree", seed) % n).groupBy("tree", "rank").agg(F.count("*").alias("mult"))
-    return drawn.join(ranked(cases.select("case_id"), ["case_id"]), "rank").select("tree", "case_id", "mult")
+    return drawn.join(placed(cases), "rank").select("tree", "case_id", "mult")
 
 
 #: Shares of a Poisson(1) number up to 0, 1, ...: a case whose hash lies above k of them is in the bag k times.
@@ -115,7 +123,7 @@ def fold_parts(df: DataFrame, case_id: str, folds: DataFrame, fold: int) -> tupl
 
 @dataclass(frozen=True)
 class Bag:
-    """How the cases of each tree are drawn; any object with ``frame`` and ``counts`` can take its place.
+    """How the cases of each tree are drawn; any object with ``frame`` can take its place.
 
     kind: bootstrap, poisson, none, subsample, balanced (evenly over the classes of ``by[0]``) or secondary (over those of ``by[0]`` by
     their frequency, in each evenly over those of ``by[1]``). ``draws`` defaults to the number of cases.
@@ -138,17 +146,31 @@ class Bag:
         }[self.kind]()
         return bag.withColumn("tree", (F.col("tree") + first).cast("int"))
 
-    def counts(self, ids: np.ndarray, tree: int, first: int = 0) -> np.ndarray | None:
-        """The same for one tree (counted from ``first``) as how often each of the sorted ``ids`` is drawn; None if that takes the classes."""
-        n, seed = len(ids), self.seed + first
+    def per_case(self, cases: DataFrame, n_trees: int, first: int = 0) -> DataFrame:
+        """The same with one row for each case: case_id, bag (tree, mult)."""
+        seed = self.seed + first
         if self.kind == "none":
-            return np.ones(n)
-        if self.kind == "bootstrap":
-            return np.bincount(hash_numbers(np.arange(n if self.draws is None else self.draws), tree, seed) % n, minlength=n).astype(float)
+            return cases.select("case_id", F.expr(f"transform(sequence(0, {n_trees - 1}), t -> named_struct('tree', cast(t + {first} as int), 'mult', 1L))").alias("bag"))
         if self.kind == "poisson":
-            return (hash_numbers(ids, tree, seed)[:, None] / float(RANGE) >= np.array(POISSON)).sum(axis=1).astype(float)
-        if self.kind == "subsample":
-            out = np.zeros(n)
-            out[np.lexsort((ids, hash_numbers(ids, tree, seed)))[: n if self.draws is None else self.draws]] = 1
-            return out
-        return None
+            u = f"{hash_sql('case_id', 't', seed)} / {float(RANGE)!r}D"
+            often = f"aggregate(array({', '.join(f'{x!r}D' for x in POISSON)}), 0L, (n, x) -> n + if(u >= x, 1L, 0L))"
+            made = f"transform(transform(sequence(0, {n_trees - 1}), t -> named_struct('t', t, 'u', {u})), d -> named_struct('tree', cast(d.t + {first} as int), 'mult', {often.replace('u >=', 'd.u >=')}))"
+            return cases.select("case_id", F.expr(f"filter({made}, d -> d.mult > 0)").alias("bag"))
+        if self.kind == "bootstrap":  # the draws are shuffled once, by the drawn place
+            n = cases.count()
+            drawn = _draws(cases.sparkSession, n if self.draws is None else self.draws, n_trees).select("tree", (hashed("id", "tree", seed) % n).alias("rank"))
+            drawn = drawn.repartition("rank").groupBy("rank", "tree").agg(F.count("*").alias("mult"))
+            drawn = drawn.groupBy("rank").agg(F.collect_list(F.struct((F.col("tree") + first).cast("int").alias("tree"), "mult")).alias("bag"))
+            return drawn.join(placed(cases), "rank").select("case_id", "bag")
+        return _grouped(self.frame(cases, n_trees, first))
+
+
+def _grouped(drawn: DataFrame) -> DataFrame:
+    return drawn.groupBy("case_id").agg(F.collect_list(F.struct(F.col("tree").cast("int").alias("tree"), F.col("mult").cast("long").alias("mult"))).alias("bag"))
+
+
+def per_case(bag: Bag, cases: DataFrame, n_trees: int, first: int = 0) -> DataFrame:
+    """case_id, bag of any object with ``frame``."""
+    if hasattr(bag, "per_case"):
+        return bag.per_case(cases, n_trees, first)
+    return _grouped(bag.frame(cases, n_trees, first))

@@ -1,12 +1,13 @@
 """Best splits: prefix sums over value histograms for numbers, category masks or greedy sets for categories.
 
 Rows are first summed to one per group, feature value and statistic (with map-side combine), so what is sorted and
-windowed is the histogram and not the rows. Windows are partitioned by the group (tree, node and feature).
+scanned is the histogram and not the rows, in ranges of values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.engine import NumpyOps, SparkOps
 from ..functions.rng import hashed
+from ..session import cut
 from .targets import Target
 
 #: Gains and value gaps up to this size don't count, categories up to this number are searched exhaustively.
@@ -39,27 +41,49 @@ def gain(target: Target, left: dict, right: dict, missing: dict, whole: dict) ->
     return target.impurity(whole, m) - (left["n"] * target.impurity(left, m) + right["n"] * target.impurity(right, m) + lost) / n
 
 
-def num_cuts(hist: DataFrame, keys: Sequence[str], target: Target, leaf: int = 1, strict_right: bool = True) -> DataFrame:
-    """keys, threshold, n_left, n_right, decrease of every allowed cut of ``hist``.
-
-    The right side needs ``leaf`` + 1 cases with ``strict_right``; neighbouring values differ by more than MIN_GAP.
-    """
-    names = list(target.stats())
+def _sides(hist: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """``hist`` with _next (the next value), _l_* (sums up to each value), _t_* (of all values) and _m_* (of the missing ones), by windows of a group."""
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     order = part.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    here, gone = F.col("v").isNotNull(), F.col("v").isNull()
-    zero = F.lit(0.0)
-    wide = hist.select(
+    here, gone, zero = F.col("v").isNotNull(), F.col("v").isNull(), F.lit(0.0)
+    return hist.select(
         "*", F.lead("v").over(part.orderBy(F.col("v").asc_nulls_first())).alias("_next"),
         *[F.sum(F.when(here, F.col(k)).otherwise(zero)).over(order).alias(f"_l_{k}") for k in names],
         *[F.sum(F.when(here, F.col(k)).otherwise(zero)).over(part).alias(f"_t_{k}") for k in names],
         *[F.sum(F.when(gone, F.col(k)).otherwise(zero)).over(part).alias(f"_m_{k}") for k in names],
-    )
+    ).filter(here)
+
+
+def _scanned(hist: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """The same in two passes over ranges of a group's values, so that a task has one range: the sums of each range, then those inside it
+    behind what the ranges before it have. The layout is cut by a checkpoint."""
+    laid = cut(hist.filter("v is not null").repartitionByRange(*keys, "v").withColumn("_part", F.spark_partition_id()))
+    heads = laid.groupBy(*keys, "_part").agg(F.min("v").alias("_first"), *[F.sum(k).alias(k) for k in names])
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_own"), F.lead("_first").over(group.orderBy("_part")).alias("_following"), *[F.coalesce(F.sum(k).over(before), F.lit(0.0)).alias(f"_b_{k}") for k in names], *[F.sum(k).over(group).alias(f"_t_{k}") for k in names])
+    lost = hist.filter("v is null").groupBy(*[F.col(k).alias(f"_n_{k}") for k in keys]).agg(*[F.sum(k).alias(f"_m_{k}") for k in names])
+    meets = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_part") == F.col("_own"))
+    inside = Window.partitionBy(*keys, "_part").orderBy("v")
+    out = laid.join(heads, meets)
+    out = out.join(lost, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_n_{k}")) for k in keys]), "left") if keys else out.crossJoin(F.broadcast(lost))
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return out.select(*keys, "v", F.coalesce(F.lead("v").over(inside), "_following").alias("_next"), *[(F.col(f"_b_{k}") + F.sum(k).over(upto)).alias(f"_l_{k}") for k in names], *[f"_t_{k}" for k in names], *[F.coalesce(f"_m_{k}", F.lit(0.0)).alias(f"_m_{k}") for k in names])
+
+
+def num_cuts(hist: DataFrame, keys: Sequence[str], target: Target, leaf: int = 1, strict_right: bool = True, scan: bool = True) -> DataFrame:
+    """keys, threshold, n_left, n_right, decrease of every allowed cut of ``hist``.
+
+    The right side needs ``leaf`` + 1 cases with ``strict_right``; neighbouring values differ by more than MIN_GAP. With ``scan`` a group's values
+    may be more than a task holds, without it (few values a group) one window does.
+    """
+    names = list(target.stats())
+    wide = (_scanned if scan else _sides)(hist, keys, names)
     side = lambda p: {k: F.col(f"_{p}_{k}") for k in names}
     left, total, missing = side("l"), side("t"), side("m")
     right = {k: total[k] - left[k] for k in names}
     whole = {k: total[k] + missing[k] for k in names}
-    allowed = wide.filter(here & F.col("_next").isNotNull() & (F.col("_next") - F.col("v") > MIN_GAP) & (left["n"] >= leaf) & (right["n"] >= leaf + int(strict_right)))
+    allowed = wide.filter(F.col("_next").isNotNull() & (F.col("_next") - F.col("v") > MIN_GAP) & (left["n"] >= leaf) & (right["n"] >= leaf + int(strict_right)))
     return allowed.select(*keys, ((F.col("v") + F.col("_next")) / 2).alias("threshold"), left["n"].cast("long").alias("n_left"), right["n"].cast("long").alias("n_right"), gain(target, left, right, missing, whole).alias("decrease"))
 
 
@@ -130,7 +154,11 @@ def random_cat_split(rows: DataFrame, keys: Sequence[str], value: str, target: T
 def greedy_cat_split(rows: DataFrame, keys: Sequence[str], value: str, target: Target, leaf: int = 1) -> DataFrame:
     """keys, left, n_left, n_right, decrease by forward selection, for many categories: the category that helps most
     goes left as long as one helps. A group is one histogram, with a row for each category."""
-    hist = histogram(rows, keys, value, target).withColumn("v", F.col("v").cast("string"))
+    return greedy_cat_cuts(histogram(rows, keys, value, target).withColumn("v", F.col("v").cast("string")), keys, target, leaf)
+
+
+def greedy_cat_cuts(hist: DataFrame, keys: Sequence[str], target: Target, leaf: int = 1) -> DataFrame:
+    """The same on a histogram (keys, v, statistics)."""
     names = list(target.stats())
     types = {f.name: f.dataType.simpleString() for f in hist.schema}
     grouped = list(keys) or ["_all"]

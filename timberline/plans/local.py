@@ -1,4 +1,4 @@
-"""Growth of whole (sub)trees in memory, level by level over all nodes at once, with the same rules as the distributed levels.
+"""Growth of the subtree below a node in the task that has its cases, by the rules of the distributed levels.
 
 Columns are held as places among their sorted different values (missing: -1). On a level each feature's drawn nodes get a
 histogram over (node, value) by counting or, where values are many, by sorting; prefix sums of the target's statistics give every cut's gain at
@@ -29,19 +29,6 @@ class Column:
     numeric: bool
 
 
-def column(name: str, raw: np.ndarray, numeric: bool) -> Column:
-    """A column from numbers (NaN: missing) or texts (None: missing)."""
-    if numeric:
-        known = ~np.isnan(raw)
-        values, inverse = np.unique(raw[known], return_inverse=True)
-    else:
-        known = np.array([x is not None for x in raw], bool)
-        values, inverse = np.unique(np.array(raw[known], dtype=str), return_inverse=True)
-    codes = np.full(len(raw), -1, np.int32)
-    codes[known] = inverse
-    return Column(name, codes, values if numeric else [str(v) for v in values], numeric)
-
-
 def node_keys(tree: int, paths: list[str]) -> np.ndarray:
     """The number by which a node's draws are hashed."""
     return np.array([zlib.crc32(f"{tree}:{p}".encode()) for p in paths], np.int64)
@@ -314,13 +301,14 @@ class CaseGrower(Grower):
     """The same for targets that look at the cases themselves: node by node, each feature's cuts from prefix impurities
     in both directions."""
 
-    def __init__(self, columns: list[Column], base: np.ndarray, mult: np.ndarray, target: OfCases, how, few: set[str]):
+    def __init__(self, columns: list[Column], base: np.ndarray, mult: np.ndarray, target: OfCases, how, few: set[str], total: float):
+        self.total = total
         self.columns, self.base, self.mult, self.target, self.how, self.few = columns, base, mult, target, how, few
         self.by_name = sorted(range(len(columns)), key=lambda f: columns[f].name)
         self.raw = [np.where(c.codes >= 0, np.asarray(c.values, float)[c.codes] if len(c.values) else np.nan, np.nan) if c.numeric else c.codes for c in columns]
 
     def _of(self, rows: np.ndarray) -> tuple:
-        return self.base[rows], self.mult[rows], [v[rows] for v in self.raw], float(len(self.base))
+        return self.base[rows], self.mult[rows], [v[rows] for v in self.raw], self.total
 
     def impurity(self, rows: np.ndarray) -> float:
         return float(self.target.prefix(*self._of(rows))[-1]) if len(rows) else 0.0
@@ -406,11 +394,11 @@ class CaseGrower(Grower):
         return out
 
 
-def grown(columns: list[Column], base: np.ndarray, mult: np.ndarray, target: Target, how, few: set[str], tree: int, path: str) -> list[tuple]:
-    """The nodes from ``path`` on, of the cases that ``mult`` draws."""
+def grown(columns: list[Column], base: np.ndarray, mult: np.ndarray, target: Target, how, few: set[str], tree: int, path: str, total: float) -> list[tuple]:
+    """The nodes from ``path`` on, of the cases that ``mult`` draws; ``total``: cases of the whole table."""
     rows = np.flatnonzero(mult)
     if isinstance(target, OfCases):
-        return CaseGrower(columns, base, mult, target, how, few).grow(tree, path, rows)
+        return CaseGrower(columns, base, mult, target, how, few, total).grow(tree, path, rows)
     return Grower(columns, base * mult[:, None], target, how, few).grow(tree, path, rows)
 
 
@@ -432,6 +420,3 @@ def forward_selection(x: np.ndarray, lost: np.ndarray, gain: Callable, leaf: int
         chosen.append(rest.pop(k))
     return float(best), chosen
 
-
-def few_categories(columns: list[Column]) -> set[str]:
-    return {c.name for c in columns if not c.numeric and len(c.values) <= EXHAUSTIVE}
