@@ -5,7 +5,7 @@ equal windows name the same gram at the same place, and the windows that one gra
 to blocks by a hash; every pass works on one block.
 
 1. Each block sends the hashes of its grams, once each, to buckets, and gets back which of them other documents have too. False hits do no harm.
-2. For these grams each block sends the bytes that their windows span, once for each different span with its first document; what the
+2. For these grams each block sends the (compressed) bytes that their windows span, once for each different span with its first document; what the
    block itself shows to be later is settled there. So a passage that is in a third of all documents sends one span for each block.
    A gram that very many rows have (HOT) goes window by window to buckets of the windows' own hashes: equal ones still meet and are sent once for
    each block, and those that straddle the edge of a common passage are spread.
@@ -301,7 +301,7 @@ def send_spans(length: int, buckets: int):
         entries = np.bincount(row_of_span[of_span], minlength=len(tops))
         raw = block.raw
         texts = [raw[i:j] for i, j in zip(span.first.tolist(), (span.first + span.n - 1 + length).tolist(), strict=True)]
-        text = [b"".join(texts[i:j]) for i, j in zip(tops.tolist(), np.append(tops[1:], len(b)).tolist(), strict=True)]
+        text = [pa.compress(b"".join(texts[i:j]), "zstd", asbytes=True) for i, j in zip(tops.tolist(), np.append(tops[1:], len(b)).tolist(), strict=True)]
         settled = _glued(block, gone)  # dealt to the rows in turn
         share = np.full(len(tops), len(settled) // len(tops))
         share[: len(settled) % len(tops)] += 1
@@ -508,12 +508,13 @@ def mark_spans(length: int):
         _, of_row = _joined(table.column("settled"), np.dtype("V12"))
         key, counts = _joined(table.column("key"), np.uint32)
         n, off, ord_ = (_joined(table.column(c), k)[0] for c, k in (("n", np.uint16), ("off", np.uint16), ("ord", np.int64)))
-        text, _ = _joined(table.column("text"), np.uint8)
         entry, entries = _joined(table.column("entries"), np.uint32)
         row, at = (_joined(table.column(c), np.uint32)[0] for c in ("entry_row", "entry_at"))
         key, n, off = key.astype(np.int64), n.astype(np.int64), off.astype(np.int64)
-        data = np.concatenate([text, np.zeros(8, np.uint8)])
         sizes = n - 1 + length
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        texts = [pa.decompress(x, size, "zstd", asbytes=True) for x, size in zip(table.column("text").to_pylist(), np.diff(ends).tolist(), strict=True)]
+        data = np.frombuffer(b"".join([*texts, b"\0" * 8]), np.uint8)
         start = np.cumsum(sizes) - sizes
         # only grams that several documents have, in pieces of whole grams
         order = np.argsort(key, kind="stable")
