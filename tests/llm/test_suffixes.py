@@ -75,7 +75,7 @@ def test_hot_passage_is_sent_once_for_each_block(spark, monkeypatch):
     table = pa.table({"block": [0] * 300, "doc": list(range(300)), "ord": list(range(300)), "doc_id": list(range(300)), "text": [t for _, t in rows]})
     sent = suffixes.send_grams(50, 16)(table)
     spans = suffixes.send_spans(50, 16)(table, suffixes.meet_grams(sent))
-    sizes = [sum(np.frombuffer(x, np.uint16) + 49) for x in spans.column("n").to_pylist()]
+    sizes = [int((np.frombuffer(x, np.uint16).astype(int) + 49).sum()) for x in spans.column("n").to_pylist()]
     # what straddles the ends of the passage is spread over the buckets
     assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / 16
     monkeypatch.setattr(suffixes, "BLOCK_BYTES", 9000)
