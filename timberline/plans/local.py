@@ -78,6 +78,11 @@ class Rows:
         return np.column_stack([counts.sum(axis=1), counts])
 
 
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges of ``n`` numbers from ``begin`` on."""
+    return np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
+
+
 def _histogram(node: np.ndarray, code: np.ndarray, cases: Rows, n_nodes: int, n_codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(node, code, sums) of the cells that occur, in order; without the missing ones."""
     if len(code) and code.min() < 0:
@@ -231,17 +236,20 @@ class Grower:
                     np.put_along_axis(drawn, order[:, :m_try], True, axis=1)
                     drawn &= open_[:, None]
                 found: dict[int, tuple] = {}
+                size = np.bincount(nd, minlength=k)
+                start = np.cumsum(size) - size
                 for f in self.by_name:
-                    nodes = drawn[:, f]
-                    if not nodes.any():
+                    nodes = np.flatnonzero(drawn[:, f])
+                    if not len(nodes):
                         continue
-                    sel = slice(None) if nodes.all() else np.flatnonzero(nodes[nd])
+                    # the rows of a node are neighbours
+                    sel = slice(None) if len(nodes) == k else _ranges(start[nodes], size[nodes])
                     code = self.columns[f].codes[rows[sel]]
-                    own = cases if nodes.all() else cases.take(sel)
+                    own, at = (cases, nd) if len(nodes) == k else (cases.take(sel), np.repeat(nodes, size[nodes]))
                     if self.columns[f].numeric:
-                        got = self.numeric(f, nd[sel], code, own, k, keys, names, depth)
+                        got = self.numeric(f, at, code, own, k, keys, names, depth)
                     else:
-                        got = self.categorical(f, nd[sel], code, own, k)
+                        got = self.categorical(f, at, code, own, k)
                     if got is not None:
                         found[f] = got
                 if how.force and order is not None:
@@ -278,7 +286,7 @@ class Grower:
         return out
 
     def route(self, rows, nd, paths, which, upto, sets):
-        """The cases of the next level and its nodes."""
+        """The cases of the next level, node by node, and its nodes."""
         side = np.full(len(rows), -1, np.int8)
         for f in np.unique(which[which >= 0]):
             sel = np.flatnonzero(which[nd] == f)
@@ -292,9 +300,19 @@ class Grower:
                 goes = np.where(left[nd[sel], code], 0, 1)
             side[sel] = np.where(code < 0, 2 if self.how.split_missing else -1, goes)
         keep = side >= 0
-        rows, key = rows[keep], nd[keep] * 3 + side[keep]
-        there, nd = np.unique(key, return_inverse=True)
-        return rows, nd.astype(np.int64), [paths[x // 3] + "LRM"[x % 3] for x in there.tolist()]
+        rows, nd, side = rows[keep], nd[keep], side[keep]
+        size = np.bincount(nd * 3 + side, minlength=3 * len(paths))
+        start = np.cumsum(size) - size
+        place = np.empty(len(rows), np.int64)
+        for s in range(3):
+            # the k-th row of a node and side goes to the k-th place of that child
+            own = np.flatnonzero(side == s)
+            many = size[s::3]
+            place[own] = np.arange(len(own)) + np.repeat(start[s::3] - (np.cumsum(many) - many), many)
+        out = np.empty_like(rows)
+        out[place] = rows
+        there = np.flatnonzero(size)
+        return out, np.repeat(np.arange(len(there)), size[there]), [paths[x // 3] + "LRM"[x % 3] for x in there.tolist()]
 
 
 class CaseGrower(Grower):
