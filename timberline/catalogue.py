@@ -315,6 +315,48 @@ _DRAWN = [int(hash_numbers(k, 0, 9)) % 3 for k in range(2)]
 _DRAWN_SQL = f"WITH c AS ({_LONG}) SELECT feature, count(*) AS n, round(sum(num), 4) AS total FROM (SELECT feature, num FROM c" + "".join(f" UNION ALL SELECT 'd{i}:SHUFFLED:{k}', num FROM c WHERE feature = 'd{i}'" for k, i in enumerate(_DRAWN)) + ") GROUP BY 1"
 
 
+def _density(s: SparkSession, d: str) -> DataFrame:
+    e = _events(s, d)
+    return splits.region(e, ["y"], ["value"], ["user_id"], targets.Density(), e.count()).select("y", F.round("impurity", 10).alias("impurity"), F.round("predicted", 10).alias("predicted"))
+
+
+_DENSITY_SQL = f"SELECT y, round(pow(t / big, 2) / (a * u), 10) AS impurity, round(t / big / (a * u), 10) AS predicted FROM (SELECT y, CAST(count(*) AS DOUBLE) AS t, max(value) - min(value) AS a, count(DISTINCT user_id) AS u, (SELECT count(*) FROM events) AS big FROM {EVENTS} GROUP BY y)"
+
+
+def _transduction(s: SparkSession, d: str) -> DataFrame:
+    labels = _t("labels")(s, d).groupBy("doc_id").agg(F.max("quality").alias("q"))
+    docs = _t("documents")(s, d).join(labels, "doc_id", "left").withColumn("y", F.coalesce(F.col("q").cast("string"), F.lit("?")))
+    goal = targets.Transduction(classes=("?", "0", "1"), unlabelled=0, alpha=0.1)
+    return _rounded(splits.region(docs, ["lang"], ["n_chars"], ["source"], goal, docs.count()).select("lang", "impurity", F.col("predicted").cast("int").alias("predicted")))
+
+
+_TRANSDUCTION_SQL = """
+SELECT lang, round(1 - (pow(t - c0 - c1, 2) + c0 * c0 + c1 * c1) / (t * t) + 0.1 * span * k / (t * t), 6) AS impurity, CASE WHEN c0 + c1 = 0 THEN 0 WHEN c0 >= c1 THEN 1 ELSE 2 END AS predicted
+FROM (SELECT lang, CAST(count(*) AS DOUBLE) AS t, count(*) FILTER (q = 0) AS c0, count(*) FILTER (q = 1) AS c1, CAST(max(n_chars) - min(n_chars) AS DOUBLE) AS span, count(DISTINCT source) AS k
+  FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) USING (doc_id) GROUP BY lang)"""
+
+
+def _region_split(t: targets.OfRegion) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        o = _orders(s, d).withColumns({"month": F.floor(F.col("day") / 2629800).cast("double"), "price": F.col("o_totalprice") / 100000})
+        return _rounded(splits.region_split(o, (), "month", ["month", "price"], ["priority"], t, o.count(), 30), 8)
+
+    return run
+
+
+def _region_split_sql(impurity: str) -> str:
+    """Both sides of each cut are aggregated anew from all orders. {big} is the number of all, v the volume."""
+    side = "CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (status = 'F') AS c0, count(*) FILTER (status = 'O') AS c1, count(*) FILTER (status = 'P') AS c2, greatest(max(month) - min(month), 0) AS m, max(o_totalprice) / 100000 - min(o_totalprice) / 100000 AS p, count(DISTINCT priority) AS k"
+    v = "(CASE WHEN m > 0 THEN m ELSE 1 END) * (CASE WHEN p > 0 THEN p ELSE 1 END) * k AS v"
+    i = impurity.format(big="(SELECT count(*) FROM o)")
+    return f"""
+WITH o AS (SELECT *, floor(day / 2629800) AS month FROM {ORDERS}), k AS (SELECT DISTINCT month FROM o), t AS (SELECT month AS c, lead(month) OVER (ORDER BY month) AS nxt FROM k),
+s AS (SELECT c, nxt, month <= c AS l, {side} FROM t JOIN o ON nxt IS NOT NULL GROUP BY ALL), x AS (SELECT *, {i} AS i FROM (SELECT *, {v} FROM s)),
+w AS (SELECT {i} AS i, n FROM (SELECT *, {v} FROM (SELECT {side} FROM o))),
+g AS (SELECT (c + nxt) / 2 AS threshold, CAST(sum(n) FILTER (l) AS BIGINT) AS n_left, CAST(sum(n) FILTER (NOT l) AS BIGINT) AS n_right, any_value(wi) - sum(n * i) / any_value(wn) AS decrease FROM x CROSS JOIN (SELECT i AS wi, n AS wn FROM w) GROUP BY c, nxt)
+SELECT round(threshold, 8) AS threshold, n_left, n_right, round(decrease, 8) AS decrease FROM g WHERE n_left >= 30 AND n_right >= 31 AND decrease > 1e-7 ORDER BY round(decrease, 9) DESC, threshold LIMIT 1"""
+
+
 def _root(s: SparkSession, d: str) -> DataFrame:
     """The root that a tree over all dimensions grows."""
     f = Forest("label", "case_id", [f"d{i}" for i in range(64)], n_trees=1, how=Growth(max_depth=1), bag="none").fit(_embedding(s, d))
@@ -347,7 +389,7 @@ def _with_sql() -> dict[str, tuple[Query, str | None]]:
         "impurity_ordinal": (_impurity(lambda s, d: _embedding(s, d, 1).withColumn("g", F.col("case_id") % 7), "g", _ORDINAL), _ORDINAL_SQL),
         "impurity_boosted": (_impurity(_weighted_orders, "priority", _BOOST), _BOOST_SQL),
         "impurity_l1": (
-            lambda s, d: _rounded(_orders(s, d).join(_orders(s, d).groupBy("priority").agg(F.avg("o_totalprice").alias("m")), "priority").groupBy(F.col("priority").alias("grp")).agg(F.avg(F.abs(F.col("o_totalprice") - F.col("m"))).alias("impurity")), 4),
+            lambda s, d: _rounded(splits.deviation(_orders(s, d), ["priority"], "o_totalprice").select(F.col("priority").alias("grp"), "impurity"), 4),
             f"SELECT priority AS grp, round(avg(abs(o_totalprice - m)), 4) AS impurity FROM (SELECT *, avg(o_totalprice) OVER (PARTITION BY priority) AS m FROM {ORDERS}) GROUP BY 1",
         ),
         "best_num_split_random": (lambda s, d: _rounded(splits.random_num_split(_events(s, d), (), "value", _GINI, 5)), _RANDOM_SQL),
@@ -362,14 +404,10 @@ def _with_sql() -> dict[str, tuple[Query, str | None]]:
         "poisson_bag": (lambda s, d: sample.poisson_bag(_cases(s, d), 2, 19), f"WITH u AS (SELECT CAST(t AS INTEGER) AS tree, event_id AS case_id, {_H('event_id', 't', 19)} / {float(RANGE)!r} AS u FROM events CROSS JOIN (SELECT unnest(range(2)) AS t)) SELECT tree, case_id, CAST(" + " + ".join(f"CAST(u >= {x!r} AS INTEGER)" for x in sample.POISSON) + f" AS BIGINT) AS mult FROM u WHERE u >= {sample.POISSON[0]!r}"),
         "drawn_contrasts": (lambda s, d: transform.drawn_contrasts(transform.to_cells(_embedding(s, d, 3), "case_id", ["d0", "d1", "d2"], []), ["d0", "d1", "d2"], 2, 9).groupBy("feature").agg(F.count("*").alias("n"), F.round(F.sum("num"), 4).alias("total")), _DRAWN_SQL),
         "libsvm_table": (lambda s, d: formats.libsvm_table(_orders(s, d).select("case_id", "status", F.when(F.col("case_id") % 5 != 0, F.col("day")).alias("day"), "priority"), "status", ["day"], ["priority"], "case_id").agg(F.count("*").alias("n"), F.sum(F.length("line") - F.length(F.translate("line", ":", ""))).alias("cells")), "SELECT count(*) AS n, CAST(2 * count(*) AS BIGINT) AS cells FROM orders"),
-        "density": (
-            lambda s, d: _events(s, d).withColumn("all", F.lit(1)).groupBy("y").agg(F.count("*").alias("t"), (F.max("value") - F.min("value")).alias("span_value"), F.count_distinct("user_id").alias("span_user")).crossJoin(F.broadcast(_events(s, d).agg(F.count("*").alias("big")))).select("y", F.round(F.pow(F.col("t") / F.col("big"), 2) / (F.col("span_value") * F.col("span_user")), 10).alias("impurity"), F.round(F.col("t") / F.col("big") / (F.col("span_value") * F.col("span_user")), 10).alias("predicted")),
-            f"SELECT y, round(pow(t / big, 2) / (a * u), 10) AS impurity, round(t / big / (a * u), 10) AS predicted FROM (SELECT y, CAST(count(*) AS DOUBLE) AS t, max(value) - min(value) AS a, count(DISTINCT user_id) AS u, (SELECT count(*) FROM events) AS big FROM {EVENTS} GROUP BY y)",
-        ),
-        "transduction": (
-            lambda s, d: _t("documents")(s, d).join(_t("labels")(s, d).groupBy("doc_id").agg(F.max("quality").alias("q")), "doc_id", "left").groupBy("lang").agg(F.count("*").alias("t"), F.count_if(F.col("q") == 0).alias("c0"), F.count_if(F.col("q") == 1).alias("c1"), (F.max("n_chars") - F.min("n_chars")).cast("double").alias("span"), F.count_distinct("source").alias("k")).select("lang", F.round(1 - (F.col("c0") * F.col("c0") + F.col("c1") * F.col("c1")) / F.pow(F.col("c0") + F.col("c1"), 2) + 0.1 * F.col("span") * F.col("k") / (F.col("t") * F.col("t")), 6).alias("impurity"), F.when(F.col("c0") >= F.col("c1"), 0).otherwise(1).alias("predicted")),
-            "SELECT lang, round(1 - (c0 * c0 + c1 * c1) / pow(c0 + c1, 2) + 0.1 * span * k / (t * t), 6) AS impurity, CASE WHEN c0 >= c1 THEN 0 ELSE 1 END AS predicted FROM (SELECT lang, count(*) AS t, count(*) FILTER (q = 0) AS c0, count(*) FILTER (q = 1) AS c1, CAST(max(n_chars) - min(n_chars) AS DOUBLE) AS span, count(DISTINCT source) AS k FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) USING (doc_id) GROUP BY lang)",
-        ),
+        "density": (_density, _DENSITY_SQL),
+        "transduction": (_transduction, _TRANSDUCTION_SQL),
+        "best_num_split_density": (_region_split(targets.Density(y="status")), _region_split_sql("pow(n / {big}, 2) / v")),
+        "best_num_split_transduction": (_region_split(targets.Transduction(y="status", classes=STATUS, alpha=1.0)), _region_split_sql("1 - (c0 * c0 + c1 * c1 + c2 * c2) / (n * n) + v / (n * n)")),
         "parse_missing": (
             lambda s, d: _t("customer")(s, d).select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "NA").when(F.col("c_custkey") % 4 == 1, "?").otherwise(F.col("c_mktsegment")).alias("cell"), F.when(F.col("c_custkey") % 3 == 0, "nan").otherwise(F.col("c_custkey").cast("string")).alias("number")).select("c_custkey", transform.parse_cat("cell").alias("category"), transform.parse_num("number").alias("number")),
             "SELECT c_custkey, CASE WHEN c_custkey % 4 > 1 THEN c_mktsegment END AS category, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey AS DOUBLE) END AS number FROM customer",

@@ -1,4 +1,4 @@
-"""One arithmetic for three engines: the impurities are written once over Spark columns, numpy arrays or SQL text."""
+"""One arithmetic for two engines: the impurities are written once over Spark columns and numpy arrays."""
 
 from __future__ import annotations
 
@@ -33,50 +33,3 @@ class NumpyOps:
     def most(*x):
         return np.maximum.reduce(np.broadcast_arrays(*x))
 
-
-class Sql:
-    """SQL text that grows by Python's operators."""
-
-    def __init__(self, text):
-        self.text = str(text)
-
-    def _two(self, other, op, swap=False):
-        a, b = (Sql(x).text if not isinstance(x, Sql) else x.text for x in ((other, self) if swap else (self, other)))
-        return Sql(f"({a} {op} {b})")
-
-    def __str__(self):
-        return self.text
-
-    __hash__ = None
-
-
-def _sql_operator(name: str, op: str) -> None:
-    setattr(Sql, f"__{name}__", lambda self, other: self._two(other, op))
-    if op in "+-*/":
-        setattr(Sql, f"__r{name}__", lambda self, other: self._two(other, op, True))
-
-
-for _name, _op in (("add", "+"), ("sub", "-"), ("mul", "*"), ("truediv", "/"), ("gt", ">"), ("lt", "<"), ("ge", ">="), ("le", "<="), ("eq", "="), ("and", "and")):
-    _sql_operator(_name, _op)
-
-
-class SqlOps:
-    @staticmethod
-    def log(x):
-        return Sql(f"ln({x})")
-
-    @staticmethod
-    def exp(x):
-        return Sql(f"exp({x})")
-
-    @staticmethod
-    def absolute(x):
-        return Sql(f"abs({x})")
-
-    @staticmethod
-    def where(test, a, b):
-        return Sql(f"(case when {test} then {a} else {b} end)")
-
-    @staticmethod
-    def most(*x):
-        return Sql(f"greatest({', '.join(map(str, x))})")

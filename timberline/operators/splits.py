@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dominance import dominated
 from ..functions.engine import NumpyOps, SparkOps
 from ..functions.rng import hashed
 from ..session import cut
-from .targets import Target
+from .targets import OfRegion, Target
 
 #: Gains and value gaps up to this size don't count, categories up to this number are searched exhaustively.
 MIN_GAIN, MIN_GAP, EXHAUSTIVE = 1e-7, 1e-7, 5
@@ -54,21 +55,32 @@ def _sides(hist: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFr
     ).filter(here)
 
 
-def _scanned(hist: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+def _scanned(hist: DataFrame, keys: Sequence[str], names: Sequence[str], lows: Sequence[str] = (), highs: Sequence[str] = ()) -> DataFrame:
     """The same in two passes over ranges of a group's values, so that a task has one range: the sums of each range, then those inside it
-    behind what the ranges before it have. The layout is cut by a checkpoint."""
+    behind what the ranges before it have. Of ``lows`` and ``highs`` the smallest and largest so far (_l_*) and of what comes after (_r_*). The
+    layout is cut by a checkpoint."""
+    ends = [(c, F.min, F.least) for c in lows] + [(c, F.max, F.greatest) for c in highs]
     laid = cut(hist.filter("v is not null").repartitionByRange(*keys, "v").withColumn("_part", F.spark_partition_id()))
-    heads = laid.groupBy(*keys, "_part").agg(F.min("v").alias("_first"), *[F.sum(k).alias(k) for k in names])
+    heads = laid.groupBy(*keys, "_part").agg(F.min("v").alias("_first"), *[F.sum(k).alias(k) for k in names], *[f(c).alias(c) for c, f, _ in ends])
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_own"), F.lead("_first").over(group.orderBy("_part")).alias("_following"), *[F.coalesce(F.sum(k).over(before), F.lit(0.0)).alias(f"_b_{k}") for k in names], *[F.sum(k).over(group).alias(f"_t_{k}") for k in names])
+    after = group.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    heads = heads.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_own"), F.lead("_first").over(group.orderBy("_part")).alias("_following"),
+        *[F.coalesce(F.sum(k).over(before), F.lit(0.0)).alias(f"_b_{k}") for k in names], *[F.sum(k).over(group).alias(f"_t_{k}") for k in names],
+        *[f(c).over(before).alias(f"_b_{c}") for c, f, _ in ends], *[f(c).over(after).alias(f"_a_{c}") for c, f, _ in ends],
+    )
     lost = hist.filter("v is null").groupBy(*[F.col(k).alias(f"_n_{k}") for k in keys]).agg(*[F.sum(k).alias(f"_m_{k}") for k in names])
     meets = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_part") == F.col("_own"))
-    inside = Window.partitionBy(*keys, "_part").orderBy("v")
     out = laid.join(heads, meets)
     out = out.join(lost, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_n_{k}")) for k in keys]), "left") if keys else out.crossJoin(F.broadcast(lost))
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return out.select(*keys, "v", F.coalesce(F.lead("v").over(inside), "_following").alias("_next"), *[(F.col(f"_b_{k}") + F.sum(k).over(upto)).alias(f"_l_{k}") for k in names], *[f"_t_{k}" for k in names], *[F.coalesce(f"_m_{k}", F.lit(0.0)).alias(f"_m_{k}") for k in names])
+    inside = Window.partitionBy(*keys, "_part").orderBy("v")
+    upto, beyond = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow), inside.rowsBetween(1, Window.unboundedFollowing)
+    return out.select(
+        *keys, "v", F.coalesce(F.lead("v").over(inside), "_following").alias("_next"), *[(F.col(f"_b_{k}") + F.sum(k).over(upto)).alias(f"_l_{k}") for k in names],
+        *[f"_t_{k}" for k in names], *[F.coalesce(f"_m_{k}", F.lit(0.0)).alias(f"_m_{k}") for k in names],
+        *[most(F.col(f"_b_{c}"), f(c).over(upto)).alias(f"_l_{c}") for c, f, most in ends], *[most(F.col(f"_a_{c}"), f(c).over(beyond)).alias(f"_r_{c}") for c, f, most in ends],
+    )
 
 
 def num_cuts(hist: DataFrame, keys: Sequence[str], target: Target, leaf: int = 1, strict_right: bool = True, scan: bool = True) -> DataFrame:
@@ -202,28 +214,96 @@ def greedy_cat_cuts(hist: DataFrame, keys: Sequence[str], target: Target, leaf:
     return found if keys else found.drop("_all")
 
 
+def _deviation(n: str, total: str, mean: Column, below: tuple[str, str]) -> Column:
+    """Sum of |y - mean| from count and sum of a set of values and those (``below``) of its values up to the mean."""
+    count, part = map(F.col, below)
+    return mean * count - part + (F.col(total) - part) - mean * (F.col(n) - count)
+
+
+def deviation(rows: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
+    """keys, n, mean, impurity: mean absolute distance from the mean of each group (nulls are a group)."""
+    own = rows.filter(F.expr(y).isNotNull()).select(*keys, F.expr(y).cast("double").alias("_y"))
+    means = own.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.avg("_y").alias("_mean"))
+    meets = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]) if keys else F.lit(True)
+    return own.join(means, meets).groupBy(*keys).agg(F.count("*").alias("n"), F.first("_mean").alias("mean"), F.avg(F.abs(F.col("_y") - F.col("_mean"))).alias("impurity"))
+
+
 def absolute_split(rows: DataFrame, keys: Sequence[str], value: str, y: str, leaf: int = 1) -> DataFrame:
-    """Best cut by mean absolute deviation from the mean (L1). The mean moves with the cut, so sorted arrays of one group at a time."""
-    own = rows.filter(F.col(value).isNotNull() & F.expr(y).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), F.expr(y).cast("double").alias("y"))
-    grouped = list(keys) or ["_all"]
-    own = own if keys else own.withColumn("_all", F.lit(0))
-    types = {f.name: f.dataType.simpleString() for f in own.schema}
+    """Best cut by mean absolute deviation from the mean (L1), for groups of any size; missing values are a third part.
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["v", "y"])
-        v, t = pdf.v.to_numpy(), pdf.y.to_numpy()
-        n, best_cut = len(v), (MIN_GAIN, None)
-        dev = lambda a: float(np.abs(a - a.mean()).mean())
-        whole = dev(t)
-        for i in np.flatnonzero(np.diff(v) > MIN_GAP) + 1:
-            if i >= leaf and n - i >= leaf + 1:
-                gain = whole - (i * dev(t[:i]) + (n - i) * dev(t[i:])) / n
-                if gain > best_cut[0] + 1e-12:
-                    best_cut = (gain, i)
-        if best_cut[1] is None:
-            return pd.DataFrame({k: [] for k in [*grouped, "threshold", "n_left", "n_right", "decrease"]})
-        i = best_cut[1]
-        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in grouped} | {"threshold": [(v[i - 1] + v[i]) / 2], "n_left": [int(i)], "n_right": [int(n - i)], "decrease": [best_cut[0]]})
-
-    found = own.groupBy(*grouped).applyInPandas(search, ", ".join(f"{k} {types[k]}" for k in grouped) + ", threshold double, n_left long, n_right long, decrease double")
-    return found if keys else found.drop("_all")
+    The mean moves with the cut, so each side's deviation is the sum over those of its values that lie below its mean: a question for all
+    points left of the cut and below the mean, and one for those right of it.
+    """
+    known = rows.filter(F.expr(y).isNotNull()).select(*keys, F.col(value).cast("double").alias("x"), F.expr(y).cast("double").alias("y"))
+    points = cut(known.groupBy(*keys, "x", "y").agg(F.count("*").cast("double").alias("n")).withColumn("s", F.col("n") * F.col("y")))
+    sums = _scanned(points.groupBy(*keys, F.col("x").alias("v")).agg(F.sum("n").alias("n"), F.sum("s").alias("s")), keys, ["n", "s"])
+    right = F.col("_t_n") - F.col("_l_n")
+    cuts = cut(sums.filter(F.col("_next").isNotNull() & (F.col("_next") - F.col("v") > MIN_GAP) & (F.col("_l_n") >= leaf) & (right >= leaf + 1)).withColumns({"_r_n": right, "_r_s": F.col("_t_s") - F.col("_l_s")}))
+    seen = points.filter("x is not null")
+    low = dominated(seen, cuts.withColumns({"x": F.col("v"), "y": F.col("_l_s") / F.col("_l_n")}), keys, ["n", "s"]).withColumnsRenamed({"_d_n": "_a_n", "_d_s": "_a_s"}).drop("x", "y")
+    both = dominated(seen.withColumn("x", -F.col("x")), low.withColumns({"x": -F.col("_next"), "y": F.col("_r_s") / F.col("_r_n")}), keys, ["n", "s"])
+    sides = _deviation("_l_n", "_l_s", F.col("_l_s") / F.col("_l_n"), ("_a_n", "_a_s")) + _deviation("_r_n", "_r_s", F.col("_r_s") / F.col("_r_n"), ("_d_n", "_d_s"))
+    spread = lambda df, name: deviation(df, keys, "y").select(*[F.col(k).alias(f"_{name}{i}") for i, k in enumerate(keys)], (F.col("n") * F.col("impurity")).alias(name))
+    meets = lambda name: reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{name}{i}")) for i, k in enumerate(keys)]) if keys else F.lit(True)
+    out = both.join(spread(known, "_all"), meets("_all")).join(spread(known.filter("x is null"), "_gone"), meets("_gone"), "left")
+    whole = F.col("_t_n") + F.col("_m_n")
+    gain_ = (F.col("_all") - sides - F.coalesce("_gone", F.lit(0.0))) / whole
+    found = out.select(*keys, ((F.col("v") + F.col("_next")) / 2).alias("threshold"), F.col("_l_n").cast("long").alias("n_left"), F.col("_r_n").cast("long").alias("n_right"), gain_.alias("decrease"))
+    return best(found, keys, ["threshold"])
+
+
+def _log_volume(spans: Sequence[Column]) -> Column:
+    """The sum of the logarithms of the spans above zero."""
+    return reduce(Column.__add__, [F.log(F.when(s > 0, s).otherwise(1.0)) for s in spans], F.lit(0.0))
+
+
+def _regional(target: OfRegion, numeric: Sequence[str], categorical: Sequence[str]) -> dict[str, Column]:
+    """Aggregates of a set of cases: the target's statistics, the ends of numbers, the different categories."""
+    out = {k: F.expr(e).cast("double") for k, e in target.stats().items()}
+    for i, c in enumerate(numeric):
+        x = F.expr(f"nullif(cast(`{c}` as double), double('NaN'))")
+        out |= {f"lo{i}": F.min(x), f"hi{i}": F.max(x)}
+    return out | {f"d{i}": F.count_distinct(F.col(f"`{c}`")).cast("double") for i, c in enumerate(categorical)}
+
+
+def region(rows: DataFrame, keys: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], target: OfRegion, total: float) -> DataFrame:
+    """keys, n, impurity, predicted of the region that each group's cases span; ``total``: cases of the whole table."""
+    if "w" not in rows.columns:
+        rows = rows.withColumn("w", F.lit(1))
+    made = _regional(target, numeric, categorical)
+    sums = rows.filter(f"({target.y}) is not null").groupBy(*keys).agg(*[e.alias(f"_{k}") for k, e in made.items()])
+    volume = _log_volume([*[F.coalesce(F.col(f"_hi{i}") - F.col(f"_lo{i}"), F.lit(0.0)) for i in range(len(numeric))], *[F.col(f"_d{i}") for i in range(len(categorical))]])
+    stats = {k: F.col(f"_{k}") for k in target.stats()}
+    return sums.select(*keys, F.col("_n").alias("n"), target.of_region(stats, volume, total, SparkOps).alias("impurity"), target.in_region(stats, volume, total, SparkOps).alias("predicted"))
+
+
+def region_split(rows: DataFrame, keys: Sequence[str], value: str, numeric: Sequence[str], categorical: Sequence[str], target: OfRegion, total: float, leaf: int = 1) -> DataFrame:
+    """Best cut of the feature ``value`` by a target of the regions that both sides span over all features, for groups of any size.
+
+    Along the feature's order the ends of every number run from both directions, and a category counts on the left from its first value
+    on and on the right up to its last one; all of that is merged over ranges.
+    """
+    if "w" not in rows.columns:
+        rows = rows.withColumn("w", F.lit(1))
+    known = rows.filter(f"({target.y}) is not null").withColumn("_v", F.expr(f"nullif(cast(`{value}` as double), double('NaN'))"))
+    made, names = _regional(target, numeric, []), list(target.stats())
+    hist = known.groupBy(*keys, F.col("_v").alias("v")).agg(*[e.alias(k) for k, e in made.items()])
+    for i, c in enumerate(categorical):
+        seen = known.filter(F.col(f"`{c}`").isNotNull() & F.col("_v").isNotNull()).groupBy(*keys, F.col(f"`{c}`").alias("_c")).agg(F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+        marks = seen.select(*keys, F.explode(F.array(F.struct(F.col("_from").alias("v"), F.lit(1.0).alias("f"), F.lit(0.0).alias("t")), F.struct(F.col("_to").alias("v"), F.lit(0.0).alias("f"), F.lit(1.0).alias("t")))).alias("m"))
+        marks = marks.groupBy(*[F.col(k).alias(f"_o{j}") for j, k in enumerate(keys)], F.col("m.v").alias("_at")).agg(F.sum("m.f").alias(f"from{i}"), F.sum("m.t").alias(f"to{i}"))
+        meets = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_o{j}")) for j, k in enumerate(keys)], F.col("v") == F.col("_at"))
+        hist = hist.join(marks, meets, "left").drop("_at", *[f"_o{j}" for j in range(len(keys))]).na.fill(0.0, [f"from{i}", f"to{i}"])
+    n_num, n_cat = range(len(numeric)), range(len(categorical))
+    wide = _scanned(hist, keys, [*names, *[f"{p}{i}" for i in n_cat for p in ("from", "to")]], [f"lo{i}" for i in n_num], [f"hi{i}" for i in n_num])
+    span = lambda p: [F.coalesce(F.col(f"_{p}_hi{i}") - F.col(f"_{p}_lo{i}"), F.lit(0.0)) for i in n_num]
+    volumes = {"l": _log_volume([*span("l"), *[F.col(f"_l_from{i}") for i in n_cat]]), "r": _log_volume([*span("r"), *[F.col(f"_t_to{i}") - F.col(f"_l_to{i}") for i in n_cat]])}
+    left = {k: F.col(f"_l_{k}") for k in names}
+    right = {k: F.col(f"_t_{k}") - F.col(f"_l_{k}") for k in names}
+    part = lambda df, name: region(df, keys, numeric, categorical, target, total).select(*[F.col(k).alias(f"_{name}{j}") for j, k in enumerate(keys)], F.col("n").alias(f"_{name}_n"), F.col("impurity").alias(f"_{name}_i"))
+    meets = lambda name: reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{name}{j}")) for j, k in enumerate(keys)]) if keys else F.lit(True)
+    allowed = wide.filter(F.col("_next").isNotNull() & (F.col("_next") - F.col("v") > MIN_GAP) & (left["n"] >= leaf) & (right["n"] >= leaf + 1))
+    out = allowed.join(part(known, "all"), meets("all")).join(part(known.filter("_v is null"), "gone"), meets("gone"), "left")
+    lost = F.when(F.col("_gone_n") > 0, F.col("_gone_n") * F.col("_gone_i")).otherwise(0.0)
+    gained = F.col("_all_i") - (left["n"] * target.of_region(left, volumes["l"], total, SparkOps) + right["n"] * target.of_region(right, volumes["r"], total, SparkOps) + lost) / F.col("_all_n")
+    return best(out.select(*keys, ((F.col("v") + F.col("_next")) / 2).alias("threshold"), left["n"].cast("long").alias("n_left"), right["n"].cast("long").alias("n_right"), gained.alias("decrease")), keys, ["threshold"])

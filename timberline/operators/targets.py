@@ -1,7 +1,7 @@
 """Impurities of a set of cases from additive statistics, and what a leaf predicts.
 
 A target names its statistics as SQL sums over rows (w: a row's multiplicity). Statistics add up, so the sides of a cut are
-prefix sums and their complement. ``impurity`` gets them as a dict of columns, arrays or SQL text and the engine's arithmetic.
+prefix sums and their complement. ``impurity`` gets them as a dict of columns or arrays and the engine's arithmetic.
 Targets with ``score`` have no impurity: the cut with the highest score wins.
 """
 
@@ -12,6 +12,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from ..functions.dominance import dominance
+from ..functions.engine import NumpyOps
+
 
 @dataclass(frozen=True)
 class Target:
@@ -234,27 +237,9 @@ class OfCases(Target):
 
 def deviations(y: np.ndarray, m: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Of each prefix the sum of v * |y - mean|, the mean weighted by ``m``."""
-    mean = np.cumsum(m * y) / np.cumsum(m)
-    n = len(y)
-    if n <= 1024:
-        return np.tril(v[None, :] * np.abs(y[None, :] - mean[:, None])).sum(axis=1)
-    # two Fenwick trees over the places of the sorted values: weights, and weights times values, of the cases so far
-    places, order = np.unique(y, return_inverse=True)
-    below = np.searchsorted(places, mean, side="right").tolist()
-    counts, sums, out = [0.0] * (len(places) + 1), [0.0] * (len(places) + 1), np.empty(n)
-    all_v, all_y = np.cumsum(v).tolist(), np.cumsum(v * y).tolist()
-    for i, (k, w, t, mu) in enumerate(zip((order + 1).tolist(), v.tolist(), y.tolist(), mean.tolist(), strict=True)):
-        while k <= len(places):
-            counts[k] += w
-            sums[k] += w * t
-            k += k & -k
-        k, c, s = below[i], 0.0, 0.0
-        while k:
-            c += counts[k]
-            s += sums[k]
-            k &= k - 1
-        out[i] = mu * c - s + (all_y[i] - s) - mu * (all_v[i] - c)
-    return out
+    mean, at = np.cumsum(m * y) / np.cumsum(m), np.arange(len(y))
+    count, total = dominance(at, y, np.column_stack([v, v * y]), at, mean).T
+    return mean * count - total + (np.cumsum(v * y) - total) - mean * (np.cumsum(v) - count)
 
 
 @dataclass(frozen=True)
@@ -302,19 +287,39 @@ def log_spans(values: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-@dataclass(frozen=True)
-class Density(OfCases):
-    """Squared share of the cases over the volume that they span."""
+class OfRegion(OfCases):
+    """Targets of the region that cases span: their statistics and the logarithm of its volume, in any engine's arithmetic."""
+
+    def of_region(self, s: dict, volume, total: float, m):
+        """The impurity."""
+        raise NotImplementedError
+
+    def in_region(self, s: dict, volume, total: float, m):
+        """What a leaf there predicts."""
+        raise NotImplementedError
 
     def prefix(self, x, m, values, total):
-        return np.exp(2 * np.log(np.cumsum(m) / total) - log_spans(values))
+        sums = np.cumsum(x * m[:, None], axis=0)
+        return self.of_region({k: sums[:, i] for i, k in enumerate(self.stats())}, log_spans(values), total, NumpyOps)
 
     def value(self, x, m, values, total):
-        return float(np.exp(np.log(m.sum() / total) - log_spans(values)[-1]))
+        sums = (x * m[:, None]).sum(axis=0)
+        return float(self.in_region({k: sums[i] for i, k in enumerate(self.stats())}, log_spans(values)[-1], total, NumpyOps))
+
+
+@dataclass(frozen=True)
+class Density(OfRegion):
+    """Squared share of the cases over the volume that they span."""
+
+    def of_region(self, s, volume, total, m):
+        return m.exp(2 * m.log(s["n"] / total) - volume)
+
+    def in_region(self, s, volume, total, m):
+        return m.exp(m.log(s["n"] / total) - volume)
 
 
 @dataclass(frozen=True)
-class Transduction(OfCases):
+class Transduction(OfRegion):
     """Gini impurity and ``alpha`` times the volume over the squared number of cases. Leaves never predict the
     ``unlabelled`` class unless ``beta`` times its cases outnumber every other."""
 
@@ -326,14 +331,16 @@ class Transduction(OfCases):
     def stats(self):
         return {"n": "sum(w)"} | {f"c{k}": f"sum(case when {self.y} = '{c}' then w else 0 end)" for k, c in enumerate(self.classes)}
 
-    def prefix(self, x, m, values, total):
-        counts, n = np.cumsum(x[:, 1:] * m[:, None], axis=0), np.cumsum(m)
-        return 1 - (counts * counts).sum(axis=1) / (n * n) + self.alpha * np.exp(log_spans(values) - 2 * np.log(n))
+    def of_region(self, s, volume, total, m):
+        counts = [s[f"c{k}"] for k in range(len(self.classes))]
+        return 1.0 - sum((c * c for c in counts[1:]), counts[0] * counts[0]) / (s["n"] * s["n"]) + self.alpha * m.exp(volume - 2 * m.log(s["n"]))
 
-    def value(self, x, m, values, total):
-        counts = (x[:, 1:] * m[:, None]).sum(axis=0)
-        counts[self.unlabelled] *= self.beta
-        return float(np.argmax(counts)) if counts.max() > 0 else float(self.unlabelled)
+    def in_region(self, s, volume, total, m):
+        counts = [s[f"c{k}"] * (self.beta if k == self.unlabelled else 1.0) for k in range(len(self.classes))]
+        top, out = m.most(*counts), self.unlabelled
+        for k in reversed(range(len(counts))):
+            out = m.where((counts[k] == top) & (top > 0), k, out)
+        return out
 
     def surrogate(self):
         return Gini(self.y, classes=self.classes)
