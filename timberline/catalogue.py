@@ -15,6 +15,7 @@ from .functions.rng import RANGE, hash_numbers, hash_sql
 from .operators import sample, score, splits, targets, transform
 from .plans.forest import Forest, contrast_test
 from .plans.grow import Growth
+from .plans.scoring import score_leaves
 from .sources import formats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,8 +186,7 @@ def _gapped(s: SparkSession, d: str) -> DataFrame:
 
 
 def _leaves(s: SparkSession, d: str) -> DataFrame:
-    o = _gapped(s, d)
-    return score.leaves(transform.to_cells(o, "case_id", ["o_totalprice", "gap"], ["priority"]), o, _model(s))
+    return score_leaves(_gapped(s, d), _model(s), ["o_totalprice", "gap"], ["priority"])
 
 
 def _numbered(votes: DataFrame) -> DataFrame:

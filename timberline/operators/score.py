@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .votes import Mean, Mode, Sum, tally
+
 NODE = "tree int, path string, feature string, threshold double, left array<string>, pred string, weight double"
 
 
@@ -57,22 +59,17 @@ def score_sql(nodes: list[dict], tree: int) -> str:
 
 def tally_mode(votes: DataFrame) -> DataFrame:
     """case_id, pred: the class with the largest sum of weights, of equals the smallest label."""
-    sums = votes.filter("pred is not null").groupBy("case_id", "pred").agg(F.sum("weight").alias("w"))
-    order = Window.partitionBy("case_id").orderBy(F.round("w", 9).desc(), "pred")
-    return sums.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("case_id", "pred")
+    return tally(votes, Mode())
 
 
 def tally_mean(votes: DataFrame) -> DataFrame:
     """case_id, pred: the weighted mean; what isn't a number doesn't vote."""
-    p = F.expr("try_cast(pred as double)")
-    known = votes.filter(p.isNotNull())
-    return known.groupBy("case_id").agg((F.sum(p * F.col("weight")) / F.sum("weight")).alias("pred"))
+    return tally(votes, Mean())
 
 
 def tally_sum(votes: DataFrame, intercept: float = 0.0, expit: bool = False) -> DataFrame:
     """case_id, pred: the weighted sum and the intercept, as a probability if asked."""
-    total = F.sum(F.expr("try_cast(pred as double)") * F.col("weight")) + intercept
-    return votes.groupBy("case_id").agg(((F.tanh(total / 2) + 1) / 2 if expit else total).alias("pred"))
+    return tally(votes, Sum(intercept, expit))
 
 
 def vote_totals(votes: DataFrame, classes: list[str]) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Leaves of wide rows: by arrays of the model while it is small, by joins level by level beyond that."""
+"""Leaves of wide rows by arrays of the model, in blocks of trees."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import score
 from ..operators.transform import to_cells
 
-#: Nodes of a model that goes to every worker; a larger one is joined.
+#: Nodes of a block of trees that goes to every worker.
 MODEL_NODES = 1_000_000
 _LEAVES = "tree int, case_id long, path string, pred string, weight double"
 
@@ -56,12 +57,35 @@ class Model:
         return at
 
 
+def _blocks(sizes: list[tuple[int, int]]) -> tuple[list[list[int]], list[int]]:
+    """Blocks of trees with MODEL_NODES nodes together at most, and the trees that are larger, of (tree, nodes)."""
+    blocks, now, filled = [], [], 0
+    for tree, n in sorted(x for x in sizes if x[1] <= MODEL_NODES):
+        if now and filled + n > MODEL_NODES:
+            blocks.append(now)
+            now, filled = [], 0
+        now.append(tree)
+        filled += n
+    return [*blocks, now] if now else blocks, [t for t, n in sizes if n > MODEL_NODES]
+
+
 def score_leaves(wide: DataFrame, nodes: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """tree, case_id, path, pred, weight of each case's leaf in each tree, of ``wide`` (case_id, features)."""
+    """tree, case_id, path, pred, weight of each case's leaf in each tree, of ``wide`` (case_id, features).
+
+    A model goes to the workers in blocks of trees, and the cases pass each block; only a tree above MODEL_NODES is joined.
+    """
     model = nodes.select("tree", "path", "feature", "threshold", "left", "pred", "weight")
-    if model.count() > MODEL_NODES:
-        cells = to_cells(wide, "case_id", numeric, categorical)
-        return score.leaves(cells, wide.select("case_id"), nodes)
+    # one row for each tree
+    blocks, large = _blocks([(r["tree"], r["n"]) for r in model.groupBy("tree").agg(F.count("*").alias("n")).collect()])
+    parts = [_by_arrays(wide, model.filter(F.col("tree").isin(b)) if len(blocks) > 1 or large else model, numeric, categorical) for b in blocks]
+    if large:
+        parts.append(score.leaves(to_cells(wide, "case_id", numeric, categorical), wide.select("case_id"), model.filter(F.col("tree").isin(large))))
+    if not parts:
+        return wide.sparkSession.createDataFrame([], _LEAVES)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _by_arrays(wide: DataFrame, model: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     # at most MODEL_NODES rows
     shared = wide.sparkSession.sparkContext.broadcast(Model(model.toArrow(), [*numeric, *categorical]))
     columns = [F.expr(f"nullif(cast(`{c}` as double), double('NaN'))").alias(f"_x{i}") for i, c in enumerate(numeric)] + [F.col(f"`{c}`").cast("string").alias(f"_c{i}") for i, c in enumerate(categorical)]

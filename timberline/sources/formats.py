@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import ranked
 from ..operators.transform import cat_codes, encode_num, impute, parse_cat, parse_num
+from ..session import cut
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -158,10 +159,16 @@ def read_sf(spark: SparkSession, path: str) -> DataFrame:
     rows = _lines(spark, path).filter("trim(value) <> ''")
     key = lambda k: F.nullif(F.regexp_extract("value", rf'{k}=(?:"([^"]*)"|([^,]*))', 1), F.lit(""))
     both = lambda k: F.coalesce(key(k), F.nullif(F.regexp_extract("value", rf"(?:^|,){k}=([^,\"]+)", 1), F.lit("")))
-    order = Window.orderBy("_i")
-    starts = lambda w: F.sum(F.when(F.col("value").startswith(w), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("forest", starts("FOREST=")).withColumn("tree", starts("TREE=") - 1)
-    rows = rows.withColumn("weight", F.last(F.when(F.col("value").startswith("TREE="), F.coalesce(both("WEIGHT").cast("double"), F.lit(1.0))), True).over(order)).withColumn("target", F.last(F.when(F.col("value").startswith("TREE=") | F.col("value").startswith("FOREST="), both("TARGET")), True).over(order)).withColumn("intercept", F.coalesce(F.last(F.when(F.col("value").startswith("FOREST="), both("INTERCEPT").cast("double")), True).over(order), F.lit(0.0)))
+    tree_line, forest_line = F.col("value").startswith("TREE="), F.col("value").startswith("FOREST=")
+    # what the last line of a kind says is carried on: inside ranges of lines, then from one range to the next (one row for each)
+    said = {"weight": F.when(tree_line, F.coalesce(both("WEIGHT").cast("double"), F.lit(1.0))), "target": F.when(tree_line | forest_line, both("TARGET")), "intercept": F.when(forest_line, both("INTERCEPT").cast("double"))}
+    rows = cut(rows.withColumns({**said, "_f": forest_line.cast("long"), "_t": tree_line.cast("long")}).repartitionByRange("_i").withColumn("_part", F.spark_partition_id()))
+    ends = rows.groupBy("_part").agg(F.sum("_f").alias("_f"), F.sum("_t").alias("_t"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_i"))).alias(c) for c in said])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col("_part").alias("_own"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_b{c}") for c in ("_f", "_t")], *[F.last(c, True).over(before).alias(f"_b_{c}") for c in said])
+    upto = Window.partitionBy("_part").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(ends, F.col("_part") == F.col("_own")).select("value", (F.sum("_f").over(upto) + F.col("_b_f")).alias("forest"), (F.sum("_t").over(upto) + F.col("_b_t") - 1).alias("tree"), *[F.coalesce(F.last(c, True).over(upto), f"_b_{c}").alias(c) for c in said])
+    rows = rows.withColumn("intercept", F.coalesce("intercept", F.lit(0.0)))
     nodes = rows.filter(F.col("value").startswith("NODE="))
     numeric = both("SPLITTERTYPE") == "NUMERICAL"
     return nodes.select("forest", F.col("tree").cast("int").alias("tree"), both("NODE").alias("path"), both("SPLITTER").alias("feature"), F.when(numeric, both("LVALUES").cast("double")).alias("threshold"), F.when(~numeric, F.split(both("LVALUES"), ":")).alias("left"), both("PRED").alias("pred"), "weight", "target", "intercept")
