@@ -5,6 +5,7 @@ The SQL is written on its own, the impurity formulas too (_FORMULAS): no text of
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 EVENT_TYPES = ("click", "purchase", "scroll", "signup", "view")
 STATUS, PRIORITY = ("F", "O", "P"), ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 FLAGS = ("A", "N", "R")
+DIMENSIONS = [f"d{i}" for i in range(64)]
 
 
 def _t(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -277,14 +279,9 @@ def _cases(s: SparkSession, d: str) -> DataFrame:
 
 _BOOT = f"SELECT CAST(t AS INTEGER) AS tree, {_H('i', 't', 17)} % (SELECT count(*) FROM events) AS rank FROM (SELECT unnest(range((SELECT count(*) FROM events))) AS i) CROSS JOIN (SELECT unnest(range(2)) AS t)"
 _RANK = "SELECT event_id AS case_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS rank FROM events"
-_LONG = "SELECT vec_id AS case_id, 'd' || i AS feature, CAST(embedding[i + 1] AS DOUBLE) AS num FROM embeddings CROSS JOIN (SELECT unnest(range(3)) AS i)"
+_LONG = "SELECT vec_id AS case_id, 'd' || i AS feature, CAST(embedding[i + 1] AS DOUBLE) AS num FROM embeddings CROSS JOIN (SELECT unnest(range(64)) AS i)"
 
 
-_SF_SQL = "SELECT unnest([" + ", ".join("'" + x + "'" for x in (
-    'FOREST=RF,TARGET="status",NTREES=2,INTERCEPT=0.0', 'TREE=0,TARGET="status",WEIGHT=1.0', 'TREE=1,TARGET="status",WEIGHT=2.0',
-    'NODE=*,PRED="O",SPLITTER="o_totalprice",SPLITTERTYPE=NUMERICAL,LVALUES=150000.0', 'NODE=*L,PRED="O",SPLITTER="priority",SPLITTERTYPE=CATEGORICAL,LVALUES="1-URGENT:5-LOW"', 'NODE=*LL,PRED="F"', 'NODE=*LR,PRED="O"', 'NODE=*R,PRED="P"',
-    'NODE=*,PRED="F",SPLITTER="gap",SPLITTERTYPE=NUMERICAL,LVALUES=100000.0', 'NODE=*L,PRED="F"', 'NODE=*R,PRED="O"', 'NODE=*M,PRED="P",SPLITTER="priority",SPLITTERTYPE=CATEGORICAL,LVALUES="2-HIGH"', 'NODE=*ML,PRED="P"', 'NODE=*MR,PRED="O"',
-)) + "]) AS line"
 _RANDOM_SQL = f"""
 WITH h AS (SELECT value AS v, CAST(count(*) AS DOUBLE) AS n, {", ".join(f"CAST(count(*) FILTER (event_type = '{c}') AS DOUBLE) AS c{k}" for k, c in enumerate(EVENT_TYPES))} FROM events GROUP BY 1),
 p AS (SELECT *, lead(v) OVER (ORDER BY v) AS nxt, {", ".join(f"sum({k}) OVER (ORDER BY v) AS l_{k}, sum({k}) OVER () - sum({k}) OVER (ORDER BY v) AS r_{k}, sum({k}) OVER () AS w_{k}" for k in ("n", "c0", "c1", "c2", "c3", "c4"))} FROM h),
@@ -311,8 +308,6 @@ p AS (SELECT v, lead(v) OVER (ORDER BY v) AS nxt, sum(n) OVER (ORDER BY v) AS ln
 b AS (SELECT (v + nxt) / 2 AS cut FROM p WHERE nxt IS NOT NULL AND ln >= 50 AND tn - ln >= 51 ORDER BY pow(ls / ln - (ts - ls) / (tn - ln), 2) * ln * (tn - ln) / tn DESC, v LIMIT 1),
 f AS (SELECT y, base + 0.1 * avg(r) OVER (PARTITION BY day <= cut) AS f FROM o CROSS JOIN b), e AS (SELECT avg(pow(f - y, 2)) AS mse, var_pop(y) AS v FROM f)
 SELECT round(mse / 1e9, 6) AS mse, round(mse / v, 6) AS scaled_error FROM e"""
-_DRAWN = [int(hash_numbers(k, 0, 9)) % 3 for k in range(2)]
-_DRAWN_SQL = f"WITH c AS ({_LONG}) SELECT feature, count(*) AS n, round(sum(num), 4) AS total FROM (SELECT feature, num FROM c" + "".join(f" UNION ALL SELECT 'd{i}:SHUFFLED:{k}', num FROM c WHERE feature = 'd{i}'" for k, i in enumerate(_DRAWN)) + ") GROUP BY 1"
 
 
 def _density(s: SparkSession, d: str) -> DataFrame:
@@ -370,6 +365,174 @@ def _round1(s: SparkSession, d: str) -> DataFrame:
     return score.regression_errors(f.predict(o), _actual(s, d, "o_totalprice")).select(F.round(F.col("mse") / 1e9, 6).alias("mse"), F.round("scaled_error", 6).alias("scaled_error"))
 
 
+_TEN_SUMS = ("n", *(f"c{k}" for k in range(10)))
+
+
+def _boosted_sql(costs: tuple[float, ...]) -> Callable[[str], str]:
+    """SQL of AdaBoost's impurity in the first round: the cost of the cases outside the most frequent class over all cases."""
+    def of(x: str) -> str:
+        own = _first_largest([f"{x}c{k}" for k in range(len(costs))])
+        costed = [f"{c} * {x}c{k}" for k, c in enumerate(costs)]
+        return f"(({' + '.join(costed)} - CASE {own} " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(costed)) + " END) / (SELECT count(*) FROM embeddings))"
+
+    return of
+
+
+def _gini_sql(x: str) -> str:
+    return _FORMULAS["gini"](10).format(x=x)
+
+
+def _cells_sql() -> str:
+    """All components of all vectors: case_id, label, feature, v."""
+    return "SELECT vec_id AS case_id, label, 'd' || i AS feature, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings CROSS JOIN (SELECT unnest(range(64)) AS i)"
+
+
+def _level_sql(name: str, places: str, impurity: Callable[[str], str], leaf: int = 1) -> str:
+    """CTEs that end in ``name``: path, n, impurity, feature, threshold, decrease of the best cut of each node of ``places`` (case_id, path) over ``c``."""
+    side = lambda p, e: ", ".join(f"{e.format(k=k)} AS {p}_{k}" for k in _TEN_SUMS)
+    return f"""
+{name}_h AS (SELECT path, feature, v, CAST(count(*) AS DOUBLE) AS n, {", ".join(f"CAST(count(*) FILTER (label = {k}) AS DOUBLE) AS c{k}" for k in range(10))} FROM c JOIN {places} USING (case_id) GROUP BY 1, 2, 3),
+{name}_p AS (SELECT path, feature, v, lead(v) OVER o AS nxt, {side("l", "sum({k}) OVER o")}, {side("w", "sum({k}) OVER (PARTITION BY path, feature)")} FROM {name}_h WINDOW o AS (PARTITION BY path, feature ORDER BY v)),
+{name}_b AS (SELECT *, {side("r", "w_{k} - l_{k}")} FROM {name}_p),
+{name}_g AS (SELECT path, feature, (v + nxt) / 2 AS threshold, w_n AS n, {impurity("w_")} AS impurity, {impurity("w_")} - (l_n * {impurity("l_")} + r_n * {impurity("r_")}) / w_n AS decrease FROM {name}_b WHERE nxt - v > 1e-7 AND l_n >= {leaf} AND r_n >= {leaf + 1}),
+{name} AS MATERIALIZED (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY round(decrease, 9) DESC, feature, threshold) AS k FROM {name}_g WHERE decrease > 1e-7) WHERE k = 1)"""
+
+
+def _moved_sql(name: str, level: str, places: str) -> str:
+    """CTE ``name``: case_id, path one step below the cuts of ``level``."""
+    return f"{name} AS MATERIALIZED (SELECT c.case_id, {level}.path || CASE WHEN c.v <= threshold THEN 'L' ELSE 'R' END AS path FROM {level} JOIN {places} USING (path) JOIN c ON c.case_id = {places}.case_id AND c.feature = {level}.feature)"
+
+
+_ALL_AT_ROOT = "a0 AS (SELECT vec_id AS case_id, '*' AS path FROM embeddings)"
+_DEPTH2_SQL = f"""
+WITH c AS MATERIALIZED ({_cells_sql()}), {_ALL_AT_ROOT},{_level_sql("l0", "a0", _gini_sql)},
+{_moved_sql("a1", "l0", "a0")},{_level_sql("l1", "a1", _gini_sql)}
+SELECT path, feature, round(threshold, 6) AS threshold, CAST(n AS BIGINT) AS n, round(impurity, 6) AS impurity, round(decrease, 6) AS decrease FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1)"""
+
+
+def _depth2(s: SparkSession, d: str) -> DataFrame:
+    """The inner nodes of a tree of depth two over all dimensions, grown level by level."""
+    f = Forest("label", "case_id", [f"d{i}" for i in range(64)], n_trees=1, how=Growth(max_depth=2, local_bytes=0), bag="none").fit(_embedding(s, d))
+    return _rounded(f.nodes.filter("feature is not null").select("path", "feature", "threshold", "n", "impurity", "decrease"))
+
+
+def _ada_round1(costs: tuple[float, ...]) -> Query:
+    """Root and say of the first tree of AdaBoost or AdaCost."""
+    def run(s: SparkSession, d: str) -> DataFrame:
+        goal = targets.Regret(classes=_TEN, costs=costs)
+        f = Forest("label", "case_id", [f"d{i}" for i in range(64)], n_trees=1, how=Growth(max_depth=1), boost="ada", bag="none", classes=_TEN, impurity=goal).fit(_embedding(s, d))
+        return _rounded(f.nodes.filter("path = '*'").select("feature", "threshold", "n", "weight"))
+
+    return run
+
+
+def _ada_round1_sql(costs: tuple[float, ...]) -> str:
+    return f"""
+WITH c AS MATERIALIZED ({_cells_sql()}), {_ALL_AT_ROOT},{_level_sql("l0", "a0", _boosted_sql(costs))},
+{_moved_sql("a1", "l0", "a0")},
+k AS (SELECT path, label, count(*) AS n FROM a1 JOIN embeddings ON vec_id = case_id GROUP BY 1, 2),
+m AS (SELECT path, max(n) AS most FROM k GROUP BY 1),
+e AS (SELECT 1 - sum(most) / (SELECT count(*) FROM embeddings) AS err FROM m)
+SELECT feature, round(threshold, 6) AS threshold, CAST(n AS BIGINT) AS n, round(CASE WHEN err >= 0.5 THEN 0.0 ELSE 0.5 * ln((1 - err) / greatest(err, 1e-10)) END, 6) AS weight FROM l0 CROSS JOIN e"""
+
+
+def _ada_numbers_round1(s: SparkSession, d: str) -> DataFrame:
+    c = _t("customer")(s, d)
+    f = Forest("c_acctbal", "c_custkey", ["c_nationkey"], n_trees=1, how=Growth(max_depth=1, leaf=20), boost="ada", bag="none").fit(c)
+    return _rounded(f.nodes.filter("path = '*'").select("threshold", "n", "weight"))
+
+
+_ADA_NUMBERS_SQL = """
+WITH k AS (SELECT DISTINCT c_nationkey AS v FROM customer), t AS (SELECT v, lead(v) OVER (ORDER BY v) AS nxt FROM k),
+m AS (SELECT t.v, t.nxt, c_acctbal AS y, c_nationkey <= t.v AS l, avg(c_acctbal) OVER (PARTITION BY t.v, c_nationkey <= t.v) AS mu FROM t JOIN customer ON t.nxt IS NOT NULL),
+g AS (SELECT (v + nxt) / 2 AS threshold, count(*) FILTER (l) AS nl, count(*) FILTER (NOT l) AS nr, sum(abs(y - mu)) FILTER (l) AS dl, sum(abs(y - mu)) FILTER (NOT l) AS dr, count(*) AS n FROM m GROUP BY v, nxt),
+w AS (SELECT sum(abs(c_acctbal - (SELECT avg(c_acctbal) FROM customer))) AS d FROM customer),
+b AS (SELECT *, d / n - (nl * dl / n + nr * dr / n) / n AS decrease FROM g CROSS JOIN w WHERE nl >= 20 AND nr >= 21 ORDER BY round(d / n - (nl * dl / n + nr * dr / n) / n, 9) DESC, threshold LIMIT 1)
+SELECT round(threshold, 6) AS threshold, n, round(ln(d / ((dl + dr) / n)), 6) AS weight FROM b"""
+
+
+def _gbt_class_round1(s: SparkSession, d: str) -> DataFrame:
+    """Errors of the probabilities after one round of two-class gradient boosting."""
+    o = _orders(s, d).withColumn("y", F.when(F.col("status") == "F", "1").otherwise("0"))
+    f = Forest("y", "case_id", ["day"], n_trees=1, how=Growth(max_depth=1, leaf=50), boost="gbt", bag="none").fit(o)
+    return score.regression_errors(f.predict(o), o.select("case_id", F.col("y").cast("double").alias("actual"))).select(F.round("mse", 8).alias("mse"))
+
+
+_GBT_CLASS_SQL = f"""
+WITH o AS (SELECT day, CAST(status = 'F' AS DOUBLE) AS y, (SELECT avg(CAST(status = 'F' AS DOUBLE)) FROM {ORDERS}) AS p FROM {ORDERS}),
+h AS (SELECT day AS v, CAST(count(*) AS DOUBLE) AS n, sum(y - p) AS s FROM o GROUP BY 1),
+q AS (SELECT v, lead(v) OVER (ORDER BY v) AS nxt, sum(n) OVER (ORDER BY v) AS ln_, sum(s) OVER (ORDER BY v) AS ls, sum(n) OVER () AS tn, sum(s) OVER () AS ts FROM h),
+b AS (SELECT (v + nxt) / 2 AS cut FROM q WHERE nxt IS NOT NULL AND ln_ >= 50 AND tn - ln_ >= 51 ORDER BY pow(ls / ln_ - (ts - ls) / (tn - ln_), 2) * ln_ * (tn - ln_) / tn DESC, v LIMIT 1),
+f AS (SELECT y, ln(p / (1 - p)) + 0.1 * sum(y - p) OVER (PARTITION BY day <= cut) / sum(p * (1 - p)) OVER (PARTITION BY day <= cut) AS f FROM o CROSS JOIN b)
+SELECT round(avg(pow(1 / (1 + exp(-f)) - y, 2)), 8) AS mse FROM f"""
+
+
+def _greedy_sql(source: str, v: str, y: str, shift: float = 0.0) -> str:
+    """Forward selection by squared errors: in each step the category that helps most goes left."""
+    i = lambda n, s, q: f"({q} - {s} * {s} / {n})"
+    gain = f"{i('tn', 'ts', 'tq')} - (ln_ * {i('ln_', 'ls', 'lq')} + (tn - ln_) * {i('(tn - ln_)', '(ts - ls)', '(tq - lq)')}) / tn"
+    return f"""
+WITH RECURSIVE h AS (SELECT CAST({v} AS VARCHAR) AS v, CAST(count(*) AS DOUBLE) AS n, sum({y} - {shift}) AS s, sum(pow({y} - {shift}, 2)) AS q FROM {source} WHERE {v} IS NOT NULL GROUP BY 1),
+t AS (SELECT sum(n) AS tn, sum(s) AS ts, sum(q) AS tq FROM h),
+g AS (SELECT CAST([] AS VARCHAR[]) AS chosen, 0.0::DOUBLE AS ln_, 0.0::DOUBLE AS ls, 0.0::DOUBLE AS lq, 1e-7::DOUBLE AS gain
+  UNION ALL SELECT chosen, ln_, ls, lq, now FROM (SELECT *, row_number() OVER (ORDER BY round(now, 12) DESC, v) AS k FROM (
+    SELECT v, list_append(chosen, v) AS chosen, ln_, ls, lq, gain, {gain} AS now FROM (SELECT h.v, chosen, ln_ + n AS ln_, ls + s AS ls, lq + q AS lq, gain FROM g CROSS JOIN h WHERE NOT list_contains(chosen, h.v)) CROSS JOIN t WHERE ln_ < tn))
+    WHERE k = 1 AND now > gain + 1e-12)
+SELECT array_to_string(list_sort(chosen), ':') AS left_set, CAST(ln_ AS BIGINT) AS n_left, CAST(tn - ln_ AS BIGINT) AS n_right, round(gain, 6) AS decrease FROM g CROSS JOIN t WHERE len(chosen) > 0 ORDER BY len(chosen) DESC LIMIT 1"""
+
+
+def _random_cat_sql(seed: int, masks: int = 511) -> str:
+    """Divisions of the nations' keys drawn by a hash; their checksums are constants."""
+    sums = ", ".join(f"('{k}', {zlib.crc32(str(k).encode())})" for k in range(25))
+    side = lambda p, test: ", ".join(f"sum(CASE WHEN {test} THEN {k} ELSE 0 END) AS {p}_{k}" for k in ("n", "s", "q"))
+    i = lambda p: f"({p}_q - {p}_s * {p}_s / {p}_n)"
+    return f"""
+WITH k(v, crc) AS (VALUES {sums}), h AS (SELECT CAST(c_nationkey AS VARCHAR) AS v, CAST(count(*) AS DOUBLE) AS n, sum(c_acctbal / 1000) AS s, sum(pow(c_acctbal / 1000, 2)) AS q FROM customer GROUP BY 1),
+d AS (SELECT h.*, mask, {_H('crc', 'mask', seed)} % 2 = 0 AS l FROM h JOIN k USING (v) CROSS JOIN (SELECT unnest(range(1, {masks + 1})) AS mask)),
+g AS (SELECT mask, list(v ORDER BY v) FILTER (l) AS "left", {side("l", "l")}, {side("r", "NOT l")}, {side("w", "true")} FROM d GROUP BY mask),
+c AS (SELECT "left", l_n, r_n, {i("w")} - (l_n * {i("l")} + r_n * {i("r")}) / w_n AS decrease FROM g WHERE l_n >= 1 AND r_n >= 1)
+SELECT array_to_string("left", ':') AS left_set, CAST(l_n AS BIGINT) AS n_left, CAST(r_n AS BIGINT) AS n_right, round(decrease, 6) AS decrease FROM c WHERE decrease > 1e-7 ORDER BY round(decrease, 9) DESC, "left" LIMIT 1"""
+
+
+def _priced(s: SparkSession, d: str) -> DataFrame:
+    """A model made from orders: for each priority a tree that divides at its mean price."""
+    means = _orders(s, d).groupBy("priority").agg(F.round(F.avg("o_totalprice")).alias("cut"))
+    tree = means.select((F.substring("priority", 1, 1).cast("int") - 1).alias("tree"), "priority", "cut")
+    node = lambda path, feature, cut_, pred: F.struct(F.lit(path).alias("path"), F.lit(feature).cast("string").alias("feature"), cut_.cast("double").alias("threshold"), pred.alias("pred"))
+    nodes = F.array(node("*", "o_totalprice", F.col("cut"), F.lit("all")), node("*L", None, F.lit(None), F.lit("low")), node("*R", None, F.lit(None), F.col("priority")))
+    return tree.select("tree", F.explode(nodes).alias("x")).select("tree", "x.path", "x.feature", "x.threshold", F.lit(None).cast("array<string>").alias("left"), "x.pred", F.lit(1.0).alias("weight"))
+
+
+_PRICED_SQL = f"SELECT CAST(substr(priority, 1, 1) AS INTEGER) - 1 AS tree, priority, round(avg(o_totalprice)) AS cut FROM {ORDERS} GROUP BY priority"
+_PRICED_SF_SQL = f"""
+WITH m AS ({_PRICED_SQL})
+SELECT 'FOREST=RF,TARGET="priority",NTREES=5,INTERCEPT=0.0' AS line UNION ALL SELECT 'TREE=' || tree || ',TARGET="priority",WEIGHT=1.0' FROM m
+UNION ALL SELECT 'NODE=*,PRED="all",SPLITTER="o_totalprice",SPLITTERTYPE=NUMERICAL,LVALUES=' || CAST(cut AS DOUBLE) FROM m UNION ALL SELECT 'NODE=*L,PRED="low"' FROM m UNION ALL SELECT 'NODE=*R,PRED="' || priority || '"' FROM m"""
+
+
+def _libsvm_cells(s: SparkSession, d: str) -> DataFrame:
+    """All cells of the LibSVM lines of orders: target, number of the feature, value."""
+    o = _orders(s, d).select("case_id", "status", F.when(F.col("case_id") % 5 != 0, F.col("day")).alias("day"), "priority")
+    lines = formats.libsvm_table(o, "status", ["day"], ["priority"], "case_id").select(F.split("line", " ").alias("t"))
+    cells = lines.select(F.get("t", F.lit(0)).cast("long").alias("target"), F.explode(F.slice("t", 2, 99)).alias("c"))
+    return cells.select("target", F.split("c", ":")[0].cast("int").alias("feature"), F.round(F.split("c", ":")[1].cast("double"), 3).alias("num"))
+
+
+_LIBSVM_SQL = f"""
+WITH o AS (SELECT case_id, status, priority, CASE WHEN case_id % 5 <> 0 THEN day END AS day FROM {ORDERS}), k AS (SELECT status, row_number() OVER (ORDER BY min(case_id)) - 1 AS target FROM o GROUP BY 1),
+p AS (SELECT priority, row_number() OVER (ORDER BY priority) + 1 AS feature FROM (SELECT DISTINCT priority FROM o))
+SELECT CAST(target AS BIGINT) AS target, 1 AS feature, round(coalesce(day, (SELECT avg(day) FROM o)), 3) AS num FROM o JOIN k USING (status)
+UNION ALL SELECT CAST(target AS BIGINT), CAST(feature AS INTEGER), 1.0 FROM o JOIN k USING (status) JOIN p USING (priority)"""
+
+
+def _drawn_contrast_sql() -> str:
+    """The drawn copies, each dealt anew by its own hash."""
+    dealt = lambda k, i: f"SELECT a.case_id, 'd{i}:SHUFFLED:{k}' AS feature, b.num FROM (SELECT case_id, row_number() OVER (ORDER BY case_id) AS r FROM c WHERE feature = 'd{i}') a JOIN (SELECT num, row_number() OVER (ORDER BY {_H('case_id', '0', 9 + k)}, case_id) AS r FROM c WHERE feature = 'd{i}') b USING (r)"
+    drawn = [int(hash_numbers(k, 0, 9)) % 64 for k in range(2)]
+    return f"WITH c AS MATERIALIZED ({_LONG}) SELECT case_id, feature, num FROM c" + "".join(f" UNION ALL {dealt(k, i)}" for k, i in enumerate(drawn))
+
+
+
 def _with_sql() -> dict[str, tuple[Query, str | None]]:
     out: dict[str, tuple[Query, str | None]] = {
         "best_num_split_gini": (_num(_events, "value", _GINI), _num_split_sql(EVENTS, "value", "y", "gini", EVENT_TYPES)),
@@ -384,7 +547,7 @@ def _with_sql() -> dict[str, tuple[Query, str | None]]:
         "best_cat_split_exhaustive": (_cat(_orders, "priority", _STATUS["gini"]), _cat_split_sql(ORDERS, "priority", "status", 5, STATUS)),
         "best_cat_split_sse": (_cat(_orders, "priority", _STATUS["sse"]), _cat_split_sql(ORDERS, "priority", "o_totalprice / 100000", 5, formula="sse", shift=1.5)),
         "best_cat_split_greedy": (_cat(_t("part"), "p_name", targets.Sse(y="p_retailprice", shift=1000.0), splits.greedy_cat_split), None),
-        "best_cat_split_greedy_30": (_cat(_t("customer"), "c_nationkey", targets.Sse(y="c_acctbal"), splits.greedy_cat_split), None),
+        "best_cat_split_greedy_30": (_cat(_t("customer"), "c_nationkey", targets.Sse(y="c_acctbal / 1000"), splits.greedy_cat_split), _greedy_sql("customer", "c_nationkey", "(c_acctbal / 1000)")),
         "best_num_split_l1": (lambda s, d: _rounded(splits.absolute_split(_t("customer")(s, d), (), "c_nationkey", "c_acctbal", 20)), _L1_SQL),
         "impurity_ordinal": (_impurity(lambda s, d: _embedding(s, d, 1).withColumn("g", F.col("case_id") % 7), "g", _ORDINAL), _ORDINAL_SQL),
         "impurity_boosted": (_impurity(_weighted_orders, "priority", _BOOST), _BOOST_SQL),
@@ -393,7 +556,7 @@ def _with_sql() -> dict[str, tuple[Query, str | None]]:
             f"SELECT priority AS grp, round(avg(abs(o_totalprice - m)), 4) AS impurity FROM (SELECT *, avg(o_totalprice) OVER (PARTITION BY priority) AS m FROM {ORDERS}) GROUP BY 1",
         ),
         "best_num_split_random": (lambda s, d: _rounded(splits.random_num_split(_events(s, d), (), "value", _GINI, 5)), _RANDOM_SQL),
-        "best_cat_split_random": (_cat(_t("customer"), "c_nationkey", targets.Sse(y="c_acctbal"), lambda rows, keys, v, t: splits.random_cat_split(rows, keys, v, t, 3)), None),
+        "best_cat_split_random": (_cat(_t("customer"), "c_nationkey", targets.Sse(y="c_acctbal / 1000"), lambda rows, keys, v, t: splits.random_cat_split(rows, keys, v, t, 3)), _random_cat_sql(3)),
         "grow_root": (_root, _ROOT_SQL),
         "gbt_round1": (_round1, _ROUND1_SQL),
         "class_costs": (lambda s, d: _orders(s, d).groupBy("priority").agg(F.round(sum(F.count_if(F.col("status") == c) * w for c, w in zip(STATUS, targets.class_costs('{"O": 2.5, "P": 4}', STATUS), strict=True)), 6).alias("cost")), f"SELECT priority, CAST(round(sum(CASE status WHEN 'O' THEN 2.5 WHEN 'P' THEN 4 ELSE 0 END), 6) AS DOUBLE) AS cost FROM {ORDERS} GROUP BY 1"),
@@ -402,8 +565,14 @@ def _with_sql() -> dict[str, tuple[Query, str | None]]:
         "counter_tsv": (lambda s, d: formats.tsv_lines(_t("events")(s, d).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))), "SELECT concat_ws(chr(9), user_id, event_type, count(*)) AS line FROM events GROUP BY user_id, event_type"),
         "fold_test_part": (lambda s, d: sample.fold_parts(_cases(s, d), "case_id", sample.kfold(_cases(s, d), 7, 3), 2)[1], f"SELECT case_id, event_type, user_id FROM (SELECT event_id AS case_id, event_type, user_id, row_number() OVER (ORDER BY {_H('event_id', '0', 3)}, event_id) - 1 AS k, count(*) OVER () // 7 AS size FROM events) WHERE k // size = 2"),
         "poisson_bag": (lambda s, d: sample.poisson_bag(_cases(s, d), 2, 19), f"WITH u AS (SELECT CAST(t AS INTEGER) AS tree, event_id AS case_id, {_H('event_id', 't', 19)} / {float(RANGE)!r} AS u FROM events CROSS JOIN (SELECT unnest(range(2)) AS t)) SELECT tree, case_id, CAST(" + " + ".join(f"CAST(u >= {x!r} AS INTEGER)" for x in sample.POISSON) + f" AS BIGINT) AS mult FROM u WHERE u >= {sample.POISSON[0]!r}"),
-        "drawn_contrasts": (lambda s, d: transform.drawn_contrasts(transform.to_cells(_embedding(s, d, 3), "case_id", ["d0", "d1", "d2"], []), ["d0", "d1", "d2"], 2, 9).groupBy("feature").agg(F.count("*").alias("n"), F.round(F.sum("num"), 4).alias("total")), _DRAWN_SQL),
-        "libsvm_table": (lambda s, d: formats.libsvm_table(_orders(s, d).select("case_id", "status", F.when(F.col("case_id") % 5 != 0, F.col("day")).alias("day"), "priority"), "status", ["day"], ["priority"], "case_id").agg(F.count("*").alias("n"), F.sum(F.length("line") - F.length(F.translate("line", ":", ""))).alias("cells")), "SELECT count(*) AS n, CAST(2 * count(*) AS BIGINT) AS cells FROM orders"),
+        "drawn_contrasts": (lambda s, d: transform.drawn_contrasts(transform.to_cells(_embedding(s, d), "case_id", DIMENSIONS, []), DIMENSIONS, 2, 9).select("case_id", "feature", "num"), _drawn_contrast_sql()),
+        "libsvm_table": (_libsvm_cells, _LIBSVM_SQL),
+        "grow_depth2": (_depth2, _DEPTH2_SQL),
+        "adaboost_round1": (_ada_round1((1.0,) * 10), _ada_round1_sql((1.0,) * 10)),
+        "adacost_round1": (_ada_round1((1.0, 1.0, 4.0, 2.0) + (1.0,) * 6), _ada_round1_sql((1.0, 1.0, 4.0, 2.0) + (1.0,) * 6)),
+        "num_adaboost_round1": (_ada_numbers_round1, _ADA_NUMBERS_SQL),
+        "gbt_class_round1": (_gbt_class_round1, _GBT_CLASS_SQL),
+        "best_cat_split_greedy_type": (_cat(_t("part"), "p_type", targets.Sse(y="p_retailprice", shift=1000.0), splits.greedy_cat_split), _greedy_sql("part", "p_type", "p_retailprice", 1000.0)),
         "density": (_density, _DENSITY_SQL),
         "transduction": (_transduction, _TRANSDUCTION_SQL),
         "best_num_split_density": (_region_split(targets.Density(y="status")), _region_split_sql("pow(n / {big}, 2) / v")),
@@ -428,7 +597,7 @@ def _with_sql() -> dict[str, tuple[Query, str | None]]:
             f"WITH a AS (SELECT event_id AS case_id, row_number() OVER (ORDER BY event_id) AS k FROM events), b AS (SELECT event_type, row_number() OVER (ORDER BY {_H('event_id', '0', 5)}, event_id) AS k FROM events) SELECT case_id, event_type FROM a JOIN b USING (k)",
         ),
         "contrast_features": (
-            lambda s, d: transform.contrasts(transform.to_cells(_embedding(s, d, 3), "case_id", ["d0", "d1", "d2"], []), 3).select("case_id", "feature", "num"),
+            lambda s, d: transform.contrasts(transform.to_cells(_embedding(s, d), "case_id", DIMENSIONS, []), 3).select("case_id", "feature", "num"),
             f"WITH c AS ({_LONG}), a AS (SELECT case_id, feature, row_number() OVER (PARTITION BY feature ORDER BY case_id) AS k FROM c), b AS (SELECT feature, num, row_number() OVER (PARTITION BY feature ORDER BY {_H('case_id', '0', 3)}, case_id) AS k FROM c) SELECT * FROM c UNION ALL SELECT case_id, feature || ':SHUFFLED', num FROM a JOIN b USING (feature, k)",
         ),
         "bootstrap_bag": (lambda s, d: sample.bootstrap(_cases(s, d), 2, 17), f"WITH b AS ({_BOOT}), r AS ({_RANK}) SELECT tree, case_id, count(*) AS mult FROM b JOIN r USING (rank) GROUP BY 1, 2"),
@@ -463,7 +632,7 @@ def _with_sql() -> dict[str, tuple[Query, str | None]]:
         "proximity_members": (lambda s, d: score.leaf_vectors(_leaves(s, d)), f"{_VECTORS} SELECT * FROM m"),
         "proximity_groups": (lambda s, d: score.proximity_groups(_leaves(s, d)), f"{_VECTORS}, g AS (SELECT leaves, count(*) AS cases FROM m GROUP BY 1), x AS (SELECT leaves, cases, unnest(string_split(leaves, ' ')) AS leaf FROM g) SELECT a.leaves AS leaves_a, b.leaves AS leaves_b, count(*) AS n, a.cases AS cases_a, b.cases AS cases_b FROM x a JOIN x b USING (leaf) GROUP BY ALL"),
         "branch_counts": (lambda s, d: score.branch_counts(_leaves(s, d), _model(s)), f"{_VOTES} SELECT case_id, feature, count(*) AS n FROM (SELECT case_id, CASE WHEN tree = 0 THEN 'o_totalprice' ELSE 'gap' END AS feature FROM l UNION ALL SELECT case_id, 'priority' FROM l WHERE length(path) = 3) GROUP BY 1, 2"),
-        "split_dump": (lambda s, d: score.split_dump(_model(s)), """SELECT * FROM (VALUES ('o_totalprice', '["150000.0"]'), ('gap', '["100000.0"]'), ('priority', '["1-URGENT:5-LOW","2-HIGH"]')) t(feature, splits)"""),
+        "split_dump": (lambda s, d: score.split_dump(_priced(s, d)), f"""SELECT 'o_totalprice' AS feature, '["' || string_agg(cut, '","' ORDER BY cut) || '"]' AS splits FROM (SELECT CAST(CAST(cut AS DOUBLE) AS VARCHAR) AS cut FROM ({_PRICED_SQL}))"""),
         "welch_t": (
             lambda s, d: _rounded(score.welch(_events(s, d).withColumn("other", F.when(F.col("case_id") % 3 == 0, F.col("value") * 0.9)), "y", "value", "other").drop("p"), 5),
             f"SELECT y, round(ma, 5) AS mean, round((ma - mb) / sqrt(va / na + vb / nb), 5) AS t, round(pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)), 5) AS df FROM (SELECT y, avg(value) AS ma, var_samp(value) AS va, count(value) AS na, avg(o) AS mb, var_samp(o) AS vb, count(o) AS nb FROM (SELECT y, value, CASE WHEN case_id % 3 = 0 THEN value * 0.9 END AS o FROM {EVENTS}) GROUP BY y)",
@@ -473,7 +642,7 @@ def _with_sql() -> dict[str, tuple[Query, str | None]]:
         "afm_lines_by_feature": (lambda s, d: formats.afm_lines(_t("region")(s, d).select("r_regionkey", F.col("r_name").alias("C:name")), "r_regionkey", True), "SELECT CAST(0 AS BIGINT) AS at, '.' || chr(9) || string_agg(CAST(r_regionkey AS VARCHAR), chr(9) ORDER BY r_regionkey) AS line FROM region UNION ALL SELECT 1, 'C:name' || chr(9) || string_agg(r_name, chr(9) ORDER BY r_regionkey) FROM region"),
         "arff_lines": (lambda s, d: formats.arff_lines(_orders(s, d).select("case_id", "status"), "orders"), f"SELECT 0 AS part, '@relation orders' AS line UNION ALL SELECT 1, '@attribute case_id numeric' UNION ALL SELECT 2, '@attribute status {{' || (SELECT string_agg(DISTINCT status, ',' ORDER BY status) FROM {ORDERS}) || '}}' UNION ALL SELECT 3, '@data' UNION ALL SELECT 4, case_id || ',' || status FROM {ORDERS}"),
         "libsvm_lines": (lambda s, d: formats.libsvm_lines(_t("part")(s, d).select("p_partkey", F.col("p_size").cast("long").alias("size"), (F.col("p_partkey") % 3).alias("rest")), "p_partkey"), "SELECT p_partkey || ' 1:' || p_size || CASE WHEN p_partkey % 3 <> 0 THEN ' 2:' || (p_partkey % 3) ELSE '' END AS line FROM part"),
-        "sf_lines": (lambda s, d: formats.sf_lines(_model(s), "status").select("line"), _SF_SQL),
+        "sf_lines": (lambda s, d: formats.sf_lines(_priced(s, d), "priority").select("line"), _PRICED_SF_SQL),
         "logit_expit": (lambda s, d: _rounded(_t("lineitem")(s, d).select("l_orderkey", "l_linenumber", transform.expit(transform.logit(F.col("l_discount") + 0.01)).alias("p")).distinct()), "SELECT DISTINCT l_orderkey, l_linenumber, round(l_discount + 0.01, 6) AS p FROM lineitem"),
         "sparse_counter": (lambda s, d: _t("events")(s, d).groupBy(F.col("user_id").alias("i"), F.col("event_type").alias("j")).agg(F.count("*").alias("n")), "SELECT user_id AS i, event_type AS j, count(*) AS n FROM events GROUP BY 1, 2"),
         "forest_votes": (lambda s, d: _forest().fit(_embedding(s, d)).predict(_embedding(s, d)), None),
