@@ -100,15 +100,16 @@ def test_growth_with_other_measures(spark, how):
         assert math.isclose(root["decrease"], gini(out) - (len(l) * gini(l) + len(r) * gini(r)) / len(out), abs_tol=1e-9)
 
 
-def test_targets_dealt_anew_stay_in_their_node(spark, monkeypatch):
-    from timberline.plans import grow
-
-    monkeypatch.setattr(grow, "BLOCK", 16)
-    rows = spark.range(100).selectExpr("0 as tree", "if(id < 60, '*L', '*R') as path", "id as case_id", "1 as w", "id as y")
-    sizes = rows.groupBy("tree", "path").agg(F.count("*").alias("n"))
-    got = grow._dealt_anew(rows, sizes, ["y"], 3).collect()
+def test_targets_dealt_anew_stay_in_their_node(spark):
+    from timberline.plans.grow import _Growing
+
+    wide = spark.range(100).selectExpr("id as case_id", "cast(id as double) as a").repartition(5)
+    ys = spark.range(100).selectExpr("id as case_id", "cast(id as double) as y")
+    growing = _Growing(wide, ys, sample.Bag("none"), 1, targets.Sse(), targets.Sse(), ["a"], [], Growth(vet=True), 0)
+    left, right = growing.top.split(0, 0, 59.5, None, False)
+    got = growing.dealt_anew([left, right], 3).selectExpr("case_id", "bag[0].tree as node", "_s1 as y", "_x0 as a").collect()
     assert sorted(r["case_id"] for r in got) == sorted(r["y"] for r in got) == list(range(100))
-    assert all((r["y"] < 60) == (r["path"] == "*L") for r in got) and sum(r["y"] != r["case_id"] for r in got) > 50
+    assert all((r["y"] < 60) == (r["node"] == left) == (r["case_id"] < 60) and r["a"] == r["case_id"] for r in got) and sum(r["y"] != r["case_id"] for r in got) > 50
 
 
 def test_folds_and_bags(spark):
