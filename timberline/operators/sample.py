@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import ranked
-from ..functions.rng import RANGE, hash_sql, hashed
+from ..functions.rng import RANGE, hash_numbers, hash_sql, hashed
 
 
 def _trees(n_trees: int) -> Column:
@@ -156,15 +158,43 @@ class Bag:
             often = f"aggregate(array({', '.join(f'{x!r}D' for x in POISSON)}), 0L, (n, x) -> n + if(u >= x, 1L, 0L))"
             made = f"transform(transform(sequence(0, {n_trees - 1}), t -> named_struct('t', t, 'u', {u})), d -> named_struct('tree', cast(d.t + {first} as int), 'mult', {often.replace('u >=', 'd.u >=')}))"
             return cases.select("case_id", F.expr(f"filter({made}, d -> d.mult > 0)").alias("bag"))
-        if self.kind == "bootstrap":  # the draws are shuffled once, by the drawn place
+        if self.kind == "bootstrap":
             n = cases.count()
-            drawn = _draws(cases.sparkSession, n if self.draws is None else self.draws, n_trees).select("tree", (hashed("id", "tree", seed) % n).alias("rank"))
-            drawn = drawn.repartition("rank").groupBy("rank", "tree").agg(F.count("*").alias("mult"))
-            drawn = drawn.groupBy("rank").agg(F.collect_list(F.struct((F.col("tree") + first).cast("int").alias("tree"), "mult")).alias("bag"))
+            drawn = _bootstrap_bags(cases.sparkSession, n, n if self.draws is None else self.draws, n_trees, seed, first)
             return drawn.join(placed(cases), "rank").select("case_id", "bag")
         return _grouped(self.frame(cases, n_trees, first))
 
 
+#: Places of a bootstrap whose draws one task counts.
+_PLACES = 1 << 15
+
+
+def _bootstrap_bags(spark: SparkSession, n: int, draws: int, n_trees: int, seed: int, first: int) -> DataFrame:
+    """rank, bag of the places that any tree draws. Draws travel packed, by ranges of places."""
+    width = np.uint32 if n_trees * _PLACES < 1 << 32 else np.uint64
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            rank = np.concatenate([hash_numbers(ids, t, seed) % n for t in range(n_trees)])
+            tree = np.repeat(np.arange(n_trees), len(ids))
+            order = np.argsort(rank // _PLACES, kind="stable")
+            part, cell = (rank // _PLACES)[order], ((rank % _PLACES) * n_trees + tree)[order].astype(width)
+            heads = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.array([x.tobytes() for x in np.split(cell, heads[1:])], pa.binary())], names=["part", "cells"])
+
+    def count(t: pa.Table) -> pa.Table:
+        cells = np.frombuffer(b"".join(t.column("cells").to_pylist()), width)
+        cell, mult = np.unique(cells, return_counts=True)
+        place, tree = cell.astype(np.int64) // n_trees, cell.astype(np.int64) % n_trees
+        heads = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        drawn = pa.StructArray.from_arrays([pa.array((tree + first).astype(np.int32)), pa.array(mult.astype(np.int64))], names=["tree", "mult"])
+        bags = pa.ListArray.from_arrays(pa.array(np.append(heads, len(place)).astype(np.int32)), drawn)
+        return pa.table([pa.array(place[heads] + t.column("part")[0].as_py() * _PLACES), bags], names=["rank", "bag"])
+
+    return spark.range(draws).mapInArrow(deal, "part long, cells binary").groupBy("part").applyInArrow(count, "rank long, bag array<struct<tree:int,mult:long>>")
+
+
 def _grouped(drawn: DataFrame) -> DataFrame:
     return drawn.groupBy("case_id").agg(F.collect_list(F.struct(F.col("tree").cast("int").alias("tree"), F.col("mult").cast("long").alias("mult"))).alias("bag"))
 

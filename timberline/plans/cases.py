@@ -128,23 +128,21 @@ def histograms(b: Batch, at: np.ndarray, drawn: np.ndarray) -> Iterator[tuple[in
             yield int(f), node, np.append(values, np.nan)[cell], sums
 
 
-def pack(b: Batch, rows: np.ndarray, w: np.ndarray, few: int = 250) -> bytes:
-    """Cases of a node, column by column; numbers of few different values as one byte each."""
-    columns = []
+def packed(b: Batch, few: int = 250) -> list[tuple]:
+    """(values or None, column) of each feature of a batch, for ``pack``: numbers of few different values as one byte each."""
+    out = []
     for f, x in enumerate(b.x):
-        own = x[rows]
         if f in b.texts:
-            used, code = np.unique(own, return_inverse=True)
-            columns.append(([None if u < 0 else b.texts[f][u] for u in used.tolist()], code.astype(np.int32)))
+            out.append(([*b.texts[f], None], x.astype(np.int32)))
             continue
-        values = np.unique(own[: 4 * few])
-        if len(values) <= few:
-            values = np.unique(own)
-        if len(values) <= few:
-            columns.append((values, np.searchsorted(values, own).astype(np.uint8)))
-        else:
-            columns.append((None, own))
-    return pickle.dumps((columns, b.stats[rows], w), protocol=5)
+        values = np.unique(x)
+        out.append((values, np.searchsorted(values, x).astype(np.uint8)) if len(values) <= few else (None, x))
+    return out
+
+
+def pack(columns: list[tuple], stats: np.ndarray, rows: np.ndarray, w: np.ndarray) -> bytes:
+    """Cases of a node, column by column."""
+    return pickle.dumps(([(values, x[rows]) for values, x in columns], stats[rows], w), protocol=5)
 
 
 def unpack(parts: Sequence[bytes], names: Sequence[str], numeric: int) -> tuple[list[Column], np.ndarray, np.ndarray]:

@@ -313,9 +313,10 @@ class _Growing:
             on = on[ends[at[on]]]
             on = on[np.argsort(at[on], kind="stable")]
             heads = np.flatnonzero(np.append(True, at[on][1:] != at[on][:-1])) if len(on) else []
+            columns = cases.packed(b)
             for lo, hi in zip(heads, np.append(heads[1:], len(on)), strict=True):
                 own = on[lo:hi]
-                yield pa.RecordBatch.from_arrays([pa.array([int(at[own[0]])]), pa.array([cases.pack(b, b.row[own], b.w[own])], pa.binary())], names=["node", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(at[own[0]])]), pa.array([cases.pack(columns, b.stats, b.row[own], b.w[own])], pa.binary())], names=["node", "part"])
 
         names, numeric, few, how, target, total = self.names, len(self.numeric), set(self.few), self.how, self.whole, float(self.n_cases)
 
