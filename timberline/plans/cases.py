@@ -129,7 +129,7 @@ def histograms(b: Batch, at: np.ndarray, drawn: np.ndarray) -> Iterator[tuple[in
 
 
 def packed(b: Batch, few: int = 250) -> list[tuple]:
-    """(values or None, column) of each feature of a batch, for ``pack``: numbers of few different values as one byte each."""
+    """(values or None, column) of each feature of a batch and of its statistics, for ``pack``: what has few different values as one byte each."""
     out = []
     for f, x in enumerate(b.x):
         if f in b.texts:
@@ -137,12 +137,14 @@ def packed(b: Batch, few: int = 250) -> list[tuple]:
             continue
         values = np.unique(x)
         out.append((values, np.searchsorted(values, x).astype(np.uint8)) if len(values) <= few else (None, x))
-    return out
+    values, code = np.unique(b.stats, axis=0, return_inverse=True)
+    return [*out, (values, code.reshape(-1).astype(np.uint8)) if len(values) <= few else (None, b.stats)]
 
 
-def pack(columns: list[tuple], stats: np.ndarray, rows: np.ndarray, w: np.ndarray) -> bytes:
-    """Cases of a node, column by column."""
-    return pickle.dumps(([(values, x[rows]) for values, x in columns], stats[rows], w), protocol=5)
+def pack(columns: list[tuple], rows: np.ndarray, w: np.ndarray) -> bytes:
+    """Cases of a node, column by column, statistics last."""
+    small = w.astype(np.uint8)
+    return pickle.dumps(([(values, x[rows]) for values, x in columns], small if (small == w).all() else w), protocol=5)
 
 
 def unpack(parts: Sequence[bytes], names: Sequence[str], numeric: int) -> tuple[list[Column], np.ndarray, np.ndarray]:
@@ -150,7 +152,7 @@ def unpack(parts: Sequence[bytes], names: Sequence[str], numeric: int) -> tuple[
     loaded = [pickle.loads(p) for p in parts]
     out = []
     for f, name in enumerate(names):
-        pieces = [columns[f] for columns, _, _ in loaded]
+        pieces = [columns[f] for columns, _ in loaded]
         if f >= numeric:
             values = sorted({v for own, _ in pieces for v in own if v is not None})
             place = {v: i for i, v in enumerate(values)} | {None: -1}
@@ -167,7 +169,8 @@ def unpack(parts: Sequence[bytes], names: Sequence[str], numeric: int) -> tuple[
         if len(values) and np.isnan(values[-1]):
             codes, values = np.where(codes == len(values) - 1, -1, codes), values[:-1]
         out.append(Column(name, codes.astype(np.int32), values, True))
-    return out, np.concatenate([s for _, s, _ in loaded]), np.concatenate([w for _, _, w in loaded])
+    stats = np.concatenate([x if values is None else values[x] for values, x in (columns[-1] for columns, _ in loaded)])
+    return out, stats, np.concatenate([w for _, w in loaded]).astype(float)
 
 
 def measured(b: Batch, trees: np.ndarray, first: int, cuts: list[tuple]) -> np.ndarray:

@@ -28,6 +28,8 @@ from ..session import cut, plain_planning
 from . import cases, local
 
 KEYS = ["tree", "path", "feature"]
+#: Partitions over which the nodes to finish are spread, where the session doesn't ask for more.
+MOST_PARTITIONS = 4096
 
 
 @dataclass(frozen=True)
@@ -316,7 +318,7 @@ class _Growing:
             columns = cases.packed(b)
             for lo, hi in zip(heads, np.append(heads[1:], len(on)), strict=True):
                 own = on[lo:hi]
-                yield pa.RecordBatch.from_arrays([pa.array([int(at[own[0]])]), pa.array([cases.pack(columns, b.stats, b.row[own], b.w[own])], pa.binary())], names=["node", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(at[own[0]])]), pa.array([cases.pack(columns, b.row[own], b.w[own])], pa.binary())], names=["node", "part"])
 
         names, numeric, few, how, target, total = self.names, len(self.numeric), set(self.few), self.how, self.whole, float(self.n_cases)
 
@@ -328,7 +330,10 @@ class _Growing:
             return pa.Table.from_batches([_records([(tree, *x) for x in local.grown(columns, base, mult, target, how, few, tree, top.path[node], total)])])
 
         own = slice(0 if self.whole is self.target else self.n_stats, self.n_all)
-        return self._over(self.base, body, "node long, part binary", own).groupBy("node").applyInArrow(subtree, _GROWN)
+        parts = self._over(self.base, body, "node long, part binary", own)
+        # nodes differ much in work: several partitions for each keep one task from getting many of them
+        spread = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(4 * len(self.ends), MOST_PARTITIONS))
+        return parts.repartition(spread, "node").groupBy("node").applyInArrow(subtree, _GROWN)
 
 
 def grow(wide: DataFrame, targets: DataFrame, bag: Bag, n_trees: int, target: Target, numeric: Sequence[str], categorical: Sequence[str], how: Growth, first: int = 0) -> DataFrame:
