@@ -122,8 +122,9 @@ class _Growing:
     def _features(self) -> list:
         out = []
         for i, c in enumerate(self.numeric):
-            x = F.expr(f"nullif(cast(`{c}` as double), double('NaN'))")
+            x = F.col(f"`{c}`").cast("double")  # a batch takes NaN for missing; more work here makes a method too long to be compiled
             if edges := self.edges.get(c):
+                x = F.nanvl(x, F.lit(None).cast("double"))
                 near = F.try_element_at(F.filter(F.array(*map(F.lit, edges)), lambda e, x=x: e >= x), F.lit(1))
                 x = F.when(x.isNotNull(), F.coalesce(near, x))
             out.append(x.alias(f"_x{i}"))
