@@ -31,7 +31,7 @@ def test_toxicity_held_out(spark):
 def test_oracles(spark, name):
     got = queries.queries()[name](spark, SF)
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = c.execute(queries.oracle_sql()[name])
     names = [x[0] for x in want.description]
