@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from timberline.functions.dominance import dominance, dominated
-from timberline.operators import splits, targets
+from timberline.operators import score, splits, targets
+from timberline.plans.scoring import by_leaf
 
 
 @pytest.fixture
@@ -96,3 +97,26 @@ def test_prefix_sums_by_windows_and_by_ranges_agree(many_ranges):
     hist = splits.histogram(df, ["g"], "x", goal)
     text = lambda scan: sorted((r["g"], r["threshold"], r["n_left"], r["n_right"], round(r["decrease"], 12)) for r in splits.num_cuts(hist, ["g"], goal, 2, scan=scan).collect())
     assert text(True) == text(False) and len(text(True)) > 90
+
+
+def test_tables_by_case_are_not_broadcast(spark):
+    """However small the files are, rows for each case stay with the executors; the few rows by leaf go to all of them."""
+    actual = spark.createDataFrame([(i, float(i % 5)) for i in range(40)], "case_id long, actual double")
+    pred = actual.select("case_id", (actual.actual + 1).alias("pred"))
+    for errors in (score.regression_errors(pred, actual), score.balanced_error(pred, actual), score.accuracy(pred, actual)):
+        assert "BroadcastHashJoin" not in errors._jdf.queryExecution().executedPlan().toString()
+    got = score.regression_errors(pred.filter("case_id > 0"), actual).first()
+    assert math.isclose(got["mse"], 39 / 40)
+
+
+def test_rows_by_leaf_go_to_every_worker(spark):
+    at = spark.createDataFrame([(i, "*L" if i % 9 else "*R") for i in range(40)], "case_id long, path string")
+    value = spark.createDataFrame([("*L", 1.0), ("*R", 2.0)], "path string, value double")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        both = at.join(by_leaf(value), "path")
+        assert "BroadcastHashJoin" in both._jdf.queryExecution().executedPlan().toString()
+        assert both.groupBy().sum("value").first()[0] == 45.0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
