@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ROW, as_bytes, carrying, cut, keyed_rows
@@ -71,9 +71,9 @@ def ball_links(fps: DataFrame, radius: int) -> DataFrame:
     # by number, so that the few small rows aren't gathered before they are spread out
     spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     met = spread.select("fp", F.explode(masks).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("variant"))
-    # nearly all variants have one fingerprint; the few others are met once more
-    ends = met.groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z")
-    stars = met.join(cut(ends.select("variant", "a")), "variant").filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
+    # one shuffle of (fp, variant); a variant has the fingerprints of its own ball only
+    least = F.min("fp").over(Window.partitionBy("variant"))
+    stars = met.withColumn("a", least).filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
     return stars.filter(F.expr("bit_count(a ^ b)") <= radius)
 
 
