@@ -1,6 +1,9 @@
-"""Near copies by word shingles: MinHash bands propose pairs, the exact Jaccard similarity of the shingle sets decides.
+"""Near copies by word shingles: the ball hashing of SimHash fingerprints proposes pairs and MinHash bands add what its radius
+doesn't reach; the exact Jaccard similarity of the shingle sets decides.
 
-Texts with equal shingle sets are one node. Nodes that share a band meet. First all nodes of a band are compared with its
+Texts with equal shingle sets are one node. Nodes whose fingerprints (those of op8) are within two bits meet through the variants
+of their balls, nodes of one fingerprint at the first of them. Such close fingerprints belong to nearly equal texts only, so nodes that
+share a MinHash band meet too. First all nodes of a band are compared with its
 centre, the node that meets the most others. What these links haven't joined is compared pair by pair, but for pairs that cannot be similar:
 the overlap of two sets is at most the lesser overlap with the centre, and the lesser number of what neither the centre has
 nor that one set alone. These bounds are exact, so no pair that shares a band is left out of the components. A pair at the
@@ -21,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, chain, cut, grams, hashed_words, mix
-from .simhash import _LOWER, components
+from .simhash import _LOWER, _fingerprint, ball_links, components
 
 BANDS, ROWS = 42, 6
+#: Bits by which fingerprints that meet may differ, and the words of their shingles.
+RADIUS, FINGERPRINT = 2, 3
 #: Documents whose shingles are hashed at once.
 _DOCS = 256
 
@@ -63,25 +68,27 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).view(np.int64)))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, list[bytes], list[np.ndarray]]]:
     for b in batches:
         for lo in range(0, b.num_rows, _DOCS):
             piece = b.slice(lo, _DOCS)
-            yield piece.column(0), _sets(as_bytes(piece.column(1)).to_pylist(), size)
+            texts = as_bytes(piece.column(1)).to_pylist()
+            yield piece.column(0), texts, _sets(texts, size)
 
 
 def _sketches(size: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, sets in _pieces(batches, size):
+        for keys, texts, sets in _pieces(batches, size):
+            fps = np.fromiter((_fingerprint(t, FINGERPRINT, seed, _LOWER) for t in texts), np.uint64, len(texts)).view(np.int64)
             same = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([keys, pa.array(list(map(len, sets)), pa.int32()), pa.array(same[:, 0]), pa.array(same[:, 1]), _lists(list(_bands(sets, seed)))], names=["key", "n", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(list(map(len, sets)), pa.int32()), pa.array(same[:, 0]), pa.array(same[:, 1]), pa.array(fps), _lists(list(_bands(sets, seed)))], names=["key", "n", "d1", "d2", "fp", "bands"])
 
     return run
 
 
 def _shingles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, sets in _pieces(batches, size):
+        for keys, _, sets in _pieces(batches, size):
             yield pa.RecordBatch.from_arrays([keys, _lists(sets)], names=["key", "items"])
 
     return run
@@ -98,6 +105,16 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"))
 
 
+def _within_balls(marked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``marked`` (key, fp): the first key of each fingerprint with its others, and with the first keys of the fingerprints
+    that ball hashing links to it."""
+    heads = cut(marked.groupBy("fp").agg(F.min("key").alias("head")))
+    same = marked.join(heads, "fp").filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"))
+    links = ball_links(heads.select("fp"), RADIUS).toDF("f", "g")
+    near = links.join(heads.toDF("f", "a"), "f").join(heads.toDF("g", "b"), "g").select("a", "b")
+    return same.unionByName(near)
+
+
 def _similar(both, n, m, least: float):
     return both >= least * (n + m - both) - 1e-9
 
@@ -106,7 +123,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, seed: int
     """key, component (the smallest key that links reach) of the rows of ``docs`` (key, text) that are the first with their
     shingles; all others are copies of one of these. ``key`` is a long of each row's own."""
     own = docs.select(F.col("key").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-    marked = cut(own.mapInArrow(_sketches(shingle, seed), "key long, n int, d1 long, d2 long, bands array<long>"))
+    marked = cut(own.mapInArrow(_sketches(shingle, seed), "key long, n int, d1 long, d2 long, fp long, bands array<long>"))
     firsts = cut(marked.groupBy("d1", "d2").agg(F.min("key").alias("key")).select("key"))
     rows = marked.join(firsts, "key", "left_semi").select("key", "n", F.explode("bands").alias("band"))
     sizes = rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
@@ -114,7 +131,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, seed: int
     popular = met.groupBy("key").agg(F.sum("size").alias("pop"))
     centres = met.join(popular, "key").groupBy("band").agg(F.max(F.struct("pop", (-F.col("key")).alias("k"))).alias("top")).select("band", (-F.col("top.k")).alias("centre"))
     members = cut(met.select("band", "key", "n").join(centres, "band"))
-    stars = cut(members.filter("key <> centre").select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct())
+    close = _within_balls(marked.join(firsts, "key", "left_semi").select("key", "fp"))
+    stars = cut(members.filter("key <> centre").select(F.col("key").alias("a"), F.col("centre").alias("b")).unionByName(close).distinct())
     ends = stars.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     tested = cut(_overlaps(stars, _sets_of(ends, own, shingle)))
     links = tested.filter(_similar(F.col("both"), F.col("n"), F.col("m"), least)).select("a", "b")
