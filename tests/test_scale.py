@@ -7,7 +7,7 @@ import pytest
 
 from timberline.functions.dominance import dominance, dominated
 from timberline.operators import score, splits, targets
-from timberline.plans.scoring import by_leaf
+from timberline.session import by_leaf
 
 
 @pytest.fixture
@@ -120,3 +120,22 @@ def test_rows_by_leaf_go_to_every_worker(spark):
         assert both.groupBy().sum("value").first()[0] == 45.0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_branch_counts_meet_the_model_once_for_each_leaf(spark):
+    """The cases of a leaf aren't brought together, and no case is multiplied by the nodes on its way."""
+    nodes = spark.createDataFrame([(0, "*", "a"), (0, "*L", "b"), (0, "*LL", "a"), (0, "*R", None), (0, "*LR", None), (0, "*LLL", None), (0, "*LLR", None)], "tree int, path string, feature string")
+    at = spark.createDataFrame([(0, i, ("*R", "*LR", "*LLL")[i % 3]) for i in range(30)], "tree int, case_id long, path string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        counts = score.branch_counts(at, nodes)
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "sequence(1" not in plan
+        got = {(r["case_id"], r["feature"]): r["n"] for r in counts.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    want = {}
+    for i in range(30):
+        want |= [{(i, "a"): 1}, {(i, "a"): 1, (i, "b"): 1}, {(i, "a"): 2, (i, "b"): 1}][i % 3]
+    assert got == want
