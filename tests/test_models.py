@@ -1,7 +1,9 @@
 """Votes, blocks of trees, and models that are stored."""
 
+import math
 import statistics
 
+import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
@@ -68,3 +70,14 @@ def test_models_in_a_pipeline_are_stored(spark, tmp_path):
         text = lambda model: sorted((r["case_id"], str(r["prediction"])) for r in model.transform(df).collect())
         first = text(fitted)
         assert text(PipelineModel.load(str(tmp_path / kind))) == first and len(first) == 120 and len({p for _, p in first}) > 1
+
+
+def test_adaboost_joins_nothing(spark, monkeypatch):
+    """The cases carry their features through all rounds; one without a leaf counts as wrong."""
+    df = spark.createDataFrame([(i, None if i % 10 == 0 else float(i), "ab"[i % 2], "x" if i < 60 else "y") for i in range(100)], "id long, v double, c string, y string").cache()
+    asked = []
+    monkeypatch.setattr(type(df), "join", lambda *a, **k: asked.append(a) or pytest.fail("a join"))
+    f = Forest("y", "id", ["v"], ["c"], n_trees=2, how=Growth(max_depth=1), boost="ada", bag="none").fit(df)
+    root = f.nodes.filter("path = '*' and tree = 0").first()
+    assert not asked and root["feature"] == "v" and 59 <= root["threshold"] <= 61
+    assert abs(root["weight"] - 0.5 * math.log(0.9 / 0.1)) < 1e-9
