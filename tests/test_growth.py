@@ -1,6 +1,7 @@
 """Trees grown in memory, level by level, and by both are the same; forests reach the accuracy that is asked of them."""
 
 import math
+import tracemalloc
 from dataclasses import replace
 
 import numpy as np
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from timberline.functions.rng import hash_numbers
 from timberline.operators import sample, score, targets
+from timberline.plans import cases, local
 from timberline.plans.forest import Forest
-from timberline.plans.grow import Growth, grow
+from timberline.plans.grow import Growth, grow, row_bytes
 from timberline.plans.scoring import score_leaves
 
 
@@ -149,3 +151,59 @@ def test_boosted_numbers(spark):
     f = Forest("y", "id", ["a"], n_trees=3, how=Growth(max_depth=2), boost="ada", bag="none").fit(df)
     assert {r["weight"] > 0 for r in f.nodes.collect()} == {True}
     assert score.regression_errors(f.predict(df), df.select(F.col("id").alias("case_id"), F.col("y").alias("actual"))).first()["r2"] > 0.8
+
+
+def packed_parts(x, klass, w, classes, size):
+    """Parts of one node, in the order in which its task gets them."""
+    out = []
+    for lo in range(0, len(w), size):
+        own = slice(lo, lo + size)
+        stats = np.zeros((len(w[own]), classes + 1))
+        stats[:, 0] = stats[np.arange(len(stats)), klass[own] + 1] = 1
+        b = cases.Batch([v[own] for v in x], {}, stats, np.arange(len(stats)), np.zeros(len(stats), np.int64), w[own])
+        out += [(block, lo, part) for block, part in enumerate(cases.pack(cases.packed(b), b.row, b.w))]
+    return [(block, part) for block, _, part in sorted(out)]
+
+
+def grown(parts, names, classes):
+    grower, rows = local.grower(*cases.unpack(parts, names, len(names)), targets.Gini(classes=tuple(map(str, range(classes)))), Growth(max_depth=3, m_try=8), set(), 1.0)
+    return grower.grow(0, "*", rows)
+
+
+def test_a_node_takes_no_more_memory_than_is_reckoned(monkeypatch):
+    """With different values in every case, in double precision."""
+    monkeypatch.setattr(local, "CELLS", 1 << 10)
+    rng, n, classes = np.random.default_rng(4), 60_000, 10
+    names = [f"x{i}" for i in range(20)]
+    parts = packed_parts([rng.random(n) for _ in names], rng.integers(0, classes, n), rng.integers(1, 4, n).astype(float), classes, 5_000)
+    # decoded as they arrive
+    stream = (parts.pop(0) for _ in range(len(parts)))
+    tracemalloc.start()
+    try:
+        assert len(grown(stream, names, classes)) > 1
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak <= n * row_bytes(len(names), classes + 1)
+
+
+def test_packed_values_are_exact(monkeypatch):
+    """Values that single precision holds, and in some parts values that it doesn't hold; few and many different ones; missing ones."""
+    rng, n = np.random.default_rng(6), 1_300
+    single = rng.random(n).astype(np.float32).astype(float)
+    mixed = np.where(np.arange(n) < 500, single, rng.random(n))
+    near = np.where(np.arange(n) % 2, 0.1, float(np.float32(0.1)))
+    large = np.where(np.arange(n) < 700, 1e300, single)
+    gaps = np.where(rng.random(n) < 0.2, np.nan, single)
+    x = [single, mixed, near, large, gaps, np.full(n, np.nan), rng.integers(0, 9, n).astype(float), rng.integers(0, 999, n) / 7, *[rng.random(n) for _ in range(9)]]
+    klass, w, names = rng.integers(0, 3, n), rng.integers(1, 400, n).astype(float), [f"x{i}" for i in range(17)]
+    parts = packed_parts(x, klass, w, 3, 400)
+    assert len(parts) == 4 * 3
+    columns, stats, mult = cases.unpack(parts, names, 17)
+    for c, want in zip(columns, x, strict=True):
+        assert np.array_equal(c.codes < 0, np.isnan(want)) and np.array_equal(c.numbers(c.codes[c.codes >= 0]), want[~np.isnan(want)])
+    assert columns[0].values.dtype == np.float32 and columns[1].values.dtype == np.float64
+    assert np.array_equal(mult, w) and np.array_equal(np.argmax(stats[:, 1:], axis=1), klass)
+    whole = grown(parts, names, 3)
+    monkeypatch.setattr(local, "CELLS", 7)
+    assert grown(parts, names, 3) == whole and len(whole) > 5
