@@ -2,7 +2,9 @@
 
 Terms are the words of toxic documents that the labels single out. A word of a document is folded (lower case, common
 letter disguises, inner signs dropped) and runs as an automaton of its spelling and an allowed number of errors down the
-trie; so it meets all terms within that distance in one walk, without a list of variants. A hit whose window of words
+trie; so it meets all terms within that distance in one walk, without a list of variants. Before that the different words of
+some texts are sieved together: a term cut into one piece more than there may be errors has a piece without errors at a known
+place, so a word without such a piece meets no term and needs no walk. A hit whose window of words
 opens a quotation before it and closes one behind it counts as quoted. The score is logistic in the hits: strongest and
 number of exact, of misspelled and of quoted ones.
 
@@ -25,15 +27,17 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import as_bytes, cut, word_bounds
 from .labels import held_out, training_labels
 
 _DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e"})
@@ -71,6 +75,165 @@ def _letters(word: str) -> int:
     return out
 
 
+#: Texts are cut into words in pieces of about so many bytes, whole documents each, to bound memory.
+PIECE_BYTES = 8 << 20
+#: What str.split takes as blanks, in UTF-8.
+_BLANKS = [c.encode() for c in map(chr, range(1 << 16)) if c.isspace()]
+_BLANK = np.isin(np.arange(256), [b[0] for b in _BLANKS if len(b) == 1])
+
+
+def blank_bytes(data: np.ndarray) -> np.ndarray:
+    """Which bytes of the UTF-8 ``data`` are of blanks as str.split has them."""
+    out = _BLANK[data]
+    for first in {b[0] for b in _BLANKS if len(b) > 1}:
+        at = np.flatnonzero(data == first)
+        for sign in (b for b in _BLANKS if b[0] == first):
+            own = at[at + len(sign) <= len(data)]
+            for k in range(1, len(sign)):
+                own = own[data[own + k] == sign[k]]
+            for k in range(len(sign)):
+                out[own + k] = True
+    return out
+
+
+def numbered_words(column: pa.Array) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
+    """The words, as str.split has them, of some texts at a time: the first text's row, the different words, the numbers of the
+    texts' words in turn, and where those of each text begin and end."""
+    if not len(column):
+        return
+    texts = as_bytes(column)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    d = 0
+    while d < len(texts):
+        e = max(d + 1, int(np.searchsorted(offsets, offsets[d] + PIECE_BYTES, side="right")) - 1)
+        piece, own = data[int(offsets[d]) : int(offsets[e])], offsets[d : e + 1] - offsets[d]
+        blank = blank_bytes(piece)
+        begin, end = word_bounds(piece, own, blank)
+        bounds = np.zeros(len(begin) + 1, np.int64)
+        np.cumsum(end - begin, out=bounds[1:])
+        words = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(bounds), pa.py_buffer(piece[~blank])).dictionary_encode()
+        yield d, words.dictionary.to_pylist(), words.indices.to_numpy(), np.searchsorted(begin, own)
+        d = e
+
+
+@cache
+def _sign_tables(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point below ``size``: the letter that it stands for, if it is a disguise; whether that is a letter; whether it is cut off at the ends of a word."""
+    signs = np.arange(size, dtype=np.uint32)
+    plain = signs.copy()
+    plain[list(_DISGUISE)] = [ord(c) for c in _DISGUISE.values()]
+    return plain, np.array([chr(c).isalpha() for c in plain]), np.isin(signs, [ord(c) for c in _EDGE])
+
+
+def fold_all(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``fold`` of all words, which have no line ends: their code points in turn, and where each word's begin and end."""
+    signs = np.frombuffer("\n".join([*words, ""]).lower().encode("utf-32-le"), np.uint32)
+    plain, letter, edge = _sign_tables(1 << 16 if len(signs) == 0 or signs.max() < 1 << 16 else 0x110000)
+    ends = np.flatnonzero(signs == 10)
+    begins = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
+    solid = np.flatnonzero(~edge[signs] & (signs != 10))
+    first, last = np.searchsorted(solid, begins), np.searchsorted(solid, ends)
+    some = first < last
+    step = np.zeros(len(signs) + 1, np.int8)
+    step[solid[first[some]]] += 1
+    step[solid[last[some] - 1] + 1] -= 1
+    out = plain[signs]
+    kept = (np.cumsum(step[:-1]) > 0) & letter[out]
+    return out[kept], np.concatenate([[0], np.cumsum(kept)[ends]]).astype(np.int64)
+
+
+_STEP = 0x9E3779B97F4A7C15
+
+
+def _hash(word: str) -> int:
+    out = 0
+    for c in word:
+        out = (out * _STEP + ord(c) + 1) % (1 << 64)
+    return out
+
+
+def _keys(words: Iterable[str]) -> np.ndarray:
+    return np.array(sorted(set(map(_hash, words))), np.uint64)
+
+
+def _among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x if len(keys) else np.zeros(len(x), bool)
+
+
+def _cut_at(length: int, errors: int) -> list[int]:
+    """Where a term of that length is cut into ``errors`` + 1 pieces."""
+    return [*(k * (length // (errors + 1)) for k in range(errors + 1)), length]
+
+
+class Sieve:
+    """Sorts out folded words that meet none of ``terms`` and have none of ``near`` within their allowed errors. What it leaves may hit.
+
+    A term is cut into e + 1 pieces for e errors. Take the first piece i (from 0) up to which there are i errors at most: it has none itself,
+    i before it and so e - i behind it at most. The word holds it, moved by i signs at most as counted from its beginning and by e - i as counted from its end.
+    """
+
+    def __init__(self, terms: Iterable[str], near: Iterable[str]):
+        terms, by = list(terms), {}
+        self.whole = _keys(t for t in terms if not t.endswith("*"))
+        self.stems = {k: _keys(t[:-1] for t in terms if t.endswith("*") and len(t) == k + 1) for k in STEMS}
+        for t in near:
+            by.setdefault(len(t), []).append(t)
+        self.pieces = {}
+        for m, own in by.items():
+            for e in {allowed(n) for n in range(max(0, m - 2), m + 3) if abs(n - m) <= allowed(n)} - {0}:
+                cuts = _cut_at(m, e)
+                self.pieces[m, e] = [_keys(t[a:b] for t in own) for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.letters = {m: np.array([_letters(t) for t in own], np.uint64) for m, own in by.items()}
+        self.longest = max(max(map(len, terms), default=0), max(by, default=0) + 2, *STEMS)
+
+    def left(self, words: list[str]) -> np.ndarray:
+        """The places of those of ``words`` that may hit."""
+        signs, bounds = fold_all(words)
+        lengths = np.diff(bounds)
+        # a word that is longer than any term could be has its stems only
+        width = np.minimum(lengths, self.longest + 1)
+        out = np.zeros(len(words), bool)
+        order = np.argsort(width, kind="stable")
+        edges = np.searchsorted(width[order], np.arange(self.longest + 3))
+        for n in range(3, self.longest + 2):
+            own = order[edges[n] : edges[n + 1]]
+            if len(own):
+                out[own] = self._of_length(n, signs[bounds[own] + np.arange(n)[:, None]].astype(np.uint64))
+        return np.flatnonzero(out)
+
+    def _of_length(self, n: int, signs: np.ndarray) -> np.ndarray:
+        """Of words of ``n`` signs, in columns."""
+        h = np.zeros((n + 1, signs.shape[1]), np.uint64)
+        for k in range(n):
+            h[k + 1] = h[k] * np.uint64(_STEP) + signs[k] + np.uint64(1)
+        out = _among(h[n], self.whole)
+        for k, keys in self.stems.items():
+            if n > k:
+                out |= _among(h[k], keys)
+        e = allowed(n)
+        letters = None
+        for m in range(n - e, n + e + 1):
+            if (m, e) not in self.pieces:
+                continue
+            met, cuts = np.zeros(len(out), bool), _cut_at(m, e)
+            for i, keys in enumerate(self.pieces[m, e]):
+                size = cuts[i + 1] - cuts[i]
+                power = np.uint64(pow(_STEP, size, 1 << 64))
+                for at in range(cuts[i] + max(-i, n - m - e + i), cuts[i] + min(i, n - m + e - i) + 1):
+                    if 0 <= at <= n - size:
+                        met |= _among(h[at + size] - h[at] * power, keys)
+            met = np.flatnonzero(met & ~out)
+            if len(met) and letters is None:
+                letters = np.bitwise_or.reduce(np.uint64(1) << signs % np.uint64(64), axis=0)
+            # an error changes two of the letters used at most
+            for k in range(0, len(met), 1024):
+                some = met[k : k + 1024]
+                out[some] = (np.bitwise_count(letters[some, None] ^ self.letters[m]) <= 2 * e).any(axis=1)
+        return out
+
+
 _END = ""
 #: Lengths of word beginnings that are learned as terms too, for inflected forms; such a term ends with a star.
 STEMS = (4, 5, 6)
@@ -135,27 +298,24 @@ class ToxicityModel:
     most_kept: int = 300_000
 
     def __post_init__(self):
-        self._trie, self._seen = None, {}
+        self._trie, self._sieve, self._seen = None, None, {}
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
-        self._trie, self._seen = None, {}
+        self.__post_init__()
 
     def _prepare(self) -> None:
         whole = [t for t in self.terms if not t.endswith("*") and t not in self.crowded]
-        self._trie = build_trie({t: self.terms[t] for t in whole})
-        self._heads, self._tails = ({f(t, k) for t in whole for k in range(1, len(t) + 1)} for f in (lambda t, k: t[:k], lambda t, k: t[-k:]))
-        self._masks, self._lengths = np.array([_letters(t) for t in whole], np.uint64), np.array([len(t) for t in whole], np.int64)
+        self._trie, self._sieve = build_trie({t: self.terms[t] for t in whole}), Sieve(self.terms, whole)
 
-    def _may_match(self, w: str, errors: int) -> bool:
-        """Whether the automaton can meet a term at all: one error leaves a half of the word as it is, an error changes two of the letters used at most."""
-        if errors == 1:
-            half = max(1, (len(w) - 1) // 2)
-            return w[:half] in self._heads or w[-half:] in self._tails
-        return bool(((np.bitwise_count(self._masks ^ np.uint64(_letters(w))) <= 2 * errors) & (np.abs(self._lengths - len(w)) <= errors)).any())
+    def may_hit(self, words: list[str]) -> list[int]:
+        """The places of those of ``words`` that may be or be near a term; the others have no match and nothing near."""
+        if self._sieve is None:
+            self._prepare()
+        return self._sieve.left(words).tolist() if words else []
 
     def match(self, word: str) -> tuple[float, int, str] | None:
         """(weight, distance, folded word) of the nearest, then strongest term."""
@@ -171,7 +331,7 @@ class ToxicityModel:
                 out = (max(known), 0, w)
             elif w not in self.harmless:
                 errors = allowed(len(w))
-                hits = intersect(self._trie, w, errors) if errors and self._may_match(w, errors) else ()
+                hits = intersect(self._trie, w, errors) if errors else ()
                 if hits:
                     out = (max(h[1] for h in hits), min(h[2] for h in hits), w)
         self._seen[word] = out
@@ -182,18 +342,33 @@ class ToxicityModel:
         if self._trie is None:
             self._prepare()
         errors = allowed(len(w))
-        if not errors or any(t in self.terms for t in spellings(w)) or not self._may_match(w, errors):
+        if not errors or any(t in self.terms for t in spellings(w)):
             return []
         return [t for t, _, _ in intersect(self._trie, w, errors)]
 
-    def features(self, text: str) -> list[float]:
-        return self.word_features(text.split())
+    def hits(self, column: pa.Array) -> Iterator[tuple[int, list[str], list[int]]]:
+        """Each text with hits: its row, its words and the places of those that hit."""
+        for row, words, numbers, bounds in numbered_words(column):
+            hit = np.zeros(len(words), bool)
+            hit[[k for k in self.may_hit(words) if self.match(words[k])]] = True
+            at = np.flatnonzero(hit[numbers])
+            edges = np.searchsorted(at, bounds)
+            for d in np.flatnonzero(np.diff(edges)).tolist():
+                own = at[edges[d] : edges[d + 1]] - bounds[d]
+                yield row + d, column[row + d].as_py().split(), own.tolist()
+
+    def features(self, column: pa.Array) -> np.ndarray:
+        """The numbers by which each text is scored."""
+        out = np.zeros((len(column), 6))
+        out[:, 0] = 1.0
+        for row, words, places in self.hits(column):
+            out[row] = self.word_features(words, places)
+        return out
 
-    def word_features(self, words: list[str]) -> list[float]:
+    def word_features(self, words: list[str], places: Iterable[int]) -> list[float]:
         exact, fuzzy, quoted = {}, {}, 0
-        for i, h in enumerate(map(self.match, words)):
-            if h is None:
-                continue
+        for i in places:
+            h = self.match(words[i])
             if in_quotation(words, i):
                 quoted += 1
             elif h[1] == 0:
@@ -203,14 +378,13 @@ class ToxicityModel:
         top = lambda hits: max(hits.values(), default=0.0) ** 2 / 10
         return [1.0, top(exact), math.log1p(len(exact)), top(fuzzy), math.log1p(len(fuzzy)), math.log1p(quoted)]
 
-    def variants(self, text: str) -> list[list[str]]:
-        """The words of ``text`` with its terms misspelled, and with its terms quoted; none if it has no term that may be misspelled."""
-        words = text.split()
-        hits = [h is not None and h[1] == 0 for h in map(self.match, words)]
-        if not any(h and allowed(len(fold(w))) for w, h in zip(words, hits, strict=True)):
+    def variants(self, words: list[str], places: Iterable[int]) -> list[str]:
+        """The text of ``words`` with its terms misspelled, and with its terms quoted; none if it has no term that may be misspelled."""
+        terms = {i: w for i in places if self.match(words[i])[1] == 0 and (w := fold(words[i]))}
+        if not any(allowed(len(w)) for w in terms.values()):
             return []
-        wrong = [misspelled(fold(w)) if h and allowed(len(fold(w))) else w for w, h in zip(words, hits, strict=True) if not h or allowed(len(fold(w)))]
-        return [wrong, [f'"{fold(w)}"' if h else w for w, h in zip(words, hits, strict=True)]]
+        wrong = [misspelled(terms[i]) if i in terms else w for i, w in enumerate(words) if i not in terms or allowed(len(terms[i]))]
+        return [" ".join(wrong), " ".join(f'"{terms[i]}"' if i in terms else w for i, w in enumerate(words))]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -276,15 +450,16 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_term
             toxic, clean, around, n = Counter(), Counter(), Counter(), [0, 0]
             for text, y in zip(_texts(b.column(0)), b.column(1).to_pylist(), strict=True):
                 n[y] += 1
-                words = [fold(w) for w in text.split()]
                 if not y:
-                    clean.update({t for w in set(words) if len(w) > 2 for t in spellings(w)})
+                    clean.update({t for w in set(map(fold, set(text.split()))) if len(w) > 2 for t in spellings(w)})
                     continue
+                words = [fold(w) for w in text.split()]
                 if not words:
                     continue
-                bits = {}
+                bits, met = {}, set()
                 for before, w, after in zip(["", *words[:-1]], words, [*words[1:], ""], strict=True):
-                    if len(w) > 2:
+                    if len(w) > 2 and w not in met:
+                        met.add(w)
                         bit = 1 << (zlib.crc32(f"{before} {after}".encode()) % 63)
                         for t in spellings(w):
                             bits.setdefault(t, bit)
@@ -309,7 +484,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_term
         for b in batches:
             found: Counter = Counter()
             for text in _texts(b.column(0)):
-                words = {tuple(t for t in spellings(w) if t in terms) for w in set(map(fold, text.split())) if len(w) > 2} - {()}
+                words = {tuple(t for t in spellings(w) if t in terms) for w in set(map(fold, set(text.split()))) if len(w) > 2} - {()}
                 for t in {t for ts in words for t in ts}:
                     found[t] += 1 / len(words)
             yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.string()), pa.array(list(found.values()), pa.float64())], names=["term", "n"])
@@ -322,7 +497,10 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_term
 
     def nearby(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = {(w, t, weigh) for text, weigh in zip(_texts(b.column(0)), b.column(1).to_pylist(), strict=True) for w in set(map(fold, text.split())) for t in draft.near(w)}
+            found = set()
+            for weigh in (False, True):
+                for _, words, _, _ in numbered_words(b.column(0).filter(pc.equal(b.column(1), weigh))):
+                    found |= {(w, t, weigh) for w in {fold(words[k]) for k in draft.may_hit(words)} for t in draft.near(w)}
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.bool_()))], names=["word", "term", "weigh"])
 
     # words of the bounded sample that are near a term
@@ -336,12 +514,13 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_term
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            xs, ys, ws = [], [], []
-            for text, y in zip(_texts(b.column(0)), b.column(1).to_pylist(), strict=True):
-                rows = [(guarded.features(text), y, 3.0 if y else 1.0)]
-                rows += [(guarded.word_features(words), as_if, 0.5) for words, as_if in zip(guarded.variants(text) if y else (), (1, 0), strict=False)]
-                for out, values in zip((xs, ys, ws), zip(*rows, strict=True), strict=True):
-                    out += values
+            x, y = guarded.features(b.column(0)), b.column(1).to_numpy()
+            toxic = b.column(0).filter(pc.equal(b.column(1), 1))
+            varied = [v for _, words, places in guarded.hits(toxic) if (v := guarded.variants(words, places))]
+            more = [guarded.features(pa.array([v[k] for v in varied], pa.string())) for k in (0, 1)]
+            xs = np.concatenate([x, *more]).tolist()
+            ys = [*y.tolist(), *([1] * len(varied)), *([0] * len(varied))]
+            ws = [*np.where(y == 1, 3.0, 1.0).tolist(), *([0.5] * 2 * len(varied))]
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.int32()), pa.array(ws, pa.float64())], names=["x", "y", "w"])
 
     # a few numbers for each of the bounded sample's texts; equal ones are added up
@@ -359,7 +538,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            x = np.array([own.features(t) for t in _texts(b.column(1))]).reshape(b.num_rows, 6)
+            x = own.features(b.column(1))
             hits = [pa.array(np.rint(np.expm1(x[:, k])).astype(np.int32)) for k in (2, 4, 5)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.score(x)), *hits], names=["doc_id", "score", "exact", "misspelled", "quoted"])
 
