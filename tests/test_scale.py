@@ -4,9 +4,13 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from timberline.functions.dominance import dominance, dominated
 from timberline.operators import score, splits, targets
+from timberline.plans.forest import Forest
+from timberline.plans.grow import Growth
 from timberline.session import by_leaf
 
 
@@ -139,3 +143,29 @@ def test_branch_counts_meet_the_model_once_for_each_leaf(spark):
     for i in range(30):
         want |= [{(i, "a"): 1}, {(i, "a"): 1, (i, "b"): 1}, {(i, "a"): 2, (i, "b"): 1}][i % 3]
     assert got == want
+
+
+@pytest.mark.parametrize("number", [True, False])
+def test_rounds_of_gradient_boosting_join_no_cases(spark, monkeypatch, number):
+    """Cases carry their features: no plan of the growth joins by case, and rows that share an id stay as many."""
+    rows = [(i // 2, float(i % 10) if i % 7 else None, float(i % 10 > 4) + i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, z double").withColumn("z", F.col("z") if number else F.when(F.col("z") > 1, "y").otherwise("n"))
+    joins, checkpoint = [], DataFrame.checkpoint
+
+    def watched(self, *args, **more):
+        plan = self._jdf.queryExecution().optimizedPlan().toString()
+        joins.extend(line for line in plan.splitlines() if "Join" in line and "case_id" in line)
+        return checkpoint(self, *args, **more)
+
+    monkeypatch.setattr(DataFrame, "checkpoint", watched)
+    fitted = Forest("z", "id", ["a"], n_trees=2, how=Growth(max_depth=1, split_missing=True), boost="gbt", bag="none").fit(df)
+    assert not joins
+    assert {r["n"] for r in fitted.nodes.filter("path = '*'").collect()} == {200}
+    # the first tree's leaves by hand
+    y = np.array([float(z) if number else float(z == "y") for z in (r["z"] for r in df.orderBy("id", "a").collect())])
+    a = np.array([np.nan if r["a"] is None else r["a"] for r in df.orderBy("id", "a").collect()])
+    first = {r["path"]: float(r["pred"]) for r in fitted.nodes.filter("tree = 0 and feature is null").collect()}
+    cut_at = fitted.nodes.filter("tree = 0 and path = '*'").first()["threshold"]
+    for path, own in (("*L", a <= cut_at), ("*R", a > cut_at), ("*M", np.isnan(a))):
+        step = (y[own] - y.mean()).mean() if number else (y[own] - y.mean()).sum() / (own.sum() * y.mean() * (1 - y.mean()))
+        assert math.isclose(first[path], step, rel_tol=1e-9, abs_tol=1e-12)
