@@ -169,3 +169,16 @@ def test_rounds_of_gradient_boosting_join_no_cases(spark, monkeypatch, number):
     for path, own in (("*L", a <= cut_at), ("*R", a > cut_at), ("*M", np.isnan(a))):
         step = (y[own] - y.mean()).mean() if number else (y[own] - y.mean()).sum() / (own.sum() * y.mean() * (1 - y.mean()))
         assert math.isclose(first[path], step, rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_small_nodes_that_most_batches_have_no_case_of(spark):
+    """A split node's small child is finished though only the last batches hold its cases."""
+    df = spark.range(200).select(F.col("id"), F.when(F.col("id") < 195, 1.0).otherwise(0.0).alias("a"), F.when(F.col("id") < 195, F.col("id") % 3).otherwise(50).cast("double").alias("z"))
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        how = Growth(max_depth=2, local_bytes=20 * 400)
+        nodes = Forest("z", "id", ["a"], n_trees=1, how=how, boost="gbt", bag="none").fit(df).nodes
+        assert {(r["path"], r["n"]) for r in nodes.collect()} == {("*", 200), ("*L", 5), ("*R", 195)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
